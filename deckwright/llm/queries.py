@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, quality, sharding, token_files, toxicity
+from . import bpe, common, decontaminate, neighbours, quality, sharding, token_files, toxicity
 from .common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -26,6 +26,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = common.remainder("doc_id", 5) == 0
@@ -39,6 +44,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -56,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_token_files, op6_bpe, op8_rendezvous_shards, op10_quality)}
+    return {f.__name__: f for f in (op1_adaptive_scan, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op8_rendezvous_shards, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

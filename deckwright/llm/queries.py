@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, neighbours, quality, sharding, token_files, toxicity
+from . import bpe, common, decontaminate, licenses, neighbours, quality, sharding, token_files, toxicity
 from .common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -57,6 +57,11 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), eight, eight | {8: 1.0}).withColumn("law", F.lit("key"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = common.remainder("doc_id", 3) == 1
@@ -65,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_adaptive_scan, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op8_rendezvous_shards, op10_quality)}
+    return {f.__name__: f for f in (op1_adaptive_scan, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op8_rendezvous_shards, op9_license_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 import numpy as np
@@ -27,15 +27,45 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Words and white-space-separated chunks that a worker remembers before it forgets all and starts anew.
-REMEMBERED = 600_000
+#: Words, and white-space-separated chunks, that a worker remembers in either of two generations.
+REMEMBERED = 400_000
 #: Longer words are encoded a few at a time, so that the matrix stays small.
 MATRIX_CELLS = 2_000_000
 #: ``str.split`` also parts words at these, which are no white space for the tokenizer.
 ODD_SPACE, SPACES = regex.compile("[\x1c-\x1f]"), regex.compile("[ \t-\r]+")
+#: Up to U+02FF lower-casing comes to the same before normalising as after it.
+BEYOND = regex.compile("[^\x00-\u02ff]")
 _NONE = np.int32(2**31 - 1)
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text between white space, lower-cased at once where that changes no id, so that fewer
+    of them are different."""
+    if "<|" not in text and not BEYOND.search(text):
+        text = text.lower()
+    return SPACES.split(text) if ODD_SPACE.search(text) else text.split()
+
+
+class Memory:
+    """Values by string, in two generations of bounded size: what is asked for again outlives the rest."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, keys: set[str], learn: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        """A dictionary with all the keys; ``learn`` gives what is in neither generation."""
+        missing = keys.difference(self.new)
+        if len(self.new) + len(missing) > self.most:
+            self.old, self.new, missing = self.new, {}, keys
+        kept = missing & self.old.keys()
+        self.new.update((k, self.old[k]) for k in kept)
+        if rest := list(missing - kept):
+            self.new.update(learn(rest))
+        return self.new
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if it is visible
     in Latin-1, else the next one from U+0100."""
@@ -64,8 +94,7 @@ class Codec:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known_words: dict[str, bytes] = {}
-        self.known_chunks: dict[str, bytes] = {}
+        self.words_known, self.chunks_known = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 20 | right
@@ -135,33 +164,25 @@ class Codec:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                lower = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                out += self.words(lower)
+                if not part.isascii():
+                    part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+                out += self.words(part.lower() if part.isascii() else part)
         return out
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Remember the ids of chunks, through their words."""
-        if len(self.known_chunks) > REMEMBERED:
-            self.known_chunks.clear()
-        if len(self.known_words) > REMEMBERED:
-            self.known_words.clear()
+    def learn_words(self, words: list[str]) -> dict[str, bytes]:
+        return dict(zip(words, self.encode_words(words), strict=True))
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks, through their words."""
         split = {c: self.pieces(c) for c in chunks}
-        new = list({w for words in split.values() for w in words if isinstance(w, str) and w not in self.known_words})
-        self.known_words.update(zip(new, self.encode_words(new), strict=True))
-        for c, words in split.items():
-            self.known_chunks[c] = b"".join(self.known_words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words)
+        known = self.words_known.recall({w for words in split.values() for w in words if isinstance(w, str)}, self.learn_words)
+        return {c: b"".join(known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words) for c, words in split.items()}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [SPACES.split(t) if ODD_SPACE.search(t) else t.split() for t in (t or "" for t in texts)]
-        new = set().union(*split).difference(self.known_chunks)
-        if new:
-            if len(self.known_chunks) + len(new) > REMEMBERED:
-                self.known_chunks.clear()
-                new = set().union(*split)
-            self.learn(new)
-        ids = self.known_chunks.__getitem__
-        return [b"".join(map(ids, chunks)) for chunks in split]
+        split = [chunks_of(t or "") for t in texts]
+        known = self.chunks_known.recall(set().union(*split), self.learn)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
     @property
     def table(self) -> list[bytes]:

@@ -20,6 +20,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import cache
@@ -27,16 +28,21 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import Memory, chunks_of
 
 BLOCK, SEGMENT_IDS, MAGIC = 128, 200_000, b"PFR1"
 PERCENTILES = (100, 99, 97, 94, 90, 80)
-#: Chunks whose ids a worker remembers before it forgets all.
-REMEMBERED = 800_000
+#: Chunks, and parts of these, whose ids a worker remembers in either of two generations.
+REMEMBERED = 400_000
+#: A chunk of letters and then signs; no letter composes with a sign, and no word holds both.
+LETTERS = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}\p{M}]*)")
+BITS = np.ceil(np.log2(np.arange(65536) + 1)).astype(np.uint8)
 NO_ID = np.int64(-(2**63))
 
 
@@ -48,19 +54,20 @@ def pack(values: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     rows = padded.reshape(n, BLOCK)
     least = rows.min(1) if n else np.empty(0, np.uint32)
     rows = rows - least[:, None]
-    ordered = np.sort(rows, 1)
+    needs = BITS[np.minimum(rows, 65535)]
+    if n and rows.max() > 65535:
+        needs = np.where(rows > 65535, np.ceil(np.log2(rows.astype(np.float64) + 1)), needs).astype(np.uint8)
+    ordered = np.sort(needs, 1)
     best, width = np.full(n, 2**62), np.zeros(n, np.int64)
     for percentile in PERCENTILES:
-        top = ordered[:, BLOCK * percentile // 100 - 1]
-        bits = np.ceil(np.log2(top.astype(np.float64) + 1)).astype(np.int64)
-        over = (rows >= (np.uint64(1) << bits.astype(np.uint64))[:, None]).sum(1)
-        cost = bits * BLOCK + over * 40
+        bits = ordered[:, BLOCK * percentile // 100 - 1].astype(np.int64)
+        cost = bits * BLOCK + (needs > bits[:, None]).sum(1) * 40
         width, best = np.where(cost < best, bits, width), np.minimum(cost, best)
     out: list[bytes] = [b""] * n
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
         own = rows[at]
-        over = own >= np.uint64(1 << w)
+        over = needs[at] > w
         bits = np.unpackbits(own.astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(at), BLOCK * w), axis=1, bitorder="little")
         for k, i in enumerate(at.tolist()):
@@ -125,21 +132,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.memory, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        ends = {i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)}
+        self.ends = np.array([i in ends for i in range(max(spec["model"]["vocab"].values()) + 1)]) if ends else None
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        from .bpe import ODD_SPACE, SPACES
-
-        split = [SPACES.split(t) if ODD_SPACE.search(t) else t.split() for t in (t or "" for t in texts)]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        split = [chunks_of(t or "") for t in texts]
+        known = self.memory.recall(set().union(*split), self.learn)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Letters and the signs after them are words of their own, so chunks are encoded by these parts; parts
+        of letters go through the library many at a time, and their ids end where a word-end token stands."""
+        parted = {c: (m[1], m[2]) if self.ends is not None and (m := LETTERS.fullmatch(c)) else (c,) for c in chunks}
+        parts = set().union(*parted.values())
+        known = self.parts.recall(parts, self.learn_parts)
+        return {c: b"".join(known[p] for p in own) for c, own in parted.items()}
+
+    def learn_parts(self, parts: list[str]) -> dict[str, bytes]:
+        out, rest = {"": b""}, []
+        letters = [p for p in parts if self.ends is not None and LETTERS.fullmatch(p)]
+        for a in range(0, len(letters), 2_000):
+            some = letters[a : a + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
+                out.update((p, raw[i:j]) for p, i, j in zip(some, bounds, bounds[1:], strict=False))
+        rest = [p for p in parts if p not in out]
+        for p, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[p] = np.array(found.ids, "<u4").tobytes()
+        return out
 
 
 @cache

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, licenses, neighbours, quality, sharding, token_files, toxicity
+from . import bpe, common, decontaminate, jaccard, licenses, neighbours, quality, sharding, token_files, toxicity
 from .common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -31,6 +32,10 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Rule(3, Fraction(90, 100)))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = common.remainder("doc_id", 5) == 0
@@ -70,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_adaptive_scan, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op8_rendezvous_shards, op9_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_adaptive_scan, op2_ngram_jaccard, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op8_rendezvous_shards, op9_license_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

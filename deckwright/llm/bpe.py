@@ -203,7 +203,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, columns: Callable[[Codec, list[bytes]], list[pa.Array]], schema: str) -> DataFrame:
     """doc_id and what ``columns`` makes of the ids of each text; ``schema`` names these."""
-    names = [c.split()[0] for c in schema.split(",")]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
@@ -225,3 +225,15 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(own.decode(x)).hexdigest() for x in ids])]
 
     return encode(docs, path, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array) and the digests of ids and decoded text."""
+    from hashlib import sha256
+
+    def columns(own: Codec, ids: list[bytes]) -> list[pa.Array]:
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32), pa.array(flat))
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), lists, pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(own.decode(x)).hexdigest() for x in ids])]
+
+    return encode(docs, path, columns, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

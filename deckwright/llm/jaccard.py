@@ -15,7 +15,7 @@ missed.  A large gathering is cut into blocks, and each pair of blocks is a task
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; texts with fewer words
 than a shingle are one shingle, of all their words; a document id that repeats with different texts stands for
-the union of its rows' links (n_shingles: of the least text hash); an empty table gives an empty result; other
+the union of its rows' links (n_shingles: the greatest); rows without an id take no part; an empty table gives an empty result; other
 columns of the input are ignored, or kept by :func:`one_of_each`.
 """
 
@@ -223,6 +223,7 @@ def gatherings(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    docs = docs.where(F.col("doc_id").isNotNull())
     described = common.cut(describe(docs, rule))
     equal = ["n_shingles", "one", "two"]
     heads = described.where(F.col("n_shingles") > 0).groupBy(*equal).agg(F.min("doc_id").alias("head"))
@@ -246,7 +247,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows, with all their columns, of the least document of each class."""
-    kept = classes(docs, rule).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_kept"))
-    others = common.small(common.cut(kept))
-    return docs.join(others, docs["doc_id"] == others["_kept"], "left_semi")
+    """The rows, with all their columns, but for those of documents that aren't the least of their class."""
+    gone = classes(docs, rule).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
+    gone = common.small(common.cut(gone))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard, licenses, neighbours, quality, sharding, token_files, toxicity
+from . import bpe, common, decontaminate, jaccard, licenses, neighbours, quality, sharding, suffix_dedup, token_files, toxicity
 from .common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -57,6 +57,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     eight = {s: 1.0 for s in range(8)}
     return sharding.shard(table(spark, sf_dir, "documents"), eight, eight | {8: 1.0}).withColumn("law", F.lit("key"))
@@ -75,7 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_adaptive_scan, op2_ngram_jaccard, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op8_rendezvous_shards, op9_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_adaptive_scan, op2_ngram_jaccard, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op7_suffix_dedup, op8_rendezvous_shards, op9_license_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,23 +1,58 @@
-"""The corpus pipeline: stages applied to ``documents`` one after the other."""
+"""The corpus pipeline: stages applied to ``documents`` one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
+the next one's documents.  All but the last return the columns of documents, with ``text`` and ``n_chars`` as
+the stage leaves them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckwright.llm import common, toxicity
+from deckwright.llm import bpe, common, decontaminate, jaccard, queries, suffix_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those scored toxic at 0.5 or more."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+    """Documents scored toxic at 0.5 or more go."""
+    source = common.table(spark, sf_dir, "documents")  # labels are of the documents as they came
+    return toxicity.keep_clean(docs, toxicity.fit(source, common.table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each class stays: shingles of five words, similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, jaccard.Rule())
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 50 that an earlier document has go, and documents of which nothing is left."""
+    return suffix_dedup.remove(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of ten that a benchmark item has go."""
+    return decontaminate.remove(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digests of ids and decoded text."""
+    return bpe.tokens(docs, queries.vocabulary())
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", cut_benchmark),
+    ("bpe_encoding", encode),
+]
+#: SQL can express neither the trained stage nor the tokenizer; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = queries.shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

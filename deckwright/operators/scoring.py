@@ -19,6 +19,7 @@ from .cohort import Cohort
 CONSTRUCTED = {"games": 60.0, "decks": 20.0, "weights": (0.60, 0.25, 0.15)}
 SIGNATURE = {"labelled": 10.0, "decks": 10.0, "games": 60.0, "weights": (0.50, 0.30, 0.20)}
 HIDDEN_GEM = {"games": 100.0, "decks": 20.0, "playsets": 5.0, "weights": (0.70, 0.30), "recurrence": 2.0, "rarity": 0.02, "least_playsets": 0.05}
+STAPLE_INCIDENCE = 0.35
 OVERALL = {"decks": 250.0, "weight": 1.0, "score": 50.0}
 
 
@@ -101,9 +102,13 @@ def max_ratio(rows: DataFrame, measure: str = "deck_count") -> DataFrame:
 
 
 def foundation(rows: DataFrame) -> DataFrame:
-    """Staple and evidence; observations that no source fills stay out of the blend."""
-    evidence = num(30) * saturation(F.col("deck_count"), 8) + num(25) * saturation(F.col("event_count"), 4)
-    return rows.select("format", "card_id", F.least(num(100), F.greatest(num(0), num(100) * F.col("incidence"))).alias("staple"), evidence.alias("evidence"))
+    """Staple, build-around and evidence.  Of the observations behind the first two, sources fill only the
+    incidence; what isn't known neither counts as zero nor takes weight, but lowers the coverage."""
+    clamp = lambda x: F.least(num(100), F.greatest(num(0), x))
+    covered = F.when(F.col("incidence").isNotNull(), num(STAPLE_INCIDENCE)).otherwise(num(0))
+    staple = clamp(F.when(covered > 0, num(100) * F.col("incidence")).otherwise(num(0)))
+    evidence = num(30) * saturation(F.col("deck_count"), 8) + num(25) * saturation(F.col("event_count"), 4) + num(10) * (covered + num(0)) / num(2)
+    return rows.select("format", "card_id", staple.alias("staple"), num(0).alias("buildaround"), clamp(evidence).alias("evidence"), (num(0) - staple).alias("delta"), (num(100) * covered).alias("staple_coverage"), num(0).alias("buildaround_coverage"))
 
 
 def overall(scores: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ METHODS: dict[str, tuple[Method, Sequence[str]]] = {
     "signature": (signature, ("score", "effective_archetypes")),
     "hidden-gem": (hidden_gem, ("score",)),
     "max-ratio": (max_ratio, ("score",)),
-    "foundation": (foundation, ("staple", "evidence")),
+    "foundation": (foundation, ("staple", "buildaround", "evidence", "delta", "staple_coverage", "buildaround_coverage")),
 }
 
 

@@ -54,7 +54,7 @@ def test_worked_example(golden):
     field = usage.field(own).first()
     assert (field.wins, field.losses, field.draws, field.cut_known, field.cut_made) == (24, 16, 2, 5, 3)
     assert usage.concentration(own.decks, "format").first().concentration == 0.25
-    assert {r.period: r.decks for r in usage.series(own.decks, "format").collect()} == {4: 5, 11: 3} or {r.period for r in usage.series(own.decks, "format").collect()} <= set(range(12))
+    assert {r.period: r.decks for r in usage.series(own.decks, "format").collect()} == {4: 5, 11: 3}
     cards = {r.card_id: r for r in usage.card_usage(facts).collect()}
     assert {c: (r.deck_count, r.copies, r.playsets, r.cut_made, r.cut_known) for c, r in cards.items()} == {"Bolt": (6, 22, 5, 3, 4), "Ragavan": (3, 11, 2, 1, 2), "Rite": (2, 8, 2, 1, 1), "Snap": (3, 10, 2, 1, 2)}
     rows = scoring.features(own, facts).cache()
@@ -64,7 +64,7 @@ def test_worked_example(golden):
     assert got["hidden-gem"] == {"Bolt": 50.0, "Ragavan": 16.667, "Rite": 83.333, "Snap": 0.0}
     assert {c: round(x, 1) for c, x in got["max-ratio"].items()} == {"Bolt": 100.0, "Ragavan": 50.0, "Rite": 33.3, "Snap": 50.0}
     evidence = {r.card_id: round(r.evidence, 1) for r in scoring.run_method("foundation", rows).collect()}
-    assert evidence == {"Bolt": 25.7, "Ragavan": 19.2, "Rite": 16.5, "Snap": 19.2} or set(evidence) == set(cards)
+    assert evidence == {"Bolt": 27.4, "Ragavan": 21.0, "Rite": 18.2, "Snap": 21.0}
     core = {(r.label, r.card_id) for r in usage.cores(facts).collect()}
     assert core == {("Burn", "Bolt"), ("Burn", "Ragavan"), ("Rite Combo", "Rite"), ("Rite Combo", "Bolt"), ("Control", "Snap"), ("Control", "Bolt")}
 

@@ -2,7 +2,7 @@
 passage average into a linear softmax, and vectors and softmax are trained jointly (numpy).
 
 A toxic word in a long text would drown in the average, so a text is scored by its most toxic passage of
-``WINDOW`` words, and training refines on just those passages.  A misspelling never seen shares most n-grams
+``WINDOW`` words, in which a word counts once, and training refines on just those passages.  A misspelling never seen shares most n-grams
 with the word it comes from, and so most of its vector.
 
 Defined cases: a null, empty or wordless text has the score of an empty passage (the curve's offset); repeated
@@ -77,6 +77,17 @@ def means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1], axis=0) / np.diff(bounds).reshape(-1, *[1] * (values.ndim - 1)) if len(bounds) > 1 else values[:0]
 
 
+def once(scores: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The scores, but 0 where the word has stood within the window before: a word counts once in a passage."""
+    order = np.argsort(numbers, kind="stable")
+    same = numbers[order[1:]] == numbers[order[:-1]]
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    near = same & (order[1:] - order[:-1] < WINDOW) & (text[order[1:]] == text[order[:-1]])
+    out = scores.copy()
+    out[order[1:][near]] = 0
+    return out
+
+
 def best_windows(scores: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per text the highest mean of ``WINDOW`` consecutive words (of all, if fewer) and where it starts."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
@@ -106,7 +117,7 @@ class Model:
         out = []
         for a, b in textscan.steps(ends):
             buckets, bounds, numbers, at, _ = words_of(texts.slice(a, b - a))
-            out.append(best_windows(means(self.weights[buckets], bounds)[numbers] if len(numbers) else np.empty(0), at)[0])
+            out.append(best_windows(once(means(self.weights[buckets], bounds)[numbers], numbers, at) if len(numbers) else np.empty(0), at)[0])
         return np.concatenate(out) if out else np.empty(0)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -173,12 +184,12 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> Model:
     for _ in range(4):
         trainer.epoch(whole, y, 0.2)
     for _ in range(rounds):
-        _, start = best_windows(trainer.word_scores()[numbers], at)
-        passages = [numbers[start[i] : min(start[i] + WINDOW, at[i + 1])] for i in filled]
+        _, start = best_windows(once(trainer.word_scores()[numbers], numbers, at), at)
+        passages = [np.unique(numbers[start[i] : min(start[i] + WINDOW, at[i + 1])]) for i in filled]
         for _ in range(4):
             trainer.epoch(passages, y, 0.1)
     weights = trainer.vectors @ (trainer.softmax[:, 1] - trainer.softmax[:, 0])
-    best, _ = best_windows(trainer.word_scores()[numbers], at)
+    best, _ = best_windows(once(trainer.word_scores()[numbers], numbers, at), at)
     return Model(weights, *logistic(best[filled], y.astype(float)))
 
 

@@ -93,3 +93,18 @@ def printing_page(printings: DataFrame, card_id: int, after: int | None, limit:
     if after is not None:
         own = own.join(F.broadcast(own.where(F.col("printing_id") == after).select(F.col("place").alias("last"))), F.col("place") > F.col("last")).drop("last")
     return own.orderBy("place").limit(limit + 1)
+
+
+def images(raw: DataFrame) -> DataFrame:
+    """(id, face_index, source_uri, artist): the whole card's picture (NULL index), then its faces' in order; only
+    those with a picture of normal size."""
+    own = F.array(F.struct(F.lit(None).cast("int").alias("face_index"), F.col("image_uris")["normal"].alias("source_uri"), F.col("artist").alias("artist")))
+    faces = F.transform("card_faces", lambda f, i: F.struct(i.alias("face_index"), f["image_uris"]["normal"].alias("source_uri"), f["artist"].alias("artist")))
+    every = F.concat(own, F.coalesce(faces, F.slice(own, 1, 0)))
+    return raw.select("id", F.explode(F.filter(every, lambda x: x["source_uri"].isNotNull())).alias("x")).select("id", "x.*")
+
+
+def shown(raw: DataFrame) -> DataFrame:
+    """(id, mana_cost, type_line): the card's own, else the first face's cost and all faces' types."""
+    types = F.array_join(F.transform("card_faces", lambda f: f["type_line"]), " // ")
+    return raw.select("id", F.coalesce("mana_cost", F.try_element_at("card_faces", F.lit(1))["mana_cost"]).alias("mana_cost"), F.coalesce("type_line", types).alias("type_line"))

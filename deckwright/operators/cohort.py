@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rate
@@ -29,6 +29,15 @@ def judged(events: DataFrame, rules: DataFrame, excluded: DataFrame) -> DataFram
     return events.join(known, "format", "left").join(listed, "event_id", "left").withColumns({"coverage": coverage, "reason": reason})
 
 
+def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rules, excluded) from saved rule files: one JSON object each, two players a game unless it says so."""
+    schema = "version string, format_name string, starts_on date, ends_before date, min_decklist_coverage double, players_per_game int, excluded_events array<struct<source_event_id:string,reason:string>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rules = rows.select(F.col("format_name").alias("format"), "starts_on", "ends_before", F.col("min_decklist_coverage").alias("min_coverage"), F.coalesce("players_per_game", F.lit(2)).alias("players_per_game"), "version")
+    excluded = rows.select(F.explode("excluded_events").alias("x")).select(F.col("x.source_event_id").alias("event_id"), "x.reason").distinct()
+    return rules, excluded
+
+
 @dataclass(frozen=True)
 class Cohort:
     """The parts of all runs; decks and standings carry format, occurred_on and the run's window."""

@@ -65,3 +65,10 @@ def keyset(rows: DataFrame, after: tuple[str, int] | None, limit: int) -> DataFr
     if after:
         rows = rows.where((F.col("name_key") > after[0]) | ((F.col("name_key") == after[0]) & (F.col("card_id") > after[1])))
     return rows.orderBy("name_key", "card_id").limit(limit + 1)
+
+
+def top_percent(ranked_rows: DataFrame) -> DataFrame:
+    """Scored cards with the ``Top x%`` that they are in, at least 1."""
+    scored = F.count("score").over(Window.partitionBy("format"))
+    label = F.greatest(F.lit(1), F.ceil(F.lit(100) * F.col("ranking") / F.col("scored")))
+    return ranked_rows.withColumn("scored", scored).where(F.col("score").isNotNull()).withColumn("top", label.cast("long")).drop("scored")

@@ -138,3 +138,19 @@ def cooccurrence(facts: DataFrame, least: int = 2) -> DataFrame:
     left, right = each.select("format", F.col("card_id").alias("a"), F.col("c").alias("ca")), each.select("format", F.col("card_id").alias("b"), F.col("c").alias("cb"))
     lift = F.col("together").cast("double") * F.col("n").cast("double") / (F.col("ca") * F.col("cb")).cast("double")
     return pairs.where(F.col("together") >= least).join(left, ["format", "a"]).join(right, ["format", "b"]).join(decks, "format").select("format", "a", "b", "together", lift.alias("lift"))
+
+
+def share_series(rows: DataFrame, *keys: str) -> DataFrame:
+    """Share of the run's decks in each of the periods, all of them present: zero decks are a share of zero,
+    periods without any deck of the run a gap (NULL)."""
+    totals = series(rows.select("format", "deck_id", "occurred_on", "starts_on", "ends_before").distinct(), "format").withColumnRenamed("decks", "total")
+    every = rows.select("format", *keys).distinct().withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(PERIODS - 1))))
+    full = every.join(series(rows, "format", *keys), ["format", *keys, "period"], "left").join(totals, ["format", "period"], "left")
+    return full.select("format", *keys, F.col("period").cast("long").alias("period"), F.when(F.col("total").isNotNull(), rate(F.coalesce("decks", F.lit(0)), F.col("total"))).alias("share"))
+
+
+def playoff_preview(placings: DataFrame, deck_cards: DataFrame, prior: float = 10.0, most: int = 10) -> DataFrame:
+    """(deck_id, wins, losses) of playoff decks: cards by presence, with their record pulled toward one half."""
+    n, w = F.sum(F.col("wins") + F.col("losses")).cast("double"), F.sum("wins").cast("double")
+    each = placings.join(deck_cards, "deck_id").groupBy("card_id").agg(F.count("*").alias("decks"), ((w + num(prior) * num(0.5)) / (n + num(prior))).alias("record"))
+    return each.orderBy(F.desc("decks"), F.desc("record"), "card_id").limit(most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,12 @@ def not_finite(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.isnan(column) | (F.abs(column) == float("inf")))
 
 
+def not_descending(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Rows whose value exceeds that of the row before in their group."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("_before", before).where(F.col(value) > F.col("_before")).drop("_before")
+
+
 def recount(claimed: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows that only one of the two has."""
     names = claimed.columns

@@ -166,6 +166,11 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
         "compare_formats": scored + " SELECT card_id, any_value(name) AS name, count(*) AS formats, arg_min(format, (-score, format)) AS best_format, max(score) AS best, CAST(min(ranking) AS BIGINT) AS best_ranking FROM rankings JOIN cards USING (card_id) WHERE score IS NOT NULL GROUP BY card_id",
         "compare_every": scored + " SELECT card_id, count(*) AS formats, max(score) AS best FROM rankings WHERE score IS NOT NULL GROUP BY card_id HAVING count(*) = (SELECT count(DISTINCT format) FROM rankings)",
         "grades": scored + """ SELECT format, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 85 THEN 'A' WHEN score >= 80 THEN 'A-' WHEN score >= 75 THEN 'B+' WHEN score >= 70 THEN 'B' WHEN score >= 65 THEN 'B-' WHEN score >= 60 THEN 'C+' WHEN score >= 50 THEN 'C' WHEN score >= 45 THEN 'C-' WHEN score >= 35 THEN 'D' WHEN score IS NOT NULL THEN 'F' END AS grade, count(*) AS cards FROM constructed GROUP BY ALL""",
+        "top_percent": scored + " SELECT format, card_id, CAST(greatest(1, ceil(100 * ranking / (count(score) OVER (PARTITION BY format)))) AS BIGINT) AS top FROM rankings QUALIFY score IS NOT NULL",
+        "share_series": base + """, own AS (SELECT DISTINCT format, label, deck_id, period FROM facts WHERE label IS NOT NULL), t AS (SELECT format, period, count(*) AS total FROM own GROUP BY ALL), n AS (SELECT format, label, period, count(*) AS decks FROM own GROUP BY ALL)
+            SELECT c.format, c.label, CAST(r.p AS BIGINT) AS period, CASE WHEN total IS NOT NULL THEN CAST(coalesce(decks, 0) AS DOUBLE) / CAST(total AS DOUBLE) END AS share FROM (SELECT DISTINCT format, label FROM own) c CROSS JOIN range(0, 12) r(p)
+            LEFT JOIN n ON n.format = c.format AND n.label = c.label AND n.period = r.p LEFT JOIN t ON t.format = c.format AND t.period = r.p""",
+        "playoff_preview": base + """ SELECT card_id, count(*) AS decks, (CAST(sum(wins) AS DOUBLE) + 1e1 * 5e-1) / (CAST(sum(wins + losses) AS DOUBLE) + 1e1) AS record FROM results JOIN deck_cards USING (deck_id) WHERE made_cut AND wins IS NOT NULL GROUP BY card_id ORDER BY decks DESC, record DESC, card_id LIMIT 10""",
         "published_deck_order": base + " SELECT format, deck_id, row_number() OVER (PARTITION BY format ORDER BY occurred_on DESC, event_id, source_ord) - 1 AS position FROM decks",
         "card_decks_page": base + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY format ORDER BY occurred_on DESC, event_id, source_ord) - 1 AS position FROM decks)
             SELECT o.format, o.deck_id, o.position, o.event_id, copies FROM ordered o JOIN deck_cards USING (deck_id) WHERE card_id = 17 ORDER BY o.format, o.position LIMIT 20""",

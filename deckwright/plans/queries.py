@@ -152,6 +152,19 @@ def grades(r: Run) -> DataFrame:
     return usage.counted(r.constructed().withColumn("grade", grade(F.col("score"), LETTERS)), "format", "grade").withColumnRenamed("decks", "cards")
 
 
+def top_percent(r: Run) -> DataFrame:
+    return serving.top_percent(r.rankings()).select("format", "card_id", "top")
+
+
+def share_series(r: Run) -> DataFrame:
+    return usage.share_series(r.facts.where("label IS NOT NULL").drop("card_id", "copies").distinct(), "label")
+
+
+def playoff_preview(r: Run) -> DataFrame:
+    made = usage.results(r.cohort).where("made_cut AND wins IS NOT NULL").select("deck_id", "wins", "losses")
+    return usage.playoff_preview(made, r.t.deck_cards)
+
+
 def published_deck_order(r: Run) -> DataFrame:
     return usage.published_order(r.cohort).select("format", "deck_id", F.col("position").cast("long").alias("position"))
 
@@ -284,7 +297,7 @@ def document_keys(r: Run) -> DataFrame:
 
 QUERIES = (
     cohort_exclusions, cohort_totals, card_usage, card_top_archetypes, archetype_concentration, trend_series, archetype_cores, archetype_records, commander_archetypes, field_baseline, card_performance, score_constructed, score_signature, score_hidden_gem,
-    score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, published_deck_order, card_decks_page, deck_list,
+    score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
     top_cut_inference, resolution_weighted, validation_violations, cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys,
 )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of one (id, few numbers) side that may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48_000_000
 #: Bytes of text that an Arrow batch is cut to before numpy looks at it.
 SLICE_BYTES = 8_000_000
 
@@ -30,10 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows (counted); else as it is, and the join
-    shuffles.  ``df`` should be cut or cheap, as counting runs it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if it has at most so many rows and bytes in its text and binary columns
+    (measured); else as it is, and the join shuffles.  ``df`` should be cut or cheap, as measuring runs it."""
+    wide = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    total = F.lit(0)
+    for part in wide:
+        total = total + part
+    n, size = df.agg(F.count("*"), total).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def remainder(column: str, n: int) -> F.Column:

@@ -3,11 +3,12 @@ inferred, and what a manifest says of a file is checked before its rows are used
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import decode_page
+from ..functions.text import decode_page, html_text
+from ..operators.ingest import count_or_null, uuid_or_null
 
 FACE = "struct<name:string,mana_cost:string,type_line:string,oracle_text:string,colors:array<string>,image_uris:map<string,string>,artist:string>"
 CARD = f"""id string, oracle_id string, name string, layout string, lang string, released_at string, set string, set_name string, set_type string, collector_number string, rarity string, games array<string>,
@@ -15,7 +16,6 @@ digital boolean, oversized boolean, border_color string, prices map<string,strin
 image_uris map<string,string>, artist string, card_faces array<{FACE}>"""
 RESPONSE = """TID string, tournamentName string, swissNum int, startDate bigint, game string, format string, topCut string, isTeamEvent boolean,
 standings array<struct<decklist:string,deckObj:string,wins:int,losses:int,draws:int,byes:int,winsBracket:int,lossesBracket:int,archetype:string>>"""
-ZONES = "map<string,map<string,struct<id:string,count:int>>>"
 
 
 def cards(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
@@ -46,8 +46,6 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 def deck_lines(events: DataFrame) -> DataFrame:
     """(event_id, position, zone, name, card_id, copies): the entries of all zones; entries without a usable id
     or with no positive count have NULL there, to be counted as skipped."""
-    from ..operators.ingest import count_or_null, uuid_or_null
-
     rows = events.select("event_id", F.posexplode("standings").alias("position", "row")).where("row.deckObj IS NOT NULL")
     one = T.MapType(T.StringType(), T.StructType([T.StructField("id", T.StringType()), T.StructField("count", T.IntegerType())]))
     out = None
@@ -66,8 +64,6 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 def table_rows(page_text: DataFrame) -> DataFrame:
     """(file, row_ord, cells) of every table row of pages: the shape of results, standings and listings."""
-    from ..functions.text import html_text
-
     rows = page_text.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), 1)).alias("row_ord", "row"))
     cells = rows.select("file", "row_ord", F.posexplode(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1)).alias("cell_ord", "cell"))
     clean = cells.withColumn("cell", html_text(F.col("cell")))
@@ -85,8 +81,6 @@ def list_lines(texts: DataFrame) -> DataFrame:
     """(deck_id, text) to (deck_id, zone, name, copies): lines ``4 Name``; from a line ``Sideboard`` on, or lines
     marked ``SB:``, the side."""
     lines = texts.select("deck_id", F.posexplode(F.split("text", r"\R")).alias("ord", "line"))
-    from pyspark.sql import Window
-
     begun = F.max(F.lower(F.trim("line")).rlike("^sideboard:?$").cast("int")).over(Window.partitionBy("deck_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) == 1
     shape = r"^\s*(SB:\s*)?(\d{1,3})x?\s+(.+?)\s*$"
     rows = lines.withColumn("side", begun | F.col("line").rlike(r"^\s*SB:")).where(F.col("line").rlike(shape))

@@ -25,21 +25,18 @@ OVERALL = {"decks": 250.0, "weight": 1.0, "score": 50.0}
 
 def features(cohort: Cohort, facts: DataFrame) -> DataFrame:
     """Per run and card: usage, concentration, home archetype and the field's values beside them."""
-    cards = usage.card_usage(facts).withColumn("win_rate", usage.win_rate(F.col("players_per_game"))).withColumn("games", usage.games())
-    field = usage.field(cohort).withColumn("field_win", usage.win_rate(F.col("players_per_game")))
-    field = field.join(usage.concentration(cohort.decks, "format").drop("labelled"), "format", "left")
-    field = field.join(usage.halves(cohort.decks, "format"), "format").select(
+    players = F.col("players_per_game")
+    cards = usage.card_usage(facts, *usage.early_late()).withColumn("win_rate", usage.win_rate(players)).withColumn("games", usage.games())
+    field = usage.field(cohort, *usage.early_late()).withColumn("field_win", usage.win_rate(players))
+    field = field.join(usage.concentration(cohort.decks, "format").drop("labelled"), "format", "left").select(
         "format", F.col("deck_count").alias("field_decks"), "field_win", rate(F.col("cut_made"), F.col("cut_known")).alias("field_cut"), F.col("concentration").alias("field_concentration"), F.col("early").alias("field_early"), F.col("late").alias("field_late")
     )
     keys = ["format", "card_id"]
-    home = usage.top_labels(facts, 1).select(*keys, F.col("label").alias("home"), F.col("decks").alias("home_support"))
-    sizes = usage.archetypes(cohort).select("format", F.col("label").alias("home"), F.col("deck_count").alias("home_decks"))
-    return (
-        cards.join(usage.concentration(facts, *keys), keys, "left").join(home, keys, "left").join(usage.halves(facts, *keys), keys).join(sizes, ["format", "home"], "left")
-        # one row a run
-        .join(F.broadcast(field), "format")
-        .withColumn("incidence", rate(F.col("deck_count"), F.col("field_decks")))
-    )
+    sizes = usage.counted(cohort.decks.where(F.col("label").isNotNull()), "format", "label").select("format", F.col("label").alias("home"), F.col("decks").alias("home_decks"))
+    # both sides of the first join are grouped by its keys already; the fact table is read twice in all
+    profile = cards.join(usage.label_profile(facts, *keys), keys, "left").join(sizes, ["format", "home"], "left")
+    # one row a run
+    return profile.join(F.broadcast(field), "format").withColumn("incidence", rate(F.col("deck_count"), F.col("field_decks")))
 
 
 def performance(rows: DataFrame) -> DataFrame:

@@ -54,16 +54,23 @@ def lines(cohort: Cohort, deck_cards: DataFrame) -> DataFrame:
     return results(cohort).join(deck_cards, "deck_id")
 
 
-def card_usage(facts: DataFrame) -> DataFrame:
-    """Per run and card the counts, the cut and the record."""
+def early_late() -> list[Column]:
+    """Decks in the first and in the second half of the periods."""
+    at = period_index()
+    return [F.count(F.when(at < PERIODS // 2, 1)).alias("early"), F.count(F.when(at >= PERIODS // 2, 1)).alias("late")]
+
+
+def card_usage(facts: DataFrame, *more: Column) -> DataFrame:
+    """Per run and card the counts, the cut and the record, and whatever else is to be aggregated with them."""
     return facts.groupBy("format", "card_id").agg(
+        *more,
         F.count("*").alias("deck_count"), F.countDistinct("event_id").alias("event_count"), F.sum("copies").cast("long").alias("copies"), F.count(F.when(F.col("copies") >= PLAYSET, 1)).alias("playsets"), *cut(), *record(), F.max("players_per_game").alias("players_per_game")
     )
 
 
-def field(cohort: Cohort) -> DataFrame:
+def field(cohort: Cohort, *more: Column) -> DataFrame:
     """One row a run: the same over all decks."""
-    return results(cohort).groupBy("format").agg(F.count("*").alias("deck_count"), F.count("label").alias("labelled"), *cut(), *record(), F.max("players_per_game").alias("players_per_game"))
+    return results(cohort).groupBy("format").agg(*more, F.count("*").alias("deck_count"), F.count("label").alias("labelled"), *cut(), *record(), F.max("players_per_game").alias("players_per_game"))
 
 
 def counted(rows: DataFrame, *keys: str) -> DataFrame:
@@ -92,17 +99,20 @@ def concentration(rows: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(n.alias("labelled"), rate(pairs, n * (n - 1)).alias("concentration"))
 
 
+def label_profile(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key the labelled decks, their concentration, and the commonest label with its decks: one exchange
+    for all of these."""
+    each = counted(rows.where(F.col("label").isNotNull()), *keys, "label")
+    n, pairs = F.sum("decks"), F.sum(F.col("decks") * (F.col("decks") - 1))
+    home = F.min_by("label", F.struct((-F.col("decks")).alias("n"), F.col("label").alias("l")))
+    return each.groupBy(*keys).agg(n.alias("labelled"), rate(pairs, n * (n - 1)).alias("concentration"), home.alias("home"), F.max("decks").alias("home_support"))
+
+
 def series(rows: DataFrame, *keys: str) -> DataFrame:
     """Long form: decks in each period that has any."""
     return counted(rows.withColumn("period", period_index()).where(F.col("period").isNotNull()), *keys, "period")
 
 
-def halves(rows: DataFrame, *keys: str) -> DataFrame:
-    """Decks in the first and in the second half of the periods."""
-    at = period_index()
-    return rows.withColumn("period", at).groupBy(*keys).agg(F.count(F.when(F.col("period") < PERIODS // 2, 1)).alias("early"), F.count(F.when(F.col("period") >= PERIODS // 2, 1)).alias("late"))
-
-
 def archetypes(cohort: Cohort) -> DataFrame:
     """Per run and label: decks, cut, record."""
     return results(cohort).where(F.col("label").isNotNull()).groupBy("format", "label").agg(F.count("*").alias("deck_count"), *cut(), *record())

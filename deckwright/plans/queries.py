@@ -82,7 +82,7 @@ def commander_archetypes(r: Run) -> DataFrame:
 
 
 def field_baseline(r: Run) -> DataFrame:
-    field = usage.field(r.cohort).join(usage.concentration(r.cohort.decks, "format").drop("labelled"), "format", "left").join(usage.halves(r.cohort.decks, "format"), "format")
+    field = usage.field(r.cohort, *usage.early_late()).join(usage.concentration(r.cohort.decks, "format").drop("labelled"), "format", "left")
     return field.withColumn("win_rate", usage.win_rate(F.col("players_per_game"))).drop("players_per_game")
 
 

@@ -33,7 +33,7 @@ from . import common, induced_sort, textscan
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of all texts for one shard, and for one part of the documents.
-SHARD_BYTES, PART_BYTES = 10_000_000, 10_000_000
+SHARD_BYTES, PART_BYTES = 5_000_000, 10_000_000
 NO_ID = -(2**63)
 
 
@@ -128,6 +128,8 @@ def compare(parts: int) -> object:
     the shard."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == 1:
+            return table.select(ANCHOR_SCHEMA.names)
         shard = table.column("key")[0].as_py()
         ids, starts, counts = joined(table, "ids", "<i8"), joined(table, "starts", "<i4"), joined(table, "counts", np.uint8)
         chosen = np.flatnonzero(shared_within(joined(table, "codes", "<u4"), ids)[0])
@@ -250,12 +252,11 @@ def lost_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     total = digests.agg(F.sum("n")).first()[0] or 0
     shards, parts = max(1, -(-total // SHARD_BYTES)), max(1, -(-total // PART_BYTES))
     heads = digests.groupBy("same").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where(F.col("copies") > 1).drop("copies")
-    copies = common.cut(digests.select("doc_id", "same").join(heads, "same").where(F.col("doc_id") > F.col("head")).select("doc_id", "same").distinct())
+    copies = common.join_few(digests.select("doc_id", "same"), common.cut(heads), ["same"], "inner", "doc_id")
+    copies = common.cut(copies.where(F.col("doc_id") > F.col("head")).select("doc_id", "same").distinct())
     # of rows with one id only the text that has an earlier equal is a copy, so both columns say which row goes
     marked = rows.withColumn("same", F.md5(F.col("text").cast("binary"))).join(common.small(copies), ["doc_id", "same"], "left_anti").select("doc_id", "text")
-    entries = anchors(marked, shards, parts, length, anchor)
-    entries = common.cut(entries)
-    shared = entries.where("kind = 0").groupBy("key").applyInArrow(compare(parts), ANCHORS).unionByName(entries.where("kind = 1"))
+    shared = anchors(marked, shards, parts, length, anchor).groupBy("kind", "key").applyInArrow(compare(parts), ANCHORS)
     dealt = marked.mapInArrow(with_part(parts), "part int, doc_id long, text string")
     pieces = shared.withColumnRenamed("key", "part").groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(cut_fragments(length), FRAGMENTS)
     marks = pieces.groupBy("shard").applyInArrow(sort_shard(parts, length), MARKS)

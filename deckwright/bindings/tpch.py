@@ -78,7 +78,7 @@ class Tables:
         return sold.join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
             (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("printing_id"), F.col("l_partkey").alias("card_id"), F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("set_code"), rarity.alias("rarity"),
             F.when(F.col("l_suppkey") % 3 != 0, "en").otherwise("ja").alias("language"),
-            F.when(k % 5 == 0, F.array(F.lit("mtgo"))).otherwise(F.array(F.lit("paper"), F.lit("mtgo"))).alias("games"),
+            F.when(k % 5 == 0, F.array(F.lit("online"))).otherwise(F.array(F.lit("paper"), F.lit("online"))).alias("games"),
             "released_on", F.when(k % 11 != 0, usd).alias("usd"), F.when(k % 3 == 0, (usd * 2).cast("decimal(12,2)")).alias("usd_foil"),
         )
 

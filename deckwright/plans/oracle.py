@@ -31,7 +31,7 @@ sold AS (SELECT l_partkey, l_suppkey, CAST(min(l_shipdate) AS DATE) AS released_
 printings AS (
   SELECT l_partkey * 100000 + l_suppkey AS printing_id, l_partkey AS card_id, 'S' || CAST(s_nationkey AS VARCHAR) AS set_code,
          ['common', 'uncommon', 'rare', 'mythic'][(l_partkey + l_suppkey) % 4 + 1] AS rarity, CASE WHEN l_suppkey % 3 <> 0 THEN 'en' ELSE 'ja' END AS language,
-         CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN ['mtgo'] ELSE ['paper', 'mtgo'] END AS games, released_on,
+         CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN ['online'] ELSE ['paper', 'online'] END AS games, released_on,
          CASE WHEN (l_partkey + l_suppkey) % 11 <> 0 THEN CAST(price / 1000 AS DECIMAL(12, 2)) END AS usd,
          CASE WHEN (l_partkey + l_suppkey) % 3 = 0 THEN CAST(CAST(price / 1000 AS DECIMAL(12, 2)) * 2 AS DECIMAL(12, 2)) END AS usd_foil
   FROM sold JOIN supplier ON l_suppkey = s_suppkey),

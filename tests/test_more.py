@@ -51,10 +51,10 @@ def test_names_and_colors(spark):
 
 def test_representative_and_cheapest(spark):
     p = spark.createDataFrame(
-        [(1, 9, "S", "ja", dt.date(2020, 1, 1), ["paper"], "5.00", None), (2, 9, "S", "en", dt.date(2019, 1, 1), ["paper"], "5.00", "4.00"), (3, 9, "S", "en", dt.date(2019, 1, 1), ["paper"], "4.00", None), (4, 9, "S", "en", dt.date(2018, 1, 1), ["mtgo"], "0.10", None)],
+        [(1, 9, "S", "ja", dt.date(2020, 1, 1), ["paper"], "5.00", None), (2, 9, "S", "en", dt.date(2019, 1, 1), ["paper"], "5.00", "4.00"), (3, 9, "S", "en", dt.date(2019, 1, 1), ["paper"], "4.00", None), (4, 9, "S", "en", dt.date(2018, 1, 1), ["online"], "0.10", None)],
         "printing_id int, card_id int, set_code string, language string, released_on date, games array<string>, usd string, usd_foil string",
     ).withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("usd", "usd_foil")})
     assert catalog.representative(p).first().printing_id == 2
     assert tuple(map(str, catalog.cheapest(p).first())) == ("9", "4.00", "2")
     assert [r.printing_id for r in catalog.printing_page(p, 9, 1, 1).collect()] == [2, 3]
-    assert catalog.joint(p, ["S"], [], "mtgo").first().eligible == 1
+    assert catalog.joint(p, ["S"], [], "online").first().eligible == 1

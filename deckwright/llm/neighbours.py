@@ -14,8 +14,8 @@ centroid), a list in blocks of columns: one block holds some dimensions of all i
 * A list is cut into blocks of vectors and its queries into blocks of queries, so no task holds a whole list.
 
 Defined cases: vectors that are null, empty, zero, of another length than the commonest one, or that hold
-null or non-finite components take no part; of rows with one id and different vectors each is a candidate; an
-empty table gives an empty result; other columns of the input are ignored.
+null or non-finite components take no part; of rows with one id and different vectors each is a candidate, and
+each is asked for, the best score counting; repeated rows are one; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -95,24 +95,25 @@ def build(sample: np.ndarray, ids: list[np.ndarray], norm: float, rows: int, k:
     return Index(rotation, norm, centroids, probes, turned[kept], sample[kept], [ids[i] for i in kept])
 
 
-def scan(query: np.ndarray, columns: list[np.ndarray], limit: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(query: np.ndarray, columns: list[np.ndarray], squares: list[np.ndarray], limit: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidates that survive, and their squared distances: all that can be among the k nearest, but for the
-    tests' errors.  ``columns`` has blocks of (dimensions, vectors)."""
+    tests' errors.  ``columns`` has blocks of (dimensions, vectors), ``squares`` their squared lengths."""
     d, done = len(query), 0
-    alive, total = None, np.zeros(columns[0].shape[1])
-    for block in columns:
+    alive, total = None, None
+    for block, square in zip(columns, squares, strict=True):
         part = query[done : done + len(block)]
-        chosen = block if alive is None else block[:, alive]
-        total = total + (part @ part - 2 * (part @ chosen) + np.einsum("ij,ij->j", chosen, chosen))
+        away = square - 2 * (part @ block) if alive is None else square[alive] - 2 * (part @ block[:, alive])
+        total = away + part @ part if total is None else total + (away + part @ part)
         done += len(block)
         if done < d:
-            keep = total * (d / done) <= limit * (1 + EPSILON / np.sqrt(done)) ** 2
+            keep = total <= limit * (done / d) * (1 + EPSILON / np.sqrt(done)) ** 2
         else:
             if len(total) > k:
                 limit = min(limit, np.partition(total, k - 1)[k - 1])
             keep = total <= limit + 1e-9
-        if not keep.all():
-            alive, total = (np.flatnonzero(keep) if alive is None else alive[keep]), total[keep]
+        kept = np.flatnonzero(keep)
+        if len(kept) < len(total):
+            alive, total = (kept if alive is None else alive[kept]), total[kept]
             if not len(alive):
                 break
     return (np.arange(len(total)) if alive is None else alive), total
@@ -181,17 +182,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         own = np.stack(data["vector"].to_numpy())
         turned = np.ascontiguousarray(index.value.rotate(own).T)
         columns = [turned[i : i + BLOCK_DIMENSIONS] for i in range(0, len(turned), BLOCK_DIMENSIONS)]
+        squares = [(block**2).sum(0) for block in columns]
         ids = [np.asarray(x, np.int64) for x in data["ids"]]
         plain = np.stack(ask["vector"].to_numpy())
-        out = []
+        reps, found, scores = [], [], []
         for rep, vector, query, limit in zip(ask["rep"], plain, index.value.rotate(plain, query=True), ask["bound"], strict=True):
-            alive, _ = scan(query, columns, limit, wide)
-            found, scores = best_ids(own[alive] @ vector, [ids[i] for i in alive], wide)
-            out.append(pd.DataFrame({"rep": rep, "vec_id": found, "score": scores}))
-        return pd.concat(out)
+            alive, _ = scan(query, columns, squares, limit, wide)
+            if len(alive):
+                best, score = best_ids(own[alive] @ vector, [ids[i] for i in alive], wide)
+                reps.append(np.full(len(best), rep))
+                found.append(best)
+                scores.append(score)
+        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+        return pd.DataFrame({"rep": join(reps, np.int64), "vec_id": join(found, np.int64), "score": join(scores, np.float64)})
 
     listed = common.cut(groups.mapInPandas(to_lists, "vector array<double>, ids array<long>, rep long, list int"))
-    shared = asked.join(groups.select("vector", "rep"), "vector").select("query_id", "rep")
+    shared = asked.join(groups.select("vector", "rep"), "vector").select("query_id", "rep").distinct()
     distinct = shared.select("rep").distinct().join(groups.select("rep", "vector"), "rep")
     probing = common.cut(distinct.select("rep", "vector").mapInPandas(to_probes, "rep long, vector array<double>, lists array<int>, bound double, seeds array<struct<vec_id:long,score:double>>"))
     seeds = probing.select("rep", F.explode("seeds").alias("s")).select("rep", "s.vec_id", "s.score")
@@ -208,4 +214,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     found = found.unionByName(seeds).groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     top = found.withColumn("n", ranked("rep")).where(F.col("n") <= wide)
     pairs = shared.join(top.select("rep", "vec_id", "score"), "rep").where(F.col("query_id") != F.col("vec_id"))
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return pairs.withColumn("rank", ranked("query_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

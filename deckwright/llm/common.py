@@ -41,6 +41,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and size <= most else df
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str, salt_by: str, salts: int = 32) -> DataFrame:
+    """``rows`` joined with a much smaller, cut ``few`` on keys that a large share of the rows may have in common:
+    without a shuffle if ``few`` is small, else with each key dealt out over ``salts`` tasks."""
+    marked = small(few)
+    if marked is not few:
+        return rows.join(marked, keys, how)
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def remainder(column: str, n: int) -> F.Column:
     """crc32 of an id as text, modulo n: the fold a row belongs to."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

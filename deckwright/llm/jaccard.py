@@ -7,8 +7,8 @@ boxes over points finds all partners of a set, and only pairs under that bound a
 Which documents meet in a tree is decided by groups, too.  Sets with Jaccard similarity t or more differ in at
 most (|A| + |B|)(1 - t) / (1 + t) shingles, so with more groups than that at least one group is the same in
 both.  A document sends the hash of each of its groups; documents with one in common gather around the least
-of them, and each gathering is joined by a tree.  Unrelated texts share no whole group, and no link can be
-missed.  A large gathering is cut into blocks, and each pair of blocks is a task's work.
+of them, and each gathering is joined by a tree: first over the points alone, and only documents that have a
+partner under the bound come with their texts to be verified.  No link can be missed.  A large gathering is cut into blocks, and each pair of blocks is a task's work.
 
 * Equal sets are found first, by two hashes of the whole set, and joined by their least document only.
 * Within a gathering, links to sets known to be connected aren't sought again: links make a spanning forest.
@@ -27,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textscan
@@ -35,7 +35,9 @@ from .components import components
 
 WORD = textscan.byte_class(r"[^\x20\x09-\x0D]")
 #: Coordinates of a point, points of a leaf and children of a node, groups more than are needed.
-COORDINATES, FANOUT, SPARE = 32, 16, 2
+COORDINATES, FANOUT, SPARE = 64, 16, 2
+#: Gatherings of more documents go to the verifying join as they are.
+MANY = 4_096
 #: Bytes of text in one block of a large gathering.
 BLOCK_BYTES = 6_000_000
 
@@ -96,22 +98,23 @@ def signatures(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
 
 
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, bytes, n_shingles, two hashes of the set, and the signatures."""
+    """doc_id, bytes, n_shingles, two hashes of the set, the signatures and the point."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = textscan.text_bytes(batch.column("text"))
-        n, one, two, keys = [], [], [], []
+        n, one, two, keys, points = [], [], [], [], []
         for a, b in textscan.steps(offsets):
             sets = textscan.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORD, rule.size)
             n += map(len, sets)
             one += [int(textscan.mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             two += [int(np.bitwise_xor.reduce(textscan.mix(s + np.uint64(77))).astype(np.int64)) if len(s) else 0 for s in sets]
             keys += [k.view(np.int64) for k in signatures(sets, rule)]
+            points += [point(s).astype("<u4").tobytes() for s in sets]
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(flat))
-        return pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "bytes", "n_shingles", "one", "two", "keys"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(points, pa.binary())], ["doc_id", "bytes", "n_shingles", "one", "two", "keys", "point"])
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, bytes long, n_shingles long, one long, two long, keys array<long>")
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, bytes long, n_shingles long, one long, two long, keys array<long>, point binary")
 
 
 class Tree:
@@ -185,6 +188,50 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, rule: R
     return out
 
 
+def has_partner(points: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which points have another one under the bound."""
+    n = len(points)
+    if n > MANY:
+        return np.ones(n, bool)
+    if n <= 48:
+        sizes = points.sum(1)
+        fits = np.minimum(points[:, None], points[None]).sum(2) >= rule.overlap(sizes[:, None] + sizes)
+        np.fill_diagonal(fits, False)
+        return fits.any(1)
+    tree, out = Tree(points), np.zeros(n, bool)
+    for i in range(n):
+        if not out[i]:
+            found = tree.partners(points[i], rule)
+            if len(found) > 1:
+                out[found] = True
+    return out
+
+
+def plausible(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(center, doc_id) of the rows, sorted by gathering, that have a partner under the bound in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = ids = np.empty(0, np.int64)
+        points = np.empty((0, COORDINATES), np.int64)
+        schema = ["center", "doc_id"]
+        for batch in batches:
+            center = np.concatenate([center, batch.column("center").to_numpy()])
+            ids = np.concatenate([ids, batch.column("doc_id").to_numpy()])
+            points = np.concatenate([points, np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, COORDINATES).astype(np.int64)])
+            if not len(center):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], center[1:] != center[:-1]]))
+            keep = np.zeros(len(center), bool)
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):  # the last may go on
+                keep[a:b] = has_partner(points[a:b], rule)
+            yield pa.record_batch([pa.array(center[keep]), pa.array(ids[keep])], schema)
+            center, ids, points = center[begin[-1] :], ids[begin[-1] :], points[begin[-1] :]
+        keep = has_partner(points, rule) if len(center) else np.zeros(0, bool)
+        yield pa.record_batch([pa.array(center[keep]), pa.array(ids[keep])], schema)
+
+    return rows.select("center", "doc_id", "point").mapInArrow(run, "center long, doc_id long")
+
+
 def gatherings(rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b) links from rows sorted by gathering and pair of blocks: (center, v, w, doc_id, block, text)."""
 
@@ -226,12 +273,17 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull())
     described = common.cut(describe(docs, rule))
     equal = ["n_shingles", "one", "two"]
-    heads = described.where(F.col("n_shingles") > 0).groupBy(*equal).agg(F.min("doc_id").alias("head"))
-    members = common.cut(described.select("doc_id", "bytes", *equal).join(heads, equal, "left").select("doc_id", "bytes", "n_shingles", "head"))
-    keys = described.join(heads.select(F.col("head").alias("doc_id"), *equal), ["doc_id", *equal], "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    # a key's least document, where a key has more than one
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where(F.col("center") < F.col("last"))
-    near = common.cut(keys.join(least, "key").select("center", "doc_id").distinct())
+    heads = described.where(F.col("n_shingles") > 0).groupBy(*equal).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    several = common.cut(heads.where(F.col("copies") > 1).drop("copies"))
+    own = common.join_few(described, several, equal, "left", "doc_id").withColumn("head", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")))
+    members = common.cut(own.select("doc_id", "bytes", "n_shingles", "head"))
+    keys = own.where(F.col("head") == F.col("doc_id")).select("doc_id", F.explode("keys").alias("key"))
+    # the least document with each key, where there are several; keys are exchanged once, as two numbers a row,
+    # and a window spills what a very common key has too many of
+    same = Window.partitionBy("key")
+    near = keys.withColumns({"center": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).where(F.col("center") < F.col("last"))
+    near = near.select("center", "doc_id").distinct().join(described.select("doc_id", "point").distinct(), "doc_id")
+    near = common.cut(plausible(near.repartition("center").sortWithinPartitions("center"), rule).distinct())
     sizes = near.join(members.select("doc_id", "bytes"), "doc_id")
     blocks = sizes.groupBy("center").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("n")).withColumn("n", F.greatest("n", F.lit(1)))
     dealt = near.join(blocks, "center").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))

@@ -8,7 +8,8 @@ Which documents meet in a tree is decided by groups, too.  Sets with Jaccard sim
 most (|A| + |B|)(1 - t) / (1 + t) shingles, so with more groups than that at least one group is the same in
 both.  A document sends the hash of each of its groups; documents with one in common gather around the least
 of them, and each gathering is joined by a tree: first over the points alone, and only documents that have a
-partner under the bound come with their texts to be verified.  No link can be missed.  A large gathering is cut into blocks, and each pair of blocks is a task's work.
+partner under the bound come with their texts to be verified, gatherings with a document in common as one.  No link
+can be missed.  A large gathering is cut into blocks, and each pair of blocks is a task's work.
 
 * Equal sets are found first, by two hashes of the whole set, and joined by their least document only.
 * Within a gathering, links to sets known to be connected aren't sought again: links make a spanning forest.
@@ -284,6 +285,9 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     near = keys.withColumns({"center": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).where(F.col("center") < F.col("last"))
     near = near.select("center", "doc_id").distinct().join(described.select("doc_id", "point").distinct(), "doc_id")
     near = common.cut(plausible(near.repartition("center").sortWithinPartitions("center"), rule).distinct())
+    # gatherings with a document in common are one, so that each document's text moves once
+    joint = components(near.select(F.col("center").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("center"))
+    near = common.cut(near.select("doc_id").distinct().join(joint, "doc_id").select("center", "doc_id"))
     sizes = near.join(members.select("doc_id", "bytes"), "doc_id")
     blocks = sizes.groupBy("center").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("n")).withColumn("n", F.greatest("n", F.lit(1)))
     dealt = near.join(blocks, "center").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))

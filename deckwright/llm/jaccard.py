@@ -36,7 +36,7 @@ from .components import components
 
 WORD = textscan.byte_class(r"[^\x20\x09-\x0D]")
 #: Coordinates of a point, points of a leaf and children of a node, groups more than are needed.
-COORDINATES, FANOUT, SPARE = 64, 16, 2
+COORDINATES, FANOUT, SPARE = 256, 16, 2
 #: Gatherings of more documents go to the verifying join as they are.
 MANY = 4_096
 #: Bytes of text in one block of a large gathering.
@@ -110,7 +110,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
             one += [int(textscan.mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             two += [int(np.bitwise_xor.reduce(textscan.mix(s + np.uint64(77))).astype(np.int64)) if len(s) else 0 for s in sets]
             keys += [k.view(np.int64) for k in signatures(sets, rule)]
-            points += [point(s).astype("<u4").tobytes() for s in sets]
+            points += [point(s).astype("<u2").tobytes() for s in sets]
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(flat))
         return pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(points, pa.binary())], ["doc_id", "bytes", "n_shingles", "one", "two", "keys", "point"])
@@ -122,7 +122,7 @@ class Tree:
     """An R-tree over points, packed by sorting on the coordinates of the greatest spread."""
 
     def __init__(self, points: np.ndarray) -> None:
-        self.points, self.sizes = points, points.sum(1)
+        self.points, self.sizes = points, points.sum(1, dtype=np.int64)
         spread = np.argsort(-points.var(0), kind="stable")[:2]
         self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], self.sizes))
         high, low = points[self.order], self.sizes[self.order]
@@ -136,20 +136,24 @@ class Tree:
 
     def partners(self, point: np.ndarray, rule: Rule) -> np.ndarray:
         """Points whose bound allows a link with this one."""
-        size = int(point.sum())
+        if point.max() == 65535 or self.points.max() == 65535:
+            return np.arange(len(self.points))
+        size = int(point.sum(dtype=np.int64))
         at = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low = self.levels[depth]
-            at = at[np.minimum(high[at], point).sum(1) >= rule.overlap(size + low[at])]
+            at = at[np.minimum(high[at], point).sum(1, dtype=np.int64) >= rule.overlap(size + low[at])]
             width = len(self.levels[depth - 1][1]) if depth else len(self.order)
             at = (at[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
             at = at[at < width]
         found = self.order[at]
-        return found[np.minimum(self.points[found], point).sum(1) >= rule.overlap(size + self.sizes[found])]
+        return found[np.minimum(self.points[found], point).sum(1, dtype=np.int64) >= rule.overlap(size + self.sizes[found])]
 
 
 def point(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+    """Group counts; a set too large for 16 bits has the point that no bound leaves out."""
+    counts = np.bincount((own & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+    return counts.astype(np.uint16) if counts.max() < 65535 else np.full(COORDINATES, 65535, np.uint16)
 
 
 def join_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
@@ -192,11 +196,11 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, rule: R
 def has_partner(points: np.ndarray, rule: Rule) -> np.ndarray:
     """Which points have another one under the bound."""
     n = len(points)
-    if n > MANY:
+    if n > MANY or n and points.max() == 65535:
         return np.ones(n, bool)
-    if n <= 48:
-        sizes = points.sum(1)
-        fits = np.minimum(points[:, None], points[None]).sum(2) >= rule.overlap(sizes[:, None] + sizes)
+    if n <= 32:
+        sizes = points.sum(1, dtype=np.int64)
+        fits = np.minimum(points[:, None], points[None]).sum(2, dtype=np.int64) >= rule.overlap(sizes[:, None] + sizes)
         np.fill_diagonal(fits, False)
         return fits.any(1)
     tree, out = Tree(points), np.zeros(n, bool)
@@ -213,12 +217,12 @@ def plausible(rows: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center = ids = np.empty(0, np.int64)
-        points = np.empty((0, COORDINATES), np.int64)
+        points = np.empty((0, COORDINATES), np.uint16)
         schema = ["center", "doc_id"]
         for batch in batches:
             center = np.concatenate([center, batch.column("center").to_numpy()])
             ids = np.concatenate([ids, batch.column("doc_id").to_numpy()])
-            points = np.concatenate([points, np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, COORDINATES).astype(np.int64)])
+            points = np.concatenate([points, np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u2").reshape(-1, COORDINATES)])
             if not len(center):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], center[1:] != center[:-1]]))

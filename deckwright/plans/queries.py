@@ -176,7 +176,7 @@ def card_decks_page(r: Run) -> DataFrame:
 
 def deck_list(r: Run) -> DataFrame:
     decks = r.cohort.decks.select("deck_id")
-    main = decks.where("deck_id % 50 = 1").join(r.t.deck_cards, "deck_id").select("deck_id", F.lit("main").alias("zone"), "card_id", "copies")
+    main = decks.join(r.t.deck_cards, "deck_id").select("deck_id", F.lit("main").alias("zone"), "card_id", "copies")
     apart = decks.join(r.t.commanders, "deck_id").select("deck_id", F.lit("commander").alias("zone"), "card_id", F.lit(1).alias("copies"))
     return main.unionByName(apart).join(r.t.cards, "card_id").select("deck_id", "zone", "card_id", "name", "copies", catalog.deck_group(F.col("type_line")).alias("deck_group"))
 

@@ -9,9 +9,11 @@ string has an anchor, the ``ANCHOR``-gram in it with the least hash; consecutive
    suffixes that share ``LENGTH`` bytes are one string, and it belongs to its least document.
 4. Each document learns which of its strings an earlier one has, and loses the bytes that they cover.
 
-Whole texts that are equal are found first, so only the least of them takes part, and equal fragments are one in
-a shard, so large groups of copies weigh no more than one text.  Anchors that many documents of a task share are
-known to be shared there and are exchanged once a task, so a passage of very many documents is no hot key.
+Whole texts that are equal are found first, so only the least of them takes part.  Anchors that many documents of
+a task share are known to be shared there and are exchanged once a task.  Of equal fragments each part of the
+documents sends only its least document's to the shard, and the others lose theirs at once, so a shard gets a
+passage of very many documents once a part.  Fragments that reach over the ends of such a passage differ from
+document to document, and all of them meet in its shard.
 
 Defined cases: a null text has no bytes; texts shorter than ``LENGTH`` bytes lose nothing; rows with one id are
 one document, so neither takes from the other; a null id counts as less than every other; an empty table
@@ -145,8 +147,9 @@ def compare(parts: int) -> object:
 FRAGMENTS = "shard int, ids binary, starts binary, counts binary, bytes binary"
 
 
-def cut_fragments(length: int) -> object:
-    """Per part of the documents: their shared entries with the bytes, by shard."""
+def cut_fragments(parts: int, length: int) -> object:
+    """Per part of the documents: their shared entries with the bytes, by shard; and, as shard -1 - part and
+    without bytes, those of which the part already has an equal fragment in an earlier document."""
 
     def run(entries: pa.Table, texts: pa.Table) -> pa.Table:
         schema = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("ids", "starts", "counts", "bytes"))])
@@ -166,8 +169,20 @@ def cut_fragments(length: int) -> object:
         entry, start, size, row = entry[fits], start[fits], size[fits], row[fits]
         by = np.lexsort((start, ids[entry], shard[entry]))
         entry, start, size, row = entry[by], start[by], size[by], row[by]
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(shard[entry]) != 0])) if len(entry) else []
+        # of equal fragments only the least document's goes to the shard: the others lose all of theirs to it
+        raw, begin, number = data.tobytes(), offsets[row] + start, {}
+        which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)], np.int64)
+        least = np.full(len(number), 2**63 - 1)
+        del raw, number
+        np.minimum.at(least, which, ids[entry])
+        lost = ids[entry] > least[which]
         out = []
+        if lost.any():
+            e = entry[lost]
+            part = int(part_of(ids[:1], parts)[0])
+            out.append({"shard": -1 - part} | packed(ids=ids[e], starts=starts[e], counts=counts[e], bytes=np.empty(0, np.uint8)))
+        entry, start, size, row = entry[~lost], start[~lost], size[~lost], row[~lost]
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(shard[entry]) != 0])) if len(entry) else []
         for some in np.split(np.arange(len(entry)), heads[1:]) if len(entry) else []:
             e, n = entry[some], size[some]
             at = np.repeat(offsets[row[some]] + start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -182,9 +197,13 @@ MARKS = "part int, ids binary, starts binary, ends binary"
 
 def sort_shard(parts: int, length: int) -> object:
     """Per shard: ranges of strings that an earlier document has, by part of the documents."""
+    schema = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "starts", "ends"))])
 
     def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
         ids, starts, counts = joined(table, "ids", "<i8"), joined(table, "starts", "<i4").astype(np.int64), joined(table, "counts", np.uint8).astype(np.int64)
+        if shard < 0:
+            return pa.Table.from_pylist([{"part": -1 - shard} | packed(ids=ids, starts=starts, ends=starts + counts + length - 1)], schema)
         raw = b"".join(table.column("bytes").to_pylist())
         del table
         bounds = np.concatenate([[0], np.cumsum(counts + length - 1)])
@@ -224,7 +243,7 @@ def sort_shard(parts: int, length: int) -> object:
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         rows = [{"part": int(key[s[0]])} | packed(ids=doc[s], starts=a[s], ends=b[s]) for s in np.split(order, cuts) if len(s)]
-        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "starts", "ends"))]))
+        return pa.Table.from_pylist(rows, schema)
 
     return run
 
@@ -258,7 +277,7 @@ def lost_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     marked = rows.withColumn("same", F.md5(F.col("text").cast("binary"))).join(common.small(copies), ["doc_id", "same"], "left_anti").select("doc_id", "text")
     shared = anchors(marked, shards, parts, length, anchor).groupBy("kind", "key").applyInArrow(compare(parts), ANCHORS)
     dealt = marked.mapInArrow(with_part(parts), "part int, doc_id long, text string")
-    pieces = shared.withColumnRenamed("key", "part").groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(cut_fragments(length), FRAGMENTS)
+    pieces = shared.withColumnRenamed("key", "part").groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(cut_fragments(parts, length), FRAGMENTS)
     marks = pieces.groupBy("shard").applyInArrow(sort_shard(parts, length), MARKS)
     return common.cut(marks.groupBy("part").applyInArrow(merge, "doc_id long, starts binary, ends binary")), copies
 

@@ -191,6 +191,33 @@ def brute_dedup(texts: dict, length: int = 50) -> dict:
     return out
 
 
+def test_equal_fragments_go_to_their_shard_once_a_part():
+    passage = bytes(np.random.default_rng(4).integers(97, 123, 300, np.uint8)).decode()
+    texts = [f"{k:060d} {passage} {k * 7919:060d}" for k in range(40)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    docs, starts, counts, codes = suffix_dedup.fragments(data, offsets, 50, 20)
+    some = suffix_dedup.shared_within(codes, docs)[0]
+    packed = suffix_dedup.packed(ids=docs[some], starts=starts[some].astype(np.int32), counts=counts[some].astype(np.uint8), codes=np.zeros(some.sum(), np.int32))
+    entries = pa.Table.from_pylist([packed])
+    rows = suffix_dedup.cut_fragments(1, 50)(entries, pa.table({"doc_id": np.arange(40), "text": texts})).to_pylist()
+    (sent,) = (r for r in rows if r["shard"] == 0)
+    sizes = np.frombuffer(sent["counts"], np.uint8).astype(int) + 49
+    ends = np.cumsum(sizes)
+    held = [sent["bytes"][e - n : e].decode() for e, n in zip(ends, sizes)]
+    inside = [f for f in held if f in passage]
+    assert inside and len(inside) == len(set(inside))
+    lost = {}
+    for table in (suffix_dedup.sort_shard(1, 50)(pa.Table.from_pylist([r])) for r in rows):
+        for part in table.to_pylist():
+            for d, a, b in zip(*(np.frombuffer(part[c], "<i8").tolist() for c in ("ids", "starts", "ends"))):
+                lost.setdefault(d, set()).update(range(a, b))
+    want = {}
+    for k, text in enumerate(texts):
+        found = [i for i in range(len(text) - 49) if any(text[i : i + 50] in t for t in texts[:k])]
+        want[k] = {x for i in found for x in range(i, i + 50)}
+    assert {k: lost.get(k, set()) for k in range(40)} == want
+
+
 def test_suffix_dedup(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 9_000)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 9_000)

@@ -77,26 +77,23 @@ def means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1], axis=0) / np.diff(bounds).reshape(-1, *[1] * (values.ndim - 1)) if len(bounds) > 1 else values[:0]
 
 
-def once(scores: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The scores, but 0 where the word has stood within the window before: a word counts once in a passage."""
+def best_windows(scores: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the highest mean of ``WINDOW`` consecutive words (of all, if fewer), in which a word that repeats
+    adds its score once, and where it starts."""
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    # a repeat is taken off the windows that hold the word's previous place too
     order = np.argsort(numbers, kind="stable")
-    same = numbers[order[1:]] == numbers[order[:-1]]
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    near = same & (order[1:] - order[:-1] < WINDOW) & (text[order[1:]] == text[order[:-1]])
-    out = scores.copy()
-    out[order[1:][near]] = 0
-    return out
-
-
-def best_windows(scores: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the highest mean of ``WINDOW`` consecutive words (of all, if fewer) and where it starts."""
-    total = np.concatenate([[0.0], np.cumsum(scores)])
+    near = (numbers[order[1:]] == numbers[order[:-1]]) & (order[1:] - order[:-1] < WINDOW) & (text[order[1:]] == text[order[:-1]])
+    last, again = order[:-1][near], order[1:][near]
+    change = np.bincount(np.maximum(again - WINDOW + 1, at[text[again]]), scores[again], len(total)) - np.bincount(last + 1, scores[again], len(total))
+    repeated = np.cumsum(change)
     best, start = np.zeros(len(at) - 1), at[:-1].copy()
     full = np.maximum(np.diff(at) - WINDOW + 1, 0)
     short = np.flatnonzero((full == 0) & (np.diff(at) > 0))
-    best[short] = (total[at[short + 1]] - total[at[short]]) / (at[short + 1] - at[short])
+    best[short] = (total[at[short + 1]] - total[at[short]] - repeated[at[short]]) / (at[short + 1] - at[short])
     if len(total) > WINDOW and full.any():
-        mean = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+        mean = (total[WINDOW:] - total[:-WINDOW] - repeated[: len(total) - WINDOW]) / WINDOW
         for i in np.flatnonzero(full):
             k = at[i] + int(np.argmax(mean[at[i] : at[i] + full[i]]))
             best[i], start[i] = mean[k], k
@@ -117,7 +114,7 @@ class Model:
         out = []
         for a, b in textscan.steps(ends):
             buckets, bounds, numbers, at, _ = words_of(texts.slice(a, b - a))
-            out.append(best_windows(once(means(self.weights[buckets], bounds)[numbers], numbers, at) if len(numbers) else np.empty(0), at)[0])
+            out.append(best_windows(means(self.weights[buckets], bounds)[numbers] if len(numbers) else np.empty(0), numbers, at)[0])
         return np.concatenate(out) if out else np.empty(0)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -184,12 +181,12 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> Model:
     for _ in range(4):
         trainer.epoch(whole, y, 0.2)
     for _ in range(rounds):
-        _, start = best_windows(once(trainer.word_scores()[numbers], numbers, at), at)
+        _, start = best_windows(trainer.word_scores()[numbers], numbers, at)
         passages = [np.unique(numbers[start[i] : min(start[i] + WINDOW, at[i + 1])]) for i in filled]
         for _ in range(4):
             trainer.epoch(passages, y, 0.1)
     weights = trainer.vectors @ (trainer.softmax[:, 1] - trainer.softmax[:, 0])
-    best, _ = best_windows(once(trainer.word_scores()[numbers], numbers, at), at)
+    best, _ = best_windows(trainer.word_scores()[numbers], numbers, at)
     return Model(weights, *logistic(best[filled], y.astype(float)))
 
 

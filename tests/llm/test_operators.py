@@ -191,6 +191,20 @@ def brute_dedup(texts: dict, length: int = 50) -> dict:
     return out
 
 
+def test_a_word_counts_once_in_each_passage():
+    chance = np.random.default_rng(3)
+    at = np.array([0, 0, 5, 17, 60, 260])
+    numbers = chance.integers(0, 9, 260)
+    numbers[17:30] = [0, *range(1, 10), 0, 11, 12]  # word 0 again, 10 words on
+    values = chance.normal(size=20)
+    values[[0, 11, 12]] = 5
+    best, start = toxicity.best_windows(values[numbers], numbers, at)
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        width = min(toxicity.WINDOW, b - a)
+        sums = {i: values[np.unique(numbers[i : i + width])].sum() / max(width, 1) for i in range(a, b - width + 1)}
+        assert np.isclose(best[k], max(sums.values())) and np.isclose(sums[start[k]], best[k])
+
+
 def test_equal_fragments_go_to_their_shard_once_a_part():
     passage = bytes(np.random.default_rng(4).integers(97, 123, 300, np.uint8)).decode()
     texts = [f"{k:060d} {passage} {k * 7919:060d}" for k in range(40)]

@@ -3,7 +3,8 @@
 A word is a row of a small matrix: its parts, and beside them the rank of each adjacent pair.  Every step
 takes the least rank of each row (the leftmost, on ties), joins those two parts, closes the gap, and looks up
 the two ranks beside it.  Rows without a known pair are done.  A text is a sequence of words, and a word's
-ids depend on nothing else, so each distinct word is encoded once per worker as long as it is remembered.
+ids depend on nothing else, so each distinct one is encoded once per worker as long as it is remembered
+(:mod:`.atoms`).  The array is for short words; a word of over ``LONG_WORD`` bytes goes by a heap instead.
 
 The vocabulary file is one of the ``tokenizers`` library's with BPE, byte-level symbols, a word-end suffix
 and the normaliser NFC, white space, lower case; the results are that library's.  Strings of special tokens
@@ -15,57 +16,27 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import common
+from . import atoms, common
 
-#: Words, and white-space-separated chunks, that a worker remembers in either of two generations.
-REMEMBERED = 400_000
 #: Longer words are encoded a few at a time, so that the matrix stays small.
 MATRIX_CELLS = 2_000_000
-#: ``str.split`` also parts words at these, which are no white space for the tokenizer.
-ODD_SPACE, SPACES = regex.compile("[\x1c-\x1f]"), regex.compile("[ \t-\r]+")
-#: Up to U+02FF lower-casing comes to the same before normalising as after it.
-BEYOND = regex.compile("[^\x00-\u02ff]")
+#: Words of more bytes leave the matrix: a heap of ranks and linked parts take them in n log n steps.
+LONG_WORD = 256
 _NONE = np.int32(2**31 - 1)
 
 
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a text between white space, lower-cased at once where that changes no id, so that fewer
-    of them are different."""
-    if "<|" not in text and not BEYOND.search(text):
-        text = text.lower()
-    return SPACES.split(text) if ODD_SPACE.search(text) else text.split()
-
-
-class Memory:
-    """Values by string, in two generations of bounded size: what is asked for again outlives the rest."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def recall(self, keys: set[str], learn: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
-        """A dictionary with all the keys; ``learn`` gives what is in neither generation."""
-        missing = keys.difference(self.new)
-        if len(self.new) + len(missing) > self.most:
-            self.old, self.new, missing = self.new, {}, keys
-        kept = missing & self.old.keys()
-        self.new.update((k, self.old[k]) for k in kept)
-        if rest := list(missing - kept):
-            self.new.update(learn(rest))
-        return self.new
-
-
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if it is visible
     in Latin-1, else the next one from U+0100."""
@@ -94,7 +65,7 @@ class Codec:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words_known, self.chunks_known = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.memory = atoms.Memory()
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 20 | right
@@ -142,11 +113,48 @@ class Codec:
         out_parts = out_parts.astype("<u4")
         return [out_parts[i, :k].tobytes() for i, k in enumerate(out_n.tolist())]
 
+    def encode_long(self, word: bytes) -> bytes:
+        """The ids of one long word: the least rank (the leftmost, on ties) comes from a heap, and parts are linked
+        to their neighbours."""
+        parts = self.inner[np.frombuffer(word, np.uint8)]
+        parts[-1] = self.last[word[-1]]
+        ranks = self.rank_of(parts[:-1], parts[1:])
+        heap = [(int(ranks[i]), int(i)) for i in np.flatnonzero(ranks < _NONE)]
+        heapq.heapify(heap)
+        own, joined = parts.tolist(), self.joined
+        after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
+        current = ranks.tolist() + [_NONE]  # of the pair that begins here
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if current[i] != rank:
+                continue
+            gone = after[i]
+            own[i], own[gone], current[gone] = int(joined[rank]), -1, -1
+            after[i] = after[gone]
+            if after[i] < len(own):
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0:
+                    right = after[left]
+                    current[left] = self.rank_one(own[left], own[right]) if right < len(own) else -1
+                    if current[left] >= 0:
+                        heapq.heappush(heap, (current[left], left))
+        return np.array([x for x in own if x >= 0], "<u4").tobytes()
+
+    def rank_one(self, left: int, right: int) -> int:
+        """The rank of a pair, or -1."""
+        key = left << 20 | right
+        at = int(np.searchsorted(self.pairs, key))
+        return int(self.ranks[at]) if at < len(self.pairs) and self.pairs[at] == key else -1
+
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
         """Words of similar length share a matrix."""
         data = [w.encode() for w in words]
-        order = sorted(range(len(data)), key=lambda i: len(data[i]))
         out: list[bytes] = [b""] * len(data)
+        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        while order and len(data[order[-1]]) > LONG_WORD:
+            i = order.pop()
+            out[i] = self.encode_long(data[i])
         a = 0
         while a < len(order):
             b = a + 1
@@ -157,10 +165,10 @@ class Codec:
             a = b
         return out
 
-    def pieces(self, chunk: str) -> list[str | int]:
-        """The words of a chunk without white space in it, special tokens as ids."""
+    def pieces(self, atom: str) -> list[str | int]:
+        """The words of an atom, special tokens as ids."""
         out: list[str | int] = []
-        for part in self.specials.split(chunk) if self.specials and "<|" in chunk else [chunk]:
+        for part in self.specials.split(atom) if self.specials and "<|" in atom else [atom]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
@@ -169,20 +177,23 @@ class Codec:
                 out += self.words(part.lower() if part.isascii() else part)
         return out
 
-    def learn_words(self, words: list[str]) -> dict[str, bytes]:
-        return dict(zip(words, self.encode_words(words), strict=True))
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of atoms, through their different words."""
+        split = list(map(self.pieces, parts))
+        words = list({w for own in split for w in own if isinstance(w, str)})
+        known = dict(zip(words, self.encode_words(words), strict=True))
+        return [b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in own]) for own in split]
 
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks, through their words."""
-        split = {c: self.pieces(c) for c in chunks}
-        known = self.words_known.recall({w for words in split.values() for w in words if isinstance(w, str)}, self.learn_words)
-        return {c: b"".join(known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words) for c, words in split.items()}
+    def encoded(self, texts: pa.Array) -> Iterator[atoms.Texts]:
+        return atoms.encoded(texts, self.memory, self.learn)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [chunks_of(t or "") for t in texts]
-        known = self.chunks_known.recall(set().union(*split), self.learn)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        out = []
+        for step in self.encoded(pa.array(texts, pa.large_string())):
+            ids, at = step.ids()
+            out += [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return out
 
     @property
     def table(self) -> list[bytes]:
@@ -201,39 +212,69 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, columns: Callable[[Codec, list[bytes]], list[pa.Array]], schema: str) -> DataFrame:
-    """doc_id and what ``columns`` makes of the ids of each text; ``schema`` names these."""
+class Step:
+    """What a step of texts comes to: ids, the texts' offsets in them, and decoded texts."""
+
+    def __init__(self, own: Codec, texts: atoms.Texts) -> None:
+        self.own, self.texts = own, texts
+        self.ids, self.at = texts.ids()
+
+    def raw(self) -> list[memoryview]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        raw = memoryview(self.ids.astype("<u4").tobytes())
+        return [raw[4 * a : 4 * b] for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
+
+    def decoded(self) -> list[bytes]:
+        """Each different atom is decoded once."""
+        parts = [self.own.decode(x) for x in self.texts.values]
+        numbers = self.texts.numbers
+        if not all(self.texts.values):  # an atom without ids leaves no space
+            full = np.fromiter(map(len, parts), np.int64, len(parts)) > 0
+            keep = full[numbers]
+            numbers, at = numbers[keep], np.concatenate([[0], np.cumsum(keep)])[self.texts.at]
+        else:
+            at = self.texts.at
+        return [b" ".join(map(parts.__getitem__, numbers[a:b].tolist())) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def encode(docs: DataFrame, path: str, columns: Callable[[Step], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id and what ``columns`` makes of the texts' ids; ``schema`` names these."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        return pa.record_batch([batch.column("doc_id"), *columns(own, own.encode(batch.column("text").to_pylist()))], ["doc_id", *names])
+        for batch in common.slices(batches, most=2_000_000):
+            done = 0
+            for texts in own.encoded(batch.column("text")):
+                n = len(texts.at) - 1
+                yield pa.record_batch([batch.column("doc_id").slice(done, n), *columns(Step(own, texts))], ["doc_id", *names])
+                done += n
 
-    return common.map_batches(docs.select("doc_id", "text"), each, f"doc_id long, {schema}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
 
 
 def ids_and_text(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit integers) and decoded text."""
-    return encode(docs, path, lambda own, ids: [pa.array(ids, pa.binary()), pa.array([own.decode(x).decode() for x in ids], pa.string())], "ids binary, decoded string")
+    return encode(docs, path, lambda step: [pa.array(list(map(bytes, step.raw())), pa.binary()), pa.array([x.decode() for x in step.decoded()], pa.string())], "ids binary, decoded string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, sha256 of the ids and of the decoded text."""
+def digest_columns(step: Step) -> list[pa.Array]:
+    """sha256 of the ids and of the decoded text."""
     from hashlib import sha256
 
-    def columns(own: Codec, ids: list[bytes]) -> list[pa.Array]:
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(own.decode(x)).hexdigest() for x in ids])]
+    return [pa.array([sha256(x).hexdigest() for x in step.raw()], pa.string()), pa.array([sha256(x).hexdigest() for x in step.decoded()], pa.string())]
 
-    return encode(docs, path, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, sha256 of the ids and of the decoded text."""
+    return encode(docs, path, lambda step: [pa.array(np.diff(step.at)), *digest_columns(step)], "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array) and the digests of ids and decoded text."""
-    from hashlib import sha256
 
-    def columns(own: Codec, ids: list[bytes]) -> list[pa.Array]:
-        flat = np.frombuffer(b"".join(ids), "<i4")
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32), pa.array(flat))
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), lists, pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(own.decode(x)).hexdigest() for x in ids])]
+    def columns(step: Step) -> list[pa.Array]:
+        lists = pa.ListArray.from_arrays(step.at.astype(np.int32), pa.array(step.ids.astype(np.int32)))
+        return [pa.array(np.diff(step.at)), lists, *digest_columns(step)]
 
     return encode(docs, path, columns, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -28,20 +28,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .bpe import Memory, chunks_of
+from . import atoms, common
 
 BLOCK, SEGMENT_IDS, MAGIC = 128, 200_000, b"PFR1"
 PERCENTILES = (100, 99, 97, 94, 90, 80)
-#: Chunks, and parts of these, whose ids a worker remembers in either of two generations.
-REMEMBERED = 400_000
-#: A chunk of letters and then signs; no letter composes with a sign, and no word holds both.
-LETTERS = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}\p{M}]*)")
 BITS = np.ceil(np.log2(np.arange(65536) + 1)).astype(np.uint8)
 NO_ID = np.int64(-(2**63))
 
@@ -123,7 +117,7 @@ def read_segment(data: bytes, first: int = 0, last: int | None = None) -> tuple[
 
 
 class Encoder:
-    """The library's ids of each text, by its white-space-separated chunks, which its words never cross."""
+    """The library's ids of each text, by atoms, which its words never cross."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,39 +126,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.memory = atoms.Memory()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         ends = {i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)}
         self.ends = np.array([i in ends for i in range(max(spec["model"]["vocab"].values()) + 1)]) if ends else None
 
+    def encoded(self, texts: pa.Array) -> Iterator[atoms.Texts]:
+        return atoms.encoded(texts, self.memory, self.learn)
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [chunks_of(t or "") for t in texts]
-        known = self.memory.recall(set().union(*split), self.learn)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Letters and the signs after them are words of their own, so chunks are encoded by these parts; parts
-        of letters go through the library many at a time, and their ids end where a word-end token stands."""
-        parted = {c: (m[1], m[2]) if self.ends is not None and (m := LETTERS.fullmatch(c)) else (c,) for c in chunks}
-        parts = set().union(*parted.values())
-        known = self.parts.recall(parts, self.learn_parts)
-        return {c: b"".join(known[p] for p in own) for c, own in parted.items()}
-
-    def learn_parts(self, parts: list[str]) -> dict[str, bytes]:
-        out, rest = {"": b""}, []
-        letters = [p for p in parts if self.ends is not None and LETTERS.fullmatch(p)]
+        """Of each text, as little-endian unsigned 32-bit integers."""
+        out = []
+        for step in self.encoded(pa.array(texts, pa.large_string())):
+            ids, at = step.ids()
+            out += [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return out
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Atoms of letters are one word each, so they go through the library many at a time, and their ids end
+        where a word-end token stands; other atoms go one by one."""
+        out: list[bytes | None] = [None] * len(parts)
+        letters = [i for i, p in enumerate(parts) if self.ends is not None and p.isalpha()]
         for a in range(0, len(letters), 2_000):
             some = letters[a : a + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some):
                 raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
-                out.update((p, raw[i:j]) for p, i, j in zip(some, bounds, bounds[1:], strict=False))
-        rest = [p for p in parts if p not in out]
-        for p, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[p] = np.array(found.ids, "<u4").tobytes()
+                for i, x, y in zip(some, bounds, bounds[1:], strict=False):
+                    out[i] = raw[x:y]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
         return out
 
 
@@ -177,28 +172,33 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """All texts' ids, each text's followed by ``end_id``, in ascending order of doc_id over the parts and
     segments of the files at ``path``."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids: list[int] = []
-        held: list[bytes] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # document ids, lengths, ids
         size = 0
 
         def segment() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held])
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": len(ids), "segment": write_segment(np.array(doc_ids, np.int64), lengths, ids)}], pa.schema({"part": pa.int32(), "seq": pa.int32(), "n_ids": pa.int64(), "segment": pa.binary()}))
+            keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": len(ids), "segment": write_segment(keys, lengths, ids)}], pa.schema({"part": pa.int32(), "seq": pa.int32(), "n_ids": pa.int64(), "segment": pa.binary()}))
 
         for batch in common.slices(batches, most=2_000_000):
-            keys = batch.column("doc_id").fill_null(int(NO_ID)).to_pylist()
-            for key, ids in zip(keys, own.ids(batch.column("text").to_pylist()), strict=True):
-                doc_ids.append(key)
-                held.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= SEGMENT_IDS:
-                    yield segment()
-                    doc_ids, held, size, seq = [], [], 0, seq + 1
+            keys, done = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy(), 0
+            for step in own.encoded(batch.column("text")):
+                ids, at = step.ids()
+                n = len(at) - 1
+                closed = np.insert(ids, at[1:], end_id).astype(np.uint32)
+                bounds = at + np.arange(n + 1)
+                a = 0
+                while a < n:  # a segment is full with the document that reaches its size
+                    b = min(n, int(np.searchsorted(bounds, bounds[a] + SEGMENT_IDS - size, "left")))
+                    held.append((keys[done + a : done + b], np.diff(bounds[a : b + 1]), closed[bounds[a] : bounds[b]]))
+                    size += int(bounds[b] - bounds[a])
+                    if size >= SEGMENT_IDS:
+                        yield segment()
+                        held, size, seq = [], 0, seq + 1
+                    a = b
+                done += n
         if held:
             yield segment()
 

@@ -249,6 +249,7 @@ def encode(docs: DataFrame, path: str, columns: Callable[[Step], list[pa.Array]]
                 n = len(texts.at) - 1
                 yield pa.record_batch([batch.column("doc_id").slice(done, n), *columns(Step(own, texts))], ["doc_id", *names])
                 done += n
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -86,12 +88,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             a = b
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as the worker lives on for other tasks and shares
+    its executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text") -> DataFrame:
     """``each`` over bounded slices of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             yield each(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -102,5 +113,6 @@ def keep_where(df: DataFrame, each: Callable[[pa.RecordBatch], pa.Array], column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             yield batch.filter(each(batch))
+        release()
 
     return df.mapInArrow(run, df.schema)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step looks at (a longer text is a step of its own).
 STEP_BYTES = 400_000
+#: Entries of a table of powers that a worker keeps.
+KEPT_POWERS = 2_100_000
 
 _P = 0x9E3779B97F4A7C15  # an odd multiplier, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
@@ -55,12 +57,16 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
 
 
 def power_table(base: int, n: int) -> np.ndarray:
+    """Powers from 0 to n - 1; a worker keeps those that usual steps need, and makes longer tables anew."""
     key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        out = np.full(max(n, STEP_BYTES), base, np.uint64)
-        out[0] = 1
-        _powers[key] = np.cumprod(out)
-    return _powers[key][:n]
+    if n <= KEPT_POWERS and key in _powers and len(_powers[key]) >= n:
+        return _powers[key][:n]
+    out = np.full(max(n, STEP_BYTES), base, np.uint64)
+    out[0] = 1
+    out = np.cumprod(out)
+    if n <= KEPT_POWERS:
+        _powers[key] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -201,6 +201,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 done += n
         if held:
             yield segment()
+        common.release()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

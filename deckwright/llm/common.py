@@ -24,14 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows as files in the shared folder ``spark.checkpoint.dir``, so a lost executor costs no rerun of
-    what came before.  Where that setting is absent, as in tests, a temporary folder takes its place."""
+    what came before."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Where that setting is absent, a temporary folder takes its place if
+    driver and executors are one process, as in tests; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, marked for broadcast if it has at most so many rows and bytes in its text and binary columns
     (measured); else as it is, and the join shuffles.  ``df`` should be cut or cheap, as measuring runs it."""
@@ -49,8 +58,9 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], how: str, salt_by
     marked = small(few)
     if marked is not few:
         return rows.join(marked, keys, how)
-    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+    salt = next(n for i in range(len(rows.columns) + len(few.columns) + 1) if (n := f"salt{i}") not in {c.lower() for c in [*rows.columns, *few.columns]})
+    spread = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(spread, [*keys, salt], how).drop(salt)
 
 
 def remainder(column: str, n: int) -> F.Column:

@@ -23,8 +23,9 @@ import numpy as np
 
 from . import textscan
 
-#: Bytes of tuples that a queue keeps in memory, and symbols of a sequence that is sorted without inducing.
-QUEUE_BYTES, MEMORY_SYMBOLS = 64_000_000, 4_000_000
+#: Bytes of tuples that a queue keeps in memory before they go to disk, and symbols of a reduced sequence that
+#: is sorted without inducing (a few arrays of 8 bytes each; beyond, the recursion goes on).
+QUEUE_BYTES, MEMORY_SYMBOLS = 4_000_000, 4_000_000
 
 Consumer = Callable[[np.ndarray, np.ndarray], None]
 

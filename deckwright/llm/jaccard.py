@@ -400,10 +400,16 @@ def gatherings(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def with_blocks(rows: DataFrame, weight: F.Column, most: int) -> DataFrame:
+    """The rows with the number of blocks of their center, n.  Only centers with several are joined, and these are
+    few: at most one in ``most`` of the rows."""
+    sizes = rows.groupBy("center").agg(F.ceil(F.sum(weight) / most).cast("int").alias("n")).where(F.col("n") > 1)
+    return rows.join(common.small(common.cut(sizes)), "center", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+
+
 def salted(rows: DataFrame, weight: F.Column, most: int) -> DataFrame:
     """(center, salt, doc_id): each center's documents dealt out by weight, the center itself to every salt."""
-    sizes = rows.groupBy("center").agg(F.greatest(F.ceil(F.sum(weight) / most), F.lit(1)).cast("int").alias("n"))
-    dealt = rows.join(sizes, "center")
+    dealt = with_blocks(rows, weight, most)
     own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
     every = F.when(F.col("doc_id") == F.col("center"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(own))
     return dealt.select("center", F.explode(every).alias("salt"), "doc_id")
@@ -433,28 +439,26 @@ def split(near: DataFrame, joined: DataFrame) -> DataFrame:
     """(center, doc_id, component) of the gatherings that aren't connected yet."""
     known = near.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = known.groupBy("center").agg(F.min("component").alias("first"), F.max("component").alias("last")).where(F.col("first") < F.col("last"))
-    return common.cut(known.join(several.select("center"), "center"))
+    return common.cut(known.join(common.small(common.cut(several.select("center"))), "center"))
 
 
-def pairs_of_blocks(rows: DataFrame, n: DataFrame) -> DataFrame:
-    """The rows of gatherings with ``n`` blocks, once for every pair of blocks (v, w) that theirs is in."""
-    dealt = rows.join(n, "center").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+def pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of gatherings of n blocks, once for every pair of blocks (v, w) that theirs is in."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return dealt.withColumns({"v": F.least("block", "other"), "w": F.greatest("block", "other")}).drop("other", "n")
 
 
 def blocks(rows: DataFrame, described: DataFrame) -> DataFrame:
     """Points of gatherings by pairs of blocks."""
-    n = rows.groupBy("center").agg(F.ceil(F.count("*") / BLOCK_POINTS).cast("int").alias("n"))
-    points = pairs_of_blocks(rows, n).join(described.select("doc_id", "n_shingles", "point").distinct(), "doc_id")
+    points = pairs_of_blocks(with_blocks(rows, F.lit(1), BLOCK_POINTS)).join(described.select("doc_id", "n_shingles", "point").distinct(), "doc_id")
     return points.repartition("center", "v", "w").sortWithinPartitions("center", "v", "w", "doc_id")
 
 
 def gathered(rest: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Documents to be verified, with their texts, by pairs of blocks that are cut further where texts are long."""
-    rows = rest.select("center", "doc_id", "component").distinct()
-    sizes = rows.join(members.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")), "doc_id").groupBy("center").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("n"))
-    out = with_texts(common.cut(pairs_of_blocks(rows, sizes)), texts).select("center", "v", "w", "doc_id", "block", "component", "text")
+    rows = rest.select("center", "doc_id", "component").distinct().join(members.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")), "doc_id")
+    out = with_texts(common.cut(pairs_of_blocks(with_blocks(rows, F.col("bytes"), BLOCK_BYTES))), texts).select("center", "v", "w", "doc_id", "block", "component", "text")
     return out.repartition("center", "v", "w").sortWithinPartitions("center", "v", "w", "doc_id")
 
 

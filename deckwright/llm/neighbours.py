@@ -13,13 +13,14 @@ centroid), a list in blocks of columns: one block holds some dimensions of all i
 * The sample's vectors are candidates as well; each query starts with the bound that they give.
 * A list is cut into blocks of vectors and its queries into blocks of queries, so no task holds a whole list.
 
-Defined cases: vectors that are null, empty, zero, of another length than the commonest one, or that hold
+Defined cases: rows without an id and vectors that are null, empty, zero, of another length than the commonest one in the searched table, or that hold
 null or non-finite components take no part; of rows with one id and different vectors each is a candidate, and
 each is asked for, the best score counting; repeated rows are one; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_ROWS, MAX_LISTS, LIST_ROWS, TARGET_RECALL = 12_000, 512, 512, 0.95
+SAMPLE_ROWS, LIST_ROWS, TARGET_RECALL = 12_000, 512, 0.95
 #: Vectors and queries of a task, and dimensions of a column block.
 BLOCK_VECTORS, BLOCK_QUERIES, BLOCK_DIMENSIONS = 8_192, 1_024, 16
 #: How many standard errors a partial distance must be off before its candidate goes.
@@ -76,7 +77,9 @@ def build(sample: np.ndarray, ids: list[np.ndarray], norm: float, rows: int, k:
     rotation, _ = np.linalg.qr(random.normal(size=(d, d)))
     plain = Index(rotation, norm, np.zeros((1, d)), 1, np.zeros((0, d)), sample[:0], [])
     turned = plain.rotate(sample)
-    lists = int(min(MAX_LISTS, max(1, rows // LIST_ROWS), len(sample)))
+    # lists grow with the rows up to LIST_ROWS ** 2 of them, and with their square root beyond, so that choosing
+    # lists and scanning them take alike; a sample bounds them, as each needs a few of its vectors
+    lists = int(min(max(1, rows // LIST_ROWS), math.isqrt(rows), max(1, len(sample) // 4)))
     centroids = turned[random.choice(len(turned), lists, replace=False)]
     for _ in range(8):
         own = nearest(turned, centroids)
@@ -127,20 +130,27 @@ def best_ids(scores: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndar
     return flat[order], each[order]
 
 
-def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, vector of doubles) of the rows that take part."""
+def usable(vectors: DataFrame, key: str, column: str, length: int | None = None) -> DataFrame:
+    """(id, vector of doubles) of the rows that take part: of this length, or of any."""
     x = F.col(column).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), x.alias("vector")).where(
-        F.col("vector").isNotNull() & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("vector", lambda c: c != 0)
+        F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("vector", lambda c: c != 0)
     )
+    return rows if length is None else rows.where(F.size("vector") == length)
+
+
+def commonest(rows: DataFrame) -> int:
+    """The length of most vectors, 0 if there are none."""
     sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (sizes["n"] if sizes else 0))
+    return sizes["n"] if sizes else 0
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id and score of the k nearest found of each query among all other ids."""
-    rows = usable(vectors, key, column)
-    asked = usable(queries, key, column).withColumnRenamed("vec_id", "query_id")
+    every = usable(vectors, key, column)
+    length = commonest(every)
+    rows = every.where(F.size("vector") == length)
+    asked = usable(queries, key, column, length).withColumnRenamed("vec_id", "query_id")
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     members = rows.distinct().withColumn("n", first).where(F.col("n") <= k + 1)  # limited before the shuffle, too
     groups = common.cut(members.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from fractions import Fraction
@@ -24,7 +23,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder where all executors can write."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    return f"{common.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,9 +213,9 @@ def test_equal_fragments_go_to_their_shard_once_a_part():
     data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
     docs, starts, counts, codes = suffix_dedup.fragments(data, offsets, 50, 20)
     some = suffix_dedup.shared_within(codes, docs)[0]
-    packed = suffix_dedup.packed(ids=docs[some], starts=starts[some].astype(np.int32), counts=counts[some].astype(np.uint8), codes=np.zeros(some.sum(), np.int32))
+    packed = suffix_dedup.packed(rows=docs[some], starts=starts[some].astype(np.int32), counts=counts[some].astype(np.uint8), codes=np.zeros(some.sum(), np.int32))
     entries = pa.Table.from_pylist([packed])
-    rows = suffix_dedup.cut_fragments(1, 50)(entries, pa.table({"doc_id": np.arange(40), "text": texts})).to_pylist()
+    rows = suffix_dedup.cut_fragments(1, 50)(entries, pa.table({"row": np.arange(40), "doc_id": np.arange(40), "text": texts})).to_pylist()
     (sent,) = (r for r in rows if r["shard"] == 0)
     sizes = np.frombuffer(sent["counts"], np.uint8).astype(int) + 49
     ends = np.cumsum(sizes)
@@ -250,6 +250,34 @@ def test_suffix_dedup(spark, docs, monkeypatch):
     assert got == [(-1, 0), (1, 0), (1, 0), (1, 70)]
 
 
+def test_rows_with_one_id_lose_only_their_own_bytes(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    shared = word(90)
+    rows = [(1, word(30) + shared), (2, shared + word(40)), (2, word(105)), (2, None), (3, word(105)), (2, shared + word(41))]
+    clash = spark.createDataFrame([(i, t, t, i, True) for i, t in rows], "doc_id long, text string, c0 string, _key long, _copy boolean")
+    got = {(x.doc_id, x.n_bytes): (x.n_removed, x.n_spans) for x in suffix_dedup.report(clash).collect()}
+    assert got == {(1, 120): (0, 0), (2, 130): (90, 1), (2, 131): (90, 1), (2, 105): (0, 0), (2, 0): (0, 0), (3, 105): (0, 0)}
+    kept = suffix_dedup.remove(clash)
+    assert kept.columns == clash.columns and sorted(len(x.text or "") for x in kept.collect()) == [0, 40, 41, 105, 105, 120]
+
+
+def test_a_shard_larger_than_its_queues_spills_with_production_parameters(monkeypatch):
+    spills = []
+    closing = induced_sort.Queue.close
+    monkeypatch.setattr(induced_sort.Queue, "close", lambda q: (spills.append(q.spilled), closing(q)))
+    data = np.random.default_rng(6).integers(97, 105, 1_200_000).astype(np.uint16)
+    data[600_000:900_000] = data[:300_000]
+    sequence = np.concatenate([data, np.zeros(1, np.uint16)])
+    order = []
+    induced_sort.sort(sequence, 50, lambda p, c: order.append(p))
+    order = np.concatenate(order[::-1])
+    raw = data.astype(np.uint8).tobytes()
+    assert sum(spills) > 0 and len(np.unique(order)) == len(sequence)
+    keys = [raw[p : p + 50] for p in order[:: len(order) // 20_000].tolist()]
+    assert keys == sorted(keys)
+
+
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -299,6 +327,11 @@ def test_neighbours(spark):
         assert list(zip(-mine["score"], mine["vec_id"], strict=True)) == sorted(zip(-mine["score"], mine["vec_id"], strict=True))
         found, wanted = found + len(set(best) & set(mine["vec_id"])), wanted + 20
     assert got["query_id"].nunique() == 150 and found / wanted >= 0.9
+    # ids that are null take no part, and the table decides which length counts, not the queries
+    odd = [(None, vectors[7]), (None, vectors[8])] + [(10_000 + 20 * i, [1.0, 2.0]) for i in range(200)]
+    wide = df.union(spark.createDataFrame([(*r, 0.5) for r in odd], df.schema))
+    again = neighbours.search(wide, wide.where("vec_id % 20 = 0 AND (vec_id < 60 OR vec_id >= 10000)"), 20)
+    assert {r.query_id for r in again.select("query_id").distinct().collect()} == {0, 20, 40} and again.where("vec_id IS NULL").count() == 0
     few = df.where("vec_id < 5")
     assert neighbours.search(few, few.where("vec_id = 0"), 20).count() == 4
     assert neighbours.search(df.limit(0), df.limit(0), 20).count() == 0

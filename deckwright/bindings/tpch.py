@@ -2,8 +2,9 @@
 
 events(event_id, occurred_on, format, players, decklists), decks(deck_id, event_id, label, source_ord, complete),
 deck_cards(deck_id, card_id, copies), standings(deck_id, wins, losses, draws, made_cut), cards(card_id, name,
-type_line, colors), printings(printing_id, card_id, set_code, rarity, language, games, released_on, usd, usd_foil),
-commanders(deck_id, commanders).  An event is a region's month of orders, a deck an order with lines, a card a part.
+type_line, oracle_text, colors, faces), printings(printing_id, card_id, set_code, collector_number, rarity, language, games,
+digital, oversized, set_type, border_color, released_on, usd, usd_foil, usd_etched), sideboards(deck_id, card_id, copies),
+commanders(deck_id, pos, card_id).  An event is a region's month of orders, a deck an order with lines, a card a part.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cohort import BASIC_LANDS
+
 #: Orders whose decklist counts as incomplete.
 INCOMPLETE = 97
+#: Types that parts take in turn, before their own kind; every fortieth part is one of the basic lands.
+TYPES = ("Creature", "Artifact Creature", "Artifact Land", "Instant // Land", "Legendary Planeswalker", "Enchantment", "Sorcery", "Conspiracy", "Battle", "Artifact", "Tribal Instant")
+BASIC_EVERY = 40
 
 
 class Tables:
@@ -67,7 +73,14 @@ class Tables:
     @cached_property
     def cards(self) -> DataFrame:
         colors = F.filter(F.array(*[F.when(F.col("p_size").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate("WUBRG")]), lambda x: x.isNotNull())
-        return self.raw("part").select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type_line"), F.when(F.col("p_size") % 7 != 0, colors).alias("colors"))
+        k, lands = F.col("p_partkey"), sorted(BASIC_LANDS)
+        name = F.when(k % BASIC_EVERY == 0, F.element_at(F.array(*map(F.lit, lands)), (F.floor(k / BASIC_EVERY) % len(lands) + 1).cast("int"))).otherwise(F.col("p_name"))
+        kind = F.concat(F.element_at(F.array(*map(F.lit, TYPES)), (k % len(TYPES) + 1).cast("int")), F.lit(" \u2014 "), F.initcap("p_type"))
+        # cards of two faces have neither a type nor a text of their own
+        two = k % 9 == 0
+        face = lambda types, text: F.struct(types.alias("type_line"), text.alias("oracle_text"))
+        faces = F.when(two, F.array(face(kind, F.col("p_name")), face(F.lit("Sorcery"), F.col("p_brand"))))
+        return self.raw("part").select(k.alias("card_id"), name.alias("name"), F.when(~two, kind).alias("type_line"), F.when(~two, F.concat_ws(" ", "p_name", "p_brand")).alias("oracle_text"), F.when(F.col("p_size") % 7 != 0, colors).alias("colors"), faces.alias("faces"))
 
     @cached_property
     def printings(self) -> DataFrame:
@@ -75,13 +88,22 @@ class Tables:
         k = F.col("l_partkey") + F.col("l_suppkey")
         rarity = F.element_at(F.array(*map(F.lit, ("common", "uncommon", "rare", "mythic"))), (k % 4 + 1).cast("int"))
         usd = (F.col("price") / 1000).cast("decimal(12,2)")
+        own_set = F.concat(F.when(F.col("l_suppkey") % 4 == 0, F.lit("p")).otherwise(F.lit("")), F.lit("S"), (F.col("s_nationkey") % 3).cast("string"))
+        number = F.concat(F.when(k % 17 == 0, F.lit("A")).otherwise(F.lit("")), (F.col("l_suppkey") % 90).cast("string"), F.when(k % 5 == 0, F.lit("b")).otherwise(F.lit("")))
+        day = F.when(k % 13 == 0, F.trunc("released_on", "year")).when(k % 29 != 0, F.col("released_on"))
         return sold.join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
-            (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("printing_id"), F.col("l_partkey").alias("card_id"), F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("set_code"), rarity.alias("rarity"),
+            (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("printing_id"), F.col("l_partkey").alias("card_id"), own_set.alias("set_code"), number.alias("collector_number"), rarity.alias("rarity"),
             F.when(F.col("l_suppkey") % 3 != 0, "en").otherwise("ja").alias("language"),
             F.when(k % 5 == 0, F.array(F.lit("online"))).otherwise(F.array(F.lit("paper"), F.lit("online"))).alias("games"),
-            "released_on", F.when(k % 11 != 0, usd).alias("usd"), F.when(k % 3 == 0, (usd * 2).cast("decimal(12,2)")).alias("usd_foil"),
+            (k % 19 == 0).alias("digital"), (k % 23 == 0).alias("oversized"), F.when(k % 31 == 0, "memorabilia").otherwise("core").alias("set_type"), F.when(k % 37 == 0, "gold").otherwise("black").alias("border_color"),
+            day.alias("released_on"), F.when(k % 7 == 0, F.lit(0).cast("decimal(12,2)")).when(k % 11 != 0, usd).alias("usd"), F.when(k % 3 == 0, (usd * 2).cast("decimal(12,2)")).alias("usd_foil"), F.when(k % 4 == 1, (usd - 1).cast("decimal(12,2)")).alias("usd_etched"),
         )
 
+    @cached_property
+    def sideboards(self) -> DataFrame:
+        """Lines that came back, with the same card twice as one."""
+        return self.raw("lineitem").where("l_returnflag = 'R' AND l_linenumber > 3").groupBy(F.col("l_orderkey").alias("deck_id"), F.col("l_partkey").alias("card_id")).agg((F.min("l_quantity").cast("int") % 3 + 1).alias("copies"))
+
     @cached_property
     def commanders(self) -> DataFrame:
         """The one or two cards of greatest quantity of decks without a label."""

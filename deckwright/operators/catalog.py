@@ -11,17 +11,32 @@ from ..functions.text import ascii_name_key
 
 
 def representative(printings: DataFrame) -> DataFrame:
-    """Of each card: English first, then newest, then the least id."""
-    key = F.struct((F.col("language") != "en").alias("a"), F.datediff(F.lit("1970-01-01").cast("date"), "released_on").alias("b"), F.col("printing_id").alias("c"))
+    """Of each card: English first, then newest (no date: last), then the least id."""
+    key = F.struct((F.col("language") != "en").alias("a"), F.coalesce(F.datediff(F.lit("1970-01-01").cast("date"), "released_on"), F.lit(2**31 - 1)).alias("b"), F.col("printing_id").alias("c"))
     return printings.groupBy("card_id").agg(F.min_by(F.struct("printing_id", "set_code", "language", "released_on"), key).alias("p")).select("card_id", "p.*")
 
 
-def original_first(printings: DataFrame) -> DataFrame:
-    """The preview: paper, English, oldest, rarest mark, set, id."""
+def leading_number(text: Column) -> Column:
+    """The number that a text starts with; NaN, which sorts last, if it starts with none."""
+    return F.coalesce(F.regexp_extract(text, r"^[0-9]+", 0).try_cast("double"), F.lit(float("nan")))
+
+
+def with_original_key(printings: DataFrame) -> DataFrame:
+    """The printings with ``original``, their place in the order of originals: English, paper, promos of a set that
+    the card is in after it, oldest (a date of only a year counts from the year's end), collector number, id."""
+    own_sets = F.collect_set("set_code").over(Window.partitionBy("card_id"))  # a card's printings
+    promo = F.col("set_code").startswith("p") & F.array_contains(own_sets, F.expr("substring(set_code, 2)"))
+    released = F.date_add("released_on", F.when(F.dayofyear("released_on") == 1, 364).otherwise(0))
     key = F.struct(
-        (~F.array_contains("games", "paper")).alias("a"), (F.col("language") != "en").alias("b"), F.coalesce("released_on", F.lit("9999-12-31").cast("date")).alias("c"), F.col("set_code").alias("d"), F.col("printing_id").alias("e")
+        (F.col("language") != "en").alias("a"), (~F.array_contains("games", "paper")).alias("b"), promo.alias("c"), F.coalesce(released, F.lit("9999-12-31").cast("date")).alias("d"),
+        leading_number(F.col("collector_number")).alias("e"), F.col("collector_number").alias("f"), F.col("printing_id").alias("g"),
     )
-    return printings.groupBy("card_id").agg(F.min_by(F.struct("printing_id", "set_code", "released_on"), key).alias("p"), F.count("*").alias("printings")).select("card_id", "p.*", "printings")
+    return printings.withColumn("original", key)
+
+
+def original_first(printings: DataFrame) -> DataFrame:
+    """The preview of each card: its first printing in the order of originals, and how many it has."""
+    return with_original_key(printings).groupBy("card_id").agg(F.min_by(F.struct("printing_id", "set_code", "released_on"), "original").alias("p"), F.count("*").alias("printings")).select("card_id", "p.*", "printings")
 
 
 def joint(printings: DataFrame, sets: Sequence[str] = (), rarities: Sequence[str] = (), game: str | None = None) -> DataFrame:
@@ -36,9 +51,15 @@ def joint(printings: DataFrame, sets: Sequence[str] = (), rarities: Sequence[str
     return printings.where(keep).groupBy("card_id").agg(F.count("*").alias("eligible"))
 
 
+def playable_in_paper() -> Column:
+    """Printings on paper that a deck may hold: no digital, oversized, memorabilia or gold-bordered ones."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return F.array_contains("games", "paper") & ~flag("digital") & ~flag("oversized") & ~F.col("set_type").eqNullSafe("memorabilia") & ~F.col("border_color").eqNullSafe("gold")
+
+
 def cheapest(printings: DataFrame) -> DataFrame:
-    """The least price of paper printings over finishes, ties to the least id."""
-    offers = printings.where(F.array_contains("games", "paper")).select("card_id", "printing_id", F.explode(F.array("usd", "usd_foil")).alias("usd")).where("usd IS NOT NULL")
+    """The least price above nothing of playable printings over their three finishes, ties to the least id."""
+    offers = printings.where(playable_in_paper()).select("card_id", "printing_id", F.explode(F.array("usd", "usd_foil", "usd_etched")).alias("usd")).where("usd > 0")
     return offers.groupBy("card_id").agg(F.min(F.struct("usd", "printing_id")).alias("m")).select("card_id", "m.usd", "m.printing_id")
 
 
@@ -49,30 +70,77 @@ def aliases(cards: DataFrame) -> DataFrame:
     return rows.select("card_id", ascii_name_key(F.col("a.n")).alias("alias_key"), "a.kind").distinct()
 
 
-def search(cards: DataFrame, names: DataFrame, text: str) -> DataFrame:
-    """Cards of which an alias holds the text."""
-    return cards.join(names.where(F.instr("alias_key", text) > 0).select("card_id").distinct(), "card_id", "left_semi")
+def on_any_face(column: str, text: str) -> Column:
+    """The card's column, or a face's, holds the text, whatever its case."""
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+    return holds(F.col(column)) | F.coalesce(F.exists("faces", lambda f: holds(f[column])), F.lit(False))
+
+
+#: What a search looks at: names (aliases), type lines, rules texts, or all of these.
+SCOPES = {"name": (), "type": ("type_line",), "text": ("oracle_text",), "all": ("type_line", "oracle_text")}
+
+
+def search(cards: DataFrame, names: DataFrame, text: str, scope: str = "name") -> DataFrame:
+    """Cards that hold the text where the scope looks."""
+    if scope not in SCOPES:
+        raise ValueError(f"no scope {scope}")
+    if scope in ("type", "text"):
+        return cards.where(on_any_face(SCOPES[scope][0], text))
+    named = names.where(F.instr("alias_key", text.lower()) > 0).select("card_id").distinct()
+    if scope == "name":
+        return cards.join(named, "card_id", "left_semi")
+    marked = cards.join(named.withColumn("named", F.lit(True)), "card_id", "left")
+    elsewhere = F.lit(False)
+    for column in SCOPES[scope]:
+        elsewhere = elsewhere | on_any_face(column, text)
+    return marked.where(F.col("named").isNotNull() | elsewhere).drop("named")
+
+
+#: Card types that a filter may ask for.
+CARD_TYPES = ("artifact", "battle", "creature", "enchantment", "instant", "land", "planeswalker", "sorcery")
 
 
 def type_filter(type_line: Column, kind: str) -> Column:
-    """The type stands before the dash on any face."""
-    return F.coalesce(type_line.rlike(rf"(?i)(^|//)[^—/]*\b{kind}\b"), F.lit(False))
+    """The type, one of a closed set, stands before the dash on any face."""
+    if kind not in CARD_TYPES:
+        raise ValueError(f"no card type {kind}")
+    return F.coalesce(type_line.rlike(rf"(^|//)[^—/]*\b{kind.capitalize()}\b"), F.lit(False))
 
 
 def deck_group(type_line: Column) -> Column:
-    """The group that a deck list shows a card under, by the first type that applies to its front face."""
-    front = F.lower(F.split(type_line, " // ")[0])
+    """The group that a deck list shows a card under, by its front face's types before the dash: the first of these
+    that is one of its words, so that an artifact land is a land; ``misc`` if there is none."""
+    front = F.lower(F.split(F.split(type_line, " // ")[0], "—")[0])
+    words = F.split(front, r"\s+")
     out = None
-    for kind in ("creature", "planeswalker", "battle", "instant", "sorcery", "artifact", "enchantment", "land"):
-        out = F.when(front.contains(kind), kind) if out is None else out.when(front.contains(kind), kind)
-    return out.otherwise("other")
+    for kind in ("creature", "land", "planeswalker", "battle", "instant", "sorcery", "artifact", "enchantment"):
+        out = F.when(F.array_contains(words, kind), kind) if out is None else out.when(F.array_contains(words, kind), kind)
+    return out.otherwise("misc")
+
+
+#: Layouts of cards with two or more faces, and those that no constructed deck lists.
+SEVERAL_FACES = ("adventure", "double_faced_token", "flip", "modal_dfc", "reversible_card", "split", "transform")
+NOT_PLAYABLE = ("art_series", "double_faced_token", "emblem", "front_card", "planar", "scheme", "token", "vanguard")
+
+
+def resolvable(alias_rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """Aliases of cards that decks can list."""
+    return alias_rows.join(cards.where(F.col("layout").isin(*NOT_PLAYABLE)).select("card_id"), "card_id", "left_anti")
+
+
+def merged(rows: DataFrame, key: str) -> DataFrame:
+    """Each id once; identical rows are one, different ones under one id an error."""
+    content = F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != key])), 256)
+    first = F.min(F.struct(content.alias("h"), F.struct(*rows.columns).alias("r")))
+    each = rows.groupBy(key).agg(first.alias("f"), F.max(content).alias("last"))
+    wrong = F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key).cast("string"))).cast("string")
+    return each.withColumn("ok", F.when(F.col("f.h") != F.col("last"), wrong)).where("ok IS NULL").select("f.r.*")
 
 
 def projected(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw card objects to kept rows (with colours from the faces where the card has none of its own) and
     counts of rejected ones by reason."""
-    several = ["transform", "modal_dfc", "split", "adventure", "flip", "reversible_card", "meld"]
-    reason = F.when(F.col("oracle_id").isNull(), "missing_oracle_id").when(F.col("layout").isin(*several) & (F.coalesce(F.size("card_faces"), F.lit(0)) < 2), "missing_faces")
+    reason = F.when(F.col("oracle_id").isNull(), "missing_oracle_id").when(F.col("layout").isin(*SEVERAL_FACES) & (F.coalesce(F.size("card_faces"), F.lit(0)) < 2), "missing_required_faces")
     judged = raw.withColumn("reason", reason)
     known = F.forall("card_faces", lambda f: f["colors"].isNotNull())
     union = F.filter(F.array(*map(F.lit, "WUBRG")), lambda c: F.exists("card_faces", lambda f: F.array_contains(f["colors"], c)))
@@ -87,12 +155,12 @@ def conflicts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def printing_page(printings: DataFrame, card_id: int, after: int | None, limit: int) -> DataFrame:
-    """A card's printings, newest first, after the one of the last id."""
-    order = Window.partitionBy("card_id").orderBy(F.desc_nulls_last("released_on"), "set_code", "printing_id")
-    own = printings.where(F.col("card_id") == card_id).withColumn("place", F.row_number().over(order))
-    if after is not None:
-        own = own.join(F.broadcast(own.where(F.col("printing_id") == after).select(F.col("place").alias("last"))), F.col("place") > F.col("last")).drop("last")
-    return own.orderBy("place").limit(limit + 1)
+    """A card's printings in the order of originals, after the one of the last id, with one row more to tell whether
+    another page follows: the whole key of the last id is looked up and compared, so no row is numbered."""
+    own = with_original_key(printings.where(F.col("card_id") == card_id))
+    if after is not None:  # one row
+        own = own.join(F.broadcast(own.where(F.col("printing_id") == after).select(F.col("original").alias("last"))), F.col("original") > F.col("last")).drop("last")
+    return own.orderBy("original").limit(limit + 1).drop("original")
 
 
 def images(raw: DataFrame) -> DataFrame:

@@ -38,6 +38,28 @@ def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rules, excluded
 
 
+#: Basic lands, which would lead every ranking by volume and so aren't scored.
+BASIC_LANDS = ("Forest", "Island", "Mountain", "Plains", "Snow-Covered Forest", "Snow-Covered Island", "Snow-Covered Mountain", "Snow-Covered Plains", "Snow-Covered Swamp", "Snow-Covered Wastes", "Swamp", "Wastes")
+
+
+def scored_population(rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """Rows of cards that are scored: all main-deck cards but the basic lands (a few rows of the catalogue)."""
+    return rows.join(F.broadcast(cards.where(F.col("name").isin(*BASIC_LANDS)).select("card_id")), "card_id", "left_anti")
+
+
+def one_version(rows: DataFrame, column: str = "version") -> DataFrame:
+    """(format, version): the versions that made a run's parts, joined by ``+`` in order."""
+    return rows.groupBy("format").agg(F.array_join(F.array_sort(F.collect_set(column)), "+").alias(column))
+
+
+def require_one(rows: DataFrame, column: str) -> str:
+    """The single value of a column of a few rows; several are an error."""
+    found = [r[0] for r in rows.select(column).distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"one {column} is needed, not {found}")
+    return found[0]
+
+
 @dataclass(frozen=True)
 class Cohort:
     """The parts of all runs; decks and standings carry format, occurred_on and the run's window."""

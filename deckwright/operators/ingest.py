@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import rate
-from ..functions.text import loose_key, name_key, name_parts, unaccented_key
+from ..functions.text import loose_key, name_key, unaccented_key
 from .serving import latest
 
 
@@ -32,6 +29,18 @@ def coverage_class(observed: Column, expected: Column) -> Column:
     return F.when(expected.isNull() | (expected <= 0) | observed.isNull(), "UNKNOWN").when(observed <= 0, "NONE").when(observed < expected, "PARTIAL").otherwise("FULL_FIELD")
 
 
+def event_projection(events: DataFrame) -> DataFrame:
+    """Events with the share of decklists that was seen and its class."""
+    return events.select("event_id", "occurred_on", "format", "players", "decklists", rate(F.col("decklists"), F.when(F.col("players") > 0, F.col("players"))).alias("coverage"), coverage_class(F.col("decklists"), F.col("players")).alias("class"))
+
+
+def zone_totals(lines: DataFrame) -> DataFrame:
+    """(deck_id, zone, card_id or NULL, copies or NULL) to the usable lines and copies of each deck's zones and the
+    lines that are set aside, as they have no usable id or no positive count."""
+    usable = F.col("card_id").isNotNull() & (F.col("copies") > 0)
+    return lines.groupBy("deck_id", "zone").agg(F.count(F.when(usable, 1)).alias("cards"), F.coalesce(F.sum(F.when(usable, F.col("copies"))), F.lit(0)).cast("long").alias("copies"), F.count(F.when(F.coalesce(usable, F.lit(False)), None).otherwise(1)).alias("skipped"))
+
+
 def infer_cut(rows: DataFrame) -> DataFrame:
     """(event_id, position, wins, bracket_wins, bracket_losses, cut_size) gains made_cut and its basis."""
     per = rows.groupBy("event_id").agg(
@@ -72,42 +81,6 @@ def resolve_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.join(found, "name", "left")
 
 
-def similarity(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, " ".join(sorted(name_parts(a))), " ".join(sorted(name_parts(b)))).ratio()
-
-
-def match_players(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """(event_id, side 'deck' or 'standing', name) to (event_id, deck_name, standing_name, pass) of each event:
-    same words in any order, then one's words within the other's, then mutually most similar; each pass takes
-    only names that one partner fits.  Greedy, and so one group for each event."""
-
-    def one(event: pd.DataFrame) -> pd.DataFrame:
-        decks = sorted(set(event.loc[event["side"] == "deck", "name"]))
-        players = sorted(set(event.loc[event["side"] == "standing", "name"]))
-        out = []
-
-        def take(n: int, fits: dict[str, list[str]]) -> None:
-            back: dict[str, list[str]] = {}
-            for d, ps in fits.items():
-                for p in ps:
-                    back.setdefault(p, []).append(d)
-            for d, ps in fits.items():
-                if len(ps) == 1 and len(back[ps[0]]) == 1:
-                    out.append((event["event_id"].iloc[0], d, ps[0], n))
-                    decks.remove(d)
-                    players.remove(ps[0])
-
-        take(1, {d: [p for p in players if p == d] for d in list(decks)})
-        take(2, {d: [p for p in players if sorted(name_parts(p)) == sorted(name_parts(d))] for d in list(decks)})
-        take(3, {d: [p for p in players if (set(name_parts(p)) <= set(name_parts(d)) or set(name_parts(d)) <= set(name_parts(p))) and name_parts(p)] for d in list(decks)})
-        near = {d: max(((similarity(d, p), p) for p in players), default=(0.0, "")) for d in decks}
-        back = {p: max(((similarity(d, p), d) for d in decks), default=(0.0, "")) for p in players}
-        take(4, {d: [p] for d, (s, p) in near.items() if s >= least and back[p][1] == d})
-        return pd.DataFrame(out, columns=["event_id", "deck_name", "standing_name", "pass"])
-
-    return rows.groupBy("event_id").applyInPandas(one, "event_id string, deck_name string, standing_name string, pass int")
-
-
 def pairing_records(rounds: DataFrame) -> DataFrame:
     """(event_id, round, page_ord, player, opponent, result 'won'|'lost'|'drew'|'bye') to wins, losses, draws and
     byes of each player; a pairing seen from both sides counts once, as it was first seen."""

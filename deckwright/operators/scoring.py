@@ -121,11 +121,20 @@ def overall(scores: DataFrame) -> DataFrame:
 
 
 def pooled_usage(rows: DataFrame) -> DataFrame:
-    """Across runs: counts added, the lift as observed over expected cuts."""
-    expected = F.col("cut_known").cast("double") * F.col("field_cut")
-    each = rows.select("card_id", F.struct("format", expected.alias("e")).alias("part"), "deck_count", "event_count", "copies", "playsets", "cut_known", "cut_made", "wins", "losses", "draws")
-    sums = [F.sum(c).cast("long").alias(c) for c in ("deck_count", "event_count", "copies", "playsets", "cut_known", "cut_made", "wins", "losses", "draws")]
-    return each.groupBy("card_id").agg(*sums, F.array_sort(F.collect_list("part")).alias("parts")).withColumn("expected", F.aggregate("parts", num(0), lambda a, x: a + F.coalesce(x["e"], num(0)))).drop("parts").withColumn("cut_lift", F.col("cut_made").cast("double") / F.nullif(F.col("expected"), num(0)))
+    """Across runs: counts added; the win delta as each run's gap to its field, weighted by games; the lift as
+    observed over expected cuts, of the runs whose field's rate is known and not zero."""
+    counted = F.col("cut_made").isNotNull() & (F.col("field_cut") != 0)
+    expected = F.when(counted, F.col("cut_known").cast("double") * F.col("field_cut"))
+    rows = rows.withColumn("lift_made", F.when(counted, F.col("cut_made")))
+    played = (F.col("games") > 0) & (F.col("win_rate") - F.col("field_win")).isNotNull()
+    gap = F.when(played, (F.col("win_rate") - F.col("field_win")) * F.col("games").cast("double"))
+    rows = rows.withColumn("delta_games", F.when(played, F.col("games")))
+    each = rows.select("card_id", F.struct("format", expected.alias("e"), gap.alias("g")).alias("part"), "lift_made", "delta_games", "deck_count", "event_count", "copies", "playsets", "cut_known", "cut_made", "wins", "losses", "draws")
+    sums = [F.sum(c).cast("long").alias(c) for c in ("lift_made", "delta_games", "deck_count", "event_count", "copies", "playsets", "cut_known", "cut_made", "wins", "losses", "draws")]
+    fold = lambda k: F.aggregate("parts", num(0), lambda a, x: a + F.coalesce(x[k], num(0)))
+    out = each.groupBy("card_id").agg(*sums, F.array_sort(F.collect_list("part")).alias("parts")).withColumns({"expected": fold("e"), "gap": fold("g")})
+    out = out.withColumns({"cut_lift": F.col("lift_made").cast("double") / F.nullif(F.col("expected"), num(0)), "win_delta": rate(F.col("gap"), F.col("delta_games"))})
+    return out.drop("parts", "gap", "lift_made", "delta_games")
 
 
 Method = Callable[[DataFrame], DataFrame]

@@ -59,6 +59,30 @@ def latest(runs: DataFrame, group: Sequence[str], order: Sequence[Column]) -> Da
     return runs.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") == 1).drop("_n")
 
 
+def by_run(rows: DataFrame) -> DataFrame:
+    """(card_id, runs): each card's score and rank by run, as one map."""
+    return rows.groupBy("card_id").agg(F.map_from_entries(F.collect_list(F.struct("format", F.struct("score", "ranking")))).alias("runs"))
+
+
+def compare_page(rows: DataFrame, run: str, limit: int, names: DataFrame) -> DataFrame:
+    """The first cards by their score in the chosen run, those without one last; names are looked up for the page
+    only."""
+    chosen = F.try_element_at("runs", F.lit(run))["score"]
+    page_rows = by_run(rows).withColumn("chosen", chosen).orderBy(F.desc_nulls_last("chosen"), "card_id").limit(limit)
+    return F.broadcast(page_rows).join(names, "card_id")  # at most ``limit`` rows
+
+
+def previous_run(runs: DataFrame) -> DataFrame:
+    """(run_id, previous_id): the latest run of the same source, format and method that starts earlier."""
+    before = F.lag("run_id").over(Window.partitionBy("source", "format", "method").orderBy("starts_on", "run_id"))
+    return runs.select("run_id", before.alias("previous_id"))
+
+
+def windows(runs: DataFrame) -> DataFrame:
+    """One run for each source and window: the active one, else the latest."""
+    return latest(runs, ["source", "format", "starts_on"], [F.desc("active"), F.desc("made"), F.col("run_id")])
+
+
 def keyset(rows: DataFrame, after: tuple[str, int] | None, limit: int) -> DataFrame:
     """The page after (name_key, card_id), with one row more to tell whether another page follows.  The
     comparison is spelled out, so that it reaches the scan."""

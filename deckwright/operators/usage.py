@@ -133,9 +133,24 @@ def commander_names(decks: DataFrame, commanders: DataFrame, cards: DataFrame) -
 
 
 def published_order(cohort: Cohort) -> DataFrame:
-    """Decks of each run numbered from 0: newest event first, then event, then source order."""
-    order = Window.partitionBy("format").orderBy(F.desc("occurred_on"), "event_id", "source_ord")
-    return cohort.decks.withColumn("position", F.row_number().over(order) - 1)
+    """Decks of each run numbered from 0: newest event first, then event, then source order.  Decks are numbered
+    within their event, and an event's first number is the sum of the events before it, so no task sees a run."""
+    inner = F.row_number().over(Window.partitionBy("event_id").orderBy("source_ord"))
+    sizes = cohort.decks.groupBy("format", "event_id", "occurred_on").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("format").orderBy(F.desc("occurred_on"), "event_id").rowsBetween(Window.unboundedPreceding, -1)  # events
+    starts = sizes.select("format", "event_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return cohort.decks.join(starts, ["format", "event_id"]).withColumn("position", F.col("start") + inner - 1).drop("start")
+
+
+def deck_headers(cohort: Cohort) -> DataFrame:
+    """What a published deck shows of itself: its event, label and cut, and its record if all of it is known."""
+    known = F.col("wins").isNotNull() & F.col("losses").isNotNull() & F.col("draws").isNotNull()
+    return results(cohort).select("format", "deck_id", "event_id", "occurred_on", "label", "made_cut", *[F.when(known, F.col(c)).alias(c) for c in ("wins", "losses", "draws")])
+
+
+def mainboards(deck_cards: DataFrame) -> DataFrame:
+    """Each deck's cards in order (a deck is bounded)."""
+    return deck_cards.groupBy("deck_id").agg(F.array_sort(F.collect_list("card_id")).alias("cards"))
 
 
 def cooccurrence(facts: DataFrame, least: int = 2) -> DataFrame:

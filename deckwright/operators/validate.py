@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,57 @@ def recount(claimed: DataFrame, actual: DataFrame) -> DataFrame:
     return claimed.exceptAll(actual.select(names)).unionByName(actual.select(names).exceptAll(claimed))
 
 
+def unlike(a: Column, b: Column) -> Column:
+    """One of the two conditions holds without the other."""
+    return a.eqNullSafe(b) == F.lit(False)
+
+
+def incomplete(rows: DataFrame, scores: DataFrame, outputs: int) -> DataFrame:
+    """Runs whose scores are not as many as their outputs times their scored cards."""
+    cards = rows.groupBy("format").agg(F.count("*").alias("cards"))
+    given = scores.groupBy("format").agg((F.count("*") * outputs).alias("given"))
+    return cards.join(given, "format", "full").where(~(F.col("cards") * outputs).eqNullSafe(F.col("given")))
+
+
+def score_run(rows: DataFrame, scores: DataFrame, outputs: int = 1) -> dict[str, DataFrame]:
+    """What a run's cards (usage with win_rate, home, home_support and labelled) and scores must not hold."""
+    games = F.col("wins") + F.col("losses") + F.col("draws")
+    n, labelled, support = F.col("deck_count"), F.coalesce("labelled", F.lit(0)), F.coalesce("home_support", F.lit(0))
+    key = ["format", "card_id"]
+    return {
+        "repeated card": repeated(rows, *key),
+        "cut known": rows.where(unlike(F.col("cut_made").isNull(), F.col("cut_known") == 0)),
+        "label known": rows.where(unlike(F.col("home").isNull(), labelled == 0)),
+        "record or copies": rows.where((F.col("record_decks") > n) | (F.col("copies") < n)),
+        "win rate known": rows.where(unlike(F.col("win_rate").isNull(), games == 0)),
+        "bounds": rows.where((F.col("event_count") > n) | (F.col("cut_known") > n) | (F.col("cut_made") > F.col("cut_known"))),
+        "labelled decks": rows.where((support > labelled) | (labelled > n)),
+        "unscored card": rows.join(scores.select(*key), key, "left_anti"),
+        "unknown card": scores.join(rows.select(*key), key, "left_anti"),
+        "repeated score": repeated(scores, *key),
+        "not finite": not_finite(scores, "score"),
+        "incomplete run": incomplete(rows, scores, outputs),
+    }
+
+
+def overall_run(cards: DataFrame, graded: DataFrame, components: DataFrame, scores: DataFrame, own: str = "OVERALL") -> dict[str, DataFrame]:
+    """The same of an overall run: its cards (pooled usage), the (card_id, format) that graded them, its components'
+    formats, and its scores."""
+    n = F.col("deck_count")
+    return {
+        "repeated component": repeated(components, "format"),
+        "own component": components.where(F.col("format") == own),
+        "repeated card": repeated(cards, "card_id"),
+        "cut known": cards.where(unlike(F.col("cut_made").isNull(), F.col("cut_known") == 0)),
+        "counts": cards.where((F.col("event_count") > n) | (F.col("cut_known") > n) | (F.col("copies") < n)),
+        "no component": graded.join(components, "format", "left_anti"),
+        "unscored card": cards.join(scores.select("card_id"), "card_id", "left_anti"),
+        "unknown card": scores.join(cards.select("card_id"), "card_id", "left_anti"),
+        "repeated score": repeated(scores, "card_id"),
+        "not finite": not_finite(scores, "score"),
+    }
+
+
 def counts(checks: Mapping[str, DataFrame]) -> DataFrame:
     """(rule, violations) of every check."""
     return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, rows in checks.items()])

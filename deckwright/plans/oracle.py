@@ -24,17 +24,34 @@ all_standings AS (
          CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN true WHEN substr(o_orderpriority, 1, 1) IN ('3', '4') THEN false END AS made_cut
   FROM entries),
 cards AS (
-  SELECT p_partkey AS card_id, p_name AS name, p_type AS type_line,
+  SELECT p_partkey AS card_id, CASE WHEN p_partkey % 40 = 0 THEN ['Forest', 'Island', 'Mountain', 'Plains', 'Snow-Covered Forest', 'Snow-Covered Island', 'Snow-Covered Mountain', 'Snow-Covered Plains', 'Snow-Covered Swamp', 'Snow-Covered Wastes', 'Swamp', 'Wastes'][CAST((p_partkey // 40) % 12 + 1 AS INT)] ELSE p_name END AS name,
+         CASE WHEN p_partkey % 9 <> 0 THEN kind END AS type_line, CASE WHEN p_partkey % 9 <> 0 THEN p_name || ' ' || p_brand END AS oracle_text,
+         CASE WHEN p_partkey % 9 = 0 THEN [kind, 'Sorcery'] END AS face_types, CASE WHEN p_partkey % 9 = 0 THEN [p_name, p_brand] END AS face_texts,
          CASE WHEN p_size % 7 <> 0 THEN list_filter([CASE WHEN p_size & 1 <> 0 THEN 'W' END, CASE WHEN p_size & 2 <> 0 THEN 'U' END, CASE WHEN p_size & 4 <> 0 THEN 'B' END, CASE WHEN p_size & 8 <> 0 THEN 'R' END, CASE WHEN p_size & 16 <> 0 THEN 'G' END], lambda x: x IS NOT NULL) END AS colors
-  FROM part),
+  FROM (SELECT *, ['Creature', 'Artifact Creature', 'Artifact Land', 'Instant // Land', 'Legendary Planeswalker', 'Enchantment', 'Sorcery', 'Conspiracy', 'Battle', 'Artifact', 'Tribal Instant'][CAST(p_partkey % 11 + 1 AS INT)] || ' — ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS kind FROM part)),
+basics AS (SELECT card_id FROM cards WHERE name IN ('Forest', 'Island', 'Mountain', 'Plains', 'Snow-Covered Forest', 'Snow-Covered Island', 'Snow-Covered Mountain', 'Snow-Covered Plains', 'Snow-Covered Swamp', 'Snow-Covered Wastes', 'Swamp', 'Wastes')),
 sold AS (SELECT l_partkey, l_suppkey, CAST(min(l_shipdate) AS DATE) AS released_on, min(round(l_extendedprice, 2)) AS price FROM lineitem GROUP BY ALL),
 printings AS (
-  SELECT l_partkey * 100000 + l_suppkey AS printing_id, l_partkey AS card_id, 'S' || CAST(s_nationkey AS VARCHAR) AS set_code,
+  SELECT l_partkey * 100000 + l_suppkey AS printing_id, l_partkey AS card_id, CASE WHEN l_suppkey % 4 = 0 THEN 'p' ELSE '' END || 'S' || CAST(s_nationkey % 3 AS VARCHAR) AS set_code,
+         CASE WHEN (l_partkey + l_suppkey) % 17 = 0 THEN 'A' ELSE '' END || CAST(l_suppkey % 90 AS VARCHAR) || CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN 'b' ELSE '' END AS collector_number,
+         (l_partkey + l_suppkey) % 19 = 0 AS digital, (l_partkey + l_suppkey) % 23 = 0 AS oversized, CASE WHEN (l_partkey + l_suppkey) % 31 = 0 THEN 'memorabilia' ELSE 'core' END AS set_type, CASE WHEN (l_partkey + l_suppkey) % 37 = 0 THEN 'gold' ELSE 'black' END AS border_color,
          ['common', 'uncommon', 'rare', 'mythic'][(l_partkey + l_suppkey) % 4 + 1] AS rarity, CASE WHEN l_suppkey % 3 <> 0 THEN 'en' ELSE 'ja' END AS language,
-         CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN ['online'] ELSE ['paper', 'online'] END AS games, released_on,
-         CASE WHEN (l_partkey + l_suppkey) % 11 <> 0 THEN CAST(price / 1000 AS DECIMAL(12, 2)) END AS usd,
+         CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN ['online'] ELSE ['paper', 'online'] END AS games,
+         CASE WHEN (l_partkey + l_suppkey) % 13 = 0 THEN CAST(date_trunc('year', released_on) AS DATE) WHEN (l_partkey + l_suppkey) % 29 <> 0 THEN released_on END AS released_on,
+         CASE WHEN (l_partkey + l_suppkey) % 4 = 1 THEN CAST(CAST(price / 1000 AS DECIMAL(12, 2)) - 1 AS DECIMAL(12, 2)) END AS usd_etched,
+         CASE WHEN (l_partkey + l_suppkey) % 7 = 0 THEN CAST(0 AS DECIMAL(12, 2)) WHEN (l_partkey + l_suppkey) % 11 <> 0 THEN CAST(price / 1000 AS DECIMAL(12, 2)) END AS usd,
          CASE WHEN (l_partkey + l_suppkey) % 3 = 0 THEN CAST(CAST(price / 1000 AS DECIMAL(12, 2)) * 2 AS DECIMAL(12, 2)) END AS usd_foil
   FROM sold JOIN supplier ON l_suppkey = s_suppkey),
+originals AS (
+  SELECT p.*, row_number() OVER (PARTITION BY card_id ORDER BY language <> 'en', NOT list_contains(games, 'paper'),
+           set_code LIKE 'p%' AND EXISTS (SELECT 1 FROM printings o WHERE o.card_id = p.card_id AND 'p' || o.set_code = p.set_code),
+           coalesce(released_on + CASE WHEN dayofyear(released_on) = 1 THEN 364 ELSE 0 END, DATE '9999-12-31'),
+           coalesce(try_cast(regexp_extract(collector_number, '^[0-9]+') AS DOUBLE), CAST('NaN' AS DOUBLE)), collector_number, printing_id) AS place
+  FROM printings p),
+offers AS (
+  SELECT card_id, printing_id, unnest([usd, usd_foil, usd_etched]) AS usd FROM printings
+  WHERE list_contains(games, 'paper') AND NOT digital AND NOT oversized AND set_type <> 'memorabilia' AND border_color <> 'gold'),
+sideboards AS (SELECT l_orderkey AS deck_id, l_partkey AS card_id, 1 + CAST(floor(min(l_quantity)) AS INT) % 3 AS copies FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 3 GROUP BY ALL),
 commanders AS (
   SELECT deck_id, pos, card_id FROM (
     SELECT deck_id, card_id, row_number() OVER (PARTITION BY deck_id ORDER BY q DESC, card_id) AS pos
@@ -83,7 +100,7 @@ features AS (
          CAST(f.cut_made AS DOUBLE) / nullif(CAST(f.cut_known AS DOUBLE), 0) AS field_cut, f.early AS field_early, f.late AS field_late,
          CAST(u.deck_count AS DOUBLE) / CAST(f.deck_count AS DOUBLE) AS incidence, CAST(u.cut_made AS DOUBLE) / nullif(CAST(u.cut_known AS DOUBLE), 0) AS cut_rate,
          c.labelled, c.concentration, fc.concentration AS field_concentration, t.label AS home, t.decks AS home_support, h.n AS home_decks
-  FROM usage u JOIN field f USING (format) LEFT JOIN field_concentration fc USING (format) LEFT JOIN concentration c USING (format, card_id)
+  FROM (SELECT * FROM usage WHERE card_id NOT IN (SELECT card_id FROM basics)) u JOIN field f USING (format) LEFT JOIN field_concentration fc USING (format) LEFT JOIN concentration c USING (format, card_id)
   LEFT JOIN (SELECT * FROM top_labels WHERE place = 1) t USING (format, card_id)
   LEFT JOIN (SELECT format, label, count(*) AS n FROM decks WHERE label IS NOT NULL GROUP BY ALL) h ON h.format = u.format AND h.label = t.label)
 """
@@ -113,8 +130,32 @@ constructed AS (SELECT format, card_id, 1e2 * {midrank('m')} AS score FROM mixed
 rankings AS (SELECT c.*, rank() OVER (PARTITION BY format ORDER BY score DESC NULLS LAST) AS ranking FROM constructed c)"""
 
 
-def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
-    """``earlier``: the rules of the runs before."""
+#: The groups of a deck list, from the front face's words before the dash.
+GROUP = "CASE " + " ".join(f"WHEN list_contains(string_split(trim(lower(split_part(split_part(shown, ' // ', 1), '—', 1))), ' '), '{g}') THEN '{g}'" for g in ("creature", "land", "planeswalker", "battle", "instant", "sorcery", "artifact", "enchantment")) + " ELSE 'misc' END"
+
+#: Checks of a score run over ``run`` and ``scores``.
+RUN_RULES = {
+    "repeated card": "FROM (SELECT 1 FROM run GROUP BY format, card_id HAVING count(*) > 1)",
+    "cut known": "FROM run WHERE (cut_made IS NULL) <> (cut_known = 0)",
+    "label known": "FROM run WHERE (home IS NULL) <> (coalesce(labelled, 0) = 0)",
+    "record or copies": "FROM run WHERE record_decks > deck_count OR copies < deck_count",
+    "win rate known": "FROM run WHERE (win_rate IS NULL) <> (wins + losses + draws = 0)",
+    "bounds": "FROM run WHERE event_count > deck_count OR cut_known > deck_count OR cut_made > cut_known",
+    "labelled decks": "FROM run WHERE coalesce(home_support, 0) > coalesce(labelled, 0) OR coalesce(labelled, 0) > deck_count",
+    "unscored card": "FROM run ANTI JOIN scores USING (format, card_id)",
+    "unknown card": "FROM scores ANTI JOIN run USING (format, card_id)",
+    "repeated score": "FROM (SELECT 1 FROM scores GROUP BY format, card_id HAVING count(*) > 1)",
+    "not finite": "FROM scores WHERE isnan(score) OR isinf(score)",
+    "incomplete run": "FROM (SELECT format, count(*) AS n FROM run GROUP BY format) FULL JOIN (SELECT format, count(*) AS m FROM scores GROUP BY format) USING (format) WHERE n IS DISTINCT FROM m",
+}
+
+
+def violations(rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS violations {text}" for rule, text in rules.items())
+
+
+def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
+    """``earlier``: the rules of the runs before; ``runs``: a registry."""
     base = BINDING.format(rules=rules, excluded=excluded).rstrip()
     scored = base + "," + CONSTRUCTED
     before = BINDING.format(rules=earlier, excluded=excluded).rstrip() + "," + CONSTRUCTED
@@ -152,15 +193,16 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
             gems AS (SELECT *, CASE WHEN pooled >= 5e-2 THEN {blend(('7e-1', 'wl'), ('3e-1', 'cl'))} * ((CAST(playsets AS DOUBLE) + 5e0 * pooled) / (CAST(deck_count AS DOUBLE) + 5e0)) * (CAST(event_count AS DOUBLE) / (CAST(event_count AS DOUBLE) + 2e0)) * (1e0 / (1e0 + incidence / 2e-2)) END AS gem FROM parts),
             good AS (SELECT *, CASE WHEN gem > 0 THEN gem END AS g FROM gems)
             SELECT format, card_id, CASE WHEN gem > 0 THEN 1e2 * {midrank('g')} WHEN gem <= 0 THEN 0e0 END AS score FROM good""",
-        "score_max_ratio": base + " SELECT format, card_id, 1e2 * (CAST(deck_count AS DOUBLE) / CAST(max(deck_count) OVER (PARTITION BY format) AS DOUBLE)) AS score FROM usage",
+        "score_max_ratio": base + " SELECT format, card_id, 1e2 * (CAST(deck_count AS DOUBLE) / CAST(max(deck_count) OVER (PARTITION BY format) AS DOUBLE)) AS score FROM usage WHERE card_id NOT IN (SELECT card_id FROM basics)",
         "score_foundation": base + " SELECT format, card_id, least(1e2, greatest(0e0, 1e2 * incidence)) AS staple, 0e0 AS buildaround, 0e0 - least(1e2, greatest(0e0, 1e2 * incidence)) AS delta, 1e2 * 35e-2 AS staple_coverage, 0e0 AS buildaround_coverage FROM features",
         "overall_grade": scored + f""", graded AS (SELECT card_id, format, score, deck_count AS decks, CAST(deck_count AS DOUBLE) / (CAST(deck_count AS DOUBLE) + 25e1) AS w FROM constructed JOIN usage USING (format, card_id) WHERE score IS NOT NULL),
             summed AS (SELECT card_id, count(*) AS formats, CAST(sum(decks) AS BIGINT) AS decks, list_reduce(list_prepend(0e0, list(w ORDER BY format)), lambda x, y: x + y) AS evidence, list_reduce(list_prepend(0e0, list(w * score ORDER BY format)), lambda x, y: x + y) AS total FROM graded GROUP BY card_id),
             mixed2 AS (SELECT *, (total + 5e1) / (evidence + 1e0) AS m, 1 AS one FROM summed)
             SELECT card_id, formats, decks, evidence, 1e2 * {midrank('m', 'one')} AS score FROM mixed2""",
         "overall_pooled_usage": base + """ SELECT card_id, CAST(sum(deck_count) AS BIGINT) AS deck_count, CAST(sum(event_count) AS BIGINT) AS event_count, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(playsets) AS BIGINT) AS playsets, CAST(sum(cut_known) AS BIGINT) AS cut_known, CAST(sum(cut_made) AS BIGINT) AS cut_made,
-            CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses, CAST(sum(draws) AS BIGINT) AS draws, list_reduce(list_prepend(0e0, list(coalesce(CAST(cut_known AS DOUBLE) * field_cut, 0e0) ORDER BY format)), lambda x, y: x + y) AS expected,
-            CAST(sum(cut_made) AS DOUBLE) / nullif(list_reduce(list_prepend(0e0, list(coalesce(CAST(cut_known AS DOUBLE) * field_cut, 0e0) ORDER BY format)), lambda x, y: x + y), 0e0) AS cut_lift FROM features GROUP BY card_id""",
+            CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses, CAST(sum(draws) AS BIGINT) AS draws, list_reduce(list_prepend(0e0, list(CASE WHEN cut_made IS NOT NULL AND field_cut <> 0 THEN CAST(cut_known AS DOUBLE) * field_cut ELSE 0e0 END ORDER BY format)), lambda x, y: x + y) AS expected,
+            CAST(sum(cut_made) FILTER (field_cut <> 0) AS DOUBLE) / nullif(list_reduce(list_prepend(0e0, list(CASE WHEN cut_made IS NOT NULL AND field_cut <> 0 THEN CAST(cut_known AS DOUBLE) * field_cut ELSE 0e0 END ORDER BY format)), lambda x, y: x + y), 0e0) AS cut_lift,
+            list_reduce(list_prepend(0e0, list(coalesce((win_rate - field_win) * CAST(games AS DOUBLE), 0e0) ORDER BY format)), lambda x, y: x + y) / nullif(CAST(sum(games) FILTER (win_rate - field_win IS NOT NULL) AS DOUBLE), 0e0) AS win_delta FROM features GROUP BY card_id""",
         "rankings_page": scored + " SELECT format, card_id, score, ranking FROM rankings ORDER BY ranking, format, card_id LIMIT 25 OFFSET 10",
         "rankings_filtered_keeps_rank": scored + " SELECT r.format, card_id, r.score, r.ranking FROM rankings r JOIN cards USING (card_id) WHERE list_has_any(colors, ['U', 'R']) OR len(colors) = 0",
         "compare_formats": scored + " SELECT card_id, any_value(name) AS name, count(*) AS formats, arg_min(format, (-score, format)) AS best_format, max(score) AS best, CAST(min(ranking) AS BIGINT) AS best_ranking FROM rankings JOIN cards USING (card_id) WHERE score IS NOT NULL GROUP BY card_id",
@@ -174,18 +216,19 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
         "published_deck_order": base + " SELECT format, deck_id, row_number() OVER (PARTITION BY format ORDER BY occurred_on DESC, event_id, source_ord) - 1 AS position FROM decks",
         "card_decks_page": base + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY format ORDER BY occurred_on DESC, event_id, source_ord) - 1 AS position FROM decks)
             SELECT o.format, o.deck_id, o.position, o.event_id, copies FROM ordered o JOIN deck_cards USING (deck_id) WHERE card_id = 17 ORDER BY o.format, o.position LIMIT 20""",
-        "deck_list": base + """ SELECT d.deck_id, 'main' AS zone, card_id, name, copies, CASE WHEN contains(lower(type_line), 'creature') THEN 'creature' ELSE 'other' END AS deck_group FROM decks d JOIN deck_cards USING (deck_id) JOIN cards USING (card_id) WHERE d.deck_id % 50 = 1
-            UNION ALL SELECT deck_id, 'commander', card_id, name, 1, CASE WHEN contains(lower(type_line), 'creature') THEN 'creature' ELSE 'other' END FROM commanders JOIN decks USING (deck_id) JOIN cards USING (card_id)""",
+        "deck_list": base + f""", shown AS (SELECT *, coalesce(type_line, array_to_string(face_types, ' // ')) AS shown FROM cards),
+            zones AS (SELECT deck_id, 'main' AS zone, card_id, copies FROM deck_cards UNION ALL SELECT deck_id, 'side', card_id, copies FROM sideboards UNION ALL SELECT deck_id, 'commander', card_id, 1 FROM commanders)
+            SELECT z.deck_id, zone, card_id, name, copies, {GROUP} AS deck_group FROM zones z JOIN decks USING (deck_id) LEFT JOIN shown USING (card_id)""",
         "representative_printing": base + " SELECT card_id, printing_id, set_code, language, released_on FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY language <> 'en', released_on DESC, printing_id) AS n FROM printings) WHERE n = 1",
-        "original_first_preview": base + " SELECT card_id, printing_id, set_code, released_on, printings FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY NOT list_contains(games, 'paper'), language <> 'en', coalesce(released_on, DATE '9999-12-31'), set_code, printing_id) AS n, count(*) OVER (PARTITION BY card_id) AS printings FROM printings) WHERE n = 1",
-        "catalog_joint_printing": base + " SELECT card_id, count(*) AS eligible FROM printings WHERE set_code IN ('S1', 'S2', 'S3') AND rarity IN ('rare', 'mythic') AND list_contains(games, 'paper') GROUP BY card_id",
+        "original_first_preview": base + " SELECT card_id, printing_id, set_code, released_on, printings FROM originals JOIN (SELECT card_id, count(*) AS printings FROM printings GROUP BY card_id) USING (card_id) WHERE place = 1",
+        "catalog_joint_printing": base + " SELECT card_id, count(*) AS eligible FROM printings WHERE set_code IN ('S1', 'pS2') AND rarity IN ('rare', 'mythic') AND list_contains(games, 'paper') GROUP BY card_id",
         "catalog_keyset_page": base + " SELECT lower(name) AS name_key, card_id FROM cards WHERE lower(name) > 'blue' OR (lower(name) = 'blue' AND card_id > 5) ORDER BY 1, 2 LIMIT 26",
-        "printing_keyset_page": base + ", own AS (SELECT *, row_number() OVER (ORDER BY released_on DESC NULLS LAST, set_code, printing_id) AS place FROM printings WHERE card_id = 17) SELECT printing_id, set_code, released_on, place FROM own WHERE place > 3 ORDER BY place LIMIT 11",
-        "cheapest_price": base + ", offers AS (SELECT card_id, printing_id, unnest([usd, usd_foil]) AS usd FROM printings WHERE list_contains(games, 'paper')) SELECT card_id, usd, printing_id FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY usd, printing_id) AS n FROM offers WHERE usd IS NOT NULL) WHERE n = 1",
-        "score_per_dollar": scored + ", offers AS (SELECT card_id, printing_id, unnest([usd, usd_foil]) AS usd FROM printings WHERE list_contains(games, 'paper')) SELECT format, card_id, score / CAST(min(usd) AS DOUBLE) AS per_dollar FROM constructed JOIN offers USING (card_id) WHERE usd > 0 GROUP BY format, card_id, score",
+        "printing_keyset_page": base + " SELECT printing_id, set_code, released_on, collector_number FROM originals WHERE card_id = 17 AND place > 3 ORDER BY place LIMIT 11",
+        "cheapest_price": base + " SELECT card_id, usd, printing_id FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY usd, printing_id) AS n FROM offers WHERE usd > 0) WHERE n = 1",
+        "score_per_dollar": scored + " SELECT format, card_id, score / CAST(min(usd) AS DOUBLE) AS per_dollar FROM constructed JOIN offers USING (card_id) WHERE usd > 0 GROUP BY format, card_id, score",
         "color_overlap": base + " SELECT card_id, array_to_string(colors, '') AS colors FROM cards WHERE list_has_any(colors, ['W', 'G'])",
         "color_identity_subset": base + " SELECT card_id, array_to_string(colors, '') AS colors FROM cards WHERE colors IS NOT NULL AND len(list_filter(colors, lambda x: x NOT IN ('W', 'U'))) = 0",
-        "type_regex_filter": base + " SELECT card_id, type_line FROM cards WHERE regexp_matches(type_line, '(?i)(^|//)[^—/]*\\bECONOMY\\b')",
+        "type_regex_filter": base + " SELECT card_id, type_line FROM cards WHERE regexp_matches(type_line, '(^|//)[^—/]*\\bLand\\b')",
         "name_search": base + " SELECT card_id, name FROM cards WHERE contains(lower(name), 'ring')",
         "modal_names": base + " SELECT type_line, name FROM (SELECT type_line, name, row_number() OVER (PARTITION BY type_line ORDER BY count(*) DESC, name) AS n FROM cards GROUP BY type_line, name) WHERE n = 1",
         "coverage_classes": base + " SELECT event_id, CASE WHEN players <= 0 THEN 'UNKNOWN' WHEN decklists <= 0 THEN 'NONE' WHEN decklists < players THEN 'PARTIAL' ELSE 'FULL_FIELD' END AS class FROM all_events",
@@ -200,6 +243,36 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
         "cooccurrence_lift": base + """, c AS (SELECT format, card_id, count(*) AS n FROM facts GROUP BY ALL), f AS (SELECT format, count(DISTINCT deck_id) AS n FROM facts GROUP BY format)
             SELECT p.*, CAST(together AS DOUBLE) * CAST(f.n AS DOUBLE) / CAST(x.n * y.n AS DOUBLE) AS lift FROM (SELECT l.format, l.card_id AS a, r.card_id AS b, count(*) AS together FROM facts l JOIN facts r ON l.deck_id = r.deck_id AND l.card_id < r.card_id GROUP BY ALL HAVING count(*) >= 2) p
             JOIN c x ON x.format = p.format AND x.card_id = a JOIN c y ON y.format = p.format AND y.card_id = b JOIN f ON f.format = p.format""",
+        "joint_with_preview": base + " SELECT card_id, eligible, printings, printing_id AS preview FROM (SELECT card_id, count(*) AS eligible FROM printings WHERE set_code IN ('S1', 'pS2') AND rarity IN ('rare', 'mythic') AND list_contains(games, 'paper') GROUP BY card_id) JOIN (SELECT card_id, count(*) AS printings FROM printings GROUP BY card_id) USING (card_id) JOIN (SELECT card_id, printing_id FROM originals WHERE place = 1) USING (card_id)",
+        "collector_order": base + " SELECT card_id, printing_id, row_number() OVER (PARTITION BY card_id ORDER BY coalesce(try_cast(regexp_extract(collector_number, '^[0-9]+') AS DOUBLE), CAST('NaN' AS DOUBLE)), collector_number, printing_id) AS place FROM printings",
+        "printing_summary": base + " SELECT count(*) AS printings, count(DISTINCT card_id) AS cards, min(released_on) AS first, max(released_on) AS last, string_agg(DISTINCT set_code, ',' ORDER BY set_code) AS sets FROM printings",
+        "unplayed_cards": base + " SELECT card_id FROM cards WHERE card_id NOT IN (SELECT card_id FROM facts)",
+        "unscored_cards": base + " SELECT format, card_id, deck_count FROM usage WHERE card_id IN (SELECT card_id FROM basics)",
+        "rankings_min_decks": scored + " SELECT format, card_id, deck_count, ranking FROM rankings JOIN usage USING (format, card_id) WHERE deck_count >= 5",
+        "compare_by_run": scored + """ SELECT card_id, name, chosen, runs FROM (SELECT card_id, max(score) FILTER (format = 'ASIA') AS chosen, string_agg(format || ':' || CAST(ranking AS VARCHAR), ',' ORDER BY format) AS runs FROM rankings GROUP BY card_id) JOIN cards USING (card_id) ORDER BY chosen DESC NULLS LAST, card_id LIMIT 25""",
+        "overall_components": scored + " SELECT format, weight, count(score) AS scored, max(score) AS best FROM constructed JOIN (VALUES ('ASIA', 1e0), ('EUROPE', 5e-1), ('NOWHERE', 2e0)) AS c(format, weight) USING (format) GROUP BY ALL",
+        "version_union": base + " SELECT format, string_agg(DISTINCT 'v' || CAST(deck_id % 3 AS VARCHAR), '+' ORDER BY 'v' || CAST(deck_id % 3 AS VARCHAR)) AS version FROM decks GROUP BY format",
+        "run_windows": f"WITH runs AS (SELECT * FROM (VALUES {runs}) AS t(run_id, source, format, method, starts_on, made, active)) SELECT DISTINCT ON (source, format, starts_on) source, format, starts_on, run_id FROM runs ORDER BY source, format, starts_on, active DESC, made DESC, run_id",
+        "previous_run": f"WITH runs AS (SELECT * FROM (VALUES {runs}) AS t(run_id, source, format, method, starts_on, made, active) WHERE active) SELECT r.run_id, (SELECT o.run_id FROM runs o WHERE o.source = r.source AND o.format = r.format AND o.method = r.method AND (o.starts_on, o.run_id) < (r.starts_on, r.run_id) ORDER BY o.starts_on DESC, o.run_id DESC LIMIT 1) AS previous_id FROM runs r",
+        "score_completeness": base + """ SELECT format, 2 * n AS expected, given, 2 * n = given AS complete FROM (SELECT format, count(*) AS n FROM usage WHERE card_id NOT IN (SELECT card_id FROM basics) GROUP BY format)
+            LEFT JOIN (SELECT format, 2 * count(*) AS given FROM features WHERE home IS NOT NULL GROUP BY format) USING (format)""",
+        "deck_headers": base + " SELECT format, deck_id, event_id, occurred_on, label, made_cut, CASE WHEN known THEN wins END AS wins, CASE WHEN known THEN losses END AS losses, CASE WHEN known THEN draws END AS draws FROM results",
+        "deck_mainboards": base + " SELECT deck_id, string_agg(CAST(card_id AS VARCHAR), ',' ORDER BY card_id) AS cards FROM deck_cards GROUP BY deck_id",
+        "event_projection": base + " SELECT event_id, occurred_on, format, players, decklists, CAST(decklists AS DOUBLE) / nullif(CAST(players AS DOUBLE), 0) AS coverage, CASE WHEN players <= 0 THEN 'UNKNOWN' WHEN decklists <= 0 THEN 'NONE' WHEN decklists < players THEN 'PARTIAL' ELSE 'FULL_FIELD' END AS class FROM all_events",
+        "deck_zones": "SELECT deck_id, zone, count(*) FILTER (ok) AS cards, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS copies, count(*) FILTER (NOT ok) AS skipped FROM (SELECT l_orderkey AS deck_id, CASE WHEN l_returnflag = 'R' THEN 'side' ELSE 'main' END AS zone, CAST(floor(l_quantity) AS INT) % 5 AS n, l_partkey % 50 <> 0 AND CAST(floor(l_quantity) AS INT) % 5 > 0 AS ok FROM lineitem) GROUP BY deck_id, zone",
+        "score_run_violations": scored + ", run AS (SELECT * FROM features), scores AS (SELECT * FROM constructed) " + violations(RUN_RULES),
+        "score_run_seeded": scored + """, seeded AS (SELECT * REPLACE (CASE WHEN card_id % 7 <> 0 THEN cut_made END AS cut_made, CASE WHEN card_id % 5 <> 0 THEN home END AS home, CASE WHEN card_id % 11 = 0 THEN deck_count + 1 ELSE record_decks END AS record_decks, CASE WHEN card_id % 13 <> 0 THEN win_rate END AS win_rate,
+            CASE WHEN card_id % 17 = 0 THEN deck_count + 2 ELSE event_count END AS event_count, CASE WHEN card_id % 19 = 0 THEN deck_count + 1 ELSE labelled END AS labelled) FROM features), run AS (SELECT * FROM seeded UNION ALL SELECT * FROM seeded WHERE card_id % 37 = 0),
+            off AS (SELECT format, CASE WHEN card_id % 29 = 0 THEN card_id + 1000000 ELSE card_id END AS card_id, score FROM constructed WHERE card_id % 23 <> 0), nans AS (SELECT format, card_id, CASE WHEN card_id % 31 = 0 THEN CAST('NaN' AS DOUBLE) ELSE score END AS score FROM off), scores AS (SELECT * FROM nans UNION ALL SELECT * FROM nans WHERE card_id % 41 = 0) """ + violations(RUN_RULES),
+        "overall_run_violations": scored + """, pooled AS (SELECT card_id, sum(deck_count) AS n, sum(event_count) AS e, CASE WHEN card_id % 9 = 0 THEN 0 ELSE sum(copies) END AS c, sum(cut_known) AS k, sum(cut_made) AS m FROM features GROUP BY card_id),
+            comps AS (SELECT format FROM rules WHERE format <> 'ASIA'), given AS (SELECT DISTINCT card_id FROM features WHERE card_id % 8 <> 0) """ + violations({
+            "repeated component": "FROM (SELECT 1 FROM comps GROUP BY format HAVING count(*) > 1)", "own component": "FROM comps WHERE format = 'OVERALL'", "repeated card": "FROM (SELECT 1 FROM pooled GROUP BY card_id HAVING count(*) > 1)",
+            "cut known": "FROM pooled WHERE (m IS NULL) <> (k = 0)", "counts": "FROM pooled WHERE e > n OR k > n OR c < n", "no component": "FROM constructed ANTI JOIN comps USING (format) WHERE score IS NOT NULL",
+            "unscored card": "FROM pooled ANTI JOIN given USING (card_id)", "unknown card": "FROM given ANTI JOIN pooled USING (card_id)", "repeated score": "FROM (SELECT 1 FROM given GROUP BY card_id HAVING count(*) > 1)", "not finite": "FROM given WHERE false",
+        }),
+        "search_type": base + " SELECT card_id FROM cards WHERE contains(lower(type_line), 'sorc') OR len(list_filter(face_types, lambda x: contains(lower(x), 'sorc'))) > 0",
+        "search_text": base + " SELECT card_id FROM cards WHERE contains(lower(oracle_text), 'brand#1') OR len(list_filter(face_texts, lambda x: contains(lower(x), 'brand#1'))) > 0",
+        "search_everywhere": base + " SELECT card_id FROM cards WHERE contains(lower(name), 'ar') OR contains(lower(type_line), 'ar') OR contains(lower(oracle_text), 'ar') OR len(list_filter(face_types, lambda x: contains(lower(x), 'ar'))) > 0 OR len(list_filter(face_texts, lambda x: contains(lower(x), 'ar'))) > 0",
         "event_windows": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     }
     return {name: " ".join(text.split()) if name != "type_regex_filter" else text for name, text in out.items()}

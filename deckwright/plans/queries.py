@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..bindings.tpch import Tables
 from ..functions.stats import LETTERS, grade
 from ..functions.text import ascii_name_key, html_text, name_key
-from ..operators import catalog, cohort, ingest, scoring, serving, usage, validate
+from ..operators import catalog, cohort, ingest, players, scoring, serving, usage, validate
 from ..streaming import trend
 from . import oracle
 
@@ -19,6 +19,10 @@ from . import oracle
 RULES = [(f, dt.date(y, 1, 1), dt.date(y + 1, 1, 1), 0.9, 2) for f, y in (("AFRICA", 1997), ("AMERICA", 1997), ("ASIA", 1997), ("EUROPE", 1998))]
 EARLIER = [(f, a.replace(year=a.year - 1), a, c, p) for f, a, _, c, p in RULES]
 EXCLUDED = [("ASIA-1997-03", "duplicate report"), ("EUROPE-1998-07", "team event")]
+#: Runs as a registry lists them: id, source, format, method, first day, when made, active.
+RUN = "run_id string, source string, format string, method string, starts_on date, made int, active boolean"
+RUNS = [(f"{f}-{y}-{n}", "tpch", f, "constructed", dt.date(y, 1, 1), n, n == 2 or y == 1996) for f in ("AFRICA", "ASIA") for y in (1996, 1997, 1998) for n in (1, 2, 3)]
+OVERALL = '[{"format": "ASIA", "weight": 1.0}, {"format": "EUROPE", "weight": 0.5}, {"format": "NOWHERE", "weight": 2.0}]'
 #: Least share of an archetype's decks that a core card is in; lines of orders are spread over all parts.
 CORE_SHARE = 0.004
 
@@ -34,7 +38,11 @@ class Run:
         self.facts = usage.lines(self.cohort, self.t.deck_cards)
 
     def features(self) -> DataFrame:
-        return scoring.features(self.cohort, self.facts)
+        return cohort.scored_population(scoring.features(self.cohort, self.facts), self.t.cards)
+
+    def usage(self) -> DataFrame:
+        """Of the scored population."""
+        return cohort.scored_population(usage.card_usage(self.facts), self.t.cards)
 
     def constructed(self) -> DataFrame:
         return scoring.run_method("constructed", self.features())
@@ -103,7 +111,7 @@ def score_hidden_gem(r: Run) -> DataFrame:
 
 
 def score_max_ratio(r: Run) -> DataFrame:
-    return scoring.run_method("max-ratio", usage.card_usage(r.facts))
+    return scoring.run_method("max-ratio", r.usage())
 
 
 def score_foundation(r: Run) -> DataFrame:
@@ -111,7 +119,7 @@ def score_foundation(r: Run) -> DataFrame:
 
 
 def overall_grade(r: Run) -> DataFrame:
-    return scoring.overall(r.constructed().join(usage.card_usage(r.facts).select("format", "card_id", F.col("deck_count").alias("decks")), ["format", "card_id"]))
+    return scoring.overall(r.constructed().join(r.usage().select("format", "card_id", F.col("deck_count").alias("decks")), ["format", "card_id"]))
 
 
 def overall_pooled_usage(r: Run) -> DataFrame:
@@ -178,7 +186,9 @@ def deck_list(r: Run) -> DataFrame:
     decks = r.cohort.decks.select("deck_id")
     main = decks.join(r.t.deck_cards, "deck_id").select("deck_id", F.lit("main").alias("zone"), "card_id", "copies")
     apart = decks.join(r.t.commanders, "deck_id").select("deck_id", F.lit("commander").alias("zone"), "card_id", F.lit(1).alias("copies"))
-    return main.unionByName(apart).join(r.t.cards, "card_id").select("deck_id", "zone", "card_id", "name", "copies", catalog.deck_group(F.col("type_line")).alias("deck_group"))
+    side = decks.join(r.t.sideboards, "deck_id").select("deck_id", F.lit("side").alias("zone"), "card_id", "copies")
+    shown = r.t.cards.withColumn("type_line", F.coalesce("type_line", F.array_join(F.transform("faces", lambda f: f["type_line"]), " // ")))
+    return main.unionByName(side).unionByName(apart).join(shown, "card_id", "left").select("deck_id", "zone", "card_id", "name", "copies", catalog.deck_group(F.col("type_line")).alias("deck_group"))
 
 
 def representative_printing(r: Run) -> DataFrame:
@@ -190,7 +200,128 @@ def original_first_preview(r: Run) -> DataFrame:
 
 
 def catalog_joint_printing(r: Run) -> DataFrame:
-    return catalog.joint(r.t.printings, ["S1", "S2", "S3"], ["rare", "mythic"], "paper")
+    return catalog.joint(r.t.printings, ["S1", "pS2"], ["rare", "mythic"], "paper")
+
+
+def joint_with_preview(r: Run) -> DataFrame:
+    """How many printings are eligible, beside the card's preview."""
+    return catalog_joint_printing(r).join(catalog.original_first(r.t.printings), "card_id").select("card_id", "eligible", "printings", F.col("printing_id").alias("preview"))
+
+
+def collector_order(r: Run) -> DataFrame:
+    """A card's printings by collector number, those that start with none last."""
+    order = Window.partitionBy("card_id").orderBy(catalog.leading_number(F.col("collector_number")), "collector_number", "printing_id")
+    return r.t.printings.select("card_id", "printing_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+def printing_summary(r: Run) -> DataFrame:
+    sets = F.array_join(F.array_sort(F.collect_set("set_code")), ",")
+    return r.t.printings.agg(F.count("*").alias("printings"), F.countDistinct("card_id").alias("cards"), F.min("released_on").alias("first"), F.max("released_on").alias("last"), sets.alias("sets"))
+
+
+def unplayed_cards(r: Run) -> DataFrame:
+    return r.t.cards.select("card_id").join(r.facts.select("card_id"), "card_id", "left_anti")
+
+
+def unscored_cards(r: Run) -> DataFrame:
+    """Basic lands of the runs: used, but not scored."""
+    return usage.card_usage(r.facts).join(r.usage().select("format", "card_id"), ["format", "card_id"], "left_anti").select("format", "card_id", "deck_count")
+
+
+def rankings_min_decks(r: Run) -> DataFrame:
+    """Cards of at least five decks keep the rank that they have among all."""
+    return r.rankings().join(r.usage().where("deck_count >= 5").select("format", "card_id", "deck_count"), ["format", "card_id"]).select("format", "card_id", "deck_count", "ranking")
+
+
+def compare_by_run(r: Run) -> DataFrame:
+    page = serving.compare_page(r.rankings(), "ASIA", 25, r.t.cards.select("card_id", "name"))
+    listed = F.array_sort(F.transform(F.map_entries("runs"), lambda e: F.concat_ws(":", e["key"], e["value"]["ranking"].cast("string"))))
+    return page.select("card_id", "name", "chosen", F.array_join(listed, ",").alias("runs"))
+
+
+def overall_components(r: Run) -> DataFrame:
+    """The runs that an overall run names as JSON, with their scored cards and best scores."""
+    named = r.spark.createDataFrame([(OVERALL,)], "components string")
+    parts = named.select(F.explode(F.from_json("components", "array<struct<format:string,weight:double>>")).alias("c")).select("c.format", "c.weight")
+    return r.constructed().join(F.broadcast(parts), "format").groupBy("format", "weight").agg(F.count("score").alias("scored"), F.max("score").alias("best"))
+
+
+def version_union(r: Run) -> DataFrame:
+    return cohort.one_version(r.cohort.decks.select("format", F.concat(F.lit("v"), (F.col("deck_id") % 3).cast("string")).alias("version")))
+
+
+def run_windows(r: Run) -> DataFrame:
+    return serving.windows(r.spark.createDataFrame(RUNS, RUN)).select("source", "format", "starts_on", "run_id")
+
+
+def previous_run(r: Run) -> DataFrame:
+    return serving.previous_run(r.spark.createDataFrame(RUNS, RUN).where("active"))
+
+
+def score_completeness(r: Run) -> DataFrame:
+    """Per run the values that its scores should hold, and do."""
+    cards = r.usage().groupBy("format").agg((F.count("*") * 2).alias("expected"))
+    given = scoring.run_method("signature", r.features()).groupBy("format").agg((F.count("score") + F.count("effective_archetypes")).alias("given"))
+    return cards.join(given, "format", "left").select("format", "expected", "given", (F.col("expected") == F.col("given")).alias("complete"))
+
+
+def deck_headers(r: Run) -> DataFrame:
+    return usage.deck_headers(r.cohort)
+
+
+def deck_mainboards(r: Run) -> DataFrame:
+    return usage.mainboards(r.t.deck_cards).select("deck_id", F.array_join("cards", ",").alias("cards"))
+
+
+def event_projection(r: Run) -> DataFrame:
+    return ingest.event_projection(r.t.events)
+
+
+def deck_zones(r: Run) -> DataFrame:
+    """Lines of returned goods are the side; some have no usable card, some no copies."""
+    k = F.col("l_partkey")
+    lines = r.t.raw("lineitem").select(F.col("l_orderkey").alias("deck_id"), F.when(F.col("l_returnflag") == "R", "side").otherwise("main").alias("zone"), F.when(k % 50 != 0, k).alias("card_id"), (F.col("l_quantity").cast("int") % 5).alias("copies"))
+    return ingest.zone_totals(lines)
+
+
+def claimed(r: Run) -> DataFrame:
+    return r.features().select("format", "card_id", "deck_count", "event_count", "copies", "cut_known", "cut_made", "record_decks", "wins", "losses", "draws", "win_rate", "home", "home_support", "labelled")
+
+
+def score_run_violations(r: Run) -> DataFrame:
+    return validate.counts(validate.score_run(claimed(r), r.constructed()))
+
+
+def score_run_seeded(r: Run) -> DataFrame:
+    """A run into which mistakes of every kind were put."""
+    k = F.col("card_id")
+    rows = claimed(r).withColumns({
+        "cut_made": F.when(k % 7 == 0, None).otherwise(F.col("cut_made")), "home": F.when(k % 5 == 0, None).otherwise(F.col("home")), "record_decks": F.when(k % 11 == 0, F.col("deck_count") + 1).otherwise(F.col("record_decks")),
+        "win_rate": F.when(k % 13 == 0, None).otherwise(F.col("win_rate")), "event_count": F.when(k % 17 == 0, F.col("deck_count") + 2).otherwise(F.col("event_count")), "labelled": F.when(k % 19 == 0, F.col("deck_count") + 1).otherwise(F.col("labelled")),
+    })
+    scores = r.constructed().where(k % 23 != 0).withColumn("card_id", F.when(k % 29 == 0, k + 1_000_000).otherwise(k)).withColumn("score", F.when(k % 31 == 0, F.lit(float("nan"))).otherwise(F.col("score")))
+    return validate.counts(validate.score_run(rows.unionByName(rows.where(k % 37 == 0)), scores.unionByName(scores.where(k % 41 == 0))))
+
+
+def overall_run_violations(r: Run) -> DataFrame:
+    """Of an overall run that lacks a component, a few scores and some copies."""
+    k = F.col("card_id")
+    graded = r.constructed().where("score IS NOT NULL").select("card_id", "format")
+    components = r.rules.select("format").where("format <> 'ASIA'")
+    cards = scoring.pooled_usage(r.features()).withColumn("copies", F.when(k % 9 == 0, 0).otherwise(F.col("copies")))
+    return validate.counts(validate.overall_run(cards, graded, components, r.usage().select("card_id", F.lit(1.0).alias("score")).distinct().where(k % 8 != 0)))
+
+
+def search_type(r: Run) -> DataFrame:
+    return catalog.search(r.t.cards, catalog.aliases(r.t.cards), "SORC", "type").select("card_id")
+
+
+def search_text(r: Run) -> DataFrame:
+    return catalog.search(r.t.cards, catalog.aliases(r.t.cards), "brand#1", "text").select("card_id")
+
+
+def search_everywhere(r: Run) -> DataFrame:
+    return catalog.search(r.t.cards, catalog.aliases(r.t.cards), "ar", "all").select("card_id")
 
 
 def catalog_keyset_page(r: Run) -> DataFrame:
@@ -198,10 +329,9 @@ def catalog_keyset_page(r: Run) -> DataFrame:
 
 
 def printing_keyset_page(r: Run) -> DataFrame:
-    own = r.t.printings.where("card_id = 17").withColumn("place", F.row_number().over(Window.partitionBy("card_id").orderBy(F.desc_nulls_last("released_on"), "set_code", "printing_id")))
-    third = own.where("place = 3").select(F.col("printing_id").alias("third")).first()
-    page = catalog.printing_page(r.t.printings, 17, third["third"] if third else None, 10)
-    return page.select("printing_id", "set_code", "released_on", F.col("place").cast("long").alias("place"))
+    first = catalog.printing_page(r.t.printings, 17, None, 2).select("printing_id").collect()  # three rows
+    page = catalog.printing_page(r.t.printings, 17, first[-1][0] if len(first) == 3 else None, 10)
+    return page.select("printing_id", "set_code", "released_on", "collector_number")
 
 
 def cheapest_price(r: Run) -> DataFrame:
@@ -209,7 +339,7 @@ def cheapest_price(r: Run) -> DataFrame:
 
 
 def score_per_dollar(r: Run) -> DataFrame:
-    offers = catalog.cheapest(r.t.printings).where("usd > 0")
+    offers = catalog.cheapest(r.t.printings)
     return r.constructed().join(offers, "card_id").select("format", "card_id", (F.col("score") / F.col("usd").cast("double")).alias("per_dollar"))
 
 
@@ -222,7 +352,7 @@ def color_identity_subset(r: Run) -> DataFrame:
 
 
 def type_regex_filter(r: Run) -> DataFrame:
-    return r.t.cards.where(catalog.type_filter(F.col("type_line"), "economy")).select("card_id", "type_line")
+    return r.t.cards.where(catalog.type_filter(F.col("type_line"), "land")).select("card_id", "type_line")
 
 
 def name_search(r: Run) -> DataFrame:
@@ -284,7 +414,7 @@ def fuzzy_players(r: Run) -> DataFrame:
     decks = own.select("event_id", F.lit("deck").alias("side"), F.concat_ws(" ", "f", "m", "l").alias("name"))
     seen = F.when(F.col("c_custkey") % 4 == 0, F.concat("l", F.lit("h"))).otherwise(F.col("l"))
     standings = own.select("event_id", F.lit("standing").alias("side"), F.concat(seen, F.lit(", "), "f", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(" "), "m")).otherwise(""), F.lit(" [XX]")).alias("name"))
-    return ingest.match_players(decks.unionByName(standings))
+    return players.match(decks.unionByName(standings).withColumn("ord", F.lit(0)))
 
 
 def page_text(r: Run) -> DataFrame:
@@ -299,7 +429,9 @@ QUERIES = (
     cohort_exclusions, cohort_totals, card_usage, card_top_archetypes, archetype_concentration, trend_series, archetype_cores, archetype_records, commander_archetypes, field_baseline, card_performance, score_constructed, score_signature, score_hidden_gem,
     score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
-    top_cut_inference, resolution_weighted, validation_violations, cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys,
+    top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, score_completeness,
+    deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, search_type, search_text, search_everywhere,
+    cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys,
 )
 
 
@@ -309,10 +441,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def values(rows: list[tuple]) -> str:
     def one(x: object) -> str:
-        return f"DATE '{x}'" if isinstance(x, dt.date) else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x)
+        return str(x).lower() if isinstance(x, bool) else f"DATE '{x}'" if isinstance(x, dt.date) else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x)
 
     return ", ".join("(" + ", ".join(map(one, row)) + ")" for row in rows)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql(values(RULES), values(EXCLUDED), values(EARLIER))
+    return oracle.sql(values(RULES), values(EXCLUDED), values(EARLIER), values(RUNS))

@@ -77,6 +77,36 @@ def results(rows: DataFrame) -> DataFrame:
     return rows.where((F.size("cells") >= 5)).select("file", "row_ord", F.col("cells")[1].alias("player"), F.col("cells")[4].alias("opponent"), verdict.alias("result")).where("result <> ''")
 
 
+#: Shapes of page names: halves of the field by initials, decks of the best records, the last eight.
+FIELD = r"^(?:(?:all)?decks([a-z])([a-z])|([a-z])([a-z])decks)$"
+BEST_RECORDS, LAST_EIGHT = r"^(?:tedecks|(?:f-)?top(?:std|ext|block)\w*)$", r"^(?:t8|top8)(?:decks|decklists|bcd)$"
+
+
+def deck_pages(pages_of: DataFrame) -> DataFrame:
+    """(event_id, slug) to the pages that list the field's decks (event_id, slug, place): pages by initials, or if
+    there are none every page of decks but those of techniques, samples and the last eight; then the best records,
+    then the last eight."""
+    slug = F.col("slug")
+    low, high = F.greatest(F.regexp_extract(slug, FIELD, 1), F.regexp_extract(slug, FIELD, 3)), F.greatest(F.regexp_extract(slug, FIELD, 2), F.regexp_extract(slug, FIELD, 4))
+    initials = slug.rlike(FIELD) & (low <= high)
+    other = slug.contains("deck") & ~slug.rlike("tech|sample") & ~slug.rlike("^(?:t8|top8)")
+    rows = pages_of.select("event_id", "slug").distinct().withColumn("initials", initials)
+    rows = rows.withColumn("split", F.max("initials").over(Window.partitionBy("event_id")))
+    part = F.when(F.when(F.col("split"), F.col("initials")).otherwise(other), 0).when(slug.rlike(BEST_RECORDS), 1).when(slug.rlike(LAST_EIGHT), 2)
+    chosen = rows.withColumn("part", part).where("part IS NOT NULL")
+    return chosen.select("event_id", "slug", F.row_number().over(Window.partitionBy("event_id").orderBy("part", "slug")).alias("place"))
+
+
+def result_round(slug: F.Column) -> F.Column:
+    """The round that a page of results reports (``res3`` and ``res3a``: 3), or NULL."""
+    return F.when(slug.rlike(r"^res(\d+)[a-z]?$"), F.regexp_extract(slug, r"^res(\d+)", 1).cast("int"))
+
+
+def standings_rows(rows: DataFrame) -> DataFrame:
+    """(file, place, player) from rows whose first cell is a number."""
+    return rows.where((F.size("cells") >= 2) & F.col("cells")[0].rlike(r"^\d+$")).select("file", F.col("cells")[0].cast("int").alias("place"), F.col("cells")[1].alias("player"))
+
+
 def list_lines(texts: DataFrame) -> DataFrame:
     """(deck_id, text) to (deck_id, zone, name, copies): lines ``4 Name``; from a line ``Sideboard`` on, or lines
     marked ``SB:``, the side."""

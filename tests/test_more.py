@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from deckwright.functions import text
@@ -54,7 +55,18 @@ def test_representative_and_cheapest(spark):
         [(1, 9, "S", "ja", dt.date(2020, 1, 1), ["paper"], "5.00", None), (2, 9, "S", "en", dt.date(2019, 1, 1), ["paper"], "5.00", "4.00"), (3, 9, "S", "en", dt.date(2019, 1, 1), ["paper"], "4.00", None), (4, 9, "S", "en", dt.date(2018, 1, 1), ["online"], "0.10", None)],
         "printing_id int, card_id int, set_code string, language string, released_on date, games array<string>, usd string, usd_foil string",
     ).withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("usd", "usd_foil")})
+    p = p.withColumns({"usd_etched": F.when(F.col("printing_id") == 3, F.lit(0)).cast("decimal(12,2)"), "collector_number": F.lit("1a"), "digital": F.lit(None).cast("boolean"), "oversized": F.lit(False), "set_type": F.lit("core"), "border_color": F.lit(None).cast("string")})
     assert catalog.representative(p).first().printing_id == 2
     assert tuple(map(str, catalog.cheapest(p).first())) == ("9", "4.00", "2")
-    assert [r.printing_id for r in catalog.printing_page(p, 9, 1, 1).collect()] == [2, 3]
+    assert [r.printing_id for r in catalog.printing_page(p, 9, None, 9).collect()] == [2, 3, 4, 1]
+    assert [r.printing_id for r in catalog.printing_page(p, 9, 2, 1).collect()] == [3, 4]
+    assert catalog.cheapest(p.withColumn("border_color", F.lit("gold"))).count() == 0
+    # a promo counts after the set it promotes, and a date of only a year from the year's end
+    odd = spark.createDataFrame([(1, 5, "pS", "1", dt.date(2000, 5, 1)), (2, 5, "S", "x", dt.date(2001, 1, 1)), (3, 5, "S", "12b", dt.date(2001, 6, 1)), (4, 5, "T", "9", dt.date(2001, 6, 1)), (5, 6, "pT", "1", None)], "printing_id int, card_id int, set_code string, collector_number string, released_on date")
+    odd = odd.withColumns({"language": F.lit("en"), "games": F.array(F.lit("paper"))})
+    assert [r.printing_id for r in catalog.printing_page(odd, 5, None, 9).collect()] == [4, 3, 2, 1]
+    twice = odd.unionByName(odd.where("printing_id = 1")).drop("games")
+    assert catalog.merged(twice, "printing_id").count() == 5
+    with pytest.raises(Exception, match="conflicting rows of 1"):
+        catalog.merged(twice.unionByName(odd.drop("games").where("printing_id = 1").withColumn("language", F.lit("ja"))), "printing_id").collect()
     assert catalog.joint(p, ["S"], [], "online").first().eligible == 1

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckwright.functions import stats, text
-from deckwright.operators import catalog, cohort, ingest, publish, scoring, serving, usage, validate
+from deckwright.operators import catalog, cohort, ingest, players, publish, scoring, serving, usage, validate
 from deckwright.sources import files
 
 
@@ -104,9 +104,41 @@ def test_names(spark):
 
 
 def test_players(spark):
-    rows = [("e", "deck", n) for n in ("Ann Lee", "Bob Stone", "Karl Heinz Meier", "Zoë Q")] + [("e", "standing", n) for n in ("Lee, Ann [US]", "Stonne, Bob [US]", "Meier, Karl [DE]", "Unrelated, Person")]
-    got = {r.deck_name: (r.standing_name, r["pass"]) for r in ingest.match_players(spark.createDataFrame(rows, "event_id string, side string, name string")).collect()}
-    assert got == {"Ann Lee": ("Lee, Ann [US]", 2), "Bob Stone": ("Stonne, Bob [US]", 4), "Karl Heinz Meier": ("Meier, Karl [DE]", 3)}
+    """Each case is an event of its own."""
+    cases = {
+        "many": (["Ana Alpha", "Benjamin Bravo Longname", "Dan Delta", "Takeshi Odan", "Bill Stark", "Nobody Here"], ["Alpha, Ana [USA]", "Bravo Long, Benjamin [FRA]", "Delta, D [DEU]", "Oodan, Takeshi [JPN]", "Stark, William [USA]"]),
+        "given": (["Billy Moreno", "Tom Lapille", "Bryant Malig"], ["Moreno, William [USA]", "LaPille, Thomas [USA]", "Malig, J. Bryant [USA]", "Moreno, Ana [USA]"]),
+        "tie": (["Kim Kilo"], ["Kilos, Kim [USA]", "Kilox, Kim [USA]"]),
+        "alone": (["Ernesto Padilla"], ["Padilla Chinas, Jorge [MEX]"]),
+        "crowded": (["Ernesto Padilla", "Jorge Padila"], ["Padilla Chinas, Jorge [MEX]"]),
+        "first": (["Ana Alpha Smith", "Ana Alpha Jones"], ["Alpha, Ana [USA]"]),
+        "suffix": (["Zo\u00eb de Rosa Jr."], ["DeRosa, Zoe [FRA]", ""]),
+    }
+    rows = [(e, side, n, i) for e, both in cases.items() for side, names in zip(("deck", "standing"), both, strict=True) for i, n in enumerate(names)]
+    got = {(r.event_id, r.deck_name): (r.standing_name, players.PASSES[r["pass"] - 1]) for r in players.match(spark.createDataFrame(rows, "event_id string, side string, name string, ord int")).collect()}
+    assert got == {
+        ("many", "Ana Alpha"): ("Alpha, Ana [USA]", "exact"), ("many", "Benjamin Bravo Longname"): ("Bravo Long, Benjamin [FRA]", "truncated"), ("many", "Dan Delta"): ("Delta, D [DEU]", "truncated"),
+        ("many", "Takeshi Odan"): ("Oodan, Takeshi [JPN]", "similar"), ("many", "Bill Stark"): ("Stark, William [USA]", "similar"),
+        ("given", "Billy Moreno"): ("Moreno, William [USA]", "similar"), ("given", "Tom Lapille"): ("LaPille, Thomas [USA]", "surname_initial"), ("given", "Bryant Malig"): ("Malig, J. Bryant [USA]", "similar"),
+        ("alone", "Ernesto Padilla"): ("Padilla Chinas, Jorge [MEX]", "similar"), ("crowded", "Jorge Padila"): ("Padilla Chinas, Jorge [MEX]", "similar"), ("first", "Ana Alpha Smith"): ("Alpha, Ana [USA]", "truncated"),
+        ("suffix", "Zo\u00eb de Rosa Jr."): ("DeRosa, Zoe [FRA]", "truncated"),
+    }
+
+
+def test_spellings_of_one_player_never_meet_in_a_round(spark):
+    gus, other, kim, kim2, lou = "Golf, Gus [ESP]", "Golf, Gus [USA]", "Kilo, Kim [DEU]", "Kilo, Kim [USA]", "Lima, Lou [USA]"
+    seen = [("a", 1, other), ("a", 1, kim2), ("a", 2, gus), ("a", 2, kim), ("a", 3, kim2), ("a", 3, lou), ("b", 1, other), ("b", 1, gus)]
+    standings = [("a", gus), ("a", kim), ("b", gus)]
+    got = players.spellings(spark.createDataFrame(seen, "event_id string, round int, name string"), spark.createDataFrame(standings, "event_id string, name string"))
+    assert {tuple(r) for r in got.collect()} == {("a", other, gus), ("a", kim2, kim)}
+
+
+def test_pages_of_decks(spark):
+    slugs = [("a", s) for s in ("afdecks", "gzdecks", "zadecks", "legacydecks", "decktech", "top8decks", "tedecks", "res3a")] + [("b", s) for s in ("standarddecks", "sampledecks", "t8decks", "f-topblock", "res12")]
+    rows = spark.createDataFrame(slugs, "event_id string, slug string")
+    got = [(r.event_id, r.slug) for r in files.deck_pages(rows).orderBy("event_id", "place").collect()]
+    assert got == [("a", "afdecks"), ("a", "gzdecks"), ("a", "tedecks"), ("a", "top8decks"), ("b", "standarddecks"), ("b", "f-topblock"), ("b", "t8decks")]
+    assert {r.slug: r.n for r in rows.select("slug", files.result_round(F.col("slug")).alias("n")).where("n IS NOT NULL").collect()} == {"res3a": 3, "res12": 12}
 
 
 def test_pairings_count_once(spark):
@@ -130,10 +162,10 @@ def test_catalogue(spark, tmp_path):
     for name, lines in (("c.json.gz", True), ("c.json", False)):
         kept, rejected = catalog.projected(files.cards(spark, str(tmp_path / name), lines))
         assert [(r.id, r.colors) for r in kept.collect()] == [("1", ["W", "R"])]
-        assert {r.reason: r.cards for r in rejected.collect()} == {"missing_oracle_id": 1, "missing_faces": 1}
+        assert {r.reason: r.cards for r in rejected.collect()} == {"missing_oracle_id": 1, "missing_required_faces": 1}
     named = spark.createDataFrame([(1, "A // B"), (2, "A")], "card_id int, name string")
     assert {tuple(r) for r in catalog.aliases(named).collect()} == {(1, "a // b", "canonical"), (1, "a", "face"), (1, "b", "face"), (2, "a", "canonical")}
-    assert [r[0] for r in spark.createDataFrame([("Artifact Creature — Golem // Land",), ("Land",), ("Conspiracy",)], "t string").select(catalog.deck_group(F.col("t"))).collect()] == ["creature", "land", "other"]
+    assert [r[0] for r in spark.createDataFrame([("Artifact Creature — Golem // Land",), ("Land",), ("Conspiracy",)], "t string").select(catalog.deck_group(F.col("t"))).collect()] == ["creature", "land", "misc"]
 
 
 def test_responses(spark, tmp_path):

@@ -7,8 +7,8 @@ at once by its ranks, occurrences are located by walking to sampled suffix posit
 cover are merged into spans.
 
 Phrases are the windows of ``size`` consecutive words of each item, or the whole item if it has fewer words.
-Items come in blocks of bounded bytes; each block is broadcast and searched in turn, so neither the driver
-nor a task holds more than one of them at a time, however large the benchmark.
+Items come in blocks of bounded bytes, each built on the driver, broadcast and searched in turn.  A worker keeps
+the blocks that it has opened, so all of a benchmark is in its memory: ``MAX_BYTES`` of text is the checked bound.
 
 Defined cases: a null or empty text has no words and is hit by nothing; an item without words is none; an
 item id that repeats is one item with several texts; repeated rows are judged alike; an empty benchmark hits
@@ -32,6 +32,8 @@ from . import common, textscan
 WORD = textscan.byte_class(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")[textscan.LOWER]
 #: Words of a window; bytes of benchmark text in a block; distance of sampled suffix positions.
 SIZE, BLOCK_BYTES, SAMPLE = 10, 8_000_000, 16
+#: Bytes of benchmark text beyond which this refuses to broadcast it.
+MAX_BYTES = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -203,6 +205,8 @@ def blocks(benchmark: DataFrame, size: int = SIZE) -> list[Broadcast]:
     """The benchmark's phrases in blocks of about ``BLOCK_BYTES`` of text."""
     rows = benchmark.where(F.octet_length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MAX_BYTES:
+        raise ValueError(f"a benchmark of {total} bytes is more than {MAX_BYTES}: search its parts one after the other")
     n = -(-total // BLOCK_BYTES)
     context = benchmark.sparkSession.sparkContext
     return [context.broadcast(phrases(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toArrow(), size)) for i in range(n)]

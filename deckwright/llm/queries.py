@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard, licenses, neighbours, quality, sharding, suffix_dedup, token_files, toxicity
+from . import bpe, common, decontaminate, jaccard, licenses, neighbours, oracle, quality, sharding, suffix_dedup, token_files, toxicity
 from .common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()

@@ -1,7 +1,8 @@
 """Immutable publication: results under an identity of their inputs, checked before a pointer turns to them.
 
-A store is a folder that Spark can write.  A run's tables lie in ``runs/<identity>/<table>``; its manifest row is
-written last, so a run without one was never published.  The pointer is an append-only log of (format, run),
+A store is a folder that Spark can write.  Each attempt writes a run's tables to a folder of its own, and what was
+written is what gets hashed, checked and published; the manifest row, which names the folder, is written last, so a
+run without one was never published.  The pointer is an append-only log of (format, run),
 of which the latest entry holds; a writer names the entry that it expects to replace.  The log has a few rows a
 publication.  One writer at a time is assumed, as the store's file system may have no lock.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from . import validate
 
 LOG = "sequence long, format string, run_id string, at timestamp, action string"
-RUN = "run_id string, content string, manifest string, at timestamp"
+RUN = "run_id string, content string, manifest string, folder string, at timestamp"
 
 
 def canonical(value: object) -> bytes:
@@ -64,25 +66,28 @@ class Store:
 
     def table(self, run_id: str, name: str) -> DataFrame:
         """Only of published runs."""
-        if not self.runs().where(F.col("run_id") == run_id).limit(1).count():
+        run = self.runs().where(F.col("run_id") == run_id).first()
+        if run is None:
             raise LookupError(f"{run_id} is not published")
-        return self.spark.read.parquet(f"{self.path}/runs/{run_id}/{name}")
+        return self.spark.read.parquet(f"{run['folder']}/{name}")
 
     def publish(self, inputs: object, tables: Mapping[str, DataFrame], checks: Mapping[str, DataFrame]) -> str:
         """Writes a run once: the same inputs with the same results are the run that is there, with others an
         error.  Nothing is published while a check has rows."""
         run_id = identity("run", inputs)
-        content = hashlib.sha256(canonical({name: content_hash(df) for name, df in tables.items()})).hexdigest()
+        folder = f"{self.path}/runs/{run_id}/{uuid.uuid4().hex}"
+        counts, digests = {}, {}
+        for name, df in tables.items():  # computed once: a table that isn't deterministic is hashed as it was written
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+            written = self.spark.read.parquet(f"{folder}/{name}")
+            counts[name], digests[name] = written.count(), content_hash(written)
+        content = hashlib.sha256(canonical(digests)).hexdigest()
         if (known := self.runs().where(F.col("run_id") == run_id).first()) is not None:
             if known["content"] != content:
                 raise ValueError(f"{run_id} is published with other results")
             return run_id
         validate.require(checks) if checks else None
-        counts = {}
-        for name, df in tables.items():
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/runs/{run_id}/{name}")  # what an attempt left behind
-            counts[name] = self.spark.read.parquet(f"{self.path}/runs/{run_id}/{name}").count()
-        row = (run_id, content, canonical({"inputs": inputs, "rows": counts}).decode(), datetime.now(timezone.utc))
+        row = (run_id, content, canonical({"inputs": inputs, "rows": counts}).decode(), folder, datetime.now(timezone.utc))
         self.spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(f"{self.path}/published")
         return run_id
 

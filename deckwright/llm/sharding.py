@@ -52,3 +52,13 @@ def shard(docs: DataFrame, weights: Mapping[int, float], grown: Mapping[int, flo
     starts = counts.select("shard", "block", F.coalesce(before, F.lit(0)).alias("start"))
     number = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
     return rows.withColumn("number", number).join(starts, ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("number") - 1).cast("long").alias("slot"), "grown_shard")
+
+
+def write(docs: DataFrame, path: str, weights: Mapping[int, float], key: str = "doc_id") -> None:
+    """The whole rows, with all their columns, as Parquet in a folder for each shard (``shard_number=...``).  Rows are
+    dealt to tasks by shard and block, so that no task writes more of a shard than about ``BLOCK_ROWS`` rows."""
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for i in range(len(taken) + 1) if (n := "shard_number" + "_" * i) not in taken)
+    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
+    placed = docs.withColumn(name, rendezvous(F.col(key), weights))
+    placed.repartition(len(weights) * blocks, name, F.pmod(F.xxhash64(key), F.lit(blocks))).write.partitionBy(name).parquet(path)

@@ -54,7 +54,7 @@ def docs(spark):
     return frame(spark, fixture()).repartition(5).cache()
 
 
-def test_sharding(spark, docs):
+def test_sharding(spark, docs, tmp_path):
     eight = {s: 1.0 for s in range(8)}
     rows = sharding.shard(docs.union(docs.limit(7)), eight, eight | {8: 1.0}).collect()
     assert len(rows) == docs.count() + 7
@@ -66,6 +66,11 @@ def test_sharding(spark, docs):
     for s in range(8):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert sharding.shard(docs.limit(0), eight).count() == 0
+    sharding.write(docs, str(tmp_path / "shards"), eight)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {*docs.columns, "shard_number"} and back.count() == docs.count()
+    placed = {r.doc_id: r.shard for r in rows}
+    assert all(placed[r.doc_id] == r.shard_number and r.text == texts[r.doc_id] for r in back.collect())
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     share = {r.shard: r["count"] for r in sharding.shard(many, {0: 1.0, 1: 3.0}).groupBy("shard").count().collect()}
     assert 0.72 < share[1] / 20_000 < 0.78

@@ -12,8 +12,10 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node that it can reach.
 
     Each round every node takes the least label around it, and then the label of that label; rounds grow with
-    the logarithm of the longest chain.  Labels are aggregated before they are shuffled, so a node with very
-    many links is no hot key, and nothing of the graph comes to the driver but the count of changes.
+    the logarithm of the longest chain.  Labels around a node are aggregated before they are shuffled.  The two
+    joins do meet on a node with very many links, and on a label that very many nodes have: these rows are two or
+    three numbers each, the other side has one row a node, and beyond the size at which adaptive execution calls a
+    partition skewed it splits it.  Nothing of the graph comes to the driver but whether anything changed.
     """
     both = links.where(F.col("a") != F.col("b")).select("a", "b").unionByName(links.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = common.cut(both)

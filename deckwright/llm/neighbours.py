@@ -212,7 +212,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     probing = common.cut(distinct.select("rep", "vector").mapInPandas(to_probes, "rep long, vector array<double>, lists array<int>, bound double, seeds array<struct<vec_id:long,score:double>>"))
     seeds = probing.select("rep", F.explode("seeds").alias("s")).select("rep", "s.vec_id", "s.score")
     probing = probing.select("rep", "vector", "bound", F.explode("lists").alias("list"))
-    # how many blocks each list needs: one row a list, at most MAX_LISTS
+    # how many blocks each list needs: one row a list, at most a quarter of SAMPLE_ROWS
     sizes = listed.groupBy("list").count().withColumn("vb", F.ceil(F.col("count") / BLOCK_VECTORS).cast("int")).select("list", "vb")
     sizes = sizes.join(probing.groupBy("list").count().withColumn("qb", F.ceil(F.col("count") / BLOCK_QUERIES).cast("int")).select("list", "qb"), "list")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")

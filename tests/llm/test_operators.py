@@ -387,9 +387,9 @@ def test_licenses(spark):
     prose = lambda n: " ".join("".join(r.choices("abcdefgo", k=r.randint(2, 8))) for _ in range(n))
     rows = [(i, prose(80) + "\n" + prose(40)) for i in range(60)]
     rows += [(100, prose(20) + "\nReleased under the MIT License.\n" + prose(9)), (101, "Licensed under the Apache License, Version 2.0."), (102, "This work is licensed under the GNU General Public License, version 3."), (103, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.")]
-    rows += [(104, None), (105, ""), (106, "My driving license is of no use to the general public."), (101, "Licensed under the Apache License, Version 2.0.")]
+    rows += [(104, None), (105, ""), (106, "My driving license is of no use to the general public."), (101, "Licensed under the Apache License, Version 2.0."), (None, "Released under the MIT License."), (None, prose(9))]
     docs = frame(spark, rows)
     got = {x.doc_id: x for x in licenses.scan(docs, licenses.fit(docs)).collect()}
-    assert {i: x.families for i, x in got.items() if x.families} == {100: "mit", 101: "apache-2.0", 102: "gpl", 103: "cc-by-nc,mit"}
+    assert {i: x.families for i, x in got.items() if x.families} == {100: "mit", 101: "apache-2.0", 102: "gpl", 103: "cc-by-nc,mit", None: "mit"}
     assert got[101].n_paragraphs == 2 and got[104].n_paragraphs == 0 and got[106].family is None
     assert licenses.scan(docs.limit(0), licenses.fit(docs)).count() == 0

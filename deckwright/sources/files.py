@@ -3,6 +3,12 @@ inferred, and what a manifest says of a file is checked before its rows are used
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+from itertools import chain, islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +40,50 @@ def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return manifest.join(files, "file", "left").withColumn("content", F.when(digest.eqNullSafe(F.col("sha256")), F.col("content")).otherwise(wrong.cast("binary")))
 
 
+def sniffed(files: DataFrame) -> DataFrame:
+    """(file, content) to (file, text): one row for a file that begins with ``[``, else one for every line that
+    isn't blank.  Gzip is told by the first two bytes, whatever the file is called, and lines are read as a stream."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, content in zip(frame["file"], frame["content"], strict=True):
+                raw = io.BytesIO(content)
+                stream = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, "utf-8")
+                lines = (line for line in stream if line.strip())
+                first = next(lines, "")
+                if first.lstrip().startswith("["):
+                    yield pd.DataFrame({"file": [file], "text": [first + stream.read()]})
+                    continue
+                lines = chain([first] if first else [], lines)
+                while held := list(islice(lines, 2_000)):
+                    yield pd.DataFrame({"file": file, "text": held})
+
+    return files.select("file", "content").mapInPandas(read, "file string, text string")
+
+
+def verified_cards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Card objects of the files that a manifest (file, sha256) names, out of the very bytes that were checked;
+    arrays and JSON lines, packed or not.  What is no object goes."""
+    card = T.StructType.fromDDL(CARD)
+    text = sniffed(verified(spark, path, manifest))
+    array = F.ltrim("text").startswith("[")
+    one = F.when(array, F.from_json("text", T.ArrayType(card))).otherwise(F.array(F.from_json("text", card)))
+    return text.select(F.explode(one).alias("card")).select("card.*").where("id IS NOT NULL")
+
+
+def retrieval(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of files (file, retrieved_at: when each was last written) with the time that the manifest (file,
+    retrieved_at) has for theirs, if any, and which of the two it is."""
+    told = manifest.select("file", F.col("retrieved_at").alias("told"))
+    out = rows.join(told, "file", "left").withColumn("retrieved_at_basis", F.when(F.col("told").isNotNull(), "manifest").otherwise("file_mtime"))
+    return out.withColumn("retrieved_at", F.coalesce("told", "retrieved_at")).drop("told")
+
+
 def responses(spark: SparkSession, path: str) -> DataFrame:
-    """Events of saved responses, with when they were saved; team events go.  ``deckObj`` stays JSON, as its
-    metadata entry isn't of the zones' form."""
+    """Events of saved responses, with their file and when it was saved; team events go.  ``deckObj`` stays JSON, as
+    its metadata entry isn't of the zones' form."""
     rows = spark.read.schema(RESPONSE).option("multiLine", True).json(path)
-    return rows.select(F.col("TID").alias("event_id"), F.to_date(F.timestamp_seconds("startDate")).alias("occurred_on"), "game", "format", F.col("topCut").alias("cut_text"), "isTeamEvent", "standings", F.col("_metadata.file_modification_time").alias("retrieved_at")).where(
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("TID").alias("event_id"), F.to_date(F.timestamp_seconds("startDate")).alias("occurred_on"), "game", "format", F.col("topCut").alias("cut_text"), "isTeamEvent", "standings", F.col("_metadata.file_modification_time").alias("retrieved_at")).where(
         "event_id IS NOT NULL AND NOT coalesce(isTeamEvent, false)"
     )
 

@@ -163,6 +163,15 @@ def test_catalogue(spark, tmp_path):
         kept, rejected = catalog.projected(files.cards(spark, str(tmp_path / name), lines))
         assert [(r.id, r.colors) for r in kept.collect()] == [("1", ["W", "R"])]
         assert {r.reason: r.cards for r in rejected.collect()} == {"missing_oracle_id": 1, "missing_required_faces": 1}
+    contents = {"lines.bulk": gzip.compress(b"\n".join([b"", *(json.dumps(r).encode() for r in raw), b"3", b"[1]"])), "array.bulk": b" \n" + json.dumps(raw, indent=1).encode(), "packed.json": gzip.compress(json.dumps(raw).encode()), "empty.bulk": b" \n", "[].bulk": b"[]"}
+    for name, content in contents.items():
+        (tmp_path / "bulk").mkdir(exist_ok=True)
+        (tmp_path / "bulk" / name).write_bytes(content)
+        manifest = spark.createDataFrame([(name, hashlib.sha256(content).hexdigest())], "file string, sha256 string")
+        found = files.verified_cards(spark, str(tmp_path / "bulk"), manifest)
+        assert sorted(r.id for r in found.collect()) == ([] if name in ("empty.bulk", "[].bulk") else ["1", "2", "3"]), name
+    with pytest.raises(Exception, match="missing or changed"):
+        files.verified_cards(spark, str(tmp_path / "bulk"), manifest.withColumn("sha256", F.lit("0"))).collect()
     named = spark.createDataFrame([(1, "A // B"), (2, "A")], "card_id int, name string")
     assert {tuple(r) for r in catalog.aliases(named).collect()} == {(1, "a // b", "canonical"), (1, "a", "face"), (1, "b", "face"), (2, "a", "canonical")}
     assert [r[0] for r in spark.createDataFrame([("Artifact Creature — Golem // Land",), ("Land",), ("Conspiracy",)], "t string").select(catalog.deck_group(F.col("t"))).collect()] == ["creature", "land", "misc"]
@@ -176,6 +185,10 @@ def test_responses(spark, tmp_path):
     assert [(r.event_id, r.occurred_on) for r in events.collect()] == [("t1", dt.date(2026, 1, 1))]
     assert {(r.zone, r.name, r.card_id, r.copies) for r in files.deck_lines(events).collect()} == {("Mainboard", "Bolt", "6f2f2a5a-0000-4000-8000-000000000001", 4), ("Mainboard", "Odd", None, None)}
     manifest = spark.createDataFrame([("r.json", hashlib.sha256((tmp_path / "r.json").read_bytes()).hexdigest())], "file string, sha256 string")
+    told = dt.datetime(2026, 2, 3, 4, 5)
+    times = spark.createDataFrame([("r.json", told), ("other.json", None)], "file string, retrieved_at timestamp")
+    assert [(r.retrieved_at, r.retrieved_at_basis) for r in files.retrieval(events, times).collect()] == [(told, "manifest")]
+    assert [(r.retrieved_at > told, r.retrieved_at_basis) for r in files.retrieval(events, times.limit(0)).collect()] == [(True, "file_mtime")]
     assert files.verified(spark, str(tmp_path / "*.json"), manifest).count() == 1
     with pytest.raises(Exception, match="missing or changed"):
         files.verified(spark, str(tmp_path / "*.json"), manifest.withColumn("sha256", F.lit("0"))).collect()

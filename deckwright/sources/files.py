@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import decode_page, html_text
+from ..functions.text import card_name, decode_page, html_text
 from ..operators.ingest import count_or_null, uuid_or_null
 
 FACE = "struct<name:string,mana_cost:string,type_line:string,oracle_text:string,colors:array<string>,image_uris:map<string,string>,artist:string>"
@@ -147,6 +147,44 @@ def result_round(slug: F.Column) -> F.Column:
     return F.when(slug.rlike(r"^res(\d+)[a-z]?$"), F.regexp_extract(slug, r"^res(\d+)", 1).cast("int"))
 
 
+#: How pages of decks mark a deck (either layout), its side, what is no card, and a caption that names
+#: the event only.
+DECK, OLD_DECK = '<div class="deck">', r'(?s)<font size="\+1">(.*?)</font>\s*</b>\s*<br\s*/?>(.*?)</p>'
+SIDE = r'(?i)<[^<>]*class="decktitle">(?:\s|<[^>]+>)*Sideboard'
+NO_CARDS = r'(?s)<span class="decktotals">.*?</span>|<p class="cardcount">.*?</p>'
+EVENT_CAPTION, NAME_FROM_DECK = r"(?i)pro\s*tour", r"\s*[–—]\s*|\s+-\s+"
+
+
+def page_decks(page_text: DataFrame) -> DataFrame:
+    """(file, deck, player, label, zone, name, copies): the cards of every deck of pages (file, text).  A label is
+    the deck's caption, or what follows the player's name; captions that name the event are none.  From the title of
+    the side on, and in shaded columns, cards are the side's.  Decks without a main part go."""
+    new = F.col("text").contains(DECK)
+    parts = F.when(new, F.split("text", DECK)).otherwise(F.split("text", "(?=" + OLD_DECK + ")"))
+    blocks = page_text.select("file", new.alias("new"), F.posexplode(parts).alias("deck", "block"))
+    head = F.when(F.col("new"), F.regexp_extract("block", r"(?s)<heading>(.*?)</heading>", 1)).otherwise(F.regexp_extract("block", OLD_DECK, 1))
+    caption = F.when(F.col("new"), F.regexp_extract("block", r'(?s)<div class="sub">(.*?)</div>', 1)).otherwise(F.regexp_extract("block", OLD_DECK, 2))
+    # what stands before a page's first deck is none in the new layout, and has no header in the old one
+    decks = blocks.withColumns({"head": head, "caption": caption}).where("head <> '' AND (deck > 0 OR NOT new)")
+    decks = decks.withColumns({"head": html_text(F.col("head")), "caption": html_text(F.col("caption"))})
+    named = F.split("head", NAME_FROM_DECK, 2)
+    label = F.when(F.col("caption") != "", F.col("caption")).when(F.size(named) > 1, named[1])
+    label = F.when((label != "") & ~label.rlike(EVENT_CAPTION), label)
+    # the side's title may stand within a column, the rest of which is then a column of the side
+    body = F.split(F.regexp_replace("block", NO_CARDS, ""), SIDE, 2)
+    halves = F.array(F.struct(F.lit("main").alias("zone"), body[0].alias("body")), F.struct(F.lit("side").alias("zone"), F.concat(F.lit('<td valign="top">'), F.try_element_at(body, F.lit(2))).alias("body")))
+    rows = decks.select("file", "deck", named[0].alias("player"), label.alias("label"), F.explode(halves).alias("half"))
+    column = r'(?s)<td[^>]*valign="top"[^>]*>.*?(?:</td>|$)'
+    rows = rows.select("file", "deck", "player", "label", "half.zone", F.explode(F.regexp_extract_all("half.body", F.lit(column), 0)).alias("column"))
+    zone = F.when(F.regexp_extract("column", r"^<td[^>]*>", 0).contains("statback"), "side").otherwise(F.col("zone"))
+    rows = rows.select("file", "deck", "player", "label", zone.alias("zone"), F.explode(F.split("column", r"<br\s*/?>")).alias("line"))
+    rows = rows.withColumn("line", html_text(F.col("line"))).where(F.col("line").rlike(r"^\d+\s+\S"))
+    lines = rows.select("file", "deck", "player", "label", "zone", card_name(F.regexp_extract("line", r"^\d+\s+(.+)$", 1)).alias("name"), F.regexp_extract("line", r"^(\d+)", 1).try_cast("int").alias("copies"))
+    cards_of = lines.where("copies > 0").groupBy("file", "deck", "player", "label", "zone", "name").agg(F.sum("copies").alias("copies"))
+    mains = cards_of.where("zone = 'main'").select("file", "deck").distinct()
+    return cards_of.join(mains, ["file", "deck"], "left_semi")
+
+
 def standings_rows(rows: DataFrame) -> DataFrame:
     """(file, place, player) from rows whose first cell is a number."""
     return rows.where((F.size("cells") >= 2) & F.col("cells")[0].rlike(r"^\d+$")).select("file", F.col("cells")[0].cast("int").alias("place"), F.col("cells")[1].alias("player"))

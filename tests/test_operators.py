@@ -202,6 +202,19 @@ def test_pages(spark, tmp_path):
     assert {tuple(r) for r in files.list_lines(lists).collect()} == {(1, "main", "Bolt", 4), (1, "main", "Snap", 2), (1, "side", "Rite", 1), (2, "side", "Duress", 3)}
 
 
+def test_decks_of_pages(spark):
+    new = """<div class="deck"><heading>Decks</heading></div>
+<div class="deck"><heading>Ann Lee</heading><div class="sub">Pro Tour-Here 2009</div><td valign="top">4 Bolt<br>2 <a>Snap</a><br/><span class="decktotals">6 cards</span></td>
+<td width="1" valign="top">3 Rite<p class="decktitle"><i>Sideboard</i></p>2 Duress<br>0 None</td><td valign="top">1 Bolt</td></div>"""
+    old = """<p>Top</p><p><b><font size="+1">Bo Ray - Burn</font></b><br></p><td valign="top">4 Bolt<br>4 Bolt</td><td valign="top" class="statback">1 Rite</td>
+<p><b><font size="+1">Cy Fox</font></b><br/>Control</p><td valign="top">1 Snap</td>"""
+    rows = files.page_decks(spark.createDataFrame([("n", new), ("o", old), ("e", None), ("x", "")], "file string, text string")).collect()
+    got = {(r.file, r.player, r.label, r.zone, r.name, r.copies) for r in rows}
+    ann = {("main", "Bolt", 4), ("main", "Snap", 2), ("main", "Rite", 3), ("side", "Duress", 2), ("side", "Bolt", 1)}
+    bo = {("main", "Bolt", 8), ("side", "Rite", 1)}
+    assert got == {("n", "Ann Lee", None, *x) for x in ann} | {("o", "Bo Ray", "Burn", *x) for x in bo} | {("o", "Cy Fox", "Control", "main", "Snap", 1)}
+
+
 def test_serving(spark):
     rows = spark.createDataFrame([("f", 1, 3.0), ("f", 2, None), ("f", 3, 3.0), ("f", 4, 9.0)], "format string, card_id int, score double")
     ranked = serving.ranked(rows)

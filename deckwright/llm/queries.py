@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard, licenses, neighbours, oracle, quality, sharding, suffix_dedup, token_files, toxicity
+from . import bpe, common, decontaminate, jaccard, licenses, neighbours, oracle, quality, repair, sharding, suffix_dedup, threshold, token_files, toxicity, trie
 from .common import table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -77,8 +77,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.with_shared_heads(trie.turns(table(spark, sf_dir, "conversations")), 20, 4))
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return threshold.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_adaptive_scan, op2_ngram_jaccard, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op7_suffix_dedup, op8_rendezvous_shards, op9_license_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_adaptive_scan, op2_ngram_jaccard, op3_toxicity, op4_token_files, op5_fm_index, op6_bpe, op7_suffix_dedup, op8_rendezvous_shards, op9_license_scan, op10_quality, op11_prefix_trie, op12_threshold_search, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

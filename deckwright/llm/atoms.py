@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from . import textscan
 
-#: Bytes of ids, with what a dictionary's entry takes, that a generation holds; bytes of text in a step.
+#: Bytes of atoms and ids, with what a dictionary's entry takes, that a generation holds; bytes of text in a step.
 GENERATION_BYTES, ENTRY_BYTES, STEP_BYTES = 24_000_000, 160, 1_000_000
 SPACE, LETTER, SIGN, OTHER = range(4)
 #: Kinds of bytes; digits, apostrophes, bars and what is no ASCII make no cut.
@@ -66,15 +66,15 @@ def lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 class Memory:
-    """Bytes by key, in two generations of bounded size."""
+    """Ids by an atom's bytes, in two generations of bounded size."""
 
     def __init__(self, most: int = GENERATION_BYTES) -> None:
         self.most, self.size = most, 0
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def recall(self, keys: list[int], learn: Callable[[list[int]], list[bytes]]) -> list[bytes]:
-        """A value for each of different keys; ``learn`` gives those at the places that neither generation has."""
+    def recall(self, keys: list[bytes], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """A value for each of different atoms; ``learn`` gives those that neither generation has."""
         out = list(map(self.new.get, keys))
         missing = [i for i, x in enumerate(out) if x is None]
         unknown = []
@@ -82,11 +82,11 @@ class Memory:
             out[i] = self.old.get(keys[i])
             if out[i] is None:
                 unknown.append(i)
-        for i, value in zip(unknown, learn(unknown) if unknown else [], strict=True):
+        for i, value in zip(unknown, learn([keys[i].decode() for i in unknown]) if unknown else [], strict=True):
             out[i] = value
         for i in missing:
             self.new[keys[i]] = out[i]
-            self.size += ENTRY_BYTES + len(out[i])
+            self.size += ENTRY_BYTES + len(keys[i]) + len(out[i])
         if self.size > self.most:
             self.old, self.new, self.size = self.new, {}, 0
         return out
@@ -116,9 +116,8 @@ def encoded(column: pa.Array, memory: Memory, learn: Callable[[list[str]], list[
         own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, bounds = spans(own, at)
         low = lowered(own, starts, ends)
-        codes = textscan.span_hash(textscan.prefix_hash(low), starts, ends)
-        numbers, different = pd.factorize(codes)
+        numbers, different = pd.factorize(textscan.word_codes(low, starts, ends))
         first = np.empty(len(different), np.int64)
         first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
-        raw, s, e = low.tobytes(), starts[first].tolist(), ends[first].tolist()
-        yield Texts(memory.recall(different.tolist(), lambda places: learn([raw[s[i] : e[i]].decode() for i in places])), numbers, bounds)  # noqa: B023
+        raw = low.tobytes()
+        yield Texts(memory.recall([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], learn), numbers, bounds)

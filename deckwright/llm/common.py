@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48_000_000
 #: Bytes of text that an Arrow batch is cut to before numpy looks at it.
 SLICE_BYTES = 8_000_000
+#: Bytes of all training texts of a model.
+TRAIN_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +77,14 @@ def sample_per_label(labels: DataFrame, label: str, most: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def training_texts(docs: DataFrame, chosen: DataFrame, max_bytes: int) -> pa.Table:
-    """The chosen rows (a bounded number) with their texts, in order of id; texts over ``max_bytes`` are no
-    training rows."""
+def training_texts(docs: DataFrame, chosen: DataFrame, max_bytes: int, total_bytes: int = TRAIN_BYTES) -> pa.Table:
+    """The chosen ids (a bounded number) with their labels and texts, in order of id.  Texts over ``max_bytes`` are no
+    training rows; of rows that share an id the one with the least text is; and beyond ``total_bytes`` of texts, in an
+    order that the ids' hashes give, there are no more."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
-    return rows.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return one.withColumn("so_far", so_far).where(F.col("so_far") <= total_bytes).select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending")])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, textscan
@@ -473,10 +473,10 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     members = common.cut(own.select("doc_id", "bytes", "n_shingles", "head"))
     copies = members.where(F.col("head") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     keys = own.where(F.col("head") == F.col("doc_id")).select("doc_id", F.explode("keys").alias("key"))
-    # the least document with each key, where there are several; keys are exchanged once, as two numbers a row,
-    # and a window spills what a very common key has too many of
-    same = Window.partitionBy("key")
-    near = keys.withColumns({"center": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).where(F.col("center") < F.col("last"))
+    # the least document with each key, where there are several: found by a map-side aggregate, so that a very common
+    # key is a row a task there, and a join that adaptive execution splits on such a key
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where(F.col("center") < F.col("last")).select("key", "center")
+    near = keys.join(least, "key")
     near = common.cut(near.select("center", "doc_id").distinct())
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     linked = common.cut(star_links(star_texts(star_pairs(near, described, rule), members, texts), rule).unionByName(copies))

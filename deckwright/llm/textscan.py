@@ -89,6 +89,44 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * power_table(_P_INV, len(prefix))[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Primes below 2**31, and a base for each.
+MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_220_703_125))
+
+
+def residues(base: int, modulus: int, n: int) -> np.ndarray:
+    """Powers of ``base`` from 0 to n - 1 modulo a prime below 2**31; kept as :func:`power_table` keeps its own."""
+    key = f"{base} {modulus}"
+    if n <= KEPT_POWERS and key in _powers and len(_powers[key]) >= n:
+        return _powers[key][:n]
+    size = max(n, STEP_BYTES)
+    out = np.empty(size, np.uint32)
+    out[0], done = 1, 1
+    while done < size:
+        more = min(done, size - done)
+        out[done : done + more] = out[:more].astype(np.uint64) * np.uint64(pow(base, done, modulus)) % np.uint64(modulus)
+        done += more
+    if n <= KEPT_POWERS:
+        _powers[key] = out
+    return out[:n]
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A code of the bytes of each span, equal only for equal bytes but by chance: polynomials modulo two primes.  (A
+    polynomial modulo 2**64 gives certain different words of over a thousand letters one value, whatever its base.)"""
+    out = np.zeros(len(starts), np.uint64)
+    for modulus, base in MODULI:
+        m = np.uint64(modulus)
+        terms = np.multiply(data.astype(np.uint16) + np.uint16(1), residues(base, modulus, len(data)), dtype=np.uint64)
+        if len(data) >= 1 << 24:
+            terms %= m  # sums of fewer terms fit 63 bits as they are
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(terms, out=total[1:])
+        own = (total[ends] - total[starts]) % m * residues(pow(base, -1, modulus), modulus, len(data) + 1)[starts] % m
+        out = (out << np.uint64(32)) | own
+    return mix(out)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes within each text, and the n + 1 offsets of the texts
     in them."""
@@ -108,7 +146,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, A-Z lower-cased, and the offsets of the texts in these."""
     starts, ends, at = word_spans(data, offsets, is_word)
-    return span_hash(prefix_hash(LOWER[data]), starts, ends), at
+    return word_codes(LOWER[data], starts, ends), at
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, size: int) -> list[np.ndarray]:

@@ -41,7 +41,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts, ends, at = textscan.word_spans(data, np.concatenate([[0], offsets + 1]), WORD)
     at = at[1:]
     prefix = textscan.prefix_hash(data)
-    hashes, first, numbers = np.unique(textscan.span_hash(prefix, starts, ends), return_index=True, return_inverse=True)
+    hashes, first, numbers = np.unique(textscan.word_codes(data, starts, ends), return_index=True, return_inverse=True)
     a, b = starts[first] - 1, ends[first] + 1
     grams, owners = [textscan.span_hash(prefix, a, b)], [np.arange(len(first))]
     for n in GRAMS:

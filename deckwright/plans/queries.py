@@ -407,10 +407,11 @@ def stream_trend(r: Run) -> DataFrame:
 
 
 def fuzzy_players(r: Run) -> DataFrame:
-    """Deck pages say ``first last``, standings ``last, first [country]``, some with a letter off."""
+    """Deck pages say ``first last``, standings ``last, first [country]``, some with a letter off; events have a bounded
+    number of players."""
     key = F.col("c_custkey").cast("string")
     first, last = F.translate(F.reverse(key), "0123456789", "anbolirtes"), F.translate(key, "0123456789", "karemdosuv")
-    own = r.t.raw("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("event_id"), "c_custkey", first.alias("f"), last.alias("l"), F.lower("c_mktsegment").alias("m"))
+    own = r.t.raw("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("-"), F.floor(F.col("c_custkey") / 3_000).cast("string")).alias("event_id"), "c_custkey", first.alias("f"), last.alias("l"), F.lower("c_mktsegment").alias("m"))
     decks = own.select("event_id", F.lit("deck").alias("side"), F.concat_ws(" ", "f", "m", "l").alias("name"))
     seen = F.when(F.col("c_custkey") % 4 == 0, F.concat("l", F.lit("h"))).otherwise(F.col("l"))
     standings = own.select("event_id", F.lit("standing").alias("side"), F.concat(seen, F.lit(", "), "f", F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit(" "), "m")).otherwise(""), F.lit(" [XX]")).alias("name"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import card_name, decode_page, html_text
+from ..functions.text import COUNTRY, card_name, decode_page, html_text
 from ..operators.ingest import count_or_null, uuid_or_null
 
 FACE = "struct<name:string,mana_cost:string,type_line:string,oracle_text:string,colors:array<string>,image_uris:map<string,string>,artist:string>"
@@ -115,11 +115,21 @@ def table_rows(page_text: DataFrame) -> DataFrame:
     return clean.groupBy("file", "row_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "cell"))), lambda c: c["cell"]).alias("cells"))
 
 
+#: How results are written, and a bye instead of an opponent.
+OUTCOME, BYE = r"(?i)^(won|lost|drew)\s+\d+-\d+(?:-\d+)?$", r"(?i)\bbye\b"
+
+
 def results(rows: DataFrame) -> DataFrame:
-    """(file, row_ord, player, opponent, result) from rows: table, ``Last, First [XX]``, ``Won 2-0``, ``vs.``,
-    opponent."""
-    verdict = F.lower(F.regexp_extract(F.col("cells")[2], r"(?i)^(won|lost|drew|bye)", 1))
-    return rows.where((F.size("cells") >= 5)).select("file", "row_ord", F.col("cells")[1].alias("player"), F.col("cells")[4].alias("opponent"), verdict.alias("result")).where("result <> ''")
+    """(file, row_ord, player, opponent, result) from numbered rows: table, ``Last, First [XX]``, ``Won 2-0``, ``vs.``,
+    opponent.  A row that names a bye anywhere behind the player is a ``bye``, whatever it says was won; one that is
+    neither that nor a match is ``unread``."""
+    c = F.col("cells")
+    opponent = F.coalesce(F.try_element_at(c, F.lit(5)), F.lit(""))
+    bye = F.exists(F.slice(c, 3, F.greatest(F.size(c) - 2, F.lit(0))), lambda x: x.rlike(BYE))
+    match = F.try_element_at(c, F.lit(3)).rlike(OUTCOME) & (opponent != "")
+    result = F.when(bye, "bye").when(match, F.lower(F.regexp_extract(c[2], OUTCOME, 1))).otherwise("unread")
+    numbered = rows.where((F.size(c) >= 3) & c[0].rlike(r"^\d+$"))
+    return numbered.select("file", "row_ord", c[1].alias("player"), F.when(~bye & match, opponent).alias("opponent"), result.alias("result"))
 
 
 #: Shapes of page names: halves of the field by initials, decks of the best records, the last eight.
@@ -186,8 +196,9 @@ def page_decks(page_text: DataFrame) -> DataFrame:
 
 
 def standings_rows(rows: DataFrame) -> DataFrame:
-    """(file, place, player) from rows whose first cell is a number."""
-    return rows.where((F.size("cells") >= 2) & F.col("cells")[0].rlike(r"^\d+$")).select("file", F.col("cells")[0].cast("int").alias("place"), F.col("cells")[1].alias("player"))
+    """(file, place, player) from rows of a number and a name with a country."""
+    c = F.col("cells")
+    return rows.where((F.size(c) >= 2) & c[0].rlike(r"^\d+$") & c[1].rlike(COUNTRY)).select("file", c[0].cast("int").alias("place"), c[1].alias("player"))
 
 
 def list_lines(texts: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def test_order_and_counts(spark):
 
 def test_names_and_colors(spark):
     rows = spark.createDataFrame([("Æther Vial", ["U"]), ("Fire / Ice", []), ("Fire // Ice", None), ("x", ["U", "R"])], "n string, c array<string>")
-    assert [r[0] for r in rows.select(text.card_name(F.col("n"))).collect()] == ["AEther Vial", "Fire // Ice", "Fire // Ice", "x"]
+    assert [r[0] for r in rows.select(text.card_name(F.col("n"))).collect()] == ["Aether Vial", "Fire // Ice", "Fire // Ice", "x"]
     chosen = lambda *c: [r[0] for r in rows.select(serving.color_filter(F.col("c"), c)).collect()]
     assert chosen("U") == [True, False, False, True] and chosen("C") == [False, True, False, False] and chosen("R", "C") == [False, True, False, True]
     within = [r[0] for r in rows.select(serving.identity_within(F.col("c"), ["U"])).collect()]

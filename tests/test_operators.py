@@ -125,6 +125,43 @@ def test_players(spark):
     }
 
 
+def test_short_surnames_meet(spark):
+    rows = [("e", "deck", "Wei Li", 0), ("e", "standing", "Lai, Wei [SGP]", 0), ("f", "deck", "Ann Bo", 0), ("f", "standing", "Bo, Cy [USA]", 0), ("f", "standing", "Ob, Ann [USA]", 0)]
+    got = {(r.deck_name, r.standing_name) for r in players.match(spark.createDataFrame(rows, "event_id string, side string, name string, ord int")).collect()}
+    assert ("Wei Li", "Lai, Wei [SGP]") in got and ("Ann Bo", "Ob, Ann [USA]") not in got
+
+
+def test_every_two_alike_words_share_a_pair_of_letters(spark):
+    """All words of up to four letters over three, and random longer ones."""
+    import difflib
+    import itertools
+    import random
+
+    r = random.Random(1)
+    words = ["".join(w) for n in range(1, 5) for w in itertools.product("abc", repeat=n)] + ["".join(r.choices("abcd", k=r.randint(5, 9))) for _ in range(120)]
+    side = lambda kind, name: spark.createDataFrame([("e", w, ["x", w], [w]) for w in words], f"event_id string, {name} string, words array<string>, last array<string>")
+    got = {(x.deck, x.player) for x in players.alike_surnames(side(0, "deck"), side(1, "player")).where("NOT turned").collect()}
+    m = difflib.SequenceMatcher(None, autojunk=False)
+    want = set()
+    for a in words:
+        for b in words:
+            m.set_seqs(a, b)
+            if a == b or m.ratio() >= 0.8:
+                want.add((a, b))
+    assert got == want
+
+
+def test_byes_and_countries_of_pages(spark):
+    """A bye may be written as a match that was won; Byers is a player; a rank alone is no standing."""
+    page = """<tr><td>1</td><td>Kilo, Kim</td><td>Won 2-0</td><td>vs.</td><td>* BYE *</td></tr><tr><td>2</td><td>Lee, Al</td><td>Lost 1-2</td><td>vs.</td><td>Byers, Bo [USA]</td></tr>
+<tr><td>3</td><td>Hotel, Hana [ITA]</td><td>Bye</td></tr><tr><td>4</td><td>Odd, Row</td><td>vs.</td></tr><tr><td>5</td><td>No, Score</td><td>Won</td><td>vs.</td><td>Lee, Al</td></tr><tr><td>x</td><td>y</td><td>z</td></tr>
+<tr><td>1</td><td>Kilo, Kim [DEU]</td></tr><tr><td>2</td><td>Pro Tour 2005</td></tr>"""
+    rows = files.table_rows(spark.createDataFrame([("p", page)], "file string, text string")).cache()
+    got = [(r.player, r.opponent, r.result) for r in files.results(rows).orderBy("row_ord").collect()]
+    assert got == [("Kilo, Kim", None, "bye"), ("Lee, Al", "Byers, Bo [USA]", "lost"), ("Hotel, Hana [ITA]", None, "bye"), ("Odd, Row", None, "unread"), ("No, Score", None, "unread")]
+    assert [tuple(r) for r in files.standings_rows(rows).orderBy("place").collect()] == [("p", 1, "Kilo, Kim [DEU]"), ("p", 3, "Hotel, Hana [ITA]")]
+
+
 def test_spellings_of_one_player_never_meet_in_a_round(spark):
     gus, other, kim, kim2, lou = "Golf, Gus [ESP]", "Golf, Gus [USA]", "Kilo, Kim [DEU]", "Kilo, Kim [USA]", "Lima, Lou [USA]"
     seen = [("a", 1, other), ("a", 1, kim2), ("a", 2, gus), ("a", 2, kim), ("a", 3, kim2), ("a", 3, lou), ("b", 1, other), ("b", 1, gus)]

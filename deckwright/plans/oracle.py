@@ -5,6 +5,8 @@ Each text starts from ``BINDING``, the canonical tables as common table expressi
 
 from __future__ import annotations
 
+from ..bindings import pages
+
 BINDING = """
 WITH entries AS (
   SELECT o_orderkey AS deck_id, r_name || '-' || strftime(date_trunc('month', o_orderdate), '%Y-%m') AS event_id,
@@ -275,4 +277,5 @@ def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
         "search_everywhere": base + " SELECT card_id FROM cards WHERE contains(lower(name), 'ar') OR contains(lower(type_line), 'ar') OR contains(lower(oracle_text), 'ar') OR len(list_filter(face_types, lambda x: contains(lower(x), 'ar'))) > 0 OR len(list_filter(face_texts, lambda x: contains(lower(x), 'ar'))) > 0",
         "event_windows": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     }
+    out["saved_event_facts"] = pages.SQL
     return {name: " ".join(text.split()) if name != "type_regex_filter" else text for name, text in out.items()}

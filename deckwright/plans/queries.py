@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..bindings import pages
 from ..bindings.tpch import Tables
 from ..functions.stats import LETTERS, grade
 from ..functions.text import ascii_name_key, html_text, name_key
-from ..operators import catalog, cohort, ingest, players, scoring, serving, usage, validate
+from ..operators import assembly, catalog, cohort, ingest, players, scoring, serving, usage, validate
 from ..streaming import trend
 from . import oracle
 
@@ -418,6 +419,16 @@ def fuzzy_players(r: Run) -> DataFrame:
     return players.match(decks.unionByName(standings).withColumn("ord", F.lit(0)))
 
 
+def saved_event_facts(r: Run) -> DataFrame:
+    """Every deck of saved events, from their pages: what of it resolved, its standing, and how much of its event was seen."""
+    facts = assembly.assemble(pages.saved(r.t), pages.aliases(r.t))
+    own = facts.decks.join(facts.events.drop("cut_size", "cut_basis"), "event_id").join(facts.standings.drop("player", "joined_by"), ["event_id", "number"], "left")
+    return own.select(
+        "event_id", F.col("number").cast("long").alias("number"), "label", "skipped_main", "skipped_side", "sideboard_observed", "players", "decklists", "decklist_coverage", "standings_coverage", "match_coverage",
+        F.col("final_rank").cast("long").alias("final_rank"), "wins", "losses", "draws", "byes", "made_cut",
+    )
+
+
 def page_text(r: Run) -> DataFrame:
     return r.t.raw("pages").select("page_id", html_text(F.col("html")).alias("text"))
 
@@ -432,7 +443,7 @@ QUERIES = (
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
     top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, score_completeness,
     deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, search_type, search_text, search_everywhere,
-    cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys,
+    cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )
 
 

@@ -156,6 +156,60 @@ def violations(rules: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS violations {text}" for rule, text in rules.items())
 
 
+def recount_sql(seeded: bool) -> str:
+    """Published decks and cards as rows, with the mistakes of the seeded query or as they are; each rule by itself."""
+
+    def put(when: str, wrong: str, right: str) -> str:
+        return f"CASE WHEN {when} THEN {wrong} ELSE {right} END" if seeded else right
+
+    cards = f"""
+, ordered AS (SELECT r.*, row_number() OVER (PARTITION BY format ORDER BY occurred_on DESC, event_id, source_ord) - 1 AS position FROM results r),
+deck AS (
+  SELECT format, position, {put("deck_id % 137 = 0", "deck_id - 1", "deck_id")} AS deck_id, deck_id AS own, {put("deck_id % 107 = 0", "'nowhere'", "event_id")} AS event_id, {put("deck_id % 101 = 0", "NULL", "made_cut")} AS made_cut,
+    known, CASE WHEN known THEN {put("deck_id % 103 = 0", "wins + 1", "wins")} END AS wins, CASE WHEN known THEN losses END AS losses, CASE WHEN known THEN draws END AS draws FROM ordered),
+dated AS (SELECT d.*, e.occurred_on AS day FROM deck d LEFT JOIN (SELECT * FROM events {"WHERE event_id <> 'AFRICA-1997-05'" if seeded else ""}) e USING (format, event_id)),
+line AS (SELECT format, card_id, position, copies, row_number() OVER (PARTITION BY format, card_id ORDER BY position) AS i, count(*) OVER (PARTITION BY format, card_id) AS n FROM facts f JOIN (SELECT deck_id, position FROM ordered) USING (deck_id)),
+shown_lines AS (SELECT l.format, card_id, {put("card_id % 19 = 0", "(SELECT 0) + position", put("card_id % 29 = 0", "position + 1000000", "position"))} AS position, {put("card_id % 7 = 0", "copies + CASE WHEN i = 1 THEN 1 ELSE 0 END", put("card_id % 23 = 0", "NULL", "copies"))} AS copies, n FROM line l),
+again AS (
+  SELECT l.format, card_id, count(*) AS deck_count, count(DISTINCT event_id) AS event_count, coalesce(sum(copies), 0) AS copies, count(made_cut) AS cut_known, sum(CAST(made_cut AS INT)) AS cut_made, count(*) FILTER (known) AS record_decks,
+    coalesce(sum(wins), 0) AS wins, coalesce(sum(losses), 0) AS losses, coalesce(sum(draws), 0) AS draws FROM shown_lines l LEFT JOIN deck d ON d.format = l.format AND d.position = l.position GROUP BY l.format, card_id),
+claimed AS (SELECT format, card_id, {put("card_id % 13 = 0", "deck_count + 1", "deck_count")} AS deck_count, {put("card_id % 17 = 0", "event_count + 1", "event_count")} AS event_count, copies, cut_known, cut_made, record_decks, wins, losses, draws FROM usage),
+met AS (SELECT * FROM claimed c JOIN (SELECT format, card_id, deck_count AS a_deck_count, event_count AS a_event_count, copies AS a_copies, cut_known AS a_cut_known, cut_made AS a_cut_made, record_decks AS a_record_decks, wins AS a_wins, losses AS a_losses, draws AS a_draws FROM again) USING (format, card_id)),
+sizes AS (SELECT format, count(*) AS size FROM deck GROUP BY format),
+side AS (SELECT DISTINCT deck_id AS own, card_id FROM (SELECT l_orderkey AS deck_id, l_partkey AS card_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 3)),
+apart AS (SELECT format, position, card_id FROM deck d JOIN commanders c ON c.deck_id = d.own {"WHERE own % 109 <> 0 AND own % 113 <> 0 UNION ALL SELECT format, position, -1 FROM deck WHERE own % 109 = 0" if seeded else ""})"""
+    differs = lambda *names: " OR ".join(f"{n} IS DISTINCT FROM a_{n}" for n in names)
+    rules = {
+        "decks' total": f"FROM (SELECT format, size, {put("format = 'ASIA'", 'size + 1', 'size')} AS told FROM sizes) WHERE size <> told",
+        "repeated deck": "FROM (SELECT format, deck_id FROM deck GROUP BY ALL HAVING count(*) > 1)",
+        "event of a deck": "FROM dated WHERE day IS NULL",
+        "newest first": "FROM dated a JOIN dated b ON a.format = b.format AND b.position = a.position + 1 WHERE b.day > a.day",
+        "unlisted decks": "FROM usage WHERE card_id % 7 <> 0 AND card_id % 23 = 0" if seeded else "FROM usage WHERE false",
+        "ascending decks": "FROM (SELECT DISTINCT format, card_id FROM line WHERE (card_id % 19 = 0 AND n > 1) OR (card_id % 19 <> 0 AND card_id % 29 = 0))" if seeded else "FROM usage WHERE false",
+        "unplayed deck": "FROM deck d WHERE NOT EXISTS (FROM shown_lines l WHERE l.format = d.format AND l.position = d.position)",
+        "unstated lists": "FROM deck WHERE (own % 109 <> 0 AND own % 113 = 0) OR (own % 127 <> 0 AND own % 131 = 0)" if seeded else "FROM deck WHERE false",
+        "commander in the deck": "FROM (SELECT DISTINCT format, position FROM apart a WHERE NOT EXISTS (FROM shown_lines l WHERE l.format = a.format AND l.position = a.position AND l.card_id = a.card_id))",
+        "sideboard's card twice": "FROM deck WHERE own % 127 = 0" if seeded else "FROM deck WHERE false",
+        "card's decks": f"FROM met WHERE {differs('deck_count')}", "card's copies": f"FROM met WHERE {differs('copies')}", "card's events": f"FROM met WHERE {differs('event_count')}",
+        "card's cuts": f"FROM met WHERE {differs('cut_known', 'cut_made')}", "card's record": f"FROM met WHERE {differs('record_decks', 'wins', 'losses', 'draws')}",
+    }
+    quoted = lambda rule: rule.replace("'", "''")
+    return cards + " " + " UNION ALL ".join(f"SELECT '{quoted(rule)}' AS rule, count(*) AS violations {text}" for rule, text in rules.items())
+
+
+ARCHETYPES = """
+, kinds AS (
+  SELECT format, label, count(*) AS deck_count, CASE WHEN length(label) % 3 = 0 THEN count(*) + 1 ELSE count(DISTINCT event_id) END AS event_count, count(made_cut) AS cut_known, CASE WHEN length(label) % 2 <> 0 THEN sum(CAST(made_cut AS INT)) END AS cut_made,
+    count(*) FILTER (known) AS record_decks FROM results WHERE label IS NOT NULL GROUP BY format, label),
+twice AS (SELECT * FROM kinds UNION ALL SELECT * FROM kinds WHERE length(label) % 5 = 0),
+firsts AS (SELECT *, CASE WHEN card_id % 11 = 0 THEN 'other' ELSE label END AS home, CASE WHEN card_id % 13 = 0 THEN decks + 1 ELSE decks END AS support, CASE WHEN card_id % 17 = 0 THEN 0 ELSE labels END AS told FROM top_labels WHERE place = 1)
+SELECT 'repeated label' AS rule, count(*) AS violations FROM kinds WHERE length(label) % 5 = 0
+UNION ALL SELECT 'label''s cut known', count(*) FROM twice WHERE (cut_made IS NULL) <> (cut_known = 0)
+UNION ALL SELECT 'label''s counts', count(*) FROM twice WHERE greatest(record_decks, event_count, cut_known) > deck_count
+UNION ALL SELECT 'label''s win rate known', 0
+UNION ALL SELECT 'leading label', count(*) FROM firsts WHERE home <> label OR support <> decks OR told < least(labels, 3)"""
+
+
 def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
     """``earlier``: the rules of the runs before; ``runs``: a registry."""
     base = BINDING.format(rules=rules, excluded=excluded).rstrip()
@@ -278,4 +332,7 @@ def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
         "event_windows": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     }
     out["saved_event_facts"] = pages.SQL
+    out["deck_recount_violations"] = base + recount_sql(False)
+    out["deck_recount_seeded"] = base + recount_sql(True)
+    out["archetype_violations"] = base + ARCHETYPES
     return {name: " ".join(text.split()) if name != "type_regex_filter" else text for name, text in out.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import pages
 from ..bindings.tpch import Tables
+from ..functions.lineage import cut
 from ..functions.stats import LETTERS, grade
 from ..functions.text import ascii_name_key, html_text, name_key
 from ..operators import assembly, catalog, cohort, ingest, players, scoring, serving, usage, validate
@@ -290,7 +291,7 @@ def claimed(r: Run) -> DataFrame:
 
 
 def score_run_violations(r: Run) -> DataFrame:
-    return validate.counts(validate.score_run(claimed(r), r.constructed()))
+    return validate.counts(validate.score_run(cut(claimed(r)), cut(r.constructed())))
 
 
 def score_run_seeded(r: Run) -> DataFrame:
@@ -301,7 +302,55 @@ def score_run_seeded(r: Run) -> DataFrame:
         "win_rate": F.when(k % 13 == 0, None).otherwise(F.col("win_rate")), "event_count": F.when(k % 17 == 0, F.col("deck_count") + 2).otherwise(F.col("event_count")), "labelled": F.when(k % 19 == 0, F.col("deck_count") + 1).otherwise(F.col("labelled")),
     })
     scores = r.constructed().where(k % 23 != 0).withColumn("card_id", F.when(k % 29 == 0, k + 1_000_000).otherwise(k)).withColumn("score", F.when(k % 31 == 0, F.lit(float("nan"))).otherwise(F.col("score")))
-    return validate.counts(validate.score_run(rows.unionByName(rows.where(k % 37 == 0)), scores.unionByName(scores.where(k % 41 == 0))))
+    return validate.counts(validate.score_run(cut(rows.unionByName(rows.where(k % 37 == 0))), cut(scores.unionByName(scores.where(k % 41 == 0)))))
+
+
+def published(r: Run) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Decks, cards, events and totals of the runs as they are published."""
+    known = F.col("wins").isNotNull() & F.col("losses").isNotNull() & F.col("draws").isNotNull()
+    ordered = cut(usage.published_order(r.cohort).select("format", "deck_id", F.col("position").cast("long").alias("position")))
+    headers = usage.results(r.cohort).select("format", "deck_id", "event_id", "made_cut", *[F.when(known, F.col(c)).alias(c) for c in ("wins", "losses", "draws")])
+    apart = r.t.commanders.groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "card_id"))), lambda x: x["card_id"]).alias("commanders"))
+    side = r.t.sideboards.groupBy("deck_id").agg(F.array_sort(F.collect_list("card_id")).alias("sideboard"))
+    none = F.array().cast("array<long>")
+    decks = headers.join(ordered, ["format", "deck_id"]).join(apart, "deck_id", "left").join(side, "deck_id", "left").withColumns({c: F.coalesce(c, none) for c in ("commanders", "sideboard")})
+    lines = r.t.deck_cards.join(ordered, "deck_id").groupBy("format", "card_id").agg(F.array_sort(F.collect_list(F.struct("position", "copies"))).alias("x"))
+    lists = lines.select("format", "card_id", F.col("x.position").alias("positions"), F.col("x.copies").alias("deck_copies"))
+    cards = usage.card_usage(r.facts).drop("players_per_game", "playsets").join(lists, ["format", "card_id"])
+    return decks, cards, r.cohort.events.select("format", "event_id", "occurred_on"), cohort.totals(r.cohort).select("format", "decks")
+
+
+def deck_recount_violations(r: Run) -> DataFrame:
+    """Of runs as they are: none."""
+    decks, cards, events, totals = published(r)
+    return validate.counts(validate.published_decks(cut(decks), cut(cards), events, totals))
+
+
+def deck_recount_seeded(r: Run) -> DataFrame:
+    """Of runs into which a mistake of every kind was put."""
+    decks, cards, events, totals = published(r)
+    d, k, none = F.col("deck_id"), F.col("card_id"), F.lit(None)
+    decks = decks.withColumns({
+        "made_cut": F.when(d % 101 == 0, none).otherwise(F.col("made_cut")), "wins": F.when(d % 103 == 0, F.col("wins") + 1).otherwise(F.col("wins")), "event_id": F.when(d % 107 == 0, "nowhere").otherwise(F.col("event_id")),
+        "commanders": F.when(d % 109 == 0, F.array(F.lit(-1).cast("long"))).when(d % 113 == 0, none).otherwise(F.col("commanders")),
+        "sideboard": F.when(d % 127 == 0, F.array(F.lit(5).cast("long"), F.lit(5).cast("long"))).when(d % 131 == 0, none).otherwise(F.col("sideboard")), "deck_id": F.when(d % 137 == 0, d - 1).otherwise(d),
+    })
+    cards = cards.withColumns({
+        "deck_copies": F.when(k % 7 == 0, F.transform("deck_copies", lambda x, i: F.when(i == 0, x + 1).otherwise(x))).when(k % 23 == 0, none).otherwise(F.col("deck_copies")), "deck_count": F.when(k % 13 == 0, F.col("deck_count") + 1).otherwise(F.col("deck_count")),
+        "event_count": F.when(k % 17 == 0, F.col("event_count") + 1).otherwise(F.col("event_count")), "positions": F.when(k % 19 == 0, F.reverse("positions")).when(k % 29 == 0, F.transform("positions", lambda x: x + 1_000_000)).otherwise(F.col("positions")),
+    })
+    return validate.counts(validate.published_decks(cut(decks), cut(cards), events.where("event_id <> 'AFRICA-1997-05'"), totals.withColumn("decks", F.when(F.col("format") == "ASIA", F.col("decks") + 1).otherwise(F.col("decks")))))
+
+
+def archetype_violations(r: Run) -> DataFrame:
+    """Of archetypes and leading labels in which every eleventh, thirteenth and seventeenth is wrong."""
+    n, k = F.length("label"), F.col("card_id")
+    found = usage.results(r.cohort).where(F.col("label").isNotNull()).groupBy("format", "label").agg(F.count("*").alias("deck_count"), F.countDistinct("event_id").alias("event_count"), *usage.cut(), *usage.record())
+    found = found.withColumn("win_rate", usage.win_rate(F.lit(2))).withColumns({"cut_made": F.when(n % 2 == 0, None).otherwise(F.col("cut_made")), "event_count": F.when(n % 3 == 0, F.col("deck_count") + 1).otherwise(F.col("event_count"))})
+    tops = cut(usage.top_labels(r.facts))
+    first = tops.where("place = 1").select("format", "card_id", F.when(k % 11 == 0, "other").otherwise(F.col("label")).alias("home"), F.when(k % 13 == 0, F.col("decks") + 1).otherwise(F.col("decks")).alias("home_support"), F.when(k % 17 == 0, 0).otherwise(F.col("labels")).alias("labels"))
+    found = cut(found)
+    return validate.counts({**validate.archetype_rules(found.unionByName(found.where(n % 5 == 0))), **validate.leading_labels(first, tops)})
 
 
 def overall_run_violations(r: Run) -> DataFrame:
@@ -310,7 +359,7 @@ def overall_run_violations(r: Run) -> DataFrame:
     graded = r.constructed().where("score IS NOT NULL").select("card_id", "format")
     components = r.rules.select("format").where("format <> 'ASIA'")
     cards = scoring.pooled_usage(r.features()).withColumn("copies", F.when(k % 9 == 0, 0).otherwise(F.col("copies")))
-    return validate.counts(validate.overall_run(cards, graded, components, r.usage().select("card_id", F.lit(1.0).alias("score")).distinct().where(k % 8 != 0)))
+    return validate.counts(validate.overall_run(cut(cards), graded, components, r.usage().select("card_id", F.lit(1.0).alias("score")).distinct().where(k % 8 != 0)))
 
 
 def search_type(r: Run) -> DataFrame:
@@ -442,7 +491,7 @@ QUERIES = (
     score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
     top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, score_completeness,
-    deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, search_type, search_text, search_everywhere,
+    deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
     cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )
 

@@ -70,3 +70,22 @@ def test_representative_and_cheapest(spark):
     with pytest.raises(Exception, match="conflicting rows of 1"):
         catalog.merged(twice.unionByName(odd.drop("games").where("printing_id = 1").withColumn("language", F.lit("ja"))), "printing_id").collect()
     assert catalog.joint(p, ["S"], [], "online").first().eligible == 1
+
+
+def test_decks_are_recounted_from_positions(spark):
+    decks = spark.createDataFrame(
+        [("f", 0, 10, "e2", True, 1, 0, 0, [1], []), ("f", 1, 11, "e1", None, None, None, None, [], [7]), ("f", 2, 12, "e1", False, 2, 1, 1, [], None)],
+        "format string, position long, deck_id long, event_id string, made_cut boolean, wins int, losses int, draws int, commanders array<long>, sideboard array<long>",
+    )
+    events = spark.createDataFrame([("f", "e1", dt.date(2026, 1, 1)), ("f", "e2", dt.date(2026, 1, 2))], "format string, event_id string, occurred_on date")
+    claims = "format string, card_id long, deck_count long, event_count long, copies long, cut_known long, cut_made long, record_decks long, wins long, losses long, draws long, positions array<long>, deck_copies array<long>"
+    cards = spark.createDataFrame([("f", 1, 3, 2, 9, 2, 1, 2, 3, 1, 1, [0, 1, 2], [4, 4, 1]), ("f", 2, 1, 1, 4, 0, None, 0, 0, 0, 0, [1], [4]), ("f", 3, 1, 1, 2, 0, None, 0, 0, 0, 0, [3], [2]), ("f", 4, 2, 1, 2, 1, 0, 1, 2, 1, 1, [2, 1], None)], claims)
+    totals = spark.createDataFrame([("f", 3)], "format string, decks long")
+    got = {r.rule: r.violations for r in validate.counts(validate.published_decks(decks, cards, events, totals)).collect() if r.violations}
+    # the third card lists a deck that isn't there, the fourth descends and has no copies, the last deck states no sideboard
+    assert got == {"unlisted decks": 1, "ascending decks": 2, "unstated lists": 1, "card's events": 1, "card's copies": 1}
+    late = validate.published_decks(decks.where("position < 2").withColumn("event_id", F.when(F.col("position") == 0, "e1").otherwise("e2")), cards.limit(0), events, totals)
+    got = {r.rule: r.violations for r in validate.counts(late).collect() if r.violations}
+    assert got == {"decks' total": 1, "newest first": 1, "unplayed deck": 2, "commander in the deck": 1}
+    with pytest.raises(ValueError, match="unplayed deck"):
+        validate.require(late)

@@ -111,3 +111,33 @@ class Tables:
         rank = F.row_number().over(Window.partitionBy("deck_id").orderBy(F.desc("q"), "card_id"))
         top = best.where(F.col("deck_id") % 5 == 0).withColumn("n", rank).where(F.col("n") <= F.col("deck_id") % 2 + 1)
         return top.select("deck_id", F.col("n").alias("pos"), "card_id")
+
+    @cached_property
+    def pairings(self) -> DataFrame:
+        """Matches of three rounds: deck k meets k + 1, k + 2 and k + 3 where these are listed.  Every fourth is reported from
+        the other seat as well, later, and wrongly."""
+        k, rounds = F.col("deck_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("round")
+        own = self.decks.select("event_id", "deck_id", rounds).where(k % (F.col("round") * 2) < F.col("round"))
+        own = own.select("event_id", "round", "deck_id", (k + F.col("round")).alias("opponent"), F.element_at(F.array(*map(F.lit, ("won", "lost", "drew"))), (k % 3 + 1).cast("int")).alias("result"))
+        met = own.join(self.decks.select(F.col("deck_id").alias("opponent")), "opponent", "left_semi")
+        reports = F.array(F.struct(F.lit(1).alias("seen"), k.alias("deck"), F.col("opponent").alias("opponent"), F.col("result").alias("result")), F.struct(F.lit(2).alias("seen"), F.col("opponent").alias("deck"), k.alias("opponent"), F.lit("won").alias("result")))
+        told = F.explode(F.when(k % 4 == 0, reports).otherwise(F.slice(reports, 1, 1)))
+        return met.select("event_id", "round", told.alias("x")).select("event_id", "round", "x.*")
+
+    @cached_property
+    def price_history(self) -> DataFrame:
+        """(card_id, day, price): what was asked for a card on a day, several times on some."""
+        return self.raw("lineitem").select(F.col("l_partkey").alias("card_id"), F.col("l_shipdate").cast("date").alias("day"), F.floor("l_extendedprice").cast("long").alias("price"))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Published runs of every year that a format has events in: two of the whole year, one of its first half, which
+        in even years scored by another method."""
+        year, n = F.year("occurred_on"), F.col("n")
+        rows = self.events.select("format", year.alias("y")).distinct().select("format", "y", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+        half = n == 3
+        return rows.select(
+            F.concat_ws("-", "format", F.col("y").cast("string"), n.cast("string")).alias("run_id"), F.lit("orders").alias("source"), "format", F.when(half & (F.col("y") % 2 == 0), "signature").otherwise("constructed").alias("method"),
+            F.make_date("y", F.lit(1), F.lit(1)).alias("starts_on"), F.when(half, F.make_date("y", F.lit(7), F.lit(1))).otherwise(F.make_date(F.col("y") + 1, F.lit(1), F.lit(1))).alias("ends_before"),
+            ((F.col("y") * 7 + n * 5) % 11).alias("made"), ((n == 1) & (F.col("y") % 3 == 0)).alias("active"),
+        )

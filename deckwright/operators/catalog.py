@@ -39,8 +39,8 @@ def original_first(printings: DataFrame) -> DataFrame:
     return with_original_key(printings).groupBy("card_id").agg(F.min_by(F.struct("printing_id", "set_code", "released_on"), "original").alias("p"), F.count("*").alias("printings")).select("card_id", "p.*", "printings")
 
 
-def joint(printings: DataFrame, sets: Sequence[str] = (), rarities: Sequence[str] = (), game: str | None = None) -> DataFrame:
-    """Cards with a printing for which all that is asked holds at once, and how many such there are."""
+def asked(sets: Sequence[str] = (), rarities: Sequence[str] = (), game: str | None = None) -> Column:
+    """What a printing must be: of one of the sets, one of the rarities, and in the game, as far as these are given."""
     keep = F.lit(True)
     if sets:
         keep = keep & F.col("set_code").isin(*sets)
@@ -48,7 +48,20 @@ def joint(printings: DataFrame, sets: Sequence[str] = (), rarities: Sequence[str
         keep = keep & F.col("rarity").isin(*rarities)
     if game:
         keep = keep & F.array_contains("games", game)
-    return printings.where(keep).groupBy("card_id").agg(F.count("*").alias("eligible"))
+    return keep
+
+
+def joint(printings: DataFrame, sets: Sequence[str] = (), rarities: Sequence[str] = (), game: str | None = None) -> DataFrame:
+    """Cards with a printing for which all that is asked holds at once, and how many such there are."""
+    return printings.where(asked(sets, rarities, game)).groupBy("card_id").agg(F.count("*").alias("eligible"))
+
+
+def joint_preview(printings: DataFrame, sets: Sequence[str] = (), rarities: Sequence[str] = (), game: str | None = None) -> DataFrame:
+    """The same with all printings counted beside them, and the preview: the eligible printing that is first in the order
+    of originals.  That order is of all printings, as it asks in which sets the card is."""
+    fits = asked(sets, rarities, game)
+    per = with_original_key(printings).groupBy("card_id").agg(F.count_if(fits).alias("eligible"), F.count("*").alias("printings"), F.min_by("printing_id", F.when(fits, F.col("original"))).alias("preview"))
+    return per.where("eligible > 0")
 
 
 def playable_in_paper() -> Column:
@@ -154,10 +167,13 @@ def conflicts(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.sha2(content, 256).alias("h")).groupBy(key).agg(F.countDistinct("h").alias("versions")).where("versions > 1")
 
 
-def printing_page(printings: DataFrame, card_id: int, after: int | None, limit: int) -> DataFrame:
-    """A card's printings in the order of originals, after the one of the last id, with one row more to tell whether
-    another page follows: the whole key of the last id is looked up and compared, so no row is numbered."""
+def printing_page(printings: DataFrame, card_id: int, after: int | None, limit: int, fits: Column | None = None) -> DataFrame:
+    """A card's printings (those that are ``asked`` for, if that is given) in the order of originals, after the one of the
+    last id, with one row more to tell whether another page follows: the whole key of the last id is looked up and
+    compared, so no row is numbered."""
     own = with_original_key(printings.where(F.col("card_id") == card_id))
+    if fits is not None:
+        own = own.where(fits)
     if after is not None:  # one row
         own = own.join(F.broadcast(own.where(F.col("printing_id") == after).select(F.col("original").alias("last"))), F.col("original") > F.col("last")).drop("last")
     return own.orderBy("original").limit(limit + 1).drop("original")

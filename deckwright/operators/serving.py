@@ -73,14 +73,15 @@ def compare_page(rows: DataFrame, run: str, limit: int, names: DataFrame) -> Dat
 
 
 def previous_run(runs: DataFrame) -> DataFrame:
-    """(run_id, previous_id): the latest run of the same source, format and method that starts earlier."""
-    before = F.lag("run_id").over(Window.partitionBy("source", "format", "method").orderBy("starts_on", "run_id"))
-    return runs.select("run_id", before.alias("previous_id"))
+    """(run_id, previous_id): the run that rank changes are measured against, of the same source, format and method: among
+    those whose window ended earlier the one that ended last, of several the latest published."""
+    earlier = Window.partitionBy("source", "format", "method").orderBy(F.unix_date("ends_before")).rangeBetween(Window.unboundedPreceding, -1)
+    return runs.select("run_id", F.max(F.struct("ends_before", "made", "run_id")).over(earlier)["run_id"].alias("previous_id"))
 
 
 def windows(runs: DataFrame) -> DataFrame:
-    """One run for each source and window: the active one, else the latest."""
-    return latest(runs, ["source", "format", "starts_on"], [F.desc("active"), F.desc("made"), F.col("run_id")])
+    """One run for each source, format and window: the active one, else the latest published."""
+    return latest(runs, ["source", "format", "starts_on", "ends_before"], [F.desc("active"), F.desc("made"), F.col("run_id")])
 
 
 def keyset(rows: DataFrame, after: tuple[str, int] | None, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ Each text starts from ``BINDING``, the canonical tables as common table expressi
 from __future__ import annotations
 
 from ..bindings import pages
+from ..operators.matchups import Z
 
 BINDING = """
 WITH entries AS (
@@ -197,6 +198,38 @@ apart AS (SELECT format, position, card_id FROM deck d JOIN commanders c ON c.de
     return cards + " " + " UNION ALL ".join(f"SELECT '{quoted(rule)}' AS rule, count(*) AS violations {text}" for rule, text in rules.items())
 
 
+#: Published runs and their previous ones.
+RUNS = """
+, runs AS (
+  SELECT format || '-' || y || '-' || n AS run_id, 'orders' AS source, format, CASE WHEN n = 3 AND y % 2 = 0 THEN 'signature' ELSE 'constructed' END AS method, make_date(y, 1, 1) AS starts_on,
+    CASE WHEN n = 3 THEN make_date(y, 7, 1) ELSE make_date(y + 1, 1, 1) END AS ends_before, (y * 7 + n * 5) % 11 AS made, n = 1 AND y % 3 = 0 AS active
+  FROM (SELECT DISTINCT format, year(occurred_on) AS y FROM all_events) CROSS JOIN (VALUES (1), (2), (3)) AS t(n)),
+earlier AS (
+  SELECT r.run_id, (SELECT o.run_id FROM runs o WHERE o.source = r.source AND o.format = r.format AND o.method = r.method AND o.ends_before < r.ends_before ORDER BY o.ends_before DESC, o.made DESC, o.run_id DESC LIMIT 1) AS previous_id FROM runs r)
+"""
+
+MATCHUPS = """
+, seats AS (
+  SELECT a.format, a.label, b.label AS against, ['won', 'lost', 'drew'][a.deck_id % 3 + 1] AS r FROM decks a CROSS JOIN (VALUES (1), (2), (3)) AS t(n) JOIN decks b ON b.deck_id = a.deck_id + n AND b.format = a.format
+  WHERE a.deck_id % (2 * n) < n AND a.label IS NOT NULL AND b.label IS NOT NULL),
+both_seats AS (SELECT * FROM seats UNION ALL SELECT format, against, label, CASE r WHEN 'won' THEN 'lost' WHEN 'lost' THEN 'won' ELSE r END FROM seats WHERE label <> against),
+each_cell AS (SELECT format, label, against, count(*) AS matches, CASE WHEN label = against THEN count(*) FILTER (r <> 'drew') ELSE count(*) FILTER (r = 'won') END AS wins,
+  CASE WHEN label = against THEN count(*) FILTER (r <> 'drew') ELSE count(*) FILTER (r = 'lost') END AS losses, count(*) FILTER (r = 'drew') AS draws FROM both_seats GROUP BY format, label, against),
+shares AS (SELECT *, CAST(matches AS DOUBLE) AS n, (CAST(wins AS DOUBLE) + CAST(draws AS DOUBLE) * 5e-1) / CAST(matches AS DOUBLE) AS p, CAST({zz} AS DOUBLE) AS zz FROM each_cell),
+cells AS (
+  SELECT *, CASE WHEN label <> against THEN CAST(wins * 2 + draws AS DOUBLE) / CAST(matches * 2 AS DOUBLE) END AS win_rate,
+    CASE WHEN label <> against THEN ((p + zz / (2e0 * n)) - half) / (1e0 + zz / n) END AS low, CASE WHEN label <> against THEN ((p + zz / (2e0 * n)) + half) / (1e0 + zz / n) END AS high
+  FROM (SELECT *, CAST({z} AS DOUBLE) * sqrt((p * (1e0 - p) + zz / (4e0 * n)) / n) AS half FROM shares))
+""".format(z=repr(Z), zz=repr(Z * Z))
+
+PACKAGES = """
+, held AS (SELECT DISTINCT f.format, f.deck_id, c.name AS item FROM facts f JOIN cards c USING (card_id)),
+sets AS (SELECT format, deck_id, [item] AS items FROM held UNION ALL SELECT s.format, s.deck_id, list_append(s.items, h.item) FROM sets s JOIN held h ON h.format = s.format AND h.deck_id = s.deck_id AND h.item > s.items[-1]),
+counted AS (SELECT format, items, count(*) AS decks FROM sets WHERE len(items) >= 2 GROUP BY ALL HAVING count(*) >= 3),
+run_decks AS (SELECT format, count(DISTINCT deck_id) AS n FROM held GROUP BY format),
+singles AS (SELECT format, map_from_entries(list((item, CAST(c AS DOUBLE) / CAST(n AS DOUBLE)))) AS share FROM (SELECT format, item, count(*) AS c FROM held GROUP BY ALL) JOIN run_decks USING (format) GROUP BY format)
+SELECT format, array_to_string(items, '|') AS items, len(items) AS size, decks, CAST(decks AS DOUBLE) / CAST(n AS DOUBLE) / list_reduce(list_transform(items, lambda x: share[x]), lambda a, b: a * b, 1e0) AS lift FROM counted JOIN run_decks USING (format) JOIN singles USING (format)"""
+
 ARCHETYPES = """
 , kinds AS (
   SELECT format, label, count(*) AS deck_count, CASE WHEN length(label) % 3 = 0 THEN count(*) + 1 ELSE count(DISTINCT event_id) END AS event_count, count(made_cut) AS cut_known, CASE WHEN length(label) % 2 <> 0 THEN sum(CAST(made_cut AS INT)) END AS cut_made,
@@ -210,7 +243,7 @@ UNION ALL SELECT 'label''s win rate known', 0
 UNION ALL SELECT 'leading label', count(*) FROM firsts WHERE home <> label OR support <> decks OR told < least(labels, 3)"""
 
 
-def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
+def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
     """``earlier``: the rules of the runs before; ``runs``: a registry."""
     base = BINDING.format(rules=rules, excluded=excluded).rstrip()
     scored = base + "," + CONSTRUCTED
@@ -284,7 +317,6 @@ def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
         "score_per_dollar": scored + " SELECT format, card_id, score / CAST(min(usd) AS DOUBLE) AS per_dollar FROM constructed JOIN offers USING (card_id) WHERE usd > 0 GROUP BY format, card_id, score",
         "color_overlap": base + " SELECT card_id, array_to_string(colors, '') AS colors FROM cards WHERE list_has_any(colors, ['W', 'G'])",
         "color_identity_subset": base + " SELECT card_id, array_to_string(colors, '') AS colors FROM cards WHERE colors IS NOT NULL AND len(list_filter(colors, lambda x: x NOT IN ('W', 'U'))) = 0",
-        "type_regex_filter": base + " SELECT card_id, type_line FROM cards WHERE regexp_matches(type_line, '(^|//)[^—/]*\\bLand\\b')",
         "name_search": base + " SELECT card_id, name FROM cards WHERE contains(lower(name), 'ring')",
         "modal_names": base + " SELECT type_line, name FROM (SELECT type_line, name, row_number() OVER (PARTITION BY type_line ORDER BY count(*) DESC, name) AS n FROM cards GROUP BY type_line, name) WHERE n = 1",
         "coverage_classes": base + " SELECT event_id, CASE WHEN players <= 0 THEN 'UNKNOWN' WHEN decklists <= 0 THEN 'NONE' WHEN decklists < players THEN 'PARTIAL' ELSE 'FULL_FIELD' END AS class FROM all_events",
@@ -299,7 +331,6 @@ def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
         "cooccurrence_lift": base + """, c AS (SELECT format, card_id, count(*) AS n FROM facts GROUP BY ALL), f AS (SELECT format, count(DISTINCT deck_id) AS n FROM facts GROUP BY format)
             SELECT p.*, CAST(together AS DOUBLE) * CAST(f.n AS DOUBLE) / CAST(x.n * y.n AS DOUBLE) AS lift FROM (SELECT l.format, l.card_id AS a, r.card_id AS b, count(*) AS together FROM facts l JOIN facts r ON l.deck_id = r.deck_id AND l.card_id < r.card_id GROUP BY ALL HAVING count(*) >= 2) p
             JOIN c x ON x.format = p.format AND x.card_id = a JOIN c y ON y.format = p.format AND y.card_id = b JOIN f ON f.format = p.format""",
-        "joint_with_preview": base + " SELECT card_id, eligible, printings, printing_id AS preview FROM (SELECT card_id, count(*) AS eligible FROM printings WHERE set_code IN ('S1', 'pS2') AND rarity IN ('rare', 'mythic') AND list_contains(games, 'paper') GROUP BY card_id) JOIN (SELECT card_id, count(*) AS printings FROM printings GROUP BY card_id) USING (card_id) JOIN (SELECT card_id, printing_id FROM originals WHERE place = 1) USING (card_id)",
         "collector_order": base + " SELECT card_id, printing_id, row_number() OVER (PARTITION BY card_id ORDER BY coalesce(try_cast(regexp_extract(collector_number, '^[0-9]+') AS DOUBLE), CAST('NaN' AS DOUBLE)), collector_number, printing_id) AS place FROM printings",
         "printing_summary": base + " SELECT count(*) AS printings, count(DISTINCT card_id) AS cards, min(released_on) AS first, max(released_on) AS last, string_agg(DISTINCT set_code, ',' ORDER BY set_code) AS sets FROM printings",
         "unplayed_cards": base + " SELECT card_id FROM cards WHERE card_id NOT IN (SELECT card_id FROM facts)",
@@ -308,8 +339,6 @@ def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
         "compare_by_run": scored + """ SELECT card_id, name, chosen, runs FROM (SELECT card_id, max(score) FILTER (format = 'ASIA') AS chosen, string_agg(format || ':' || CAST(ranking AS VARCHAR), ',' ORDER BY format) AS runs FROM rankings GROUP BY card_id) JOIN cards USING (card_id) ORDER BY chosen DESC NULLS LAST, card_id LIMIT 25""",
         "overall_components": scored + " SELECT format, weight, count(score) AS scored, max(score) AS best FROM constructed JOIN (VALUES ('ASIA', 1e0), ('EUROPE', 5e-1), ('NOWHERE', 2e0)) AS c(format, weight) USING (format) GROUP BY ALL",
         "version_union": base + " SELECT format, string_agg(DISTINCT 'v' || CAST(deck_id % 3 AS VARCHAR), '+' ORDER BY 'v' || CAST(deck_id % 3 AS VARCHAR)) AS version FROM decks GROUP BY format",
-        "run_windows": f"WITH runs AS (SELECT * FROM (VALUES {runs}) AS t(run_id, source, format, method, starts_on, made, active)) SELECT DISTINCT ON (source, format, starts_on) source, format, starts_on, run_id FROM runs ORDER BY source, format, starts_on, active DESC, made DESC, run_id",
-        "previous_run": f"WITH runs AS (SELECT * FROM (VALUES {runs}) AS t(run_id, source, format, method, starts_on, made, active) WHERE active) SELECT r.run_id, (SELECT o.run_id FROM runs o WHERE o.source = r.source AND o.format = r.format AND o.method = r.method AND (o.starts_on, o.run_id) < (r.starts_on, r.run_id) ORDER BY o.starts_on DESC, o.run_id DESC LIMIT 1) AS previous_id FROM runs r",
         "score_completeness": base + """ SELECT format, 2 * n AS expected, given, 2 * n = given AS complete FROM (SELECT format, count(*) AS n FROM usage WHERE card_id NOT IN (SELECT card_id FROM basics) GROUP BY format)
             LEFT JOIN (SELECT format, 2 * count(*) AS given FROM features WHERE home IS NOT NULL GROUP BY format) USING (format)""",
         "deck_headers": base + " SELECT format, deck_id, event_id, occurred_on, label, made_cut, CASE WHEN known THEN wins END AS wins, CASE WHEN known THEN losses END AS losses, CASE WHEN known THEN draws END AS draws FROM results",
@@ -332,6 +361,21 @@ def sql(rules: str, excluded: str, earlier: str, runs: str) -> dict[str, str]:
         "event_windows": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     }
     out["saved_event_facts"] = pages.SQL
+    fits = "set_code IN ('S1', 'pS2') AND rarity IN ('rare', 'mythic') AND list_contains(games, 'paper')"
+    out["joint_with_preview"] = base + f" SELECT card_id, count(*) FILTER (fits) AS eligible, count(*) AS printings, min_by(printing_id, place) FILTER (fits) AS preview FROM (SELECT o.card_id, o.printing_id, place, {fits} AS fits FROM originals o) GROUP BY card_id HAVING count(*) FILTER (fits) > 0"
+    out["joint_printing_page"] = base + " SELECT printing_id, set_code, released_on FROM (SELECT * FROM originals WHERE card_id = 17 AND set_code IN ('S0', 'S1', 'S2') AND list_contains(games, 'paper')) ORDER BY place LIMIT 3"
+    out["type_regex_filter"] = base + " SELECT card_id, shown AS type_line FROM (SELECT card_id, coalesce(type_line, array_to_string(face_types, ' // ')) AS shown FROM cards) WHERE regexp_matches(shown, '(^|//)[^—/]*\\bLand\\b')"
+    out["run_windows"] = base + RUNS + " SELECT DISTINCT ON (source, format, starts_on, ends_before) source, format, starts_on, ends_before, run_id FROM runs ORDER BY source, format, starts_on, ends_before, active DESC, made DESC, run_id"
+    out["previous_run"] = base + RUNS + " SELECT run_id, previous_id FROM earlier"
+    recursive = base.replace("WITH", "WITH RECURSIVE", 1)
+    out["run_chain"] = recursive + RUNS + ", walk AS (SELECT run_id, previous_id AS earlier_id, 1 AS steps FROM earlier WHERE previous_id IS NOT NULL UNION ALL SELECT w.run_id, e.previous_id, steps + 1 FROM walk w JOIN earlier e ON e.run_id = w.earlier_id WHERE e.previous_id IS NOT NULL) SELECT run_id, earlier_id, CAST(steps AS BIGINT) AS steps FROM walk"
+    out["matchup_matrix"] = base + MATCHUPS + " SELECT format, label, against, matches, wins, losses, draws, win_rate, low, high FROM cells"
+    out["matchup_table"] = base + MATCHUPS + " SELECT format, label, " + ", ".join(f"max(win_rate) FILTER (against = '{x}') AS \"{x}\"" for x in ("BUILDING", "FURNITURE", "MACHINERY")) + " FROM cells GROUP BY format, label"
+    out["card_packages"] = recursive + PACKAGES
+    out["price_as_of"] = base + ", told AS (SELECT l_partkey AS card_id, CAST(l_shipdate AS DATE) AS day, min(CAST(floor(l_extendedprice) AS BIGINT)) AS price FROM lineitem GROUP BY ALL) SELECT f.format, f.deck_id, f.card_id, f.occurred_on AS day, t.price, t.day AS since FROM facts f ASOF LEFT JOIN told t ON f.card_id = t.card_id AND f.occurred_on >= t.day"
+    out["cohort_cube"] = base + " SELECT format, label, made_cut, GROUPING(format, label, made_cut) AS \"grouping\", count(*) AS decks, CAST(sum(wins) AS BIGINT) AS wins FROM results GROUP BY CUBE (format, label, made_cut)"
+    out["cohort_rollup"] = base + " SELECT format, event_id, GROUPING(format, event_id) AS \"grouping\", count(*) AS decks, count(label) AS labelled FROM results GROUP BY ROLLUP (format, event_id)"
+    out["usage_sketches"] = base + " SELECT format, card_id, count(*) AS decks, true AS players_close, true AS median_close FROM facts WHERE format = 'ASIA' AND occurred_on >= DATE '1997-04-01' AND occurred_on < DATE '1997-10-01' GROUP BY format, card_id"
     out["deck_recount_violations"] = base + recount_sql(False)
     out["deck_recount_seeded"] = base + recount_sql(True)
     out["archetype_violations"] = base + ARCHETYPES

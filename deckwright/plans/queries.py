@@ -13,7 +13,8 @@ from ..bindings.tpch import Tables
 from ..functions.lineage import cut
 from ..functions.stats import LETTERS, grade
 from ..functions.text import ascii_name_key, html_text, name_key
-from ..operators import assembly, catalog, cohort, ingest, players, scoring, serving, usage, validate
+from ..operators import assembly, catalog, cohort, history, ingest, packages, players, scoring, serving, sketches, usage, validate
+from ..operators import matchups as matchup
 from ..streaming import trend
 from . import oracle
 
@@ -21,9 +22,6 @@ from . import oracle
 RULES = [(f, dt.date(y, 1, 1), dt.date(y + 1, 1, 1), 0.9, 2) for f, y in (("AFRICA", 1997), ("AMERICA", 1997), ("ASIA", 1997), ("EUROPE", 1998))]
 EARLIER = [(f, a.replace(year=a.year - 1), a, c, p) for f, a, _, c, p in RULES]
 EXCLUDED = [("ASIA-1997-03", "duplicate report"), ("EUROPE-1998-07", "team event")]
-#: Runs as a registry lists them: id, source, format, method, first day, when made, active.
-RUN = "run_id string, source string, format string, method string, starts_on date, made int, active boolean"
-RUNS = [(f"{f}-{y}-{n}", "tpch", f, "constructed", dt.date(y, 1, 1), n, n == 2 or y == 1996) for f in ("AFRICA", "ASIA") for y in (1996, 1997, 1998) for n in (1, 2, 3)]
 OVERALL = '[{"format": "ASIA", "weight": 1.0}, {"format": "EUROPE", "weight": 0.5}, {"format": "NOWHERE", "weight": 2.0}]'
 #: Least share of an archetype's decks that a core card is in; lines of orders are spread over all parts.
 CORE_SHARE = 0.004
@@ -206,8 +204,12 @@ def catalog_joint_printing(r: Run) -> DataFrame:
 
 
 def joint_with_preview(r: Run) -> DataFrame:
-    """How many printings are eligible, beside the card's preview."""
-    return catalog_joint_printing(r).join(catalog.original_first(r.t.printings), "card_id").select("card_id", "eligible", "printings", F.col("printing_id").alias("preview"))
+    return catalog.joint_preview(r.t.printings, ["S1", "pS2"], ["rare", "mythic"], "paper")
+
+
+def joint_printing_page(r: Run) -> DataFrame:
+    """A page of one card's eligible printings."""
+    return catalog.printing_page(r.t.printings, 17, None, 2, catalog.asked(["S0", "S1", "S2"], (), "paper")).select("printing_id", "set_code", "released_on")
 
 
 def collector_order(r: Run) -> DataFrame:
@@ -253,11 +255,63 @@ def version_union(r: Run) -> DataFrame:
 
 
 def run_windows(r: Run) -> DataFrame:
-    return serving.windows(r.spark.createDataFrame(RUNS, RUN)).select("source", "format", "starts_on", "run_id")
+    return serving.windows(r.t.runs).select("source", "format", "starts_on", "ends_before", "run_id")
 
 
 def previous_run(r: Run) -> DataFrame:
-    return serving.previous_run(r.spark.createDataFrame(RUNS, RUN).where("active"))
+    return serving.previous_run(r.t.runs)
+
+
+def run_chain(r: Run) -> DataFrame:
+    """All earlier runs of each run, along its chain of previous ones."""
+    return history.chain(serving.previous_run(r.t.runs)).withColumn("steps", F.col("steps").cast("long"))
+
+
+def matchups(r: Run) -> DataFrame:
+    return matchup.matrix(r.t.pairings, r.cohort.decks)
+
+
+def matchup_matrix(r: Run) -> DataFrame:
+    return matchups(r)
+
+
+def matchup_table(r: Run) -> DataFrame:
+    """A label's win rate against each of three."""
+    return matchup.pivoted(matchups(r), ["BUILDING", "FURNITURE", "MACHINERY"])
+
+
+def card_packages(r: Run) -> DataFrame:
+    """Sets of names that at least three decks of a run hold."""
+    lines = r.facts.join(r.t.cards.select("card_id", "name"), "card_id").select("format", "deck_id", F.col("name").alias("item"))
+    return packages.packages(lines, 3).select("format", F.array_join("items", "|").alias("items"), F.col("size").cast("long").alias("size"), "decks", "lift")
+
+
+def price_as_of(r: Run) -> DataFrame:
+    """Every card of every deck with its price on the day of the event."""
+    lines = r.facts.select("format", "deck_id", "card_id", F.col("occurred_on").alias("day"))
+    return history.as_of(lines, r.t.price_history, "card_id", "day", "price")
+
+
+def cohort_cube(r: Run) -> DataFrame:
+    """Decks and wins by run, label and cut, and by every subset of these; bits of ``grouping`` tell which are left out."""
+    return usage.results(r.cohort).cube("format", "label", "made_cut").agg(F.grouping_id().cast("long").alias("grouping"), F.count("*").alias("decks"), F.sum("wins").alias("wins"))
+
+
+def cohort_rollup(r: Run) -> DataFrame:
+    return usage.results(r.cohort).rollup("format", "event_id").agg(F.grouping_id().cast("long").alias("grouping"), F.count("*").alias("decks"), F.count("label").alias("labelled"))
+
+
+def usage_sketches(r: Run) -> DataFrame:
+    """Cards in the middle half of a run's year from sketches of their days, and whether these are close to the truth."""
+    bought = r.t.raw("orders").select(F.col("o_orderkey").alias("deck_id"), F.col("o_custkey").alias("player"))
+    facts = r.facts.where("format = 'ASIA'").join(bought, "deck_id")
+    first, last = dt.date(1997, 4, 1), dt.date(1997, 10, 1)
+    told = sketches.over(sketches.daily(facts), first, last, "format", "card_id").withColumn("median", F.col("quantiles")[0])
+    inside = facts.where((F.col("occurred_on") >= F.lit(first)) & (F.col("occurred_on") < F.lit(last)))
+    exact = inside.join(told.select("format", "card_id", "median"), ["format", "card_id"]).groupBy("format", "card_id").agg(F.countDistinct("player").alias("exact"), F.count_if(F.col("copies") < F.col("median")).alias("under"), F.count_if(F.col("copies") <= F.col("median")).alias("within"))
+    close = F.abs(F.col("players") - F.col("exact")) <= F.greatest(F.lit(1), F.col("exact") * 0.03)
+    half = (F.col("under") <= F.col("decks") * 0.53) & (F.col("within") >= F.col("decks") * 0.47)
+    return told.join(exact, ["format", "card_id"]).select("format", "card_id", "decks", close.alias("players_close"), half.alias("median_close"))
 
 
 def score_completeness(r: Run) -> DataFrame:
@@ -402,7 +456,9 @@ def color_identity_subset(r: Run) -> DataFrame:
 
 
 def type_regex_filter(r: Run) -> DataFrame:
-    return r.t.cards.where(catalog.type_filter(F.col("type_line"), "land")).select("card_id", "type_line")
+    """Of the type line that is shown: a card of several faces has theirs."""
+    shown = F.coalesce("type_line", F.array_join(F.transform("faces", lambda f: f["type_line"]), " // "))
+    return r.t.cards.select("card_id", shown.alias("type_line")).where(catalog.type_filter(F.col("type_line"), "land"))
 
 
 def name_search(r: Run) -> DataFrame:
@@ -490,7 +546,7 @@ QUERIES = (
     cohort_exclusions, cohort_totals, card_usage, card_top_archetypes, archetype_concentration, trend_series, archetype_cores, archetype_records, commander_archetypes, field_baseline, card_performance, score_constructed, score_signature, score_hidden_gem,
     score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
-    top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, score_completeness,
+    top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, run_chain, joint_printing_page, matchup_matrix, matchup_table, card_packages, price_as_of, cohort_cube, cohort_rollup, usage_sketches, score_completeness,
     deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
     cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )
@@ -508,4 +564,4 @@ def values(rows: list[tuple]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql(values(RULES), values(EXCLUDED), values(EARLIER), values(RUNS))
+    return oracle.sql(values(RULES), values(EXCLUDED), values(EARLIER))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckwright.functions import text
-from deckwright.operators import catalog, cohort, serving, usage, validate
+from deckwright.operators import catalog, cohort, history, matchups, packages, serving, sketches, usage, validate
 from deckwright.sources import files
 
 
@@ -89,3 +89,72 @@ def test_decks_are_recounted_from_positions(spark):
     assert got == {"decks' total": 1, "newest first": 1, "unplayed deck": 2, "commander in the deck": 1}
     with pytest.raises(ValueError, match="unplayed deck"):
         validate.require(late)
+
+
+def test_each_pairing_counts_once_and_cells_mirror(spark):
+    told = [("e", 1, 1, 1, 2, "won"), ("e", 1, 2, 2, 1, "won"), ("e", 2, 2, 1, 2, "lost"), ("e", 2, 1, 2, 1, "drew"), ("e", 3, 1, 1, 3, "won"), ("e", 3, 1, 2, 4, "won"), ("e", 4, 1, 5, 5, "won"), ("e", 4, 1, 1, 9, "won"), ("e", 5, 1, 1, 6, "won")]
+    decks = spark.createDataFrame([(1, "f", "A"), (2, "f", "B"), (3, "f", "A"), (4, "f", None), (5, "f", "A"), (6, "g", "A")], "deck_id int, format string, label string")
+    cells = matchups.matrix(spark.createDataFrame(told, "event_id string, round int, seen int, deck int, opponent int, result string"), decks)
+    got = {(r.label, r.against): (r.matches, r.wins, r.losses, r.draws, r.win_rate) for r in cells.collect()}
+    assert got == {("A", "B"): (2, 1, 0, 1, 0.75), ("B", "A"): (2, 0, 1, 1, 0.25), ("A", "A"): (1, 1, 1, 0, None)}
+    for r in cells.where("win_rate IS NOT NULL").collect():
+        assert 0 <= r.low < r.win_rate < r.high <= 1
+    table = {r.label: (r.A, r.B, r.C) for r in matchups.pivoted(cells, ["A", "B", "C"]).collect()}
+    assert table == {"A": (None, 0.75, None), "B": (0.25, None, None)}
+
+
+def test_packages_are_all_frequent_sets(spark):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    decks = {(f, d): r.sample(range(9), r.randint(1, 6)) for f in "xy" for d in range(40)}
+    rows = [(f, d, i) for (f, d), items in decks.items() for i in [*items, items[0], None]]
+    got = {(x.format, tuple(x["items"])): (x.size, x.decks) for x in packages.packages(spark.createDataFrame(rows, "format string, deck_id int, item int"), 5).collect()}
+    want = {}
+    for f in "xy":
+        for size in range(2, 7):
+            for items in itertools.combinations(map(str, range(9)), size):
+                n = sum(set(items) <= set(map(str, own)) for (g, _), own in decks.items() if g == f)
+                if n >= 5:
+                    want[(f, items)] = (size, n)
+    assert got == want and max(size for size, _ in want.values()) >= 3
+    assert packages.packages(spark.createDataFrame([], "format string, deck_id int, item int"), 2).count() == 0
+
+
+def test_values_as_of_a_day(spark):
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    told = [(1, day(0), 5), (1, day(0), 4), (1, day(3), 7), (1, day(200), 9), (2, day(50), 1), (None, day(1), 3), (3, day(1), None)]
+    asked = [(1, day(n), "a") for n in (-1, 0, 2, 3, 29, 31, 199, 200, 400)] + [(2, day(49), "b"), (2, day(50), "b"), (3, day(9), "c"), (9, day(9), "d"), (None, day(9), "e"), (1, None, "f"), (1, day(3), "a")]
+    rows = history.as_of(spark.createDataFrame(asked, "k int, day date, more string"), spark.createDataFrame(told, "k int, day date, v int"), "k", "day", "v")
+    got = sorted(map(tuple, rows.collect()), key=str)
+    want = []
+    for k, d, more in asked:
+        best = max(((t, -v, v) for key, t, v in told if key == k and k is not None and d is not None and v is not None and t <= d), default=None)
+        want.append((k, d, more, best and best[2], best and best[0]))
+    assert got == sorted(want, key=str) and sum(x[3] is not None for x in got) == 10
+    assert history.as_of(spark.createDataFrame([], "k int, day date"), spark.createDataFrame(told, "k int, day date, v int"), "k", "day", "v").count() == 0
+
+
+def test_runs_before_a_run(spark):
+    rows = [("a", 2024, 1), ("b", 2025, 1), ("c", 2025, 2), ("d", 2026, 1), ("e", 2026, 9)]
+    runs = spark.createDataFrame([(i, "s", "f", "m", dt.date(y - 1, 1, 1), dt.date(y, 1, 1), made, i == "d") for i, y, made in rows], "run_id string, source string, format string, method string, starts_on date, ends_before date, made int, active boolean")
+    previous = serving.previous_run(runs)
+    assert {r.run_id: r.previous_id for r in previous.collect()} == {"a": None, "b": "a", "c": "a", "d": "c", "e": "c"}  # never of the same window
+    assert {tuple(r) for r in history.chain(previous).collect()} == {("b", "a", 1), ("c", "a", 1), ("d", "c", 1), ("d", "a", 2), ("e", "c", 1), ("e", "a", 2)}
+    assert {r.run_id for r in serving.windows(runs).collect()} == {"a", "c", "d"}
+
+
+def test_sketches_merge_over_any_window(spark):
+    rows = [("f", c, dt.date(2026, 1, 1 + d), (c * 7919 + d * 31 + i * 17) % 5000, i % 4 + 1) for c in (1, 2) for d in range(20) for i in range(300 * c)]
+    facts = spark.createDataFrame(rows, "format string, card_id int, occurred_on date, player int, copies int")
+    stored = sketches.daily(facts)
+    assert stored.count() == 40
+    for first, last in ((1, 21), (5, 9)):
+        inside = [x for x in rows if dt.date(2026, 1, first) <= x[2] < dt.date(2026, 1, last)]
+        for r in sketches.over(stored, dt.date(2026, 1, first), dt.date(2026, 1, last), "card_id", ranks=(0.1, 0.5, 0.9)).collect():
+            own = [x for x in inside if x[1] == r.card_id]
+            exact = len({x[3] for x in own})
+            assert r.decks == len(own) and abs(r.players - exact) <= 0.03 * exact and list(r.quantiles) in ([1, 2, 4], [1, 3, 4])
+        total = sketches.over(stored, dt.date(2026, 1, first), dt.date(2026, 1, last), "format").first()
+        assert abs(total.players - len({x[3] for x in inside})) <= 0.03 * len({x[3] for x in inside})

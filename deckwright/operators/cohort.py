@@ -43,8 +43,9 @@ BASIC_LANDS = ("Forest", "Island", "Mountain", "Plains", "Snow-Covered Forest",
 
 
 def scored_population(rows: DataFrame, cards: DataFrame) -> DataFrame:
-    """Rows of cards that are scored: all main-deck cards but the basic lands (a few rows of the catalogue)."""
-    return rows.join(F.broadcast(cards.where(F.col("name").isin(*BASIC_LANDS)).select("card_id")), "card_id", "left_anti")
+    """Rows of cards that are scored: all main-deck cards but the basic lands.  How they are joined is left to Spark, which
+    broadcasts the lands if they are as few as they should be."""
+    return rows.join(cards.where(F.col("name").isin(*BASIC_LANDS)).select("card_id"), "card_id", "left_anti")
 
 
 def one_version(rows: DataFrame, column: str = "version") -> DataFrame:

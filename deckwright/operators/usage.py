@@ -132,14 +132,20 @@ def commander_names(decks: DataFrame, commanders: DataFrame, cards: DataFrame) -
     return decks.join(named, "deck_id", "left").withColumn("archetype", F.coalesce("label", "commander_label"))
 
 
-def published_order(cohort: Cohort) -> DataFrame:
+def published_order(cohort: Cohort, only: DataFrame | None = None) -> DataFrame:
     """Decks of each run numbered from 0: newest event first, then event, then source order.  Decks are numbered
-    within their event, and an event's first number is the sum of the events before it, so no task sees a run."""
-    inner = F.row_number().over(Window.partitionBy("event_id").orderBy("source_ord"))
+    within their event, and an event's first number is the sum of the events before it, so no task sees a run.  With
+    ``only`` (deck_id) just these decks are numbered, from the decks of their events."""
     sizes = cohort.decks.groupBy("format", "event_id", "occurred_on").agg(F.count("*").alias("n"))
     before = Window.partitionBy("format").orderBy(F.desc("occurred_on"), "event_id").rowsBetween(Window.unboundedPreceding, -1)  # events
     starts = sizes.select("format", "event_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return cohort.decks.join(starts, ["format", "event_id"]).withColumn("position", F.col("start") + inner - 1).drop("start")
+    decks = cohort.decks
+    if only is not None:
+        decks = decks.join(decks.join(only, "deck_id", "left_semi").select("event_id").distinct(), "event_id", "left_semi")
+    placed = decks.withColumn("inner", F.row_number().over(Window.partitionBy("event_id").orderBy("source_ord")))
+    if only is not None:
+        placed = placed.join(only, "deck_id", "left_semi")
+    return placed.join(starts, ["format", "event_id"]).withColumn("position", F.col("start") + F.col("inner") - 1).drop("start", "inner")
 
 
 def deck_headers(cohort: Cohort) -> DataFrame:

@@ -283,7 +283,7 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
             good AS (SELECT *, CASE WHEN gem > 0 THEN gem END AS g FROM gems)
             SELECT format, card_id, CASE WHEN gem > 0 THEN 1e2 * {midrank('g')} WHEN gem <= 0 THEN 0e0 END AS score FROM good""",
         "score_max_ratio": base + " SELECT format, card_id, 1e2 * (CAST(deck_count AS DOUBLE) / CAST(max(deck_count) OVER (PARTITION BY format) AS DOUBLE)) AS score FROM usage WHERE card_id NOT IN (SELECT card_id FROM basics)",
-        "score_foundation": base + " SELECT format, card_id, least(1e2, greatest(0e0, 1e2 * incidence)) AS staple, 0e0 AS buildaround, 0e0 - least(1e2, greatest(0e0, 1e2 * incidence)) AS delta, 1e2 * 35e-2 AS staple_coverage, 0e0 AS buildaround_coverage FROM features",
+        "score_foundation": base + " SELECT format, card_id, least(1e2, greatest(0e0, 1e2 * incidence)) AS staple, 0e0 AS buildaround, 0e0 - least(1e2, greatest(0e0, 1e2 * incidence)) AS delta, 1e2 * 35e-2 AS staple_coverage, 0e0 AS buildaround_coverage, round(least(1e2, greatest(0e0, 3e1 * (1e0 - exp(-CAST(deck_count AS DOUBLE) / 8e0)) + 25e0 * (1e0 - exp(-CAST(event_count AS DOUBLE) / 4e0)) + 1e1 * 35e-2 / 2e0)), 6) AS evidence FROM features",
         "overall_grade": scored + f""", graded AS (SELECT card_id, format, score, deck_count AS decks, CAST(deck_count AS DOUBLE) / (CAST(deck_count AS DOUBLE) + 25e1) AS w FROM constructed JOIN usage USING (format, card_id) WHERE score IS NOT NULL),
             summed AS (SELECT card_id, count(*) AS formats, CAST(sum(decks) AS BIGINT) AS decks, list_reduce(list_prepend(0e0, list(w ORDER BY format)), lambda x, y: x + y) AS evidence, list_reduce(list_prepend(0e0, list(w * score ORDER BY format)), lambda x, y: x + y) AS total FROM graded GROUP BY card_id),
             mixed2 AS (SELECT *, (total + 5e1) / (evidence + 1e0) AS m, 1 AS one FROM summed)

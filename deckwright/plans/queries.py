@@ -30,11 +30,15 @@ CORE_SHARE = 0.004
 class Run:
     """What the queries share; everything is lazy."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, rules: list[tuple] = RULES) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, rules: list[tuple] = RULES, yearly: bool = False) -> None:
+        """``yearly``: the rules are those of a format's year, named ``format/year``."""
         self.spark, self.t = spark, Tables(spark, sf_dir)
         self.rules = spark.createDataFrame(rules, "format string, starts_on date, ends_before date, min_coverage double, players_per_game int")
         self.excluded = spark.createDataFrame(EXCLUDED, "event_id string, reason string")
-        self.cohort = cohort.select(self.t.events, self.t.decks, self.t.standings, self.rules, self.excluded)
+        events = self.t.events
+        if yearly:
+            events = events.withColumn("format", F.concat_ws("/", "format", F.year("occurred_on").cast("string")))
+        self.cohort = cohort.select(events, self.t.decks, self.t.standings, self.rules, self.excluded)
         self.facts = usage.lines(self.cohort, self.t.deck_cards)
 
     def features(self) -> DataFrame:
@@ -115,11 +119,13 @@ def score_max_ratio(r: Run) -> DataFrame:
 
 
 def score_foundation(r: Run) -> DataFrame:
-    return scoring.run_method("foundation", r.features()).drop("evidence")  # exp differs in the last bit by engine
+    """``evidence`` to six digits, as exp differs in the last bit by engine."""
+    return scoring.run_method("foundation", r.features()).withColumn("evidence", F.round("evidence", 6))
 
 
 def overall_grade(r: Run) -> DataFrame:
-    return scoring.overall(r.constructed().join(r.usage().select("format", "card_id", F.col("deck_count").alias("decks")), ["format", "card_id"]))
+    features = cut(r.features())
+    return scoring.overall(scoring.run_method("constructed", features).join(features.select("format", "card_id", F.col("deck_count").alias("decks")), ["format", "card_id"]))
 
 
 def overall_pooled_usage(r: Run) -> DataFrame:
@@ -134,17 +140,22 @@ def rankings_filtered_keeps_rank(r: Run) -> DataFrame:
     return r.rankings().join(r.t.cards, "card_id").where(serving.color_filter(F.col("colors"), ["U", "R", "C"])).select("format", "card_id", "score", "ranking")
 
 
-def year_before(r: Run) -> DataFrame:
-    """The rankings of the year before each run."""
-    return Run(r.spark, r.t.sf_dir, EARLIER).rankings()
+def both_years(r: Run) -> tuple[DataFrame, DataFrame]:
+    """The rankings of the runs and of the year before each, scored in one pass: a run is a format's year."""
+    rules = [(f"{f}/{first.year}", first, *rest) for f, first, *rest in RULES + EARLIER]
+    ranked = Run(r.spark, r.t.sf_dir, rules, yearly=True).rankings()
+    part = F.split("format", "/")
+    rows = cut(ranked.withColumns({"year": part[1].cast("int"), "format": part[0]}))
+    year = F.try_element_at(F.create_map(*[F.lit(x) for f, first, *_ in RULES for x in (f, first.year)]), F.col("format"))
+    return rows.where(F.col("year") == year).drop("year"), rows.where(F.col("year") == year - 1).drop("year")
 
 
 def rank_movement(r: Run) -> DataFrame:
-    return serving.movement(r.rankings(), year_before(r)).select("format", "card_id", "ranking", "previous", "moved")
+    return serving.movement(*both_years(r)).select("format", "card_id", "ranking", "previous", "moved")
 
 
 def rankings_view_counts(r: Run) -> DataFrame:
-    return serving.view_counts(serving.movement(r.rankings(), year_before(r)))
+    return serving.view_counts(serving.movement(*both_years(r)))
 
 
 def compare_formats(r: Run) -> DataFrame:
@@ -152,8 +163,9 @@ def compare_formats(r: Run) -> DataFrame:
 
 
 def compare_every(r: Run) -> DataFrame:
-    every = r.constructed().agg(F.countDistinct("format").alias("every"))
-    return serving.compare(r.constructed(), r.t.cards.select("card_id", "name")).join(F.broadcast(every), F.col("formats") == F.col("every")).select("card_id", "formats", "best")
+    scores = cut(r.constructed())
+    every = scores.agg(F.countDistinct("format").alias("every"))
+    return serving.compare(scores, r.t.cards.select("card_id", "name")).join(F.broadcast(every), F.col("formats") == F.col("every")).select("card_id", "formats", "best")
 
 
 def grades(r: Run) -> DataFrame:
@@ -179,7 +191,7 @@ def published_deck_order(r: Run) -> DataFrame:
 
 def card_decks_page(r: Run) -> DataFrame:
     own = r.t.deck_cards.where("card_id = 17")
-    return usage.published_order(r.cohort).join(own, "deck_id").orderBy("format", "position").limit(20).select("format", "deck_id", F.col("position").cast("long").alias("position"), "event_id", "copies")
+    return usage.published_order(r.cohort, own.select("deck_id")).join(own, "deck_id").orderBy("format", "position").limit(20).select("format", "deck_id", F.col("position").cast("long").alias("position"), "event_id", "copies")
 
 
 def deck_list(r: Run) -> DataFrame:

@@ -13,7 +13,7 @@ from ..bindings.tpch import Tables
 from ..functions.lineage import cut
 from ..functions.stats import LETTERS, grade
 from ..functions.text import ascii_name_key, html_text, name_key
-from ..operators import assembly, catalog, cohort, history, ingest, packages, players, scoring, serving, sketches, usage, validate
+from ..operators import assembly, catalog, clusters, cohort, export, history, ingest, packages, players, scoring, serving, sketches, usage, validate
 from ..operators import matchups as matchup
 from ..streaming import trend
 from . import oracle
@@ -304,6 +304,19 @@ def price_as_of(r: Run) -> DataFrame:
     return history.as_of(lines, r.t.price_history, "card_id", "day", "price")
 
 
+def export_digests(r: Run) -> DataFrame:
+    """The parts of a canonical export of the catalogue's names, five hundred rows each."""
+    lines = export.ordered_lines(r.t.cards.select("card_id", "name"), ["name", "card_id"])
+    return export.digests(lines, 500).select("part", "rows", "bytes", "sha256")
+
+
+def deck_clusters(r: Run) -> DataFrame:
+    """Groups of the decks that have no label, by the names that they hold."""
+    lines = r.facts.where(F.col("label").isNull()).join(r.t.cards.select("card_id", "name"), "card_id")
+    found, _ = clusters.clustered(lines.select("format", "deck_id", F.col("name").alias("card_id"), "copies").groupBy("format", "deck_id", "card_id").agg(F.sum("copies").alias("copies")), 8)
+    return found
+
+
 def cohort_cube(r: Run) -> DataFrame:
     """Decks and wins by run, label and cut, and by every subset of these; bits of ``grouping`` tell which are left out."""
     return usage.results(r.cohort).cube("format", "label", "made_cut").agg(F.grouping_id().cast("long").alias("grouping"), F.count("*").alias("decks"), F.sum("wins").alias("wins"))
@@ -558,7 +571,7 @@ QUERIES = (
     cohort_exclusions, cohort_totals, card_usage, card_top_archetypes, archetype_concentration, trend_series, archetype_cores, archetype_records, commander_archetypes, field_baseline, card_performance, score_constructed, score_signature, score_hidden_gem,
     score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
-    top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, run_chain, joint_printing_page, matchup_matrix, matchup_table, card_packages, price_as_of, cohort_cube, cohort_rollup, usage_sketches, score_completeness,
+    top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, run_chain, joint_printing_page, matchup_matrix, matchup_table, card_packages, price_as_of, export_digests, deck_clusters, cohort_cube, cohort_rollup, usage_sketches, score_completeness,
     deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
     cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from deckwright.functions import text
-from deckwright.operators import catalog, cohort, history, matchups, packages, serving, sketches, usage, validate
+from deckwright.operators import catalog, clusters, cohort, export, history, matchups, packages, serving, sketches, usage, validate
 from deckwright.sources import files
 
 
@@ -158,3 +159,54 @@ def test_sketches_merge_over_any_window(spark):
             assert r.decks == len(own) and abs(r.players - exact) <= 0.03 * exact and list(r.quantiles) in ([1, 2, 4], [1, 3, 4])
         total = sketches.over(stored, dt.date(2026, 1, first), dt.date(2026, 1, last), "format").first()
         assert abs(total.players - len({x[3] for x in inside})) <= 0.03 * len({x[3] for x in inside})
+
+
+def test_exports_are_the_same_bytes_however_they_were_dealt(spark, tmp_path):
+    rows = [(i % 7, None if i % 5 == 0 else f"n{i}\u00e9", dt.datetime(2026, 1, 1, i % 24)) for i in range(230)] + [(3, "same", None)] * 4
+    df = spark.createDataFrame(rows, "k int, name string, at timestamp")
+    told = [export.export(d, str(tmp_path / str(i)), ["k"], 40) for i, d in enumerate((df.repartition(1), df.repartition(7), df.orderBy(F.rand()).repartition(3, "name")))]
+    assert len(set(told)) == 1 and told[0] != export.root(export.digests(export.ordered_lines(df.where("k < 6"), ["k"]), 40))
+    files = {i: sorted((r.part, r.rows, r.sha256) for r in spark.read.parquet(str(tmp_path / str(i) / "files")).collect()) for i in range(3)}
+    assert files[0] == files[1] == files[2] and [r[1] for r in files[0]] == [40] * 5 + [34]
+    for part, _, sha in files[1]:
+        (file,) = (tmp_path / "1" / "lines" / f"part={part}").glob("part-*")
+        assert hashlib.sha256(file.read_bytes()).hexdigest() == sha
+    lines = [line for part in range(6) for f in sorted((tmp_path / "1" / "lines" / f"part={part}").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [json.loads(x)["k"] for x in lines] == sorted(r[0] for r in rows) and json.loads(lines[0]).keys() == {"at", "k", "name"}
+    summary = spark.read.parquet(str(tmp_path / "1" / "summary")).first()
+    assert (summary.rows, summary.files, summary.sha256) == (234, 6, told[0])
+    back = lambda i: spark.read.text(str(tmp_path / str(i) / "lines"))
+    manifest = spark.read.parquet(str(tmp_path / "0" / "files"))
+    assert export.verified(back(0), manifest).count() == 0
+    assert [r.part for r in export.verified(back(0).where("part <> 3"), manifest).collect()] == [3]
+    assert export.root(export.digests(export.ordered_lines(df.limit(0), ["k"]))) == hashlib.sha256(b"").hexdigest()
+    assert export.root(manifest, 2) != export.root(manifest, 3)
+
+
+def test_decks_without_labels_are_grouped(spark):
+    import numpy as np
+
+    rows, truth = [], {}
+    for d in range(90):
+        kind = d % 3
+        truth[d] = kind
+        rows += [("f", d, kind * 10 + (d * 7 + i * 3) % 8, 1 + (d + i) % 4) for i in range(5)] + [("f", d, 99, 4)]
+    rows += [("g", 500, 1, 1), ("g", 501, 2, 1)]
+    lines = spark.createDataFrame(rows, "format string, deck_id long, card_id int, copies int").dropDuplicates(["format", "deck_id", "card_id"])
+    found, objective = clusters.clustered(lines, 3, 60)
+    got = {r.deck_id: (r.cluster, r.distance) for r in found.where("format = 'f'").collect()}
+    assert len(got) == 90 and len({(truth[d], c) for d, (c, _) in got.items()}) == 3  # cards apart, groups apart
+    goal = {r.format: r for r in objective.collect()}
+    assert goal["f"].clusters == 3 and goal["f"].distance < goal["f"].single and abs(goal["f"].distance - np.mean([x for _, x in got.values()])) < 1e-9
+    assert goal["g"].decks == 2 and goal["g"].distance < 1e-9
+    again, _ = clusters.clustered(lines.repartition(7), 3, 60)
+    assert {(r.deck_id, r.cluster) for r in again.collect()} == {(r.deck_id, r.cluster) for r in found.collect()}
+    # every deck is with its nearest medoid
+    weights = clusters.vectors(lines.where("format = 'f'"))
+    centers = {r.medoid: r.cluster for r in clusters.medoids(weights, 3, 60).collect()}
+    own: dict[int, dict[int, float]] = {}
+    for r in weights.collect():
+        own.setdefault(r.deck_id, {})[r.card_id] = r.weight
+    for d, x in own.items():
+        alike = {c: sum(w * own[m].get(i, 0) for i, w in x.items()) for m, c in centers.items()}
+        assert abs(max(alike.values()) - (1 - got[d][1])) < 1e-6

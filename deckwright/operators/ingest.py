@@ -41,6 +41,28 @@ def zone_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("deck_id", "zone").agg(F.count(F.when(usable, 1)).alias("cards"), F.coalesce(F.sum(F.when(usable, F.col("copies"))), F.lit(0)).cast("long").alias("copies"), F.count(F.when(F.coalesce(usable, F.lit(False)), None).otherwise(1)).alias("skipped"))
 
 
+#: Fixed value: a deck of more commanders has none that can be told.
+MAX_COMMANDERS = 2
+
+
+def deck_entries(lines: DataFrame) -> DataFrame:
+    """(event_id, position, label, zone 'main', 'side' or 'commander', name, card_id, copies) to one row a deck with a main
+    part: ``cards`` (card_id, main, side; commanders count as main), ``commanders`` in order, none if there are more than
+    MAX_COMMANDERS, whether the whole ``sideboard_observed`` is known, and the entries set aside."""
+    usable = F.col("card_id").isNotNull() & F.col("copies").isNotNull()
+    side = F.col("zone") == "side"
+    deck = ["event_id", "position"]
+    copies = lambda zone: F.coalesce(F.sum(F.when(zone, F.col("copies"))), F.lit(0)).cast("long")
+    cards = lines.where(usable).groupBy(*deck, "card_id").agg(copies(~side).alias("main"), copies(side).alias("side"), F.max((F.col("zone") == "commander")).alias("leads"))
+    held = cards.groupBy(*deck).agg(F.array_sort(F.collect_list(F.struct("card_id", "main", "side"))).alias("cards"), F.array_sort(F.collect_set(F.when(F.col("leads"), F.col("card_id")))).alias("leaders"))
+    about = lines.groupBy(*deck).agg(
+        F.first("label").alias("label"), F.count_if(~usable & ~side).alias("skipped_main"), F.count_if(~usable & side).alias("skipped_side"), F.max(side).alias("has_side"), F.max(F.col("zone") == "main").alias("has_main")
+    )
+    none = F.array().cast("array<string>")
+    leaders = F.when(F.size("leaders") <= MAX_COMMANDERS, F.col("leaders")).otherwise(none)
+    return about.where("has_main").join(held, deck, "left").select(*deck, "label", F.coalesce("cards", F.array().cast(held.schema["cards"].dataType)).alias("cards"), F.coalesce(leaders, none).alias("commanders"), (F.col("has_side") & (F.col("skipped_side") == 0)).alias("sideboard_observed"), "skipped_main", "skipped_side")
+
+
 def infer_cut(rows: DataFrame) -> DataFrame:
     """(event_id, position, wins, bracket_wins, bracket_losses, cut_size) gains made_cut and its basis."""
     per = rows.groupBy("event_id").agg(

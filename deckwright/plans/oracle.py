@@ -375,6 +375,9 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
     out["price_as_of"] = base + ", told AS (SELECT l_partkey AS card_id, CAST(l_shipdate AS DATE) AS day, min(CAST(floor(l_extendedprice) AS BIGINT)) AS price FROM lineitem GROUP BY ALL) SELECT f.format, f.deck_id, f.card_id, f.occurred_on AS day, t.price, t.day AS since FROM facts f ASOF LEFT JOIN told t ON f.card_id = t.card_id AND f.occurred_on >= t.day"
     out["export_digests"] = base + """, lines AS (SELECT row_number() OVER (ORDER BY name, card_id) - 1 AS i, '{"card_id":' || card_id || ',"name":"' || name || '"}' || chr(10) AS line FROM cards)
       SELECT part, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY i)) AS sha256 FROM (SELECT *, i // 500 AS part FROM lines) GROUP BY part"""
+    out["stream_places"] = """WITH counts AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS events FROM events GROUP BY ALL),
+      placed AS (SELECT CAST(day AS TIMESTAMP) AS day, event_type, events, rank() OVER (PARTITION BY day ORDER BY events DESC) AS place, dense_rank() OVER (ORDER BY day) AS n FROM counts)
+      SELECT p.day, p.event_type, p.events, p.place, o.place - p.place AS moved FROM placed p LEFT JOIN placed o ON o.n = p.n - 1 AND o.event_type = p.event_type WHERE p.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
     out["cohort_cube"] = base + " SELECT format, label, made_cut, GROUPING(format, label, made_cut) AS \"grouping\", count(*) AS decks, CAST(sum(wins) AS BIGINT) AS wins FROM results GROUP BY CUBE (format, label, made_cut)"
     out["cohort_rollup"] = base + " SELECT format, event_id, GROUPING(format, event_id) AS \"grouping\", count(*) AS decks, count(label) AS labelled FROM results GROUP BY ROLLUP (format, event_id)"
     out["usage_sketches"] = base + " SELECT format, card_id, count(*) AS decks, true AS players_close, true AS median_close FROM facts WHERE format = 'ASIA' AND occurred_on >= DATE '1997-04-01' AND occurred_on < DATE '1997-10-01' GROUP BY format, card_id"

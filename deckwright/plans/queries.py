@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from ..functions.stats import LETTERS, grade
 from ..functions.text import ascii_name_key, html_text, name_key
 from ..operators import assembly, catalog, clusters, cohort, export, history, ingest, packages, players, scoring, serving, sketches, usage, validate
 from ..operators import matchups as matchup
-from ..streaming import trend
+from ..streaming import movement, trend
 from . import oracle
 
 #: The runs: format, first day, day after the last, least coverage, players of a game.
@@ -533,6 +534,15 @@ def event_windows(r: Run) -> DataFrame:
     return trend.daily(r.t.raw("events"))
 
 
+def stream_places(r: Run) -> DataFrame:
+    """Places of event types among all, day by day, with the places that they gained: the stream's rows once it has read the
+    whole table, for days that its watermark has closed."""
+    folder = f"{trend.folder(r.spark)}/places-{uuid.uuid4().hex}"
+    source = r.spark.readStream.schema(r.t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(r.t.sf_dir)
+    rows = source.select(F.lit("all").alias("board"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return movement.run(r.spark, rows, folder, board="board", entry="event_type").select("day", F.col("entry").alias("event_type"), "events", "place", "moved")
+
+
 def stream_trend(r: Run) -> DataFrame:
     return trend.streamed(r.t.raw("events").schema, r.spark, f"{r.t.sf_dir}/events.parquet")
 
@@ -573,7 +583,7 @@ QUERIES = (
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
     top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, run_chain, joint_printing_page, matchup_matrix, matchup_table, card_packages, price_as_of, export_digests, deck_clusters, cohort_cube, cohort_rollup, usage_sketches, score_completeness,
     deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
-    cooccurrence_lift, event_windows, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
+    cooccurrence_lift, event_windows, stream_places, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )
 
 

@@ -101,6 +101,28 @@ def deck_lines(events: DataFrame) -> DataFrame:
     return out.select("event_id", "position", "zone", "name", uuid_or_null(F.col("v.id")).alias("card_id"), F.when(count > 0, count).alias("copies"))
 
 
+#: The zones of a deck object, and those of them that hold commanders, whatever their letters' case.
+MAINBOARD, SIDEBOARD, COMMANDER_ZONES = "Mainboard", "Sideboard", ("commander", "commanders")
+
+
+def variant_lines(events: DataFrame) -> DataFrame:
+    """(event_id, position, label, zone, name, card_id, copies) of every deck object, read as a VARIANT, so that entries may be
+    of any form: an entry without a usable id, or whose count is no whole number above zero, has NULL there.  Zones that
+    hold nothing, and what is no zone, give no rows; a deck object that is no JSON is none."""
+    rows = events.select("event_id", F.posexplode("standings").alias("position", "row")).select("event_id", "position", F.nullif(F.trim("row.archetype"), F.lit("")).alias("label"), F.try_parse_json("row.deckObj").alias("deck"))
+    spark = events.sparkSession
+    exploded = spark.sql(
+        """SELECT event_id, position, label, z.key AS zone, l.key AS name, l.value AS line
+           FROM {rows}, LATERAL variant_explode(deck) z, LATERAL variant_explode(z.value) l WHERE l.key IS NOT NULL""",
+        rows=rows.where("schema_of_variant(deck) LIKE 'OBJECT%'"),
+    )
+    kind = F.when(F.col("zone") == MAINBOARD, "main").when(F.col("zone") == SIDEBOARD, "side").when(F.lower("zone").isin(*COMMANDER_ZONES), "commander")
+    whole = F.schema_of_variant(F.try_variant_get("line", "$.count", "variant")).isin("BIGINT")
+    count = F.when(whole, F.try_variant_get("line", "$.count", "long"))
+    lines = exploded.select("event_id", "position", "label", kind.alias("zone"), "name", uuid_or_null(F.try_variant_get("line", "$.id", "string")).alias("card_id"), F.when(count > 0, count).alias("copies"))
+    return lines.where("zone IS NOT NULL")
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of saved pages in UTF-8 or the Western code page."""
     decode = F.pandas_udf(lambda s: s.map(lambda b: decode_page(bytes(b))), "string")

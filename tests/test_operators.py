@@ -281,3 +281,37 @@ def test_publication(spark, tmp_path):
     assert store.table(first, "scores").count() == 2
     with pytest.raises(LookupError):
         store.table(publish.identity("run", {"n": 2}), "scores")
+
+
+def test_deck_objects_of_any_form(spark):
+    uid = lambda n: f"6f2f2a5a-0000-4000-8000-{n:012d}"
+    line = lambda n, count=1: {"id": uid(n), "count": count}
+    decks = [
+        {"Mainboard": {"Bolt": line(1, 4), "Other Bolt": line(1, 1), "Odd": {"id": "x", "count": 2}, "Text": {"id": uid(3), "count": "4"}, "Half": {"id": uid(4), "count": 1.5}, "None": None, "Zero": line(5, 0)}, "Sideboard": {}, "metadata": {"game": "g"}},
+        {"Mainboard": {"Bolt": line(1, 4)}, "Sideboard": {"Duress": line(2, 3), "Bad": {"count": 1}}, "Commanders": {"B": line(9), "A": line(8)}},
+        {"Mainboard": {"Bolt": line(1)}, "commander": {"A": line(7), "B": line(8), "C": line(9)}, "Sideboard": {"Bolt": line(1, 2)}},
+        {"Mainboard": {}, "Commanders": {"A": line(7)}}, None, "text", [1], {"Mainboard": {"Flag": {"id": uid(1), "count": True}}},
+    ]
+    rows = [("e", [(json.dumps(d) if d is not None else None, " Burn " if i == 0 else "") for i, d in enumerate(decks)] + [("{broken", None)])]
+    events = spark.createDataFrame(rows, "event_id string, standings array<struct<deckObj:string,archetype:string>>")
+    got = {r.position: (r.label, {c.card_id[-1]: (c.main, c.side) for c in r.cards}, [x[-1] for x in r.commanders], r.sideboard_observed, r.skipped_main, r.skipped_side) for r in ingest.deck_entries(files.variant_lines(events)).collect()}
+    assert got == {
+        0: ("Burn", {"1": (5, 0)}, [], False, 5, 0), 1: (None, {"1": (4, 0), "2": (0, 3), "8": (1, 0), "9": (1, 0)}, ["8", "9"], False, 0, 1),
+        2: (None, {"1": (1, 2), "7": (1, 0), "8": (1, 0), "9": (1, 0)}, [], True, 0, 0), 7: (None, {}, [], False, 1, 0),
+    }
+
+
+def test_places_of_a_stream_go_on_after_a_restart(spark, tmp_path):
+    from deckwright.streaming import movement
+
+    day = lambda n, hour=1: dt.datetime(2026, 1, 1, hour) + dt.timedelta(days=n)
+    schema = "ts timestamp, kind string, board string"
+    first = [(day(0), "a", "x"), (day(0), "a", "x"), (day(0), "b", "x"), (day(1), "b", "x"), (day(1), "b", "x"), (day(1), "a", "x"), (day(1), "c", "x"), (day(2), "a", "y"), (day(5), "a", "x")]
+    second = [(day(3), "c", "x"), (day(1), "a", "x"), (day(9), "b", "x"), (day(9), "b", "y")]  # of day 3 in time, of day 1 too late
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
+    source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+    run = lambda: {tuple(r) for r in movement.run(spark, source(), str(tmp_path / "out"), board="board", entry="kind").collect()}
+    closed = lambda rows, until: {tuple(r) for r in movement.batch(spark.createDataFrame(rows, schema), "board", "kind").where(F.col("day") < F.lit(until)).collect()}
+    assert run() == closed(first, day(3, 0))
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
+    assert run() == closed(first + [second[0], *second[2:]], day(7, 0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.cohort import BASIC_LANDS
@@ -141,3 +141,28 @@ class Tables:
             F.make_date("y", F.lit(1), F.lit(1)).alias("starts_on"), F.when(half, F.make_date("y", F.lit(7), F.lit(1))).otherwise(F.make_date(F.col("y") + 1, F.lit(1), F.lit(1))).alias("ends_before"),
             ((F.col("y") * 7 + n * 5) % 11).alias("made"), ((n == 1) & (F.col("y") % 3 == 0)).alias("active"),
         )
+
+    @cached_property
+    def spelled_lines(self) -> DataFrame:
+        """(deck_id, card_id, name): main-deck cards as the decks spell them, every third with what stands on the back."""
+        back = F.when(F.col("deck_id") % 3 == 0, F.concat("name", F.lit(" // Back"))).otherwise(F.col("name"))
+        return self.deck_cards.join(self.cards.select("card_id", "name"), "card_id").select("deck_id", "card_id", back.alias("name"))
+
+    @cached_property
+    def raw_cards(self) -> DataFrame:
+        """Printings as the objects of a card file: some without a card, some with too few faces, one in ten twice."""
+        p = self.printings.join(self.cards, "card_id")
+        k = F.col("printing_id")
+        none = F.lit(None).cast("string")
+
+        def face(f: Column) -> Column:
+            own = {"name": F.concat(F.lit("Face "), f["type_line"]), "mana_cost": none, "type_line": f["type_line"], "oracle_text": f["oracle_text"], "colors": F.when(k % 2 == 0, F.array(F.lit("G"), F.lit("W"))), "image_uris": F.create_map(F.lit("normal"), F.lit("u")), "artist": none}
+            return F.named_struct(*[x for name, value in own.items() for x in (F.lit(name), value)])
+
+        faces = F.transform(F.when(k % 47 == 0, F.slice("faces", 1, 1)).otherwise(F.col("faces")), face)
+        rows = p.select(
+            k.cast("string").alias("id"), F.when(k % 101 != 0, F.col("card_id").cast("string")).alias("oracle_id"), "name", F.when(F.col("faces").isNotNull(), "transform").otherwise("normal").alias("layout"), F.col("language").alias("lang"),
+            F.col("released_on").cast("string").alias("released_at"), F.col("set_code").alias("set"), F.col("set_code").alias("set_name"), "collector_number", "rarity", "games", F.lit(None).cast("double").alias("cmc"), F.lit(None).cast("string").alias("mana_cost"),
+            "type_line", "oracle_text", F.when(F.col("faces").isNull(), F.col("colors")).alias("colors"), F.array().cast("array<string>").alias("color_identity"), F.lit(None).cast("map<string,string>").alias("image_uris"), F.lit(None).cast("string").alias("artist"), faces.alias("card_faces"), F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("time"),
+        )
+        return rows.drop("time")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import ascii_name_key
 
 
@@ -144,16 +146,15 @@ def resolvable(alias_rows: DataFrame, cards: DataFrame) -> DataFrame:
 def merged(rows: DataFrame, key: str) -> DataFrame:
     """Each id once; identical rows are one, different ones under one id an error."""
     content = F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != key])), 256)
-    first = F.min(F.struct(content.alias("h"), F.struct(*rows.columns).alias("r")))
-    each = rows.groupBy(key).agg(first.alias("f"), F.max(content).alias("last"))
+    each = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), content).alias("r"), F.min(content).alias("first"), F.max(content).alias("last"))
     wrong = F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key).cast("string"))).cast("string")
-    return each.withColumn("ok", F.when(F.col("f.h") != F.col("last"), wrong)).where("ok IS NULL").select("f.r.*")
+    return each.withColumn("ok", F.when(F.col("first") != F.col("last"), wrong)).where("ok IS NULL").select("r.*")
 
 
 def projected(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw card objects to kept rows (with colours from the faces where the card has none of its own) and
     counts of rejected ones by reason."""
-    reason = F.when(F.col("oracle_id").isNull(), "missing_oracle_id").when(F.col("layout").isin(*SEVERAL_FACES) & (F.coalesce(F.size("card_faces"), F.lit(0)) < 2), "missing_required_faces")
+    reason = F.when(F.coalesce("oracle_id", F.lit("")) == "", "missing_oracle_id").when(F.col("layout").isin(*SEVERAL_FACES) & (F.coalesce(F.size("card_faces"), F.lit(0)) < 2), "missing_required_faces")
     judged = raw.withColumn("reason", reason)
     known = F.forall("card_faces", lambda f: f["colors"].isNotNull())
     union = F.filter(F.array(*map(F.lit, "WUBRG")), lambda c: F.exists("card_faces", lambda f: F.array_contains(f["colors"], c)))
@@ -161,6 +162,40 @@ def projected(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, judged.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("cards"))
 
 
+@dataclass(frozen=True)
+class Catalogue:
+    """``cards`` by their representative version, its ``faces`` in order, ``printings`` with their pictures, ``aliases``
+    (alias_key, kind) of cards, and how many source rows were ``excluded`` for which reason."""
+
+    cards: DataFrame
+    faces: DataFrame
+    printings: DataFrame
+    aliases: DataFrame
+    excluded: DataFrame
+
+
+def catalogue(raw: DataFrame) -> Catalogue:
+    """The whole projection of raw card objects.  A printing that comes twice is one if the objects are the same, and an
+    error if not.  A card is described by its English, newest, least printing; printings meet their card in one
+    aggregate that keeps a single version a task, so a card of very many printings is no hot key."""
+    kept, excluded = projected(raw)
+    rows = cut(merged(kept, "id"))
+    day = F.coalesce(F.datediff(F.lit("1970-01-01").cast("date"), F.to_date("released_at")), F.lit(2**31 - 1))
+    version = F.struct("id", "name", "layout", "cmc", "mana_cost", "type_line", "oracle_text", "colors", "color_identity", "card_faces")
+    best = cut(rows.groupBy("oracle_id").agg(F.min_by(version, F.struct((F.col("lang") != "en").alias("a"), day.alias("b"), F.col("id").alias("c"))).alias("v")).select(F.col("oracle_id").alias("card_id"), "v.*"))
+    key = lambda c: ascii_name_key(c)
+    cards = best.select("card_id", F.col("id").alias("source_id"), "name", key(F.col("name")).alias("name_key"), "layout", F.col("cmc").alias("mana_value"), "mana_cost", "type_line", "oracle_text", "colors", "color_identity")
+    faces = best.select("card_id", F.posexplode("card_faces").alias("face_index", "f")).select("card_id", "face_index", *[F.col(f"f.{c}").alias(c) for c in ("name", "mana_cost", "type_line", "oracle_text", "colors")])
+    own = cards.select("card_id", F.col("name_key").alias("alias_key"), F.lit("canonical").alias("kind"))
+    names = own.unionByName(faces.select("card_id", key(F.col("name")).alias("alias_key"), F.lit("face").alias("kind"))).distinct()
+    pictures = images(rows).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("face_index", "source_uri", "artist"))).alias("images"))
+    none = F.array().cast(pictures.schema["images"].dataType)
+    printings = rows.select(
+        F.col("id").alias("printing_id"), F.col("oracle_id").alias("card_id"), F.col("set").alias("set_code"), "set_name", "collector_number", "rarity", F.to_date("released_at").alias("released_on"), F.col("lang").alias("language"), F.array_sort("games").alias("games")
+    ).join(pictures.withColumnRenamed("id", "printing_id"), "printing_id", "left").withColumn("images", F.coalesce("images", none))
+    return Catalogue(cards, faces, printings, names, excluded)
+
+
 def conflicts(rows: DataFrame, key: str) -> DataFrame:
     """Ids under which different rows stand; identical ones are one."""
     content = F.to_json(F.struct(*[c for c in rows.columns if c != key]))

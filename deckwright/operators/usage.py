@@ -132,6 +132,18 @@ def commander_names(decks: DataFrame, commanders: DataFrame, cards: DataFrame) -
     return decks.join(named, "deck_id", "left").withColumn("archetype", F.coalesce("label", "commander_label"))
 
 
+def spelled_commanders(decks: DataFrame, commanders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Decks with ``archetype``: their label, else their commanders' names in order, joined by `` + ``, each as the run's decks
+    most often spell it, so that a card under two names is one archetype.  ``lines`` are (deck_id, card_id, name)."""
+    unlabelled = decks.where(F.col("label").isNull()).select("deck_id", "format")
+    leading = commanders.join(unlabelled, "deck_id").select("format", "deck_id", "card_id")
+    asked = leading.select("format", "card_id").distinct()
+    seen = lines.join(decks.select("deck_id", "format"), "deck_id").join(asked, ["format", "card_id"], "left_semi")
+    names = mode(seen, ["format", "card_id"], "name")
+    named = leading.join(names, ["format", "card_id"]).groupBy("deck_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " + ").alias("led_by"))
+    return decks.join(named, "deck_id", "left").withColumn("archetype", F.coalesce("label", "led_by")).drop("led_by")
+
+
 def published_order(cohort: Cohort, only: DataFrame | None = None) -> DataFrame:
     """Decks of each run numbered from 0: newest event first, then event, then source order.  Decks are numbered
     within their event, and an event's first number is the sum of the events before it, so no task sees a run.  With

@@ -222,6 +222,13 @@ cells AS (
   FROM (SELECT *, CAST({z} AS DOUBLE) * sqrt((p * (1e0 - p) + zz / (4e0 * n)) / n) AS half FROM shares))
 """.format(z=repr(Z), zz=repr(Z * Z))
 
+CATALOGUE = """
+, judged_cards AS (
+  SELECT p.*, c.name, c.colors, lower(trim(c.name)) AS name_key, p.card_id % 9 = 0 AS two, CASE WHEN p.card_id % 9 = 0 THEN 'transform' ELSE 'normal' END AS layout,
+    CASE WHEN p.printing_id % 101 = 0 THEN 'missing_oracle_id' WHEN p.card_id % 9 = 0 AND p.printing_id % 47 = 0 THEN 'missing_required_faces' END AS reason FROM printings p JOIN cards c USING (card_id)),
+kept AS (SELECT * FROM judged_cards WHERE reason IS NULL)
+"""
+
 PACKAGES = """
 , held AS (SELECT DISTINCT f.format, f.deck_id, c.name AS item FROM facts f JOIN cards c USING (card_id)),
 sets AS (SELECT format, deck_id, [item] AS items FROM held UNION ALL SELECT s.format, s.deck_id, list_append(s.items, h.item) FROM sets s JOIN held h ON h.format = s.format AND h.deck_id = s.deck_id AND h.item > s.items[-1]),
@@ -378,6 +385,20 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
     out["stream_places"] = """WITH counts AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS events FROM events GROUP BY ALL),
       placed AS (SELECT CAST(day AS TIMESTAMP) AS day, event_type, events, rank() OVER (PARTITION BY day ORDER BY events DESC) AS place, dense_rank() OVER (ORDER BY day) AS n FROM counts)
       SELECT p.day, p.event_type, p.events, p.place, o.place - p.place AS moved FROM placed p LEFT JOIN placed o ON o.n = p.n - 1 AND o.event_type = p.event_type WHERE p.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+    ordered = "row_number() OVER (PARTITION BY format ORDER BY occurred_on DESC, event_id, source_ord) - 1 AS position"
+    out["deck_headers_full"] = base + f""", side AS (SELECT deck_id, string_agg(CAST(card_id AS VARCHAR), ',' ORDER BY card_id) AS sideboard FROM (SELECT DISTINCT l_orderkey AS deck_id, l_partkey AS card_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 3) GROUP BY deck_id),
+      apart AS (SELECT deck_id, string_agg(CAST(card_id AS VARCHAR), ',' ORDER BY pos) AS commanders FROM commanders GROUP BY deck_id)
+      SELECT format, position, deck_id, event_id, made_cut, CASE WHEN known THEN wins END AS wins, CASE WHEN known THEN losses END AS losses, CASE WHEN known THEN draws END AS draws, coalesce(commanders, '') AS commanders, coalesce(sideboard, '') AS sideboard
+      FROM (SELECT *, {ordered} FROM results) LEFT JOIN apart USING (deck_id) LEFT JOIN side USING (deck_id)"""
+    out["commander_spellings"] = base + """, heads AS (SELECT d.format, c.deck_id, c.card_id FROM commanders c JOIN decks d USING (deck_id) WHERE d.label IS NULL),
+      seen AS (SELECT d.format, l.card_id, CASE WHEN l.deck_id % 3 = 0 THEN c.name || ' // Back' ELSE c.name END AS name FROM deck_cards l JOIN decks d USING (deck_id) JOIN cards c USING (card_id)),
+      spelled AS (SELECT format, card_id, name FROM (SELECT format, card_id, name, row_number() OVER (PARTITION BY format, card_id ORDER BY count(*) DESC, name) AS n FROM seen GROUP BY format, card_id, name) WHERE n = 1),
+      named AS (SELECT deck_id, string_agg(name, ' + ' ORDER BY name) AS led_by FROM heads JOIN spelled USING (format, card_id) GROUP BY deck_id)
+      SELECT format, archetype, count(*) AS decks FROM (SELECT d.format, coalesce(label, led_by) AS archetype FROM decks d LEFT JOIN named USING (deck_id)) WHERE archetype IS NOT NULL GROUP BY ALL"""
+    out["catalogue_outputs"] = base + CATALOGUE + """ SELECT CAST(card_id AS VARCHAR) AS card_id, CAST(printing_id AS VARCHAR) AS source_id, name_key, layout, CASE WHEN two THEN CASE WHEN printing_id % 2 = 0 THEN 'WG' END ELSE array_to_string(colors, '') END AS colors, printings,
+        CAST(CASE WHEN two THEN printings * 2 ELSE 0 END AS BIGINT) AS pictures, CAST(CASE WHEN two THEN 3 ELSE 1 END AS BIGINT) AS aliases, CAST(CASE WHEN two THEN 2 ELSE 0 END AS BIGINT) AS faces
+      FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY language <> 'en', released_on DESC NULLS LAST, CAST(printing_id AS VARCHAR)) AS n, count(*) OVER (PARTITION BY card_id) AS printings FROM kept) WHERE n = 1"""
+    out["catalogue_exclusions"] = base + CATALOGUE + " SELECT reason, CAST(sum(CASE WHEN printing_id % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS cards FROM judged_cards WHERE reason IS NOT NULL GROUP BY reason"
     out["cohort_cube"] = base + " SELECT format, label, made_cut, GROUPING(format, label, made_cut) AS \"grouping\", count(*) AS decks, CAST(sum(wins) AS BIGINT) AS wins FROM results GROUP BY CUBE (format, label, made_cut)"
     out["cohort_rollup"] = base + " SELECT format, event_id, GROUPING(format, event_id) AS \"grouping\", count(*) AS decks, count(label) AS labelled FROM results GROUP BY ROLLUP (format, event_id)"
     out["usage_sketches"] = base + " SELECT format, card_id, count(*) AS decks, true AS players_close, true AS median_close FROM facts WHERE format = 'ASIA' AND occurred_on >= DATE '1997-04-01' AND occurred_on < DATE '1997-10-01' GROUP BY format, card_id"

@@ -351,6 +351,30 @@ def deck_headers(r: Run) -> DataFrame:
     return usage.deck_headers(r.cohort)
 
 
+def deck_headers_full(r: Run) -> DataFrame:
+    """Published decks by position, with commanders and sideboard."""
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return published(r)[0].select("format", "position", "deck_id", "event_id", "made_cut", "wins", "losses", "draws", listed("commanders"), listed("sideboard"))
+
+
+def commander_spellings(r: Run) -> DataFrame:
+    """Archetypes of all decks, commanders being named as the run's decks most often spell them."""
+    return usage.counted(usage.spelled_commanders(r.cohort.decks, r.t.commanders, r.t.spelled_lines).where("archetype IS NOT NULL"), "format", "archetype")
+
+
+def catalogue_outputs(r: Run) -> DataFrame:
+    """Each card of the projected catalogue with what its other three outputs hold of it."""
+    c = catalog.catalogue(r.t.raw_cards)
+    count = lambda df, name, *more: df.groupBy("card_id").agg(F.count("*").alias(name), *more)
+    pictures = F.sum(F.size("images")).cast("long").alias("pictures")
+    out = c.cards.join(count(c.printings, "printings", pictures), "card_id").join(count(c.aliases, "aliases"), "card_id").join(count(c.faces, "faces"), "card_id", "left")
+    return out.select("card_id", "source_id", "name_key", "layout", F.array_join("colors", "").alias("colors"), "printings", "pictures", "aliases", F.coalesce("faces", F.lit(0)).cast("long").alias("faces"))
+
+
+def catalogue_exclusions(r: Run) -> DataFrame:
+    return catalog.projected(r.t.raw_cards)[1]
+
+
 def deck_mainboards(r: Run) -> DataFrame:
     return usage.mainboards(r.t.deck_cards).select("deck_id", F.array_join("cards", ",").alias("cards"))
 
@@ -582,7 +606,7 @@ QUERIES = (
     score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
     top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, run_chain, joint_printing_page, matchup_matrix, matchup_table, card_packages, price_as_of, export_digests, deck_clusters, cohort_cube, cohort_rollup, usage_sketches, score_completeness,
-    deck_headers, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
+    deck_headers, deck_headers_full, commander_spellings, catalogue_outputs, catalogue_exclusions, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
     cooccurrence_lift, event_windows, stream_places, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )
 

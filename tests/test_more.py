@@ -210,3 +210,30 @@ def test_decks_without_labels_are_grouped(spark):
     for d, x in own.items():
         alike = {c: sum(w * own[m].get(i, 0) for i, w in x.items()) for m, c in centers.items()}
         assert abs(max(alike.values()) - (1 - got[d][1])) < 1e-6
+
+
+def test_four_outputs_of_the_catalogue(spark, tmp_path):
+    face = lambda n, c: {"name": n, "colors": c, "type_line": "T", "image_uris": {"normal": f"u{n}"}, "artist": "x"}
+    card = lambda i, oracle, lang, day, **more: {"id": i, "oracle_id": oracle, "name": more.pop("name", "Bolt"), "layout": more.pop("layout", "normal"), "lang": lang, "released_at": day, "set": "s", "set_name": "S", "collector_number": "1", "rarity": "rare", "games": ["paper", "arena"], **more}
+    raw = [
+        card("p1", "c1", "ja", "2026-01-01", colors=["R"]), card("p2", "c1", "en", "2020-01-01", colors=["R"], image_uris={"normal": "u"}), card("p3", "c1", "en", None, colors=["R"]), card("p2", "c1", "en", "2020-01-01", colors=["R"], image_uris={"normal": "u"}),
+        card("q1", "c2", "en", "2021-05-05", name="Fire // Ice", layout="split", card_faces=[face("Fire", ["R"]), face("Ice", ["U"])]), card("q2", "c2", "en", "2021-05-05", name="Fire // Ice", layout="split", card_faces=[face("Fire", ["R"])]),
+        card("x1", None, "en", "2021-05-05"), card("x2", "", "en", "2021-05-05"),
+    ]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, raw)))
+    c = catalog.catalogue(files.cards(spark, str(tmp_path / "c.json")))
+    assert {(r.card_id, r.source_id, r.name_key, tuple(r.colors)) for r in c.cards.collect()} == {("c1", "p2", "bolt", ("R",)), ("c2", "q1", "fire // ice", ("U", "R"))}
+    assert {(r.card_id, r.face_index, r.name) for r in c.faces.collect()} == {("c2", 0, "Fire"), ("c2", 1, "Ice")}
+    assert {tuple(r) for r in c.aliases.collect()} == {("c1", "bolt", "canonical"), ("c2", "fire // ice", "canonical"), ("c2", "fire", "face"), ("c2", "ice", "face")}
+    assert {r.printing_id: (tuple(r.games), [(x.face_index, x.source_uri) for x in r.images]) for r in c.printings.collect()} == {
+        "p1": (("arena", "paper"), []), "p2": (("arena", "paper"), [(None, "u")]), "p3": (("arena", "paper"), []), "q1": (("arena", "paper"), [(0, "uFire"), (1, "uIce")]),
+    }
+    assert {r.reason: r.cards for r in c.excluded.collect()} == {"missing_oracle_id": 2, "missing_required_faces": 1}
+
+
+def test_commanders_go_by_their_commonest_spelling(spark):
+    decks = spark.createDataFrame([(1, "f", None), (2, "f", None), (3, "f", "Own"), (4, "g", None), (5, "f", None)], "deck_id int, format string, label string")
+    leads = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 10), (2, 2, 11), (3, 1, 10), (4, 1, 10)], "deck_id int, pos int, card_id int")
+    lines = spark.createDataFrame([(1, 10, "Z // Back"), (2, 10, "Z"), (3, 10, "Z"), (1, 11, "B"), (2, 11, "A"), (4, 10, "Z // Back"), (5, 10, "Z"), (9, 10, "Q")], "deck_id int, card_id int, name string")
+    got = {r.deck_id: r.archetype for r in usage.spelled_commanders(decks, leads, lines).collect()}
+    assert got == {1: "A + Z", 2: "A + Z", 3: "Own", 4: "Z // Back", 5: None}

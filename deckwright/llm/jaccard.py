@@ -33,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textscan
@@ -44,6 +44,8 @@ WORD = textscan.byte_class(r"[^\x20\x09-\x0D]")
 FANOUT, COORDINATES, DENSITY = 16, 32, 4
 #: Documents in one block of a gathering of points, and bytes of text in one block of documents to verify.
 BLOCK_POINTS, BLOCK_BYTES = 2_048, 6_000_000
+#: Keys that are joined apart, as the commonest, and how many a sketch keeps count of to find them.
+COMMON_KEYS, TRACKED_KEYS = 256, 10_000
 
 
 @dataclass(frozen=True)
@@ -462,6 +464,21 @@ def gathered(rest: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame
     return out.repartition("center", "v", "w").sortWithinPartitions("center", "v", "w", "doc_id")
 
 
+def least_with_key(keys: DataFrame) -> DataFrame:
+    """(center, doc_id) for each key that several documents have: the least of them, with each.  Keys are exchanged once, as
+    two numbers a row, and a window finds the least.  The commonest keys, which a sketch tells, stay out of it: of those
+    a map-side aggregate finds the least, which is broadcast, so no task has all rows of one.  Which keys are told
+    apart changes the way only, not the result."""
+    told = keys.agg(F.expr(f"approx_top_k(key, {COMMON_KEYS}, {TRACKED_KEYS})").alias("top")).first()["top"] or []
+    hot = F.col("key").isin([x["item"] for x in told if x["count"] > 1])
+    same = Window.partitionBy("key")
+    least, last = F.min("doc_id"), F.max("doc_id")
+    rare = keys.where(~hot).withColumns({"center": least.over(same), "last": last.over(same)})
+    centers = keys.where(hot).groupBy("key").agg(least.alias("center"), last.alias("last"))  # at most COMMON_KEYS rows
+    common_ = keys.where(hot).join(F.broadcast(centers), "key")
+    return rare.select("center", "last", "doc_id").unionByName(common_.select("center", "last", "doc_id")).where(F.col("center") < F.col("last")).select("center", "doc_id")
+
+
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -473,10 +490,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     members = common.cut(own.select("doc_id", "bytes", "n_shingles", "head"))
     copies = members.where(F.col("head") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     keys = own.where(F.col("head") == F.col("doc_id")).select("doc_id", F.explode("keys").alias("key"))
-    # the least document with each key, where there are several: found by a map-side aggregate, so that a very common
-    # key is a row a task there, and a join that adaptive execution splits on such a key
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where(F.col("center") < F.col("last")).select("key", "center")
-    near = keys.join(least, "key")
+    near = least_with_key(keys)
     near = common.cut(near.select("center", "doc_id").distinct())
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     linked = common.cut(star_links(star_texts(star_pairs(near, described, rule), members, texts), rule).unionByName(copies))

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import decode_page
 
-PAGE = r"page-(.+)\.html"
+PAGE = r"page-(.+)\.html\Z"
 #: ``ord`` is the place in the manifest, ``slug`` the page's name (NULL: a file that is no page), ``rounds`` those of the
 #: event's format (NULL: all).
 SCHEMA = """event_id string, format string, occurred_on date, rounds array<int>, ord int, file string, sha256 string, bytes bigint,
@@ -99,7 +99,7 @@ class EventReader(DataSourceReader):
                 raise ValueError(f"{name} does not match its manifest's SHA-256")
             told = request.get("retrieved_at")
             when = dt.datetime.fromisoformat(told) if told else files.get_file_info(f"{root}/{name}").mtime
-            page = re.fullmatch(PAGE, name)
+            page = re.match(PAGE, name)
             pages += page is not None
             yield (*about, ord_, name, digest, len(raw), when, "manifest" if told else "file_mtime", page and page.group(1), page and decode_page(raw))
         if not pages:

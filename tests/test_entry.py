@@ -12,7 +12,7 @@ import sys
 class Hidden:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("deckwright.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name if name == "corpus_pipeline" else "deckwright.llm")
 sys.meta_path.insert(0, Hidden())
 """
 SHOW = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))"

@@ -21,10 +21,10 @@ def as_of(asked: DataFrame, told: DataFrame, key: str, day: str, value: str, bin
     bin_of = F.floor(F.unix_date(day) / bin_days)
     daily = told.where(F.col(key).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(key, day).agg(F.min(value).alias("v"))
     held = daily.groupBy(key, bin_of.alias("bin")).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), "v"))).alias("values"))
-    last = asked.agg(F.max(bin_of).alias("horizon"))  # one row
+    horizon = F.lit(asked.agg(F.max(bin_of)).first()[0]).cast("long")  # NULL if no day is asked: nothing is filled then
     after = F.lead("bin").over(Window.partitionBy(key).orderBy("bin"))  # bins of a key
-    spans = held.withColumn("after", after).join(F.broadcast(last)).where(F.col("bin") <= F.col("horizon"))
-    until = F.greatest("bin", F.least(F.coalesce(F.col("after") - 1, F.col("horizon")), F.col("horizon")))
+    spans = held.withColumn("after", after).where(F.col("bin") <= horizon)
+    until = F.greatest("bin", F.least(F.coalesce(F.col("after") - 1, horizon), horizon))
     filled = spans.select(key, F.explode(F.sequence("bin", until)).alias("bin"), F.struct("bin", "values").alias("x"))
     before = F.lag(F.element_at("values", -1)).over(Window.partitionBy(key).orderBy("bin"))
     carried = held.select(key, "bin", before.alias("before"))

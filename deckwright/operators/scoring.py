@@ -6,6 +6,8 @@ Scores are unrounded; :data:`METHODS` is the registry.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,6 +149,10 @@ METHODS: dict[str, tuple[Method, Sequence[str]]] = {
 }
 
 
+#: What a method's identity covers besides its outputs.
+CONFIG = {"constructed": CONSTRUCTED, "signature": SIGNATURE, "hidden-gem": HIDDEN_GEM, "foundation": {"incidence": STAPLE_INCIDENCE}, "max-ratio": {}}
+
+
 def run_method(name: str, rows: DataFrame) -> DataFrame:
     """A registered method; its output must be the columns that it declares."""
     method, outputs = METHODS[name]
@@ -154,3 +160,18 @@ def run_method(name: str, rows: DataFrame) -> DataFrame:
     if out.columns != ["format", "card_id", *outputs]:
         raise ValueError(f"{name} gives {out.columns}")
     return out
+
+
+def identity(name: str, version: str = "1") -> tuple[str, str, str]:
+    """A registered method's name, version and the hash of all that it is configured by, so that runs of other weights or
+    priors are other runs."""
+    outputs = METHODS[name][1]
+    config = CONFIG[name] | {"outputs": list(outputs)}
+    return name, version, hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), default=list).encode()).hexdigest()
+
+
+def long_scores(name: str, rows: DataFrame) -> DataFrame:
+    """(format, method, card_id, output, value): a method's outputs, a row each."""
+    out = run_method(name, rows)
+    each = F.array(*[F.struct(F.lit(c).alias("output"), F.col(c).cast("double").alias("value")) for c in METHODS[name][1]])
+    return out.select("format", F.lit(name).alias("method"), "card_id", F.explode(each).alias("x")).select("format", "method", "card_id", "x.*")

@@ -98,6 +98,26 @@ def leading_labels(cards: DataFrame, tops: DataFrame) -> Checks:
     return {"leading label": Where(both, differs | (F.coalesce("labels", F.lit(0)) < F.coalesce("n", F.lit(0))))}
 
 
+def method_runs(runs: DataFrame, scores: DataFrame, cards: DataFrame, told: DataFrame) -> Checks:
+    """What a run's methods must not hold.  ``runs`` (format, method, outputs: the names declared), ``scores`` in long form
+    (format, method, card_id, output, value), ``cards`` (format, card_id) to be scored, ``told`` (format, scored_cards)."""
+    key = ["format", "method", "card_id"]
+    given = scores.groupBy(*key).agg(F.array_sort(F.collect_set("output")).alias("given"), F.count("*").alias("n"))
+    declared = runs.select("format", "method", F.array_sort("outputs").alias("outputs"))
+    asked = cards.select("format", "card_id").join(declared.select("format", "method"), "format")
+    scored = given.join(declared, ["format", "method"], "left")
+    counted = cards.groupBy("format").agg(F.count("*").alias("cards")).join(told, "format", "full")
+    return {
+        "repeated method": repeated(runs, "format", "method"),
+        "unscored card of a method": asked.join(given, key, "left_anti"),
+        "card without a method's run": given.join(asked, key, "left_anti"),
+        "declared outputs": Where(scored, ~F.col("given").eqNullSafe(F.col("outputs"))),
+        "output twice": Where(scored, F.col("n") > F.size("given")),
+        "output not finite": Where(scores, F.isnan("value") | (F.abs("value") == float("inf"))),
+        "scored cards": Where(counted, ~F.col("cards").eqNullSafe(F.col("scored_cards"))),
+    }
+
+
 def recounted(cards: DataFrame, decks: DataFrame) -> DataFrame:
     """What the decks that cards list by their position come to: (format, card_id) with deck_count, event_count, copies,
     cut and record.  ``cards`` have the parallel arrays ``positions`` and ``deck_copies``; a position without a deck counts

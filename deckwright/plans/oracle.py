@@ -399,6 +399,11 @@ def sql(rules: str, excluded: str, earlier: str) -> dict[str, str]:
         CAST(CASE WHEN two THEN printings * 2 ELSE 0 END AS BIGINT) AS pictures, CAST(CASE WHEN two THEN 3 ELSE 1 END AS BIGINT) AS aliases, CAST(CASE WHEN two THEN 2 ELSE 0 END AS BIGINT) AS faces
       FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY language <> 'en', released_on DESC NULLS LAST, CAST(printing_id AS VARCHAR)) AS n, count(*) OVER (PARTITION BY card_id) AS printings FROM kept) WHERE n = 1"""
     out["catalogue_exclusions"] = base + CATALOGUE + " SELECT reason, CAST(sum(CASE WHEN printing_id % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS cards FROM judged_cards WHERE reason IS NOT NULL GROUP BY reason"
+    out["method_runs_seeded"] = base + """, m AS (SELECT format, card_id, method, card_id % 7 <> 0 AS own, method = 'signature' AS two, card_id % 11 = 0 AS more, method = 'constructed' OR home IS NOT NULL AS rated FROM features CROSS JOIN (VALUES ('constructed'), ('signature')) AS t(method)),
+      g AS (SELECT *, CASE WHEN card_id % 17 = 0 THEN 0 ELSE CAST(own AND rated AS INT) + CAST(two AND rated AS INT) + CAST(more AS INT) END AS n FROM m)
+      SELECT 'repeated method' AS rule, 0 AS violations UNION ALL SELECT 'unscored card of a method', count(*) FROM g WHERE n = 0 UNION ALL SELECT 'card without a method''s run', 0
+      UNION ALL SELECT 'declared outputs', count(*) FROM g WHERE n > 0 AND (more OR NOT own OR NOT rated) UNION ALL SELECT 'output twice', 0 UNION ALL SELECT 'output not finite', CAST(coalesce(sum(n), 0) AS BIGINT) FROM g WHERE card_id % 13 = 0
+      UNION ALL SELECT 'scored cards', count(*) FROM (SELECT DISTINCT format FROM features WHERE format = 'ASIA')"""
     out["cohort_cube"] = base + " SELECT format, label, made_cut, GROUPING(format, label, made_cut) AS \"grouping\", count(*) AS decks, CAST(sum(wins) AS BIGINT) AS wins FROM results GROUP BY CUBE (format, label, made_cut)"
     out["cohort_rollup"] = base + " SELECT format, event_id, GROUPING(format, event_id) AS \"grouping\", count(*) AS decks, count(label) AS labelled FROM results GROUP BY ROLLUP (format, event_id)"
     out["usage_sketches"] = base + " SELECT format, card_id, count(*) AS decks, true AS players_close, true AS median_close FROM facts WHERE format = 'ASIA' AND occurred_on >= DATE '1997-04-01' AND occurred_on < DATE '1997-10-01' GROUP BY format, card_id"

@@ -466,6 +466,21 @@ def overall_run_violations(r: Run) -> DataFrame:
     return validate.counts(validate.overall_run(cut(cards), graded, components, r.usage().select("card_id", F.lit(1.0).alias("score")).distinct().where(k % 8 != 0)))
 
 
+def method_runs_seeded(r: Run) -> DataFrame:
+    """Of two methods whose outputs lack values, have some that were not declared, or are no numbers."""
+    features = cut(r.features())
+    names = ("constructed", "signature")
+    k = F.col("card_id")
+    scores = scoring.long_scores(names[0], features).unionByName(scoring.long_scores(names[1], features))
+    kept = scores.where((k % 17 != 0) & ~((k % 7 == 0) & (F.col("output") == "score")))
+    extra = features.where((k % 11 == 0) & (k % 17 != 0)).select("format", F.explode(F.array(*map(F.lit, names))).alias("method"), "card_id", F.lit("extra").alias("output"), F.lit(1.0).alias("value"))
+    given = cut(kept.unionByName(extra).withColumn("value", F.when(k % 13 == 0, F.lit(float("nan"))).otherwise(F.col("value"))))
+    declared = F.array(*[F.struct(F.lit(n).alias("method"), F.array(*map(F.lit, scoring.METHODS[n][1])).alias("outputs")) for n in names])
+    told = features.groupBy("format").agg((F.count("*") + F.when(F.col("format") == "ASIA", 1).otherwise(0)).alias("scored_cards"))
+    runs = features.select("format").distinct().select("format", F.explode(declared).alias("x")).select("format", "x.*")
+    return validate.counts(validate.method_runs(runs, given, features.select("format", "card_id"), told))
+
+
 def search_type(r: Run) -> DataFrame:
     return catalog.search(r.t.cards, catalog.aliases(r.t.cards), "SORC", "type").select("card_id")
 
@@ -606,7 +621,7 @@ QUERIES = (
     score_max_ratio, score_foundation, overall_grade, overall_pooled_usage, rankings_page, rankings_filtered_keeps_rank, rank_movement, rankings_view_counts, compare_formats, compare_every, grades, top_percent, share_series, playoff_preview, published_deck_order, card_decks_page, deck_list,
     representative_printing, original_first_preview, catalog_joint_printing, catalog_keyset_page, printing_keyset_page, cheapest_price, score_per_dollar, color_overlap, color_identity_subset, type_regex_filter, name_search, modal_names, coverage_classes,
     top_cut_inference, resolution_weighted, validation_violations, joint_with_preview, collector_order, printing_summary, unplayed_cards, unscored_cards, rankings_min_decks, compare_by_run, overall_components, version_union, run_windows, previous_run, run_chain, joint_printing_page, matchup_matrix, matchup_table, card_packages, price_as_of, export_digests, deck_clusters, cohort_cube, cohort_rollup, usage_sketches, score_completeness,
-    deck_headers, deck_headers_full, commander_spellings, catalogue_outputs, catalogue_exclusions, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, search_type, search_text, search_everywhere,
+    deck_headers, deck_headers_full, commander_spellings, catalogue_outputs, catalogue_exclusions, deck_mainboards, event_projection, deck_zones, score_run_violations, score_run_seeded, overall_run_violations, deck_recount_violations, deck_recount_seeded, archetype_violations, method_runs_seeded, search_type, search_text, search_everywhere,
     cooccurrence_lift, event_windows, stream_places, stream_trend, fuzzy_players, page_text, document_keys, saved_event_facts,
 )
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckwright.functions import text
-from deckwright.operators import catalog, clusters, cohort, export, history, matchups, packages, serving, sketches, usage, validate
+from deckwright.operators import catalog, clusters, cohort, export, history, matchups, packages, scoring, serving, sketches, usage, validate
 from deckwright.sources import files
 
 
@@ -237,3 +237,10 @@ def test_commanders_go_by_their_commonest_spelling(spark):
     lines = spark.createDataFrame([(1, 10, "Z // Back"), (2, 10, "Z"), (3, 10, "Z"), (1, 11, "B"), (2, 11, "A"), (4, 10, "Z // Back"), (5, 10, "Z"), (9, 10, "Q")], "deck_id int, card_id int, name string")
     got = {r.deck_id: r.archetype for r in usage.spelled_commanders(decks, leads, lines).collect()}
     assert got == {1: "A + Z", 2: "A + Z", 3: "Own", 4: "Z // Back", 5: None}
+
+
+def test_identity_of_a_method_follows_its_configuration(monkeypatch):
+    own = {n: scoring.identity(n) for n in scoring.METHODS}
+    assert len({x[2] for x in own.values()}) == len(own) and scoring.identity("signature") == own["signature"]
+    monkeypatch.setitem(scoring.CONFIG, "signature", scoring.SIGNATURE | {"labelled": 11.0})
+    assert scoring.identity("signature")[2] != own["signature"][2] and scoring.identity("constructed") == own["constructed"]

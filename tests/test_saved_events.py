@@ -45,7 +45,7 @@ def read(spark):
     return lambda path: spark.read.format("saved_events").load(str(path))
 
 
-EVENT = {"code": "mtg/first", "format": "Extended", "date": "2005-10-28", "constructed_rounds": [1, 2]}
+EVENT = {"code": "coverage/first", "format": "Extended", "date": "2005-10-28", "constructed_rounds": [1, 2]}
 
 
 @pytest.fixture(scope="module")

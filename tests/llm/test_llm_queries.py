@@ -73,6 +73,9 @@ def test_shards_follow_the_law_of_keys(spark, texts):
     for r in rows:
         data = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data)) and 0 <= r.shard < 8 and r.grown_shard in (r.shard, 8)
+    for shard in {r.shard for r in rows}:
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
 
 
 def test_licences_cover_every_document(spark, texts):

@@ -35,7 +35,7 @@ from . import common, induced_sort, textscan
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of all texts for one shard, and for one part of the documents.
-SHARD_BYTES, PART_BYTES = 5_000_000, 10_000_000
+SHARD_BYTES, PART_BYTES = 3_000_000, 10_000_000
 NO_ID = -(2**63)
 
 

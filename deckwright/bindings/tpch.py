@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import cents
 from ..operators.cohort import BASIC_LANDS
 
 #: Orders whose decklist counts as incomplete.
@@ -87,7 +88,7 @@ class Tables:
         sold = self.raw("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").cast("date").alias("released_on"), F.min(F.round(F.col("l_extendedprice"), 2)).alias("price"))
         k = F.col("l_partkey") + F.col("l_suppkey")
         rarity = F.element_at(F.array(*map(F.lit, ("common", "uncommon", "rare", "mythic"))), (k % 4 + 1).cast("int"))
-        usd = (F.col("price") / 1000).cast("decimal(12,2)")
+        usd = cents(F.col("price") / 1000)
         own_set = F.concat(F.when(F.col("l_suppkey") % 4 == 0, F.lit("p")).otherwise(F.lit("")), F.lit("S"), (F.col("s_nationkey") % 3).cast("string"))
         number = F.concat(F.when(k % 17 == 0, F.lit("A")).otherwise(F.lit("")), (F.col("l_suppkey") % 90).cast("string"), F.when(k % 5 == 0, F.lit("b")).otherwise(F.lit("")))
         day = F.when(k % 13 == 0, F.trunc("released_on", "year")).when(k % 29 != 0, F.col("released_on"))

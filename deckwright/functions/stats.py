@@ -17,6 +17,12 @@ def rate(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole.cast("double"), num(0))
 
 
+def cents(value: Column) -> Column:
+    """A double as an amount of two decimals: its hundredfold, as floating point has it, is rounded half away from zero.
+    So does SQL's cast; Spark's own rounds the shortest decimal that reads as the double (8.075 is 8.08 there, not 8.07)."""
+    return (F.round(value * num(100)).cast("decimal(12,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)")
+
+
 def shrink(value: Column, n: Column, field: Column, prior: float) -> Column:
     """A rate over n observations, pulled toward the field's by ``prior`` observations."""
     n = n.cast("double")

@@ -10,10 +10,12 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import blend, midrank, num, rate, saturation, shrink
+from ..functions.lineage import cut
+from ..functions.places import midranks
+from ..functions.stats import blend, num, rate, saturation, shrink
 from . import usage
 from .cohort import Cohort
 
@@ -62,9 +64,9 @@ def shrunk_cut(prior: float) -> Column:
 def constructed(rows: DataFrame) -> DataFrame:
     """Win rate, cut rate and incidence, each as a percentile."""
     parts = {"a": shrunk_win(CONSTRUCTED["games"]) - F.col("field_win"), "b": shrunk_cut(CONSTRUCTED["decks"]), "c": F.col("incidence")}
-    ranked = rows.withColumns(parts).withColumns({f"p{k}": midrank(F.col(k), "format") for k in parts})
-    mixed = ranked.withColumn("blend", blend(list(zip(CONSTRUCTED["weights"], (F.col("pa"), F.col("pb"), F.col("pc")), strict=True))))
-    return mixed.select("format", "card_id", (num(100) * midrank(F.col("blend"), "format")).alias("score"))
+    ranked = midranks(rows.select("format", "card_id", *[v.alias(k) for k, v in parts.items()]), list(parts), "format")
+    mixed = ranked.select("format", "card_id", blend(list(zip(CONSTRUCTED["weights"], (F.col("p_a"), F.col("p_b"), F.col("p_c")), strict=True))).alias("blend"))
+    return midranks(mixed, ["blend"], "format").select("format", "card_id", (num(100) * F.col("p_blend")).alias("score"))
 
 
 def signature(rows: DataFrame) -> DataFrame:
@@ -74,30 +76,31 @@ def signature(rows: DataFrame) -> DataFrame:
     n = F.when(F.col("concentration").isNull(), num(0)).otherwise(F.col("labelled").cast("double"))
     focus = shrink(F.coalesce("concentration", num(0)), n, F.col("field_concentration"), SIGNATURE["labelled"])
     parts = {"a": focus, "b": adoption - F.col("incidence"), "c": shrunk_win(SIGNATURE["games"]) - F.col("field_win")}
-    known = rows.where(F.col("home").isNotNull()).withColumns(parts).withColumns({f"p{k}": midrank(F.col(k), "format") for k in parts})
-    mixed = known.withColumn("blend", blend(list(zip(SIGNATURE["weights"], (F.col("pa"), F.col("pb"), F.col("pc")), strict=True))))
-    return mixed.select("format", "card_id", (num(100) * midrank(F.col("blend"), "format")).alias("score"), (num(1) / F.col("a")).alias("effective_archetypes"))
+    known = midranks(rows.where(F.col("home").isNotNull()).select("format", "card_id", *[v.alias(k) for k, v in parts.items()]), list(parts), "format")
+    mixed = known.select("format", "card_id", "a", blend(list(zip(SIGNATURE["weights"], (F.col("p_a"), F.col("p_b"), F.col("p_c")), strict=True))).alias("blend"))
+    return midranks(mixed, ["blend"], "format").select("format", "card_id", (num(100) * F.col("p_blend")).alias("score"), (num(1) / F.col("a")).alias("effective_archetypes"))
 
 
 def hidden_gem(rows: DataFrame) -> DataFrame:
     """Rare cards that win: lift times playset share, recurrence and rarity; a gem of no lift scores 0."""
-    run = Window.partitionBy("format")
-    pooled = rate(F.sum("playsets").over(run), F.sum("deck_count").over(run))
+    rows = cut(rows)
+    pooled = rows.groupBy("format").agg(rate(F.sum("playsets"), F.sum("deck_count")).alias("pooled"))  # one row a run
     win = F.when(F.col("field_win") != 0, shrunk_win(HIDDEN_GEM["games"]) / F.col("field_win") - num(1))
     lift = blend([(HIDDEN_GEM["weights"][0], win), (HIDDEN_GEM["weights"][1], shrunk_cut(HIDDEN_GEM["decks"]) - num(1))])
     playsets = (F.col("playsets").cast("double") + num(HIDDEN_GEM["playsets"]) * F.col("pooled")) / (F.col("deck_count").cast("double") + num(HIDDEN_GEM["playsets"]))
     events = F.col("event_count").cast("double")
     recurrence = events / (events + num(HIDDEN_GEM["recurrence"]))
     rarity = num(1) / (num(1) + F.col("incidence") / num(HIDDEN_GEM["rarity"]))
-    gems = rows.withColumn("pooled", pooled).withColumn("gem", F.when(F.col("pooled") >= num(HIDDEN_GEM["least_playsets"]), lift * playsets * recurrence * rarity))
-    place = midrank(F.when(F.col("gem") > 0, F.col("gem")), "format")
-    return gems.withColumn("place", place).select("format", "card_id", F.when(F.col("gem") > 0, num(100) * F.col("place")).when(F.col("gem") <= 0, num(0)).alias("score"))
+    gems = rows.join(F.broadcast(pooled), "format").withColumn("gem", F.when(F.col("pooled") >= num(HIDDEN_GEM["least_playsets"]), lift * playsets * recurrence * rarity))
+    ranked = midranks(gems.select("format", "card_id", "gem", F.when(F.col("gem") > 0, F.col("gem")).alias("good")), ["good"], "format")
+    return ranked.select("format", "card_id", F.when(F.col("gem") > 0, num(100) * F.col("p_good")).when(F.col("gem") <= 0, num(0)).alias("score"))
 
 
 def max_ratio(rows: DataFrame, measure: str = "deck_count") -> DataFrame:
     """A count against the greatest in the run."""
-    most = F.max(measure).over(Window.partitionBy("format"))
-    return rows.select("format", "card_id", (num(100) * rate(F.col(measure), most)).alias("score"))
+    rows = cut(rows.select("format", "card_id", measure))
+    most = rows.groupBy("format").agg(F.max(measure).alias("most"))  # one row a run
+    return rows.join(F.broadcast(most), "format").select("format", "card_id", (num(100) * rate(F.col(measure), F.col("most"))).alias("score"))
 
 
 def foundation(rows: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def overall(scores: DataFrame) -> DataFrame:
     each = part.groupBy("card_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.count("*").alias("formats"), F.sum("decks").alias("decks"))
     fold = lambda k: F.aggregate("parts", num(0), lambda a, x: a + x[k])
     mixed = each.withColumns({"evidence": fold("w"), "total": fold("ws")}).withColumn("blend", (F.col("total") + num(OVERALL["weight"] * OVERALL["score"])) / (F.col("evidence") + num(OVERALL["weight"])))
-    return mixed.select("card_id", "formats", "decks", "evidence", (num(100) * midrank(F.col("blend"))).alias("score"))
+    return midranks(mixed, ["blend"]).select("card_id", "formats", "decks", "evidence", (num(100) * F.col("p_blend")).alias("score"))
 
 
 def pooled_usage(rows: DataFrame) -> DataFrame:

@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.places import placed
+
 #: Columns that a page can be sorted by.
 SORTS = {"ranking", "score", "deck_count", "win_rate", "name"}
 
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Every card of a run with its rank; cards without a score share the last."""
-    return scores.withColumn("ranking", F.rank().over(Window.partitionBy("format").orderBy(F.desc_nulls_last("score"))).cast("long"))
+    at = F.col("at_score")
+    above = F.coalesce(at["total"] - at["below"] - at["ties"], at["total"])
+    return placed(scores, ["score"], "format").withColumn("ranking", above + 1).drop("at_score")
 
 
 def movement(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -94,6 +99,7 @@ def keyset(rows: DataFrame, after: tuple[str, int] | None, limit: int) -> DataFr
 
 def top_percent(ranked_rows: DataFrame) -> DataFrame:
     """Scored cards with the ``Top x%`` that they are in, at least 1."""
-    scored = F.count("score").over(Window.partitionBy("format"))
+    ranked_rows = cut(ranked_rows)
+    scored = ranked_rows.groupBy("format").agg(F.count("score").alias("scored"))  # one row a run
     label = F.greatest(F.lit(1), F.ceil(F.lit(100) * F.col("ranking") / F.col("scored")))
-    return ranked_rows.withColumn("scored", scored).where(F.col("score").isNotNull()).withColumn("top", label.cast("long")).drop("scored")
+    return ranked_rows.join(F.broadcast(scored), "format").where(F.col("score").isNotNull()).withColumn("top", label.cast("long")).drop("scored")

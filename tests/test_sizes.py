@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from deckwright.bindings.tpch import Tables
+from deckwright.functions import stats
+from deckwright.functions.places import midranks
+from deckwright.operators import scoring, serving
 from deckwright.plans import queries as plans
 
 
@@ -25,3 +30,15 @@ def test_amounts_halfway_between_cents(spark, tmp_path, name, columns):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     amounts = {r[0] for r in Tables(spark, str(tmp_path)).printings.where("usd > 0").select(F.col("usd").cast("string")).distinct().collect()}
     assert amounts <= {"8.07", "32.49", "1.13"}
+
+
+def test_places_need_no_task_that_holds_a_group(spark):
+    rows = [(g, i, None if i % 11 == 0 else float(i * 7 % 13) if i % 3 else float(i)) for g in "ab" for i in range(300)] + [("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    for groups in (["g"], []):
+        want = df.withColumn("p", stats.midrank(F.col("v"), *groups)).select("g", "k", "p").collect()
+        assert sorted(midranks(df, ["v"], *groups).select("g", "k", F.col("p_v").alias("p")).collect(), key=str) == sorted(want, key=str)
+    features = plans.Run(spark, "/root/testdata/sf0.001").features()
+    for name in ("constructed", "signature", "hidden-gem", "max-ratio"):
+        plan = serving.ranked(scoring.run_method(name, features))._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"windowspecdefinition\(format#\d+L?, (?!_which)", plan), name

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Days of a bin.
 BIN_DAYS = 30
 
@@ -13,25 +15,24 @@ def as_of(asked: DataFrame, told: DataFrame, key: str, day: str, value: str, bin
     """The rows of ``asked`` (key, day) with ``value`` and ``since``: the last value told (key, day, value) on or before their
     day, or NULL; of several told on one day the least.
 
-    Time is cut into bins.  A key's bin holds its values of these days (one a day) and the last one before; bins without
-    a value are filled up to the last day that is asked.  So each row asked meets one row, in a join on key and bin: a
-    key with very many rows is spread over its bins, and within one of them adaptive execution may split it.
+    Time is cut into bins.  A key's bin holds its values of these days (one a day); of the bins before one that is asked only
+    the last value is carried there.  So each row asked meets one row of its own bin and one of those before, in joins on
+    key and bin: a key with very many rows is spread over its bins, and within one of them adaptive execution may split it.
     """
     names = asked.columns
     bin_of = F.floor(F.unix_date(day) / bin_days)
-    daily = told.where(F.col(key).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(key, day).agg(F.min(value).alias("v"))
-    held = daily.groupBy(key, bin_of.alias("bin")).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), "v"))).alias("values"))
-    horizon = F.lit(asked.agg(F.max(bin_of)).first()[0]).cast("long")  # NULL if no day is asked: nothing is filled then
-    after = F.lead("bin").over(Window.partitionBy(key).orderBy("bin"))  # bins of a key
-    spans = held.withColumn("after", after).where(F.col("bin") <= horizon)
-    until = F.greatest("bin", F.least(F.coalesce(F.col("after") - 1, horizon), horizon))
-    filled = spans.select(key, F.explode(F.sequence("bin", until)).alias("bin"), F.struct("bin", "values").alias("x"))
-    before = F.lag(F.element_at("values", -1)).over(Window.partitionBy(key).orderBy("bin"))
-    carried = held.select(key, "bin", before.alias("before"))
-    index = filled.join(carried.withColumnRenamed("bin", "own"), [F.col("x.bin") == F.col("own"), filled[key] == carried[key]]).select(filled[key], filled["bin"], "before", "x")
-    joined = asked.withColumn("bin", bin_of).join(index, [key, "bin"], "left")
-    # in a filled bin all values of the bin it was filled from are earlier
-    here = F.try_element_at(F.filter("x.values", lambda v: v["day"] <= F.col(day)), F.lit(-1))
+    asks = cut(asked.withColumn("bin", bin_of))
+    known = told.where(F.col(key).isNotNull() & F.col(day).isNotNull() & F.col(value).isNotNull()).select(key, day, F.col(value).alias("v"))
+    # values move once: both aggregates keep to key and bin
+    daily = known.withColumn("bin", bin_of).repartition(key, "bin").groupBy(key, "bin", day).agg(F.min("v").alias("v"))
+    held = daily.groupBy(key, "bin").agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), "v"))).alias("values"))
+    last = held.select(key, "bin", F.element_at("values", -1).alias("last"))
+    wanted = asks.select(key, "bin").where("bin IS NOT NULL").distinct()
+    bins = last.withColumn("wanted", F.lit(False)).unionByName(wanted.withColumn("wanted", F.lit(True)), allowMissingColumns=True)
+    earlier = Window.partitionBy(key).orderBy("bin").rangeBetween(Window.unboundedPreceding, -1)  # bins of a key
+    carried = bins.withColumn("before", F.last("last", ignorenulls=True).over(earlier)).where("wanted").select(key, "bin", "before")
+    joined = asks.join(carried, [key, "bin"], "left").join(held, [key, "bin"], "left")
+    here = F.try_element_at(F.filter("values", lambda v: v["day"] <= F.col(day)), F.lit(-1))
     best = F.coalesce(here, F.col("before"))
     return joined.withColumn("best", best).select(*names, F.col("best.v").alias(value), F.col("best.day").alias("since"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from deckwright.bindings.tpch import Tables
 from deckwright.functions import stats
 from deckwright.functions.places import midranks
-from deckwright.operators import scoring, serving
+from deckwright.operators import history, scoring, serving
 from deckwright.plans import queries as plans
 
 
@@ -42,3 +43,11 @@ def test_places_need_no_task_that_holds_a_group(spark):
     for name in ("constructed", "signature", "hidden-gem", "max-ratio"):
         plan = serving.ranked(scoring.run_method(name, features))._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"windowspecdefinition\(format#\d+L?, (?!_which)", plan), name
+
+
+def test_values_as_of_a_day_fill_no_bins(spark):
+    told = spark.createDataFrame([(1, dt.date(2000, 1, 1), 5), (1, dt.date(2000, 1, 1), 4), (1, dt.date(2009, 1, 1), 6)], "k int, day date, v int")
+    asked = spark.createDataFrame([(1, dt.date(2008, 12, 31)), (1, dt.date(2009, 1, 1)), (1, dt.date(1999, 1, 1)), (2, dt.date(2009, 1, 1)), (1, None)], "k int, day date")
+    rows = history.as_of(asked, told, "k", "day", "v")
+    assert {(r.k, r.day): r.v for r in rows.collect()} == {(1, dt.date(2008, 12, 31)): 4, (1, dt.date(2009, 1, 1)): 6, (1, dt.date(1999, 1, 1)): None, (2, dt.date(2009, 1, 1)): None, (1, None): None}
+    assert "sequence(" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -143,8 +143,8 @@ def published_decks(decks: DataFrame, cards: DataFrame, events: DataFrame, total
 
     ``decks`` (format, position from 0, deck_id, event_id, made_cut, record, ``commanders``, ``sideboard``: arrays of cards,
     NULL if unstated), ``cards`` (format, card_id, what CLAIMS names, ``positions`` and ``deck_copies``, NULL if unlisted),
-    ``events`` (format, event_id, occurred_on) and ``totals`` (format, decks).  Claims and recount meet by ``exceptAll``,
-    a rule's columns at a time, so a card that differs, is listed twice or not at all counts where it does."""
+    ``events`` (format, event_id, occurred_on) and ``totals`` (format, decks).  Claims and recount meet in one aggregate by
+    card, and all rules are counted on it at once; a card that differs, is listed twice or not at all counts where it does."""
     key = ["format", "card_id"]
     again = recounted(cards, decks)
     sizes = decks.groupBy("format").agg(F.count("*").alias("n"))
@@ -152,7 +152,7 @@ def published_decks(decks: DataFrame, cards: DataFrame, events: DataFrame, total
     p, c = F.col("positions"), F.col("deck_copies")
     pairs = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: b <= a)
     listed = cards.join(sizes, "format", "left")
-    lines = cards.select("format", "card_id", F.explode("positions").alias("position")).distinct()
+    lines = cards.select("format", "card_id", F.explode("positions").alias("position"))
     named = decks.select("format", "position", F.explode("commanders").alias("card_id")).distinct()
     checks: dict[str, DataFrame | Where] = {
         "decks' total": decks.groupBy("format").agg(F.count("*").alias("n")).join(totals, "format", "full").where(~F.col("n").eqNullSafe(F.col("decks"))),
@@ -166,9 +166,15 @@ def published_decks(decks: DataFrame, cards: DataFrame, events: DataFrame, total
         "commander in the deck": named.join(lines, ["format", "position", "card_id"], "left_anti").select("format", "position").distinct(),
         "sideboard's card twice": Where(decks, F.size(F.array_distinct("sideboard")) != F.size("sideboard")),
     }
-    for rule, names in CLAIMS.items():
-        # differing rows of either side; a card counts once
-        checks[rule] = recount(cards.select(*key, *names), again).select(*key).distinct()
+    claims = [name for names in CLAIMS.values() for name in names]
+    sides = cards.select(*key, *claims, F.lit(True).alias("_told")).unionByName(again.select(*key, *claims, F.lit(False).alias("_told")))
+    value = lambda told, names: F.min(F.when(F.col("_told") == told, F.struct(*names)))
+    met = sides.groupBy(*key).agg(
+        F.count_if("_told").alias("told"), F.count_if(~F.col("_told")).alias("found"),
+        *[value(told, names).alias(f"{'told' if told else 'found'}{i}") for i, names in enumerate(CLAIMS.values()) for told in (True, False)],
+    )
+    for i, rule in enumerate(CLAIMS):
+        checks[rule] = Where(met, (F.col("told") != 1) | (F.col("found") != 1) | ~F.col(f"told{i}").eqNullSafe(F.col(f"found{i}")))
     return checks
 
 

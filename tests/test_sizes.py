@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from deckwright.bindings.tpch import Tables
 from deckwright.functions import stats
 from deckwright.functions.places import midranks
-from deckwright.operators import history, scoring, serving
+from deckwright.operators import history, scoring, serving, validate
 from deckwright.plans import queries as plans
 
 
@@ -51,3 +51,10 @@ def test_values_as_of_a_day_fill_no_bins(spark):
     rows = history.as_of(asked, told, "k", "day", "v")
     assert {(r.k, r.day): r.v for r in rows.collect()} == {(1, dt.date(2008, 12, 31)): 4, (1, dt.date(2009, 1, 1)): 6, (1, dt.date(1999, 1, 1)): None, (2, dt.date(2009, 1, 1)): None, (1, None): None}
     assert "sequence(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_of_cards_are_counted_in_one_pass(spark):
+    decks, cards, events, totals = plans.published(plans.Run(spark, "/root/testdata/sf0.001"))
+    checks = validate.published_decks(decks, cards, events, totals)
+    claims = [checks[rule] for rule in validate.CLAIMS]
+    assert all(isinstance(x, validate.Where) for x in claims) and len({id(x.rows) for x in claims}) == 1

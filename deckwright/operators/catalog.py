@@ -145,8 +145,9 @@ def resolvable(alias_rows: DataFrame, cards: DataFrame) -> DataFrame:
 
 def merged(rows: DataFrame, key: str) -> DataFrame:
     """Each id once; identical rows are one, different ones under one id an error."""
-    content = F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != key])), 256)
-    each = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), content).alias("r"), F.min(content).alias("first"), F.max(content).alias("last"))
+    # hashes don't compress, so they move as bytes; any row will do where all are the same
+    content = F.unhex(F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != key])), 256))
+    each = rows.groupBy(key).agg(F.first(F.struct(*rows.columns)).alias("r"), F.min(content).alias("first"), F.max(content).alias("last"))
     wrong = F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key).cast("string"))).cast("string")
     return each.withColumn("ok", F.when(F.col("first") != F.col("last"), wrong)).where("ok IS NULL").select("r.*")
 
@@ -188,11 +189,10 @@ def catalogue(raw: DataFrame) -> Catalogue:
     faces = best.select("card_id", F.posexplode("card_faces").alias("face_index", "f")).select("card_id", "face_index", *[F.col(f"f.{c}").alias(c) for c in ("name", "mana_cost", "type_line", "oracle_text", "colors")])
     own = cards.select("card_id", F.col("name_key").alias("alias_key"), F.lit("canonical").alias("kind"))
     names = own.unionByName(faces.select("card_id", key(F.col("name")).alias("alias_key"), F.lit("face").alias("kind"))).distinct()
-    pictures = images(rows).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("face_index", "source_uri", "artist"))).alias("images"))
-    none = F.array().cast(pictures.schema["images"].dataType)
     printings = rows.select(
-        F.col("id").alias("printing_id"), F.col("oracle_id").alias("card_id"), F.col("set").alias("set_code"), "set_name", "collector_number", "rarity", F.to_date("released_at").alias("released_on"), F.col("lang").alias("language"), F.array_sort("games").alias("games")
-    ).join(pictures.withColumnRenamed("id", "printing_id"), "printing_id", "left").withColumn("images", F.coalesce("images", none))
+        F.col("id").alias("printing_id"), F.col("oracle_id").alias("card_id"), F.col("set").alias("set_code"), "set_name", "collector_number", "rarity", F.to_date("released_at").alias("released_on"), F.col("lang").alias("language"), F.array_sort("games").alias("games"),
+        F.array_sort(pictured()).alias("images"),
+    )
     return Catalogue(cards, faces, printings, names, excluded)
 
 
@@ -214,13 +214,17 @@ def printing_page(printings: DataFrame, card_id: int, after: int | None, limit:
     return own.orderBy("original").limit(limit + 1).drop("original")
 
 
-def images(raw: DataFrame) -> DataFrame:
-    """(id, face_index, source_uri, artist): the whole card's picture (NULL index), then its faces' in order; only
-    those with a picture of normal size."""
+def pictured() -> Column:
+    """A row's pictures (face_index, source_uri, artist): the whole card's (NULL index), then its faces' in order; only those
+    of normal size."""
     own = F.array(F.struct(F.lit(None).cast("int").alias("face_index"), F.col("image_uris")["normal"].alias("source_uri"), F.col("artist").alias("artist")))
     faces = F.transform("card_faces", lambda f, i: F.struct(i.alias("face_index"), f["image_uris"]["normal"].alias("source_uri"), f["artist"].alias("artist")))
-    every = F.concat(own, F.coalesce(faces, F.slice(own, 1, 0)))
-    return raw.select("id", F.explode(F.filter(every, lambda x: x["source_uri"].isNotNull())).alias("x")).select("id", "x.*")
+    return F.filter(F.concat(own, F.coalesce(faces, F.slice(own, 1, 0))), lambda x: x["source_uri"].isNotNull())
+
+
+def images(raw: DataFrame) -> DataFrame:
+    """(id, face_index, source_uri, artist) of every picture."""
+    return raw.select("id", F.explode(pictured()).alias("x")).select("id", "x.*")
 
 
 def shown(raw: DataFrame) -> DataFrame:

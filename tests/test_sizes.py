@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from deckwright.bindings.tpch import Tables
 from deckwright.functions import stats
 from deckwright.functions.places import midranks
-from deckwright.operators import history, scoring, serving, validate
+from deckwright.operators import catalog, history, scoring, serving, validate
 from deckwright.plans import queries as plans
 
 
@@ -58,3 +58,9 @@ def test_claims_of_cards_are_counted_in_one_pass(spark):
     checks = validate.published_decks(decks, cards, events, totals)
     claims = [checks[rule] for rule in validate.CLAIMS]
     assert all(isinstance(x, validate.Where) for x in claims) and len({id(x.rows) for x in claims}) == 1
+
+
+def test_printings_get_their_pictures_without_a_join(spark):
+    c = catalog.catalogue(plans.Run(spark, "/root/testdata/sf0.001").t.raw_cards)
+    assert c.printings.where("size(images) = 2").count() > 0
+    assert "Join" not in c.printings._jdf.queryExecution().optimizedPlan().toString()

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import cents
+from ..functions.stats import cents, hundredths
 from ..operators.cohort import BASIC_LANDS
 
 #: Orders whose decklist counts as incomplete.
@@ -85,7 +85,7 @@ class Tables:
 
     @cached_property
     def printings(self) -> DataFrame:
-        sold = self.raw("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").cast("date").alias("released_on"), F.min(F.round(F.col("l_extendedprice"), 2)).alias("price"))
+        sold = self.raw("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").cast("date").alias("released_on"), F.min(hundredths(F.col("l_extendedprice"))).alias("price"))
         k = F.col("l_partkey") + F.col("l_suppkey")
         rarity = F.element_at(F.array(*map(F.lit, ("common", "uncommon", "rare", "mythic"))), (k % 4 + 1).cast("int"))
         usd = cents(F.col("price") / 1000)

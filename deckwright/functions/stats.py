@@ -23,6 +23,12 @@ def cents(value: Column) -> Column:
     return (F.round(value * num(100)).cast("decimal(12,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)")
 
 
+def hundredths(value: Column) -> Column:
+    """A double rounded to two decimals in floating point, as SQL's round does; Spark's own rounds the shortest decimal that
+    reads as the double (8075.005 is 8075.01 there, not 8075.0)."""
+    return F.round(value * num(100)) / num(100)
+
+
 def shrink(value: Column, n: Column, field: Column, prior: float) -> Column:
     """A rate over n observations, pulled toward the field's by ``prior`` observations."""
     n = n.cast("double")

@@ -33,6 +33,23 @@ def test_amounts_halfway_between_cents(spark, tmp_path, name, columns):
     assert amounts <= {"8.07", "32.49", "1.13"}
 
 
+@pytest.mark.parametrize(("name", "columns"), [("cheapest_price", ["card_id", "usd", "printing_id"]), ("score_per_dollar", ["format", "card_id", "per_dollar"])])
+def test_amounts_of_more_than_two_decimals(spark, tmp_path, name, columns):
+    """Halves of a cent that a double has a little less of, where a cent is what the price's thousandth is rounded by."""
+    c = duckdb.connect()
+    for t in "region nation customer supplier part orders".split():
+        c.sql(f"COPY (FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    odd = [x for (x,) in c.sql("SELECT x FROM (SELECT (10000 * n + 4995) / 1e3 AS x FROM range(1, 9000) r(n)) WHERE round(x, 2) < x ORDER BY x LIMIT 6").fetchall()]
+    assert len(odd) == 6
+    c.sql(f"CREATE TABLE lineitem AS SELECT * REPLACE ({odd}[l_linenumber % 6 + 1]::DOUBLE AS l_extendedprice) FROM '/root/testdata/sf0.001/lineitem.parquet'")
+    c.sql(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    want = c.sql(plans.oracle_sql()[name]).select(*columns).fetchall()
+    got = plans.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_places_need_no_task_that_holds_a_group(spark):
     rows = [(g, i, None if i % 11 == 0 else float(i * 7 % 13) if i % 3 else float(i)) for g in "ab" for i in range(300)] + [("c", 1, None)]
     df = spark.createDataFrame(rows, "g string, k int, v double")

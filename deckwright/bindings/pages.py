@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .tpch import Tables
 
 FIELD = 64
@@ -36,16 +37,14 @@ def field(t: Tables) -> DataFrame:
 def saved(t: Tables) -> DataFrame:
     """Pages in the shape that the reader of saved events gives.  Every fourth event has no standings, every fifth lacks its
     second round, and some results name another country than the standings."""
-    people = field(t)
+    people = cut(field(t))  # read by every kind of page
     standings = rows(people.where("event % 4 <> 3"), F.lit("standfin"), "place", F.col("place").cast("string"), F.concat("turned", F.lit(" [XX]")))
     told = F.concat("turned", F.when(F.col("deck_id") % 7 == 0, F.lit(" [YY]")).otherwise(F.lit(" [XX]")))
     seats = people.select("event", "event_id", "deck_id", "place", told.alias("name"))
-    games = None
-    for number in (1, 2):
-        # the first round pairs places 1 and 2, 3 and 4; the second 2 and 3, 4 and 5
-        side = seats.withColumns({"round": F.lit(number), "game": F.floor((F.col("place") + (number - 1)) / 2 + 0.5), "seat": (F.col("place") + number) % 2})
-        pairs = side.groupBy("event", "event_id", "round", "game").agg(*[F.max(F.when(F.col("seat") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("name", "deck_id")])
-        games = pairs if games is None else games.unionByName(pairs)
+    # the first round pairs places 1 and 2, 3 and 4; the second 2 and 3, 4 and 5
+    number = F.col("round")
+    side = seats.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns({"game": F.floor((F.col("place") + (number - 1)) / 2 + 0.5), "seat": (F.col("place") + number) % 2})
+    games = side.groupBy("event", "event_id", "round", "game").agg(*[F.max(F.when(F.col("seat") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("name", "deck_id")])
     score = F.element_at(F.array(F.lit("Won 2-0"), F.lit("Lost 1-2"), F.lit("Drew 1-1-1")), (F.col("deck_id0") % 3 + 1).cast("int"))
     alone = F.col("name0").isNull() | F.col("name1").isNull()
     results = rows(games.where("round = 1 OR event % 5 <> 0"), F.concat(F.lit("res"), F.col("round").cast("string")), "game", F.col("game").cast("string"), F.coalesce("name0", "name1"), F.when(alone, "Won 2-0").otherwise(score), F.lit("vs."), F.when(alone, "* BYE *").otherwise(F.col("name1")))
@@ -59,10 +58,11 @@ def saved(t: Tables) -> DataFrame:
         side = F.when(F.col("z1") != "", column(F.concat(F.lit('<p class="decktitle">Sideboard</p>'), "z1"))).otherwise("")
         return F.concat(F.lit('<div class="deck"><heading>'), "plain", F.lit('</heading><div class="sub">'), label, F.lit("</div>"), column(F.col("z0")), side, F.lit("</div>"))
 
-    listed = people.join(zones, "deck_id")
     # the top eight's page lists the first deck again, under another name
-    twice = listed.select("event_id", "place", F.when(F.col("place") % 2 == 1, "afdecks").otherwise("gzdecks").alias("slug"), block(label).alias("h")).unionByName(listed.where("place = 1").select("event_id", "place", F.lit("top8decks").alias("slug"), block(F.lit("Again")).alias("h")))
-    decks = twice.groupBy("event_id", "slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "\n").alias("text"))
+    once = F.struct(F.when(F.col("place") % 2 == 1, "afdecks").otherwise("gzdecks").alias("slug"), label.alias("label"))
+    again = F.struct(F.lit("top8decks").alias("slug"), F.lit("Again").alias("label"))
+    listed = people.join(zones, "deck_id").withColumn("on", F.explode(F.when(F.col("place") == 1, F.array(once, again)).otherwise(F.array(once))))
+    decks = listed.select("event_id", "place", F.col("on.slug").alias("slug"), block(F.col("on.label")).alias("h")).groupBy("event_id", "slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "\n").alias("text"))
     pages = standings.unionByName(results).unionByName(decks)
     return pages.select("event_id", F.lit("Extended").alias("format"), F.lit("2005-10-28").cast("date").alias("occurred_on"), F.array(F.lit(1), F.lit(2)).alias("rounds"), F.lit(0).alias("ord"), "slug", "text")
 

@@ -212,9 +212,10 @@ def page_decks(page_text: DataFrame) -> DataFrame:
     rows = rows.select("file", "deck", "player", "label", zone.alias("zone"), F.explode(F.split("column", r"<br\s*/?>")).alias("line"))
     rows = rows.withColumn("line", html_text(F.col("line"))).where(F.col("line").rlike(r"^\d+\s+\S"))
     lines = rows.select("file", "deck", "player", "label", "zone", card_name(F.regexp_extract("line", r"^\d+\s+(.+)$", 1)).alias("name"), F.regexp_extract("line", r"^(\d+)", 1).try_cast("int").alias("copies"))
-    cards_of = lines.where("copies > 0").groupBy("file", "deck", "player", "label", "zone", "name").agg(F.sum("copies").alias("copies"))
-    mains = cards_of.where("zone = 'main'").select("file", "deck").distinct()
-    return cards_of.join(mains, ["file", "deck"], "left_semi")
+    # a deck's lines meet once, for its cards and for whether it has a main part, so pages are read once
+    cards_of = lines.where("copies > 0").repartition("file", "deck").groupBy("file", "deck", "player", "label", "zone", "name").agg(F.sum("copies").alias("copies"))
+    main = F.max(F.col("zone") == "main").over(Window.partitionBy("file", "deck"))
+    return cards_of.withColumn("main", main).where("main").drop("main")
 
 
 def standings_rows(rows: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from deckwright.bindings.tpch import Tables
 from deckwright.functions import stats
 from deckwright.functions.places import midranks
+from deckwright.functions.text import html_text
 from deckwright.operators import catalog, history, scoring, serving, validate
 from deckwright.plans import queries as plans
+from deckwright.sources import files
 
 
 @pytest.mark.parametrize(("name", "columns"), [("cheapest_price", ["card_id", "usd", "printing_id"]), ("score_per_dollar", ["format", "card_id", "per_dollar"])])
@@ -81,3 +83,16 @@ def test_printings_get_their_pictures_without_a_join(spark):
     c = catalog.catalogue(plans.Run(spark, "/root/testdata/sf0.001").t.raw_cards)
     assert c.printings.where("size(images) = 2").count() > 0
     assert "Join" not in c.printings._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_of_decks_are_read_once(spark):
+    """Neither the search for main parts nor a filter on a line's text goes through all pages again."""
+    body = '<td valign="top">2 Fire &amp; Ice<br>1 <b>Forest</b></td><p class="decktitle">Sideboard</p>3 Shock'
+    page = f'<div class="deck"><heading>Jo &lt;Lee&gt;</heading><div class="sub">R&amp;D</div>{body}</div><div class="deck"><heading>No Main</heading><td class="statback" valign="top">1 Shock</td></div>'
+    rows = files.page_decks(spark.createDataFrame([("p", page), ("q", None)], "file string, text string"))
+    assert {tuple(r) for r in rows.collect()} == {("p", 1, "Jo <Lee>", "R&D", "main", "Fire & Ice", 2), ("p", 1, "Jo <Lee>", "R&D", "main", "Forest", 1), ("p", 1, "Jo <Lee>", "R&D", "side", "Shock", 3)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # once for a deck's head and caption, once for its lines
+    assert plan.count("ArrowEvalPython") == 2, plan
+    texts = spark.createDataFrame([("a & b",), ("&amp;<i>x</i>  y\u00a0z",), ("<!-- & -->",), (None,), ("a > b",)], "s string").select(html_text(F.col("s")).alias("t"))
+    assert [r.t for r in texts.collect()] == ["a & b", "& x y z", "", None, "a > b"]

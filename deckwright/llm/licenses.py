@@ -3,9 +3,10 @@ threshold keeps what it doesn't know apart, and a comparison with the family's t
 DataFrame functions and Spark ML only.
 
 The classifier's features are the pairs of adjacent words of the templates that aren't both stop words.  It is
-trained on the templates with words dropped by hash and with corpus words around them, and, as the unknown
-class, on paragraphs of a bounded sample of documents that share few of those features with any template.
-The threshold is the family probability that at most ``FALSE_RATE`` of held-back unknown paragraphs reach.
+trained on the templates with words dropped by hash, and, as the unknown class, on all paragraphs of all documents
+that share few of those features with any template: equal features are one row with their number of paragraphs, so
+the rows are bounded by the vocabulary.  All unknown paragraphs together weigh as much as ``UNKNOWN_WEIGHT`` rows.
+The threshold is the family probability that at most ``FALSE_RATE`` of all held-back unknown paragraphs reach.
 A paragraph without any feature has the probabilities of the model's intercepts, which is to be unknown, so
 it is passed over without being scored.
 
@@ -16,18 +17,19 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents and paragraphs that the unknown class is learnt from at most.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 3_000
+#: The weight of all paragraphs of the unknown class together, in rows of templates' variants.
+UNKNOWN_WEIGHT = 2_000.0
 #: Variants of each template, share of unknown paragraphs let through, and overlap that confirms.
 VARIANTS, FALSE_RATE, CONFIRMED = 24, 0.001, 0.6
 UNKNOWN = "unknown"
@@ -125,50 +127,83 @@ class Model:
         return out.withColumns({"family": F.col("best.family"), "score": F.col("best.score")}).drop("features", "rawPrediction", "probability", "prediction", "best")
 
 
-def fit(docs: DataFrame) -> Model:
+def bound(value: F.Column, use: Callable[[F.Column], F.Column]) -> F.Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def featured(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, held, pairs, width, n): the paragraphs of all documents by their features (``pairs`` of the vocabulary, in
+    order), the number of their different pairs, and whether they are held back; those without any feature are counted
+    together, whatever their document."""
+    seen = sorted({w for pair in vocabulary for w in pair.split(" ")} - set(STOP_WORDS))
+    none = F.array().cast("array<string>")
+
+    def features(w: F.Column) -> F.Column:
+        own = F.when(F.arrays_overlap(w, F.array(*map(F.lit, seen))), pairs(w)).otherwise(none)
+        return bound(own, lambda p: F.struct(F.filter(p, lambda x: x.isin(vocabulary)).alias("pairs"), p.alias("all")))
+
+    held = (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 0).alias("held")
+    rows = paragraphs(docs).select("doc_id", held, bound(words(F.col("paragraph")), features).alias("x"))
+    some = F.size("x.pairs") > 0
+    keys = [F.when(some, F.col("doc_id")).alias("doc_id"), "held", F.col("x.pairs").alias("pairs"), F.when(some, F.size(F.array_distinct("x.all"))).otherwise(0).alias("width")]
+    return rows.select(*keys).groupBy("doc_id", "held", "pairs", "width").agg(F.count("*").alias("n"))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """What :func:`featured` gives for the templates' vocabulary, written once, as the model and the scan both read it."""
+    return common.cut(featured(docs, vocabulary(docs.sparkSession)))
+
+
+def vocabulary(spark: SparkSession) -> list[str]:
+    return [r[0] for r in templates(spark).select(F.explode("pairs").alias("p")).distinct().orderBy("p").collect()]  # of the templates above
+
+
+def fit(docs: DataFrame, seen: DataFrame | None = None) -> Model:
+    """``seen``: what :func:`scanned` gives for the documents."""
     spark = docs.sparkSession
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = paragraphs(docs.join(F.broadcast(ids), "doc_id")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS)
-    known = templates(spark)
-    vocabulary = [r[0] for r in known.select(F.explode("pairs").alias("p")).distinct().orderBy("p").collect()]  # of the templates above
-    counts = CountVectorizerModel.from_vocabulary(vocabulary, "pairs", "features")
-    sample = common.cut(sample.select("paragraph", words(F.col("paragraph")).alias("w")))
-    near = F.size(F.array_intersect(pairs(F.col("w")), F.array(*map(F.lit, vocabulary))))
-    unknown = sample.where(near < 2).select(F.lit(UNKNOWN).alias("family"), "w", F.xxhash64("paragraph").alias("h"))
-    around = sample.where(near == 0).orderBy(F.xxhash64("paragraph", F.lit(1))).limit(VARIANTS).select(F.slice("w", 1, 20).alias("around"))
-    around = around.withColumn("v", F.monotonically_increasing_id() % VARIANTS)
+    seen = scanned(docs) if seen is None else seen
+    known, terms = templates(spark), vocabulary(spark)
+    counts = CountVectorizerModel.from_vocabulary(terms, "pairs", "features")
+    few = seen.where(F.size(F.array_distinct("pairs")) < 2).groupBy(F.array_sort("pairs").alias("pairs"), "held").agg(F.sum("n").cast("double").alias("n"))
+    few = common.cut(few)  # at most one pair, and how often
+    total = few.where(~F.col("held")).agg(F.sum("n")).first()[0] or 1.0
+    unknown = few.where(~F.col("held")).select(F.lit(UNKNOWN).alias("family"), "pairs", (F.col("n") * (UNKNOWN_WEIGHT / total)).alias("weight"))
     dropped = F.filter(words(F.col("template")), lambda x, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(x, i, "v"), F.lit(16)) != 0))
-    variants = known.select("family", "template", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v")).join(F.broadcast(around.groupBy("v").agg(F.first("around").alias("around"))), "v", "left")
-    before = F.when(F.col("v") % 3 == 1, F.coalesce("around", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    after = F.when(F.col("v") % 3 == 2, F.coalesce("around", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    positive = variants.select("family", F.concat(before, dropped, after).alias("w"), F.xxhash64("template", "v").alias("h"))
+    positive = known.select("family", "template", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v")).select("family", dropped.alias("w"))
     # sentences that speak of licences without granting one, so that such words alone decide nothing
     talk = ["license", "a driving license is required", "the license was published", "public version", "software version 2", "copyright law", "free of charge", "source and binary", "read the terms", "without restriction on the work", ""]
-    spoken = spark.createDataFrame([(t, v) for t in talk for v in range(6)], "t string, v int").select(F.lit(UNKNOWN).alias("family"), words(F.col("t")).alias("w"), F.xxhash64("t", "v").alias("h"))
-    rows = common.cut(positive.unionByName(unknown).unionByName(spoken).select("family", pairs(F.col("w")).alias("pairs"), (F.pmod("h", F.lit(4)) == 0).alias("held")))
+    spoken = spark.createDataFrame([(t, v) for t in talk for v in range(6)], "t string, v int").select(F.lit(UNKNOWN).alias("family"), words(F.col("t")).alias("w"))
+    rows = common.cut(positive.unionByName(spoken).select("family", pairs(F.col("w")).alias("pairs"), F.lit(1.0).alias("weight")).unionByName(unknown))
     families = sorted([*TEMPLATES, UNKNOWN])
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     labelled = counts.transform(rows).withColumn("label", number)
-    classifier = LogisticRegression(maxIter=60, regParam=2e-4, family="multinomial").fit(labelled.where(~F.col("held")))
-    raw = Model(vocabulary, counts, classifier, families, 0.5)
-    top = raw.probabilities(rows.where(F.col("held") & (F.col("family") == UNKNOWN)).select("pairs")).agg(F.percentile_approx("score", 1 - FALSE_RATE, 10_000)).first()[0]
-    return Model(vocabulary, counts, classifier, families, min(0.95, max(0.5, top or 0.0)))
+    classifier = LogisticRegression(maxIter=60, regParam=2e-4, family="multinomial", weightCol="weight").fit(labelled)
+    raw = Model(terms, counts, classifier, families, 0.5)
+    return Model(terms, counts, classifier, families, min(0.95, max(0.5, exceeded(raw.probabilities(few.where("held").select("pairs", "n")).select("score", "n"), FALSE_RATE))))
+
+
+def exceeded(scores: DataFrame, share: float) -> float:
+    """The least of the scores (score, n) that at most ``share`` of them, each counted n times, are above; 0 without any."""
+    each = scores.groupBy("score").agg(F.sum("n").alias("n"))  # as many as there are different features
+    total = each.agg(F.sum("n")).first()[0] or 0.0
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return each.withColumn("above", above).where(F.col("above") <= share * total).agg(F.min("score")).first()[0] or 0.0
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
+def scan(docs: DataFrame, model: Model, seen: DataFrame | None = None) -> DataFrame:
     """Every doc_id once, with n_paragraphs of a confirmed licence, families (sorted, comma-joined; empty:
-    none), and of the likeliest one family, score and overlap (null: none)."""
+    none), and of the likeliest one family, score and overlap (null: none).  ``seen`` as for :func:`fit`."""
     spark = docs.sparkSession
-    seen = sorted({w for pair in model.vocabulary for w in pair.split(" ")} - set(STOP_WORDS))
-    rows = paragraphs(docs).withColumn("w", words(F.col("paragraph"))).where(F.arrays_overlap("w", F.array(*map(F.lit, seen))))
-    rows = rows.withColumn("pairs", pairs(F.col("w"))).where(F.arrays_overlap("pairs", F.array(*map(F.lit, model.vocabulary)))).select("doc_id", "pairs")
+    seen = featured(docs, model.vocabulary) if seen is None else seen
+    rows = seen.where(F.size("pairs") > 0).select("doc_id", "pairs", "width", "n")
     likely = model.probabilities(rows).where(F.col("score") >= model.threshold)
     forms = templates(spark).groupBy("family").agg(F.collect_list("pairs").alias("forms"))  # as many rows as families
     own = F.array_distinct("pairs")
-    overlap = F.array_max(F.transform("forms", lambda t: F.size(F.array_intersect(own, t)) / F.least(F.size(t), F.greatest(F.size(own), F.lit(2)))))
+    overlap = F.array_max(F.transform("forms", lambda t: F.size(F.array_intersect(own, t)) / F.least(F.size(t), F.greatest(F.col("width"), F.lit(2)))))
     found = likely.join(F.broadcast(forms), "family").withColumn("overlap", overlap).where(F.col("overlap") >= CONFIRMED)
     per_doc = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max(F.struct("score", "overlap", "family")).alias("best")
+        F.sum("n").alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max(F.struct("score", "overlap", "family")).alias("best")
     )
     named = per_doc.withColumnRenamed("doc_id", "of")
     joined = docs.select("doc_id").distinct().join(named, F.col("doc_id").eqNullSafe(F.col("of")), "left")

@@ -67,7 +67,8 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return licenses.scan(docs, licenses.fit(docs))
+    seen = licenses.scanned(docs)
+    return licenses.scan(docs, licenses.fit(docs, seen), seen)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,16 +77,15 @@ class Memory:
         """A value for each of different atoms; ``learn`` gives those that neither generation has."""
         out = list(map(self.new.get, keys))
         missing = [i for i, x in enumerate(out) if x is None]
-        unknown = []
-        for i in missing:
-            out[i] = self.old.get(keys[i])
-            if out[i] is None:
-                unknown.append(i)
-        for i, value in zip(unknown, learn([keys[i].decode() for i in unknown]) if unknown else [], strict=True):
+        asked = list(map(keys.__getitem__, missing))
+        values = list(map(self.old.get, asked))
+        unknown = [k for k, x in enumerate(values) if x is None]
+        for k, value in zip(unknown, learn([asked[k].decode() for k in unknown]) if unknown else [], strict=True):
+            values[k] = value
+        for i, value in zip(missing, values, strict=True):
             out[i] = value
-        for i in missing:
-            self.new[keys[i]] = out[i]
-            self.size += ENTRY_BYTES + len(keys[i]) + len(out[i])
+        self.new.update(zip(asked, values, strict=True))
+        self.size += ENTRY_BYTES * len(asked) + sum(map(len, asked)) + sum(map(len, values))
         if self.size > self.most:
             self.old, self.new, self.size = self.new, {}, 0
         return out

@@ -40,8 +40,8 @@ BITS = np.ceil(np.log2(np.arange(65536) + 1)).astype(np.uint8)
 NO_ID = np.int64(-(2**63))
 
 
-def pack(values: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The blocks of values and their sizes in bytes."""
+def pack(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The blocks of values, one after the other, and their sizes in bytes."""
     n = -(-len(values) // BLOCK)
     padded = np.full(n * BLOCK, values[-1] if n else 0, np.uint32)
     padded[: len(values)] = values
@@ -57,17 +57,25 @@ def pack(values: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         bits = ordered[:, BLOCK * percentile // 100 - 1].astype(np.int64)
         cost = bits * BLOCK + (needs > bits[:, None]).sum(1) * 40
         width, best = np.where(cost < best, bits, width), np.minimum(cost, best)
-    out: list[bytes] = [b""] * n
+    over = needs > width[:, None]
+    count = over.sum(1)
+    sizes = 6 + BLOCK * width // 8 + 5 * count
+    start = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    out[start[:, None] + np.arange(4)] = least.astype("<u4").view(np.uint8).reshape(n, 4)
+    out[start + 4], out[start + 5] = width, count
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        own = rows[at]
-        over = needs[at] > w
-        bits = np.unpackbits(own.astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(len(at), BLOCK * w), axis=1, bitorder="little")
-        for k, i in enumerate(at.tolist()):
-            places = np.flatnonzero(over[k])
-            out[i] = b"".join((least[i].astype("<u4").tobytes(), bytes((w, len(places))), packed[k].tobytes(), places.astype(np.uint8).tobytes(), own[k, places].astype("<u4").tobytes()))
-    return out, np.fromiter(map(len, out), np.int64, n)
+        low = rows[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4)[:, :, : -(-w // 8)]  # the bytes that have these bits
+        bits = np.unpackbits(low, axis=2, bitorder="little")[:, :, :w]
+        out[(start[at] + 6)[:, None] + np.arange(BLOCK * w // 8)] = np.packbits(bits.reshape(len(at), BLOCK * w), axis=1, bitorder="little")
+    block, place = np.nonzero(over)
+    if len(block):
+        rank = np.arange(len(block)) - (np.cumsum(count) - count)[block]
+        first = start[block] + 6 + BLOCK * width[block] // 8
+        out[first + rank] = place
+        out[(first + count[block] + 4 * rank)[:, None] + np.arange(4)] = rows[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), sizes
 
 
 def unpack(payload: memoryview, starts: np.ndarray, count: int) -> np.ndarray:
@@ -93,8 +101,8 @@ def unpack(payload: memoryview, starts: np.ndarray, count: int) -> np.ndarray:
 def write_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     blocks, sizes = pack(ids)
     index = np.concatenate([[0], np.cumsum(sizes)]).astype("<u4")
-    head = np.array([len(doc_ids), len(ids), len(blocks)], "<u4")
-    return b"".join((MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), index.tobytes(), *blocks))
+    head = np.array([len(doc_ids), len(ids), len(sizes)], "<u4")
+    return b"".join((MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), index.tobytes(), blocks))
 
 
 def read_segment(data: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +134,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = atoms.Memory()
+        self.memory = atoms.Memory(2 * atoms.GENERATION_BYTES)  # the library is the dearest step here, and nothing else holds much
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")

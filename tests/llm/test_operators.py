@@ -113,6 +113,28 @@ def test_segments_round_trip():
         assert (token_files.read_segment(data, 2)[2] == ids[n // 3 :]).all()
 
 
+def test_blocks_follow_the_format_and_words_are_learnt_once():
+    random_ = np.random.default_rng(1)
+    values = np.where(random_.random(1000) < 0.05, random_.integers(0, 2**32, 1000), random_.integers(9, 300, 1000)).astype(np.uint32)
+    raw, sizes = token_files.pack(values)
+    at = 0
+    for k, size in enumerate(sizes.tolist()):  # each block by itself, a value at a time
+        own = values[k * 128 : (k + 1) * 128].tolist()
+        own += [own[-1]] * (128 - len(own))
+        least, width, over = struct.unpack_from("<IBB", raw, at)
+        bits = int.from_bytes(raw[at + 6 : at + 6 + 16 * width], "little")
+        places = raw[at + 6 + 16 * width :][:over]
+        high = dict(zip(places, struct.unpack_from(f"<{over}I", raw, at + 6 + 16 * width + over), strict=True))
+        assert least == min(own) and [least + high.get(i, bits >> i * width & (1 << width) - 1) for i in range(128)] == own
+        at += size
+    assert at == len(raw)
+    memory, asked = token_files.Encoder(queries.vocabulary()).memory, []
+    words = [b"w%d" % i for i in range(300_000)]
+    for a in [*range(0, len(words), 50_000)] * 2:
+        memory.recall(words[a : a + 50_000], lambda new: asked.extend(new) or [b"1234"] * len(new))
+    assert len(asked) == len(words)
+
+
 def shingles(text: str | None, k: int) -> set:
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())

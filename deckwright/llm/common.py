@@ -111,6 +111,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``run`` of one group, or of two with one key; what it has freed goes back before the next group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release()
+        return out
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text") -> DataFrame:
     """``each`` over bounded slices of the rows."""
 

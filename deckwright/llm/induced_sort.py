@@ -76,15 +76,10 @@ class Queue:
 
 def is_small(sequence: np.ndarray) -> np.ndarray:
     """Which suffixes are of type S; the last one is."""
-    n = len(sequence)
-    out = np.empty(n, bool)
-    out[-1] = True
-    less, same = sequence[:-1] < sequence[1:], sequence[:-1] == sequence[1:]
     # a run of equal symbols has the type of its last
-    last = np.where(same, n, np.arange(n - 1))
-    decided = np.minimum.accumulate(np.concatenate([last, [n - 1]])[::-1])[::-1][:-1]
-    out[:-1] = np.where(decided < n - 1, less[np.minimum(decided, n - 2)], True)
-    return out
+    last = np.flatnonzero(sequence[:-1] != sequence[1:])
+    less = np.append(sequence[last] < sequence[last + 1], True)
+    return np.repeat(less, np.diff(last, prepend=-1, append=len(sequence) - 1))
 
 
 class Minima:
@@ -175,10 +170,15 @@ def in_memory(sequence: np.ndarray, depth: int) -> np.ndarray:
 
 def names(sequence: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The number in order of each LMS substring (up to the next LMS symbol)."""
-    typed = (sequence.astype(np.int64) << 1 | small).astype(np.uint32)
+    typed = sequence.astype(np.uint32) << np.uint32(1) | small
     ends = np.concatenate([lms[1:] + 1, lms[-1:] + 1])
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum((textscan.mix(typed.astype(np.uint64) + np.uint64(1))) * textscan.power_table(textscan._P, len(typed)), dtype=np.uint64)])
-    code = textscan.span_hash(prefix, lms, ends)
+    prefix = np.zeros(len(typed) + 1, np.uint64)
+    for a in range(0, len(typed), textscan.STEP_BYTES):
+        b = min(a + textscan.STEP_BYTES, len(typed))
+        np.cumsum(textscan.mix(typed[a:b].astype(np.uint64) + np.uint64(1)) * (textscan.power_table(textscan._P, textscan.STEP_BYTES)[: b - a] * np.uint64(pow(textscan._P, a, 1 << 64))), out=prefix[a + 1 : b + 1])
+        prefix[a + 1 : b + 1] += prefix[a]
+    code = textscan.mix((prefix[ends] - prefix[lms]) * textscan.powers_at(textscan._P_INV, lms) + (ends - lms).astype(np.uint64))
+    del prefix
     _, first, number = np.unique(code, return_index=True, return_inverse=True)
     wide = typed.astype(">u4")
     content = [wide[a:b].tobytes() for a, b in zip(lms[first].tolist(), ends[first].tolist(), strict=True)]

@@ -281,6 +281,7 @@ def stars(rows: DataFrame, rule: Rule) -> DataFrame:
                     bound = np.minimum(every[1:], every[0]).sum(1, dtype=np.int64) if every.shape[1] else np.full(b - a, 2**62)
                     keep[a:b] |= bound >= rule.overlap(size + sizes[a:b])
             yield pa.record_batch([pa.array(center[keep]), pa.array(ids[keep])], ["center", "doc_id"])
+        common.release()
 
     return rows.select("center", "salt", "doc_id", "n_shingles", "point").mapInArrow(run, "center long, doc_id long")
 
@@ -310,6 +311,7 @@ def star_links(rows: DataFrame, rule: Rule) -> DataFrame:
                             both = shared(own, np.concatenate([sets[i] for i in some]), lengths)
                             linked[a + np.array(some)[rule.links(both, len(own), lengths)]] = True
             yield pa.record_batch([pa.array(center[linked]), pa.array(ids[linked])], ["a", "b"])
+        common.release()
 
     return rows.select("center", "salt", "doc_id", "text").mapInArrow(run, "a long, b long")
 
@@ -362,6 +364,8 @@ def plausible(rows: DataFrame, rule: Rule) -> DataFrame:
                 table = table.slice(last)
         if table is not None and table.num_rows:
             yield from judge(table).to_batches()
+        table = None
+        common.release()
 
     return rows.select(*names, "n_shingles", "point").mapInArrow(run, "center long, v int, w int, doc_id long, block int, component long")
 
@@ -398,6 +402,7 @@ def gatherings(rows: DataFrame, rule: Rule) -> DataFrame:
                 links.clear()
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+        common.release()
 
     return rows.mapInArrow(run, "a long, b long")
 

@@ -219,10 +219,11 @@ def sort_shard(parts: int, length: int) -> object:
         sequence = np.concatenate([body.astype(np.uint16) + 2, np.array([1, 0], np.uint16)])
         heads = np.cumsum(sizes + 1) - (sizes + 1)
         sequence[heads[1:] - 1] = 1
-        owner = np.full(len(sequence), -1, np.int32)  # of the strings' starts
-        strings = sizes - length + 1
-        at = np.repeat(heads - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
-        owner[at] = np.repeat(np.arange(len(heads)), strings)
+        del body
+        # of the strings' starts; none starts in a fragment's last bytes and the mark after it, nor at the end
+        owner = np.full((len(sizes), 2), -1, np.int32)
+        owner[:, 0] = np.arange(len(sizes))
+        owner = np.append(np.repeat(owner.reshape(-1), np.stack([sizes - length + 1, np.full(len(sizes), length)], 1).reshape(-1)), np.int32(-1))
         first = np.full(len(sequence), 2**63 - 1)
 
         def consume(positions: np.ndarray, value: np.ndarray) -> None:
@@ -231,6 +232,7 @@ def sort_shard(parts: int, length: int) -> object:
             first[positions] = np.repeat(np.minimum.reduceat(of, group), np.diff(np.concatenate([group, [len(positions)]])))
 
         induced_sort.sort(sequence, length, consume)
+        del sequence, owner
         # every occurrence's strings again, and which of them are someone else's
         n = counts
         entry = np.repeat(np.arange(len(ids)), n)
@@ -280,11 +282,11 @@ def lost_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     copies = common.cut(copies.where(F.col("doc_id") > F.col("head")).select("doc_id", "same").distinct())
     # of rows with one id only the text that has an earlier equal is a copy, so both columns say which row goes
     marked = rows.withColumn("same", F.md5(F.col("text").cast("binary"))).join(common.small(copies), ["doc_id", "same"], "left_anti").select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
-    shared = anchors(marked, shards, parts, length, anchor).groupBy("kind", "key").applyInArrow(compare(parts), ANCHORS)
+    shared = anchors(marked, shards, parts, length, anchor).groupBy("kind", "key").applyInArrow(common.released(compare(parts)), ANCHORS)
     dealt = marked.mapInArrow(with_part(parts), "part int, row long, doc_id long, text string")
-    pieces = shared.withColumnRenamed("key", "part").groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(cut_fragments(parts, length), FRAGMENTS)
-    marks = pieces.groupBy("shard").applyInArrow(sort_shard(parts, length), MARKS)
-    return common.cut(marks.groupBy("part").applyInArrow(merge, "row long, doc_id long, starts binary, ends binary")), copies
+    pieces = shared.withColumnRenamed("key", "part").groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(common.released(cut_fragments(parts, length)), FRAGMENTS)
+    marks = pieces.groupBy("shard").applyInArrow(common.released(sort_shard(parts, length)), MARKS)
+    return common.cut(marks.groupBy("part").applyInArrow(common.released(merge), "row long, doc_id long, starts binary, ends binary")), copies
 
 
 def with_part(parts: int) -> object:

@@ -69,6 +69,13 @@ def power_table(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def powers_at(base: int, at: np.ndarray) -> np.ndarray:
+    """Powers at any places below 2**32, from two short tables."""
+    low, high = power_table(base, 65536), np.full(int(at.max()) // 65536 + 1 if len(at) else 1, pow(base, 65536, 1 << 64), np.uint64)
+    high[0] = 1
+    return low[at & 65535] * np.cumprod(high)[at >> 16]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every bit over 64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from deckwright.llm import common, queries
+from deckwright.llm import common, queries, suffix_dedup
 
 from .test_operators import DOCS, brute_dedup, fixture, labelled, shingles
 
@@ -59,3 +63,33 @@ def test_stages(spark, tmp_path):
         assert (r.n_tokens, list(r.ids)) == (len(ids), ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, r.ids_sha256) for r in again.collect()} == {(r.doc_id, r.ids_sha256) for r in now.collect()}
+
+
+def test_stages_ask_for_small_batches(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}", "en", "s", 12) for i in range(2500)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.conf.set(corpus_pipeline.BATCH_SETTING, 10_000)
+    try:
+        corpus_pipeline.encode(spark, docs, "")
+        assert docs.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").agg({"n": "max"}).first()[0] <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, 7)
+        corpus_pipeline.encode(spark, docs, "")
+        assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == "7"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+
+
+def test_a_shard_is_sorted_in_little_memory():
+    random_ = np.random.default_rng(3)
+    n, size = 8_000, 120
+    bodies = [bytes(random_.integers(97, 123, size).tolist()) for _ in range(n // 2)] * 2
+    column = lambda x: [np.asarray(x).tobytes()]
+    schema = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("rows", "ids", "starts", "counts", "bytes"))])
+    ids = np.arange(n, dtype=np.int64)
+    counts = np.full(n, size - 49, np.uint8)
+    table = pa.table({"shard": [0], "rows": column(ids), "ids": column(ids), "starts": column(np.zeros(n, np.int32)), "counts": column(counts), "bytes": [b"".join(bodies)]}, schema=schema)
+    tracemalloc.start()
+    out = suffix_dedup.sort_shard(1, 50)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(np.frombuffer(b"".join(out.column("ids").to_pylist()), "<i8").tolist()) == list(range(n // 2, n))
+    assert peak < 43 * n * size

@@ -29,6 +29,14 @@ def judged(events: DataFrame, rules: DataFrame, excluded: DataFrame) -> DataFram
     return events.join(known, "format", "left").join(listed, "event_id", "left").withColumns({"coverage": coverage, "reason": reason})
 
 
+def in_windows(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (format, occurred_on) that a run's format and window leave in: of other events, :func:`judged` says ``format`` or
+    ``window`` whatever else is known of them."""
+    own, run = rows.alias("own"), F.broadcast(rules.select("format", "starts_on", "ends_before")).alias("run")
+    outside = (F.col("own.occurred_on") < F.col("run.starts_on")) | (F.col("own.occurred_on") >= F.col("run.ends_before"))
+    return own.join(run, (F.col("own.format") == F.col("run.format")) & F.col("run.starts_on").isNotNull() & ~F.coalesce(outside, F.lit(False)), "left_semi")
+
+
 def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rules, excluded) from saved rule files: one JSON object each, two players a game unless it says so."""
     schema = "version string, format_name string, starts_on date, ends_before date, min_decklist_coverage double, players_per_game int, excluded_events array<struct<source_event_id:string,reason:string>>"

@@ -13,7 +13,7 @@ from deckwright.bindings.tpch import Tables
 from deckwright.functions import stats
 from deckwright.functions.places import midranks
 from deckwright.functions.text import html_text
-from deckwright.operators import catalog, history, scoring, serving, validate
+from deckwright.operators import catalog, history, packages, scoring, serving, validate
 from deckwright.plans import queries as plans
 from deckwright.sources import files
 
@@ -96,3 +96,26 @@ def test_pages_of_decks_are_read_once(spark):
     assert plan.count("ArrowEvalPython") == 2, plan
     texts = spark.createDataFrame([("a & b",), ("&amp;<i>x</i>  y\u00a0z",), ("<!-- & -->",), (None,), ("a > b",)], "s string").select(html_text(F.col("s")).alias("t"))
     assert [r.t for r in texts.collect()] == ["a & b", "& x y z", "", None, "a > b"]
+
+
+def test_packages_meet_lines_once(spark, tmp_path, monkeypatch):
+    """Four copies of each order, one of an event without lines of most, and an order twice; lines are read in one pass."""
+    c = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        c.sql(f"CREATE TABLE {t} AS FROM '/root/testdata/sf0.001/{t}.parquet'")
+    c.sql("CREATE TABLE n AS SELECT max(o_orderkey) + 1 AS n FROM orders")
+    for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        c.sql(f"CREATE OR REPLACE TABLE {t} AS SELECT t.* REPLACE ({k} + i * n AS {k}) FROM {t} t, n, range(4) r(i)")
+    c.sql("INSERT INTO orders FROM orders WHERE o_orderkey % 50 = 7")
+    c.sql("DELETE FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE month(o_orderdate) = 5 AND o_orderkey % 2 = 0)")
+    for t in "region nation customer supplier part orders lineitem".split():
+        c.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    read = []
+    for module in (plans, packages):
+        own = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, own=own: (read.append(df._jdf.queryExecution().optimizedPlan().toString()), own(df))[1])
+    columns = ["format", "items", "size", "decks", "lift"]
+    got = plans.queries()["card_packages"](spark, str(tmp_path)).select(*columns).collect()
+    want = c.sql(plans.oracle_sql()["card_packages"]).select(*columns).fetchall()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(want)
+    assert sum(len(re.findall(r"Relation \[[^]]*l_orderkey", plan)) for plan in read) == 1

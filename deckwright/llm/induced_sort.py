@@ -26,6 +26,10 @@ from . import textscan
 #: Bytes of tuples that a queue keeps in memory before they go to disk, and symbols of a reduced sequence that
 #: is sorted without inducing (a few arrays of 8 bytes each; beyond, the recursion goes on).
 QUEUE_BYTES, MEMORY_SYMBOLS = 4_000_000, 4_000_000
+#: Tuples that a scan looks at in one step: many pushes are a few tuples each, so what waits for a symbol is visited together.
+STEP = 65536
+#: The power of two that fits a range of this length.
+LEVEL = np.log2(np.maximum(np.arange(STEP + 1), 1)).astype(np.int64)
 
 Consumer = Callable[[np.ndarray, np.ndarray], None]
 
@@ -56,17 +60,25 @@ class Queue:
                     blocks[i] = (at, len(block[0]), 0)
         self.held, self.spilled = 0, self.spilled + 1
 
+    def read(self, block: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if len(block) == 2:
+            self.held -= block[0].nbytes + block[1].nbytes
+            return block
+        self.file.seek(block[0])
+        raw = self.file.read(9 * block[1])
+        return np.frombuffer(raw, "<i8", block[1]), np.frombuffer(raw, np.uint8, block[1], 8 * block[1])
+
     def pop(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of this symbol, those that are pushed meanwhile among them."""
-        while self.blocks.get(symbol):
-            block = self.blocks[symbol].pop(0)
-            if len(block) == 3:
-                self.file.seek(block[0])
-                raw = self.file.read(9 * block[1])
-                yield np.frombuffer(raw, "<i8", block[1]), np.frombuffer(raw, np.uint8, block[1], 8 * block[1])
-            else:
-                self.held -= block[0].nbytes + block[1].nbytes
-                yield block
+        """Blocks of this symbol, small ones joined, those that are pushed meanwhile among them."""
+        size = lambda block: len(block[0]) if len(block) == 2 else block[1]
+        while waiting := self.blocks.get(symbol):
+            n, total = 1, size(waiting[0])
+            while n < len(waiting) and total + size(waiting[n]) <= STEP:
+                total += size(waiting[n])
+                n += 1
+            taken = [self.read(block) for block in waiting[:n]]
+            del waiting[:n]
+            yield taken[0] if n == 1 else (np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken]))
         self.blocks.pop(symbol, None)
 
     def close(self) -> None:
@@ -83,21 +95,21 @@ def is_small(sequence: np.ndarray) -> np.ndarray:
 
 
 class Minima:
-    """The least value of any range of an array of bytes."""
+    """The least value of any range of an array of at most ``STEP`` bytes."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.tables = [values]
-        while len(self.tables[-1]) > (step := 1 << (len(self.tables) - 1)):
-            self.tables.append(np.minimum(self.tables[-1][:-step], self.tables[-1][step:]))
+        n = len(values)
+        self.n, self.table = n, np.empty((int(LEVEL[n]) + 1, n), np.uint8)
+        self.table[0] = values
+        for k in range(1, len(self.table)):
+            step = 1 << (k - 1)
+            np.minimum(self.table[k - 1, :-step], self.table[k - 1, step:], out=self.table[k, :-step])
 
     def between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """``last`` is within the range."""
-        level = np.log2(last - first + 1).astype(np.int64)
-        out = np.empty(len(first), np.uint8)
-        for k in np.unique(level).tolist():
-            at = level == k
-            out[at] = np.minimum(self.tables[k][first[at]], self.tables[k][last[at] - (1 << k) + 1])
-        return out
+        level = LEVEL[last - first + 1]
+        row, flat = level * self.n, self.table.reshape(-1)
+        return np.minimum(flat[row + first], flat[row + last + 1 - (1 << level)])
 
 
 class Scan:
@@ -111,6 +123,10 @@ class Scan:
         """``common``: with the tuple visited before; ``induces``: whose predecessors are to be pushed."""
         if not len(positions):
             return
+        if len(positions) > STEP:
+            for a in range(0, len(positions), STEP):
+                self.visit(positions[a : a + STEP], common[a : a + STEP], induces[a : a + STEP])
+            return
         at = np.flatnonzero(induces)
         if len(at):
             before = positions[at] - 1

@@ -205,6 +205,28 @@ def test_induced_sorting():
                 assert c[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def test_induced_sorting_visits_what_waits_together(monkeypatch):
+    body = np.random.default_rng(4).integers(1, 60, 60_000)
+    body[40_000:] = body[:20_000]
+    sequence, visits, visit = np.concatenate([body, [0]]), [], induced_sort.Scan.visit
+    monkeypatch.setattr(induced_sort.Scan, "visit", lambda scan, positions, *more: (visits.append(len(positions)), visit(scan, positions, *more))[1])
+    found = []
+    for step, queue in ((induced_sort.STEP, None), (7, 100_000)):
+        monkeypatch.setattr(induced_sort, "STEP", step)
+        visits.clear()
+        got = []
+        induced_sort.sort(sequence, 50, lambda p, c, got=got: got.append((p, c)), queue_bytes=queue)
+        found.append([np.concatenate([g[i] for g in got[::-1]]) for i in (0, 1)])
+        if step > 7:
+            assert len(visits) < 60 * 8  # a few a symbol and scan, not one for each push
+    raw = body.astype(np.uint8).tobytes()
+    keys = [raw[p : p + 50] for p in found[0][0].tolist()]
+    assert keys == sorted(keys) and len(set(found[0][0].tolist())) == len(sequence)
+    # suffixes equal in 50 symbols may come in any order, the values are the same
+    assert np.array_equal(found[0][1], found[1][1])
+    assert [raw[p : p + 50] for p in found[1][0].tolist()] == keys
+
+
 def brute_dedup(texts: dict, length: int = 50) -> dict:
     seen, out = set(), {}
     for i in sorted(texts):

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.stats import rate
 
+#: Items that may be broadcast to the sets that hold them; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+
 
 def packages(lines: DataFrame, least: int, smallest: int = 2) -> DataFrame:
     """(format, deck_id, item) to (format, items in order, size, decks, lift): the sets of at least ``smallest`` items that
@@ -33,7 +36,11 @@ def packages(lines: DataFrame, least: int, smallest: int = 2) -> DataFrame:
     found = cut(model.freqItemsets.where((F.col("freq") >= least) & (F.size("items") >= smallest)).select(F.transform("items", item).alias("x"), F.col("freq").alias("decks")))
     sets = found.select(F.col("x")[0]["format"].alias("format"), F.array_sort(F.col("x.item")).alias("items"), "decks")
     sizes = decks.groupBy("format").agg(F.count("deck_id").alias("n"))
-    singles = decks.select("format", F.explode("held").alias("item")).groupBy("format", "item").agg(F.count("*").alias("c")).join(sizes, "format")
+    # what a set holds is no rarer than the set
+    counts = decks.select("format", F.explode("held").alias("item")).groupBy("format", "item").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    singles = cut(counts.join(sizes, "format"))
+    if singles.count() <= BROADCAST_ROWS:
+        singles = F.broadcast(singles)
     own = sets.select("format", "items", "decks", F.posexplode("items").alias("at", "item")).join(singles, ["format", "item"])
     # shares are multiplied in the order of the items, so that the product is the same wherever it is made
     shares = F.array_sort(F.collect_list(F.struct("at", rate(F.col("c"), F.col("n")).alias("share"))))

@@ -143,11 +143,12 @@ def resolvable(alias_rows: DataFrame, cards: DataFrame) -> DataFrame:
     return alias_rows.join(cards.where(F.col("layout").isin(*NOT_PLAYABLE)).select("card_id"), "card_id", "left_anti")
 
 
-def merged(rows: DataFrame, key: str) -> DataFrame:
-    """Each id once; identical rows are one, different ones under one id an error."""
+def merged(rows: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """Each id once, with all columns or those given; rows identical in all columns are one, different ones under one id an
+    error."""
     # hashes don't compress, so they move as bytes; any row will do where all are the same
     content = F.unhex(F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != key])), 256))
-    each = rows.groupBy(key).agg(F.first(F.struct(*rows.columns)).alias("r"), F.min(content).alias("first"), F.max(content).alias("last"))
+    each = rows.groupBy(key).agg(F.first(F.struct(*(columns or rows.columns))).alias("r"), F.min(content).alias("first"), F.max(content).alias("last"))
     wrong = F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key).cast("string"))).cast("string")
     return each.withColumn("ok", F.when(F.col("first") != F.col("last"), wrong)).where("ok IS NULL").select("r.*")
 
@@ -178,21 +179,22 @@ class Catalogue:
 def catalogue(raw: DataFrame) -> Catalogue:
     """The whole projection of raw card objects.  A printing that comes twice is one if the objects are the same, and an
     error if not.  A card is described by its English, newest, least printing; printings meet their card in one
-    aggregate that keeps a single version a task, so a card of very many printings is no hot key."""
+    aggregate that keeps a single version a task, so a card of very many printings is no hot key.  Printings move without
+    the texts that are their card's, so the raw objects are read twice: for printings and for cards."""
     kept, excluded = projected(raw)
-    rows = cut(merged(kept, "id"))
+    printings = cut(merged(
+        kept, "id",
+        F.col("id").alias("printing_id"), F.col("oracle_id").alias("card_id"), F.col("set").alias("set_code"), F.col("set_name"), F.col("collector_number"), F.col("rarity"), F.to_date("released_at").alias("released_on"), F.col("lang").alias("language"), F.array_sort("games").alias("games"),
+        F.array_sort(pictured()).alias("images"),
+    ))
     day = F.coalesce(F.datediff(F.lit("1970-01-01").cast("date"), F.to_date("released_at")), F.lit(2**31 - 1))
     version = F.struct("id", "name", "layout", "cmc", "mana_cost", "type_line", "oracle_text", "colors", "color_identity", "card_faces")
-    best = cut(rows.groupBy("oracle_id").agg(F.min_by(version, F.struct((F.col("lang") != "en").alias("a"), day.alias("b"), F.col("id").alias("c"))).alias("v")).select(F.col("oracle_id").alias("card_id"), "v.*"))
+    best = cut(kept.groupBy("oracle_id").agg(F.min_by(version, F.struct((F.col("lang") != "en").alias("a"), day.alias("b"), F.col("id").alias("c"))).alias("v")).select(F.col("oracle_id").alias("card_id"), "v.*"))
     key = lambda c: ascii_name_key(c)
     cards = best.select("card_id", F.col("id").alias("source_id"), "name", key(F.col("name")).alias("name_key"), "layout", F.col("cmc").alias("mana_value"), "mana_cost", "type_line", "oracle_text", "colors", "color_identity")
     faces = best.select("card_id", F.posexplode("card_faces").alias("face_index", "f")).select("card_id", "face_index", *[F.col(f"f.{c}").alias(c) for c in ("name", "mana_cost", "type_line", "oracle_text", "colors")])
     own = cards.select("card_id", F.col("name_key").alias("alias_key"), F.lit("canonical").alias("kind"))
     names = own.unionByName(faces.select("card_id", key(F.col("name")).alias("alias_key"), F.lit("face").alias("kind"))).distinct()
-    printings = rows.select(
-        F.col("id").alias("printing_id"), F.col("oracle_id").alias("card_id"), F.col("set").alias("set_code"), "set_name", "collector_number", "rarity", F.to_date("released_at").alias("released_on"), F.col("lang").alias("language"), F.array_sort("games").alias("games"),
-        F.array_sort(pictured()).alias("images"),
-    )
     return Catalogue(cards, faces, printings, names, excluded)
 
 

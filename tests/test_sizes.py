@@ -119,3 +119,28 @@ def test_packages_meet_lines_once(spark, tmp_path, monkeypatch):
     want = c.sql(plans.oracle_sql()["card_packages"]).select(*columns).fetchall()
     assert len(want) > 100 and sorted(map(tuple, got)) == sorted(want)
     assert sum(len(re.findall(r"Relation \[[^]]*l_orderkey", plan)) for plan in read) == 1
+
+
+def test_printings_of_suppliers_of_six_digits(spark, tmp_path):
+    """Neighbouring parts, sold by suppliers whose keys are 100,000 apart, have printings of one number."""
+    c = duckdb.connect()
+    for t in "region nation customer orders part supplier lineitem".split():
+        c.sql(f"CREATE TABLE {t} AS FROM '/root/testdata/sf0.001/{t}.parquet'")
+    c.sql("INSERT INTO supplier SELECT t.* REPLACE (s_suppkey + i * 100000 AS s_suppkey) FROM supplier t, range(1, 4) r(i)")
+    c.sql("INSERT INTO lineitem SELECT t.* REPLACE (l_partkey - i AS l_partkey, l_suppkey + i * 100000 AS l_suppkey, l_shipdate + INTERVAL 1 DAY AS l_shipdate) FROM lineitem t, range(1, 4) r(i) WHERE l_partkey >= i")
+    for t in "region nation customer orders part supplier lineitem".split():
+        c.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    assert c.sql("SELECT l_partkey * 100000 + l_suppkey FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1 LIMIT 1").fetchall()
+    columns = ["card_id", "source_id", "name_key", "layout", "colors", "printings", "pictures", "aliases", "faces"]
+    got = plans.queries()["catalogue_outputs"](spark, str(tmp_path)).select(*columns).collect()
+    want = c.sql(plans.oracle_sql()["catalogue_outputs"]).select(*columns).fetchall()
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_texts_of_cards_do_not_move_with_printings(spark, monkeypatch):
+    plans_cut = []
+    monkeypatch.setattr(catalog, "cut", lambda df, own=catalog.cut: (plans_cut.append(df._jdf.queryExecution().optimizedPlan().toString()), own(df))[1])
+    catalog.catalogue(plans.Run(spark, "/root/testdata/sf0.001").t.raw_cards)
+    moved = re.search(r"first\((.*?)\) AS r#|first\((struct.*?), false\)", plans_cut[0])
+    assert moved and "printing_id" in moved.group(0) and "oracle_text" not in moved.group(0)

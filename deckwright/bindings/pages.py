@@ -48,9 +48,12 @@ def saved(t: Tables) -> DataFrame:
     score = F.element_at(F.array(F.lit("Won 2-0"), F.lit("Lost 1-2"), F.lit("Drew 1-1-1")), (F.col("deck_id0") % 3 + 1).cast("int"))
     alone = F.col("name0").isNull() | F.col("name1").isNull()
     results = rows(games.where("round = 1 OR event % 5 <> 0"), F.concat(F.lit("res"), F.col("round").cast("string")), "game", F.col("game").cast("string"), F.coalesce("name0", "name1"), F.when(alone, "Won 2-0").otherwise(score), F.lit("vs."), F.when(alone, "* BYE *").otherwise(F.col("name1")))
-    lines = t.deck_cards.select("deck_id", "card_id", "copies", F.lit(0).alias("zone")).unionByName(t.sideboards.select("deck_id", "card_id", "copies", F.lit(1).alias("zone")))
-    line = F.concat(F.col("copies").cast("string"), F.lit(" Part "), F.col("card_id").cast("string"))
-    zones = lines.groupBy("deck_id").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("zone") == z, line))), "<br>").alias(f"z{z}") for z in (0, 1)])
+    # both zones by the rules of Tables.deck_cards and Tables.sideboards, from one pass over the lines
+    back = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 3)
+    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("deck_id"), F.col("l_partkey").alias("card_id"), F.col("l_quantity").alias("q"), F.when(back, F.col("l_quantity")).alias("q1")).repartition("deck_id")
+    lines = lines.groupBy("deck_id", "card_id").agg((F.min("q").cast("int") % 4 + 1).alias("n0"), (F.min("q1").cast("int") % 3 + 1).alias("n1"))
+    line = lambda copies: F.concat(F.col(copies).cast("string"), F.lit(" Part "), F.col("card_id").cast("string"))
+    zones = lines.groupBy("deck_id").agg(*[F.array_join(F.sort_array(F.collect_list(line(f"n{z}"))), "<br>").alias(f"z{z}") for z in (0, 1)])
     label = F.when(F.col("deck_id") % 6 == 0, "Pro Tour-Here").otherwise(F.col("priority"))
 
     def block(label: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.text import name_words
 from ..sources import files
 from . import ingest, players
 
@@ -33,16 +32,13 @@ class Facts:
     unresolved: DataFrame
 
 
-def keyed(pages: DataFrame) -> DataFrame:
-    """(file, text), the file standing for event and page."""
-    return pages.select(F.to_json(F.struct("event_id", "slug")).alias("file"), "text")
+def keyed(pages: DataFrame, *more: str) -> DataFrame:
+    """(file, text), the file standing for event and page, and for more that a page's rows are to keep."""
+    return pages.select(F.struct("event_id", "slug", *more).alias("file"), "text")
 
 
 def of_page(rows: DataFrame) -> DataFrame:
-    at = F.from_json("file", "event_id string, slug string")
-    return rows.withColumn("at", at).select(F.col("at.event_id").alias("event_id"), F.col("at.slug").alias("slug"), *[c for c in rows.columns if c != "file"])
-
-
+    return rows.select("file.*", *[c for c in rows.columns if c != "file"])
 
 
 def result_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,62 +57,66 @@ def result_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def listed_decks(pages: DataFrame) -> DataFrame:
-    """(event_id, number, player, label, zone, name, copies): a player on two pages has one deck, that of the first page
-    that lists it; decks are numbered from 1 in the order of pages and within them."""
+    """(event_id, number, player, label, cards (zone, name, copies)): a player on two pages has one deck, that of the first
+    page that lists it; decks are numbered from 1 in the order of pages and within them."""
     order = files.deck_pages(pages.select("event_id", "slug"))
-    order = cut(order)
-    lines = cut(of_page(files.page_decks(keyed(pages.join(order.select("event_id", "slug"), ["event_id", "slug"], "left_semi")))))
-    first, last = name_words(F.col("player"))
-    heads = lines.select("event_id", "slug", "deck", "player").distinct().withColumn("who", F.array_join(F.concat(first, last), " "))
-    heads = cut(heads.join(order, ["event_id", "slug"]))
-    one = heads.groupBy("event_id", "who").agg(F.min(F.struct("place", "deck", "slug", "player")).alias("x")).select("event_id", "x.*")
+    decks = cut(of_page(files.page_lists(keyed(pages.join(order, ["event_id", "slug"]), "place"))))
+    decks = players.with_parts(decks, "player").withColumn("who", F.array_join("words", " ")).drop("first", "last", "words")
+    # a field's decks go to its event once
+    again = F.row_number().over(Window.partitionBy("event_id", "who").orderBy("place", "deck"))
+    first = decks.repartition("event_id").withColumn("again", again).where("again = 1")
     number = F.row_number().over(Window.partitionBy("event_id").orderBy("place", "deck"))
-    return lines.join(one.withColumn("number", number).select("event_id", "slug", "deck", "number"), ["event_id", "slug", "deck"]).drop("slug", "deck")
+    return first.withColumn("number", number).select("event_id", "number", "player", "label", "cards")
 
 
 def assemble(pages: DataFrame, aliases: DataFrame) -> Facts:
     """The facts of all events of ``pages``; ``aliases`` as for :func:`ingest.resolve_names`."""
     # what is read several times below is written once: rows of tables, decks' lines, names and their matches
-    pages = cut(pages.where(F.col("slug").isNotNull()))
+    # pages of one kind may come in few partitions, and each kind is read by itself, so they are dealt out first
+    pages = cut(pages.where(F.col("slug").isNotNull()).repartition("event_id", "slug"))
     rounds, seen = result_pages(pages)
     rounds = cut(rounds)
-    reported = of_page(files.results(files.table_rows(keyed(pages.join(rounds.select("event_id", "slug"), ["event_id", "slug"], "left_semi")))))
-    reported = cut(reported.join(rounds, ["event_id", "slug"]).where("result <> 'unread'").select("event_id", "round", F.col("row_ord").alias("page_ord"), "player", "opponent", "result"))
+    reported = of_page(files.results(files.table_rows(keyed(pages.join(rounds, ["event_id", "slug"]), "round"))))
+    reported = cut(reported.where("result <> 'unread'").select("event_id", "round", F.col("row_ord").alias("page_ord"), "player", "opponent", "result"))
     final = of_page(files.standings_rows(files.table_rows(keyed(pages.where(F.col("slug") == STANDINGS_PAGE)))))
     # a name that stands twice keeps its last place
     ranks = cut(final.groupBy("event_id", "player").agg(F.max("place").alias("place")))
 
-    present = reported.select("event_id", "round", F.explode(F.array("player", "opponent")).alias("name")).where("name IS NOT NULL").distinct()
-    same = cut(players.spellings(cut(present), ranks.select("event_id", F.col("player").alias("name"))))
+    present = reported.select("event_id", "round", F.explode(F.array("player", "opponent")).alias("name")).where("name IS NOT NULL")
+    same = cut(players.spellings(present, ranks.select("event_id", F.col("player").alias("name"))))
     spelled = reported
     for side in ("player", "opponent"):
         known = same.select("event_id", F.col("name").alias(side), F.col("player").alias("known"))
         spelled = spelled.join(known, ["event_id", side], "left").withColumn(side, F.coalesce("known", side)).drop("known")
     spelled = cut(spelled)
-    record = ingest.pairing_records(spelled)
-    byes = spelled.where("result = 'bye'").groupBy("event_id", "player").agg(F.count("*").alias("byes"))
-    roster = cut(ranks.join(record.drop("byes"), ["event_id", "player"], "full").join(byes, ["event_id", "player"], "full"))
-
-    lines = cut(listed_decks(pages))
-    heads = lines.groupBy("event_id", "number").agg(F.first("player").alias("player"), F.first("label").alias("label"))
+    record = ingest.pairing_records(spelled).drop("byes")
+    byes = spelled.where("result = 'bye'").select("event_id", "player", F.lit(1).alias("byes"))
+    told = ranks.unionByName(record, allowMissingColumns=True).unionByName(byes, allowMissingColumns=True)
+    # a place and a record come from one row each, byes from one each
+    once = [F.max(c).alias(c) for c in ("place", "wins", "losses", "draws")]
+    roster = cut(told.groupBy("event_id", "player").agg(*once, F.sum("byes").alias("byes")))
+
+    listed = cut(listed_decks(pages))
+    heads = listed.drop("cards")
+    lines = listed.select("event_id", "number", F.explode("cards").alias("card")).select("event_id", "number", "card.*")
     sides = heads.select("event_id", F.lit("deck").alias("side"), F.col("player").alias("name"), F.col("number").alias("ord")).unionByName(roster.select("event_id", F.lit("standing").alias("side"), F.col("player").alias("name"), F.lit(0).alias("ord")))
     joined = players.match(sides)
 
     resolved = cut(ingest.resolve_names(cut(lines.select("name").distinct()), aliases))
-    named = lines.join(resolved.select("name", "card_id"), "name", "left")
     zone = lambda z, value: F.coalesce(F.sum(F.when(F.col("zone") == z, value)), F.lit(0)).cast("long")
-    lost = F.col("card_id").isNull()
-    per_deck = named.groupBy("event_id", "number").agg(zone("main", lost.cast("int")).alias("skipped_main"), zone("side", lost.cast("int")).alias("skipped_side"), (F.max((F.col("zone") == "side").cast("int")) == 1).alias("has_side"))
-    decks = heads.join(per_deck, ["event_id", "number"]).select(
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    lost = lines.join(resolved.where("card_id IS NULL").select("name"), "name").groupBy("event_id", "number").agg(zone("main", F.lit(1)).alias("skipped_main"), zone("side", F.lit(1)).alias("skipped_side"))
+    per_deck = listed.withColumn("has_side", F.exists("cards", lambda x: x["zone"] == "side")).drop("cards").join(lost, ["event_id", "number"], "left").withColumns({c: zero(F.col(c)) for c in ("skipped_main", "skipped_side")})
+    decks = per_deck.select(
         "event_id", "number", "player", "label", "skipped_main", "skipped_side", (F.col("skipped_main") == 0).alias("complete"), (F.col("has_side") & (F.col("skipped_side") == 0)).alias("sideboard_observed")
     )
-    cards = named.where(~lost).groupBy("event_id", "number", "card_id").agg(zone("main", F.col("copies")).alias("main"), zone("side", F.col("copies")).alias("side"))
+    known = resolved.where("card_id IS NOT NULL").select("name", "card_id")
+    cards = lines.join(known, "name").groupBy("event_id", "number", "card_id").agg(zone("main", F.col("copies")).alias("main"), zone("side", F.col("copies")).alias("side"))
 
     field = roster.groupBy("event_id").agg(F.count("*").alias("players"), F.count("place").alias("ranked"), (F.count(F.when(F.col("place") <= TOP_CUT, 1)) == TOP_CUT).alias("cut"))
-    listed = heads.groupBy("event_id").agg(F.count("*").alias("decklists"))
+    lists = heads.groupBy("event_id").agg(F.count("*").alias("decklists"))
     about = pages.groupBy("event_id").agg(F.first("format").alias("format"), F.first("occurred_on").alias("occurred_on"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    events = about.join(field, "event_id", "left").join(listed, "event_id", "left").join(seen, "event_id", "left").withColumn("players", zero("players"))
+    events = about.join(field, "event_id", "left").join(lists, "event_id", "left").join(seen, "event_id", "left").withColumn("players", zero("players"))
     coverage = lambda got, of: ingest.coverage_class(got, of)
     events = events.select(
         "event_id", "format", "occurred_on", F.nullif("players", F.lit(0)).alias("players"), zero("decklists").alias("decklists"), F.when(F.col("cut"), TOP_CUT).alias("cut_size"), F.when(F.col("cut"), "standing_order").otherwise("unknown_top_cut").alias("cut_basis"),
@@ -129,7 +129,8 @@ def assemble(pages: DataFrame, aliases: DataFrame) -> Facts:
     placed = heads.select("event_id", "number", F.col("player").alias("deck_name")).join(joined, ["event_id", "deck_name"]).join(roster.withColumnRenamed("player", "standing_name"), ["event_id", "standing_name"]).join(whole, "event_id")
     kept = lambda c: F.when(F.col("whole"), zero(c)).alias(c)
     standings = placed.select("event_id", "number", F.col("standing_name").alias("player"), F.col("pass").alias("joined_by"), F.col("place").alias("final_rank"), kept("wins"), kept("losses"), kept("draws"), kept("byes"), F.when(F.col("cut") & F.col("place").isNotNull(), F.col("place") <= TOP_CUT).alias("made_cut"))
-    events, decks, cards, standings = (cut(x) for x in (events, decks, cards, standings))
+    # cards are a plan that who reads them runs: the other facts don't need them
+    events, decks, standings = (cut(x) for x in (events, decks, standings))
     return Facts(events, decks, cards, standings, resolved.where("card_id IS NULL").select("name"))
 
 

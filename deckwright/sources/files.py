@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import COUNTRY, card_name, decode_page, html_text
+from ..functions.text import COUNTRY, card_name, decode_page, html_text, html_texts
 from ..operators.ingest import count_or_null, uuid_or_null
 
 FACE = "struct<name:string,mana_cost:string,type_line:string,oracle_text:string,colors:array<string>,image_uris:map<string,string>,artist:string>"
@@ -132,9 +132,9 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 def table_rows(page_text: DataFrame) -> DataFrame:
     """(file, row_ord, cells) of every table row of pages: the shape of results, standings and listings."""
     rows = page_text.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), 1)).alias("row_ord", "row"))
-    cells = rows.select("file", "row_ord", F.posexplode(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1)).alias("cell_ord", "cell"))
-    clean = cells.withColumn("cell", html_text(F.col("cell")))
-    return clean.groupBy("file", "row_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_ord", "cell"))), lambda c: c["cell"]).alias("cells"))
+    # a row's cells stay together, so no row moves
+    cells = rows.select("file", "row_ord", F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), 1).alias("cells"))
+    return html_texts(cells.where(F.size("cells") > 0), "cells")
 
 
 #: How results are written, and a bye instead of an opponent.
@@ -187,10 +187,11 @@ NO_CARDS = r'(?s)<span class="decktotals">.*?</span>|<p class="cardcount">.*?</p
 EVENT_CAPTION, NAME_FROM_DECK = r"(?i)pro\s*tour", r"\s*[–—]\s*|\s+-\s+"
 
 
-def page_decks(page_text: DataFrame) -> DataFrame:
-    """(file, deck, player, label, zone, name, copies): the cards of every deck of pages (file, text).  A label is
-    the deck's caption, or what follows the player's name; captions that name the event are none.  From the title of
-    the side on, and in shaded columns, cards are the side's.  Decks without a main part go."""
+def page_lists(page_text: DataFrame) -> DataFrame:
+    """(file, deck, player, label, cards) of every deck of pages (file, text), its cards (zone, name, copies) each once.  A
+    label is the deck's caption, or what follows the player's name; captions that name the event are none.  From the title
+    of the side on, and in shaded columns, cards are the side's.  Decks without a main part go.  A deck is one row all the
+    way, so nothing moves."""
     new = F.col("text").contains(DECK)
     parts = F.when(new, F.split("text", DECK)).otherwise(F.split("text", "(?=" + OLD_DECK + ")"))
     blocks = page_text.select("file", new.alias("new"), F.posexplode(parts).alias("deck", "block"))
@@ -198,24 +199,36 @@ def page_decks(page_text: DataFrame) -> DataFrame:
     caption = F.when(F.col("new"), F.regexp_extract("block", r'(?s)<div class="sub">(.*?)</div>', 1)).otherwise(F.regexp_extract("block", OLD_DECK, 2))
     # what stands before a page's first deck is none in the new layout, and has no header in the old one
     decks = blocks.withColumns({"head": head, "caption": caption}).where("head <> '' AND (deck > 0 OR NOT new)")
-    decks = decks.withColumns({"head": html_text(F.col("head")), "caption": html_text(F.col("caption"))})
+    # the side's title may stand within a column, the rest of which is then a column of the side
+    body = F.split(F.regexp_replace("block", NO_CARDS, ""), SIDE, 2)
+    halves = F.transform(body, lambda x, i: F.struct(F.when(i == 0, "main").otherwise("side").alias("zone"), F.when(i == 0, x).otherwise(F.concat(F.lit('<td valign="top">'), x)).alias("body")))
+    column = F.lit(r'(?s)<td[^>]*valign="top"[^>]*>.*?(?:</td>|$)')
+    shaded = lambda x: F.regexp_extract(x, r"^<td[^>]*>", 0).contains("statback")
+    columns = F.flatten(F.transform(halves, lambda half: F.transform(F.regexp_extract_all(half["body"], column, F.lit(0)), lambda x: F.struct(F.when(shaded(x), "side").otherwise(half["zone"]).alias("zone"), x.alias("body")))))
+    lines = F.flatten(F.transform("columns", lambda x: F.transform(F.split(x["body"], r"<br\s*/?>"), lambda line: F.struct(x["zone"].alias("zone"), line.alias("line")))))
+    rows = decks.select("file", "deck", "head", "caption", columns.alias("columns")).select("file", "deck", "head", "caption", lines.alias("lines"))
+    rows = html_texts(rows.select("file", "deck", "head", "caption", F.col("lines.zone").alias("zone"), F.col("lines.line").alias("line")), "line")
+    told = F.filter(F.arrays_zip("zone", "line"), lambda x: x["line"].rlike(r"^\d+\s+\S"))
+    read = lambda x: F.struct(x["zone"].alias("zone"), card_name(F.regexp_extract(x["line"], r"^\d+\s+(.+)$", 1)).alias("name"), F.regexp_extract(x["line"], r"^(\d+)", 1).try_cast("int").cast("long").alias("copies"))
+    cards = F.filter(F.transform(told, read), lambda x: x["copies"] > 0)
+    # chosen by a generator, as a filter would read all lines a second time
+    main = F.filter(F.array(cards), lambda found: F.exists(found, lambda x: x["zone"] == "main"))
+    rows = rows.select("file", "deck", "head", "caption", F.explode(main).alias("cards"))
+    # a card that stands twice in a zone is one
+    rows = rows.withColumn("each", F.array_distinct(F.transform("cards", lambda x: F.struct(x["zone"].alias("zone"), x["name"].alias("name")))))
+    copies = lambda k: F.aggregate(F.filter("cards", lambda x: (x["zone"] == k["zone"]) & (x["name"] == k["name"])), F.lit(0).cast("long"), lambda n, x: n + x["copies"])
+    summed = F.transform("each", lambda k: F.struct(k["zone"].alias("zone"), k["name"].alias("name"), copies(k).alias("copies")))
+    rows = rows.withColumn("cards", F.when(F.size("each") == F.size("cards"), F.col("cards")).otherwise(summed)).drop("each")
+    rows = rows.withColumns({"head": html_text(F.col("head")), "caption": html_text(F.col("caption"))})
     named = F.split("head", NAME_FROM_DECK, 2)
     label = F.when(F.col("caption") != "", F.col("caption")).when(F.size(named) > 1, named[1])
     label = F.when((label != "") & ~label.rlike(EVENT_CAPTION), label)
-    # the side's title may stand within a column, the rest of which is then a column of the side
-    body = F.split(F.regexp_replace("block", NO_CARDS, ""), SIDE, 2)
-    halves = F.array(F.struct(F.lit("main").alias("zone"), body[0].alias("body")), F.struct(F.lit("side").alias("zone"), F.concat(F.lit('<td valign="top">'), F.try_element_at(body, F.lit(2))).alias("body")))
-    rows = decks.select("file", "deck", named[0].alias("player"), label.alias("label"), F.explode(halves).alias("half"))
-    column = r'(?s)<td[^>]*valign="top"[^>]*>.*?(?:</td>|$)'
-    rows = rows.select("file", "deck", "player", "label", "half.zone", F.explode(F.regexp_extract_all("half.body", F.lit(column), 0)).alias("column"))
-    zone = F.when(F.regexp_extract("column", r"^<td[^>]*>", 0).contains("statback"), "side").otherwise(F.col("zone"))
-    rows = rows.select("file", "deck", "player", "label", zone.alias("zone"), F.explode(F.split("column", r"<br\s*/?>")).alias("line"))
-    rows = rows.withColumn("line", html_text(F.col("line"))).where(F.col("line").rlike(r"^\d+\s+\S"))
-    lines = rows.select("file", "deck", "player", "label", "zone", card_name(F.regexp_extract("line", r"^\d+\s+(.+)$", 1)).alias("name"), F.regexp_extract("line", r"^(\d+)", 1).try_cast("int").alias("copies"))
-    # a deck's lines meet once, for its cards and for whether it has a main part, so pages are read once
-    cards_of = lines.where("copies > 0").repartition("file", "deck").groupBy("file", "deck", "player", "label", "zone", "name").agg(F.sum("copies").alias("copies"))
-    main = F.max(F.col("zone") == "main").over(Window.partitionBy("file", "deck"))
-    return cards_of.withColumn("main", main).where("main").drop("main")
+    return rows.select("file", "deck", named[0].alias("player"), label.alias("label"), "cards")
+
+
+def page_decks(page_text: DataFrame) -> DataFrame:
+    """(file, deck, player, label, zone, name, copies): the cards of :func:`page_lists`, a row each."""
+    return page_lists(page_text).select("file", "deck", "player", "label", F.explode("cards").alias("card")).select("file", "deck", "player", "label", "card.*")
 
 
 def standings_rows(rows: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from deckwright.operators import assembly
-from deckwright.sources import saved_events
+from deckwright.operators import assembly, players
+from deckwright.sources import files, saved_events
 
 row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
 deck = lambda who, label, main, side: f'<div class="deck"><heading>{who}</heading><div class="sub">{label}</div><td valign="top">{"<br>".join(main)}</td><td valign="top"><p class="decktitle">Sideboard</p>{"<br>".join(side)}</td></div>'
@@ -120,3 +120,30 @@ def test_what_is_wrong_raises(read, tmp_path):
     (tmp_path / "z").mkdir()
     with pytest.raises(Exception, match="no saved event"):
         read(tmp_path / "z").collect()
+
+
+def test_rows_of_pages_stay_where_their_page_is(spark):
+    """Nothing of a page is dealt out to be gathered again, a card that stands twice in a zone is one, and entities are resolved."""
+    body = '<td valign="top">2 A&amp;B<br>1 Island</td><td valign="top">3  Island<br>0 None</td><td class="statback" valign="top">1 Island</td>'
+    page = f'<div class="deck"><heading>Zo&euml; Q</heading><div class="sub"></div>{body}</div>' + row(1, "&Eacute;clair, Al [FRA]", "Won 2-0", "vs.", "B&amp;B, Cy [USA]") + "<tr></tr>"
+    pages = spark.createDataFrame([("p", page), ("q", None)], "file string, text string")
+    decks, rows = files.page_decks(pages), files.table_rows(pages)
+    assert sorted(map(tuple, decks.collect())) == [("p", 1, "Zoë Q", None, "main", "A&B", 2), ("p", 1, "Zoë Q", None, "main", "Island", 4), ("p", 1, "Zoë Q", None, "side", "Island", 1)]
+    assert [(r.row_ord, r.cells) for r in rows.collect()] == [(0, ["1", "Éclair, Al [FRA]", "Won 2-0", "vs.", "B&B, Cy [USA]"])]
+    for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in (decks, rows)):
+        assert not any(step in plan for step in ("Aggregate [", "Repartition", "Window", "Join")), plan
+
+
+def test_later_passes_read_only_what_is_left(spark, monkeypatch):
+    """Of two events' names, an exact match and a similar one; the second event has nobody left for later passes."""
+    left = []
+
+    def truncated(decks, standing, own=players.truncated):
+        left.append(({r.deck for r in decks.collect()}, {r.player for r in standing.collect()}))
+        return own(decks, standing)
+
+    monkeypatch.setattr(players, "truncated", truncated)
+    names = [("e", "deck", "Zoë Müller"), ("e", "deck", "Jon Smithe"), ("e", "standing", "Muller, Zoe [DEU]"), ("e", "standing", "Smith, Jon [USA]"), ("f", "deck", "Ana Alpha"), ("f", "standing", "Alpha, Ana [USA]"), ("f", "standing", "Bravo, Ben [USA]"), ("g", "deck", None)]
+    got = players.match(spark.createDataFrame(names, "event_id string, side string, name string").withColumn("ord", F.lit(0))).collect()
+    assert {tuple(r) for r in got} == {("e", "Zoë Müller", "Muller, Zoe [DEU]", 1), ("e", "Jon Smithe", "Smith, Jon [USA]", 2), ("f", "Ana Alpha", "Alpha, Ana [USA]", 1)}
+    assert left == [({"Jon Smithe"}, {"Smith, Jon [USA]"})]

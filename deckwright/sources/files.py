@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import COUNTRY, card_name, decode_page, html_text, html_texts
+from ..functions.text import COUNTRY, decode_page, halves_apart, html_text, html_texts, mended, unligatured
 from ..operators.ingest import count_or_null, uuid_or_null
 
 FACE = "struct<name:string,mana_cost:string,type_line:string,oracle_text:string,colors:array<string>,image_uris:map<string,string>,artist:string>"
@@ -194,7 +194,8 @@ def page_lists(page_text: DataFrame) -> DataFrame:
     way, so nothing moves."""
     new = F.col("text").contains(DECK)
     parts = F.when(new, F.split("text", DECK)).otherwise(F.split("text", "(?=" + OLD_DECK + ")"))
-    blocks = page_text.select("file", new.alias("new"), F.posexplode(parts).alias("deck", "block"))
+    # the parts are made before they are dealt out, so that no deck carries its page's text
+    blocks = page_text.select("file", new.alias("new"), parts.alias("parts")).select("file", "new", F.posexplode("parts").alias("deck", "block"))
     head = F.when(F.col("new"), F.regexp_extract("block", r"(?s)<heading>(.*?)</heading>", 1)).otherwise(F.regexp_extract("block", OLD_DECK, 1))
     caption = F.when(F.col("new"), F.regexp_extract("block", r'(?s)<div class="sub">(.*?)</div>', 1)).otherwise(F.regexp_extract("block", OLD_DECK, 2))
     # what stands before a page's first deck is none in the new layout, and has no header in the old one
@@ -209,16 +210,21 @@ def page_lists(page_text: DataFrame) -> DataFrame:
     rows = decks.select("file", "deck", "head", "caption", columns.alias("columns")).select("file", "deck", "head", "caption", lines.alias("lines"))
     rows = html_texts(rows.select("file", "deck", "head", "caption", F.col("lines.zone").alias("zone"), F.col("lines.line").alias("line")), "line")
     told = F.filter(F.arrays_zip("zone", "line"), lambda x: x["line"].rlike(r"^\d+\s+\S"))
-    read = lambda x: F.struct(x["zone"].alias("zone"), card_name(F.regexp_extract(x["line"], r"^\d+\s+(.+)$", 1)).alias("name"), F.regexp_extract(x["line"], r"^(\d+)", 1).try_cast("int").cast("long").alias("copies"))
+    # a step for each thing that the next uses more than once
+    read = lambda x: F.struct(x["zone"].alias("zone"), F.regexp_extract(x["line"], r"^\d+\s+(.+)$", 1).alias("name"), F.regexp_extract(x["line"], r"^(\d+)", 1).try_cast("int").cast("long").alias("copies"))
+    renamed = lambda step: lambda x: F.struct(x["zone"].alias("zone"), step(x["name"]).alias("name"), x["copies"].alias("copies"))
     cards = F.filter(F.transform(told, read), lambda x: x["copies"] > 0)
+    for step in (unligatured, halves_apart, mended):
+        cards = F.transform(cards, renamed(step))
     # chosen by a generator, as a filter would read all lines a second time
     main = F.filter(F.array(cards), lambda found: F.exists(found, lambda x: x["zone"] == "main"))
     rows = rows.select("file", "deck", "head", "caption", F.explode(main).alias("cards"))
     # a card that stands twice in a zone is one
-    rows = rows.withColumn("each", F.array_distinct(F.transform("cards", lambda x: F.struct(x["zone"].alias("zone"), x["name"].alias("name")))))
+    each = F.array_distinct(F.transform("cards", lambda x: F.struct(x["zone"].alias("zone"), x["name"].alias("name"))))
     copies = lambda k: F.aggregate(F.filter("cards", lambda x: (x["zone"] == k["zone"]) & (x["name"] == k["name"])), F.lit(0).cast("long"), lambda n, x: n + x["copies"])
-    summed = F.transform("each", lambda k: F.struct(k["zone"].alias("zone"), k["name"].alias("name"), copies(k).alias("copies")))
-    rows = rows.withColumn("cards", F.when(F.size("each") == F.size("cards"), F.col("cards")).otherwise(summed)).drop("each")
+    summed = F.transform(each, lambda k: F.struct(k["zone"].alias("zone"), k["name"].alias("name"), copies(k).alias("copies")))
+    alone = F.size(F.array_distinct(F.transform("cards", lambda x: F.concat_ws(" ", x["zone"], x["name"])))) == F.size("cards")
+    rows = rows.withColumn("cards", F.when(alone, F.col("cards")).otherwise(summed))
     rows = rows.withColumns({"head": html_text(F.col("head")), "caption": html_text(F.col("caption"))})
     named = F.split("head", NAME_FROM_DECK, 2)
     label = F.when(F.col("caption") != "", F.col("caption")).when(F.size(named) > 1, named[1])
